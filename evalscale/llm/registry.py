@@ -17,5 +17,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_decontaminate": op4_decontaminate}
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from evalscale.llm.op1_pack import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack": op1_pack,
+    "op4_decontaminate": op4_decontaminate,
+}
 ORACLES: dict[str, str] = {"op4_decontaminate": sql.OP4}
