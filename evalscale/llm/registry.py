@@ -25,8 +25,49 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op3_warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op9_chat import extra, format_conversations, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(rows.unionByName(extra(spark))))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op6_media import read_store, write_store
+
+    columns = "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    return read_store(write_store(table(spark, sf_dir, "documents"))).select(*columns)
+
+
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op7_license import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op10_lines import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
+    "op6_media": op6_media,
+    "op7_license": op7_license,
+    "op9_chat": op9_chat,
+    "op10_lines": op10_lines,
+}
+ORACLES: dict[str, str] = {
+    "op3_warc": sql.OP3,
+    "op4_decontaminate": sql.OP4,
+    "op9_chat": sql.OP9,
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": sql.OP4}
