@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalscale.llm import sql
-from evalscale.llm.common import table
+from evalscale.llm.common import crc_fold, table
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +58,34 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op2_toxicity import score_documents, train
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(documents, labels, "toxic", crc_fold(F.col("doc_id"), 3) != 1)
+    return decided(score_documents(documents, model), crc_fold(F.col("doc_id"), 3) == 1, 0.7)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op8_quality import score_documents, train
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = train(documents, labels, "quality", crc_fold(F.col("doc_id"), 5) != 0)
+    return decided(score_documents(documents, field), crc_fold(F.col("doc_id"), 5) == 0, 0.3)
+
+
+def decided(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op6_media": op6_media,
     "op7_license": op7_license,
+    "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_lines": op10_lines,
 }
