@@ -39,6 +39,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(extra(spark))))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op5_jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalscale.llm.op6_media import read_store, write_store
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
+    "op5_jaccard": op5_jaccard,
     "op6_media": op6_media,
     "op7_license": op7_license,
     "op8_quality": op8_quality,
@@ -92,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_warc": sql.OP3,
     "op4_decontaminate": sql.OP4,
+    "op5_jaccard": sql.OP5,
     "op9_chat": sql.OP9,
 }
