@@ -137,8 +137,10 @@ def removals(rows: DataFrame) -> DataFrame:
     return cut(again.groupBy("key").agg(F.collect_set("place").alias("places")), "line-removals")
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """The documents with `text` rid of repeated chunks; counts in the struct column `line_dedup`."""
+def dedup_lines(documents: DataFrame, stats: str = "line_dedup") -> DataFrame:
+    """The documents with `text` rid of repeated chunks; counts in a struct column `stats` (of a name still free)."""
+    if stats in documents.columns:
+        raise ValueError(f"the documents have a column {stats!r} already")
     key = F.xxhash64("doc_id", "text")
     rows = documents.select(key.alias("key"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
     places = removals(rows)
@@ -177,7 +179,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
     done = marked.select("text", "rest", "places").mapInArrow(run, f"text string, rest {struct}, line_dedup {counts}")
     columns = [F.col("text") if c == "text" else F.col(f"rest.c{rest.index(c)}").alias(c) for c in documents.columns]
-    return done.select(*columns, "line_dedup")
+    return done.select(*columns, F.col("line_dedup").alias(stats))
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -260,3 +260,15 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(features(part, 1, model.lexicon)))], names=["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(documents: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at]):
+                yield part.filter(pa.array(model.score(features(part, at, model.lexicon)) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -42,7 +42,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalscale.llm.op5_jaccard import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("fp")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
