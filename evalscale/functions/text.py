@@ -8,7 +8,7 @@ as no number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space, line ends, ASCII punctuation and the marker words of a final answer.
@@ -76,10 +76,15 @@ def extract_number(c: Column) -> Column:
     return F.when(found != "", F.replace(found, F.lit(","), F.lit(""))).otherwise(clean_answer(c))
 
 
+def finite(number_text: Column) -> Column:
+    """A number text as a double; null if it is none, or not finite."""
+    value = number_text.try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
 def parse_number(c: Column) -> Column:
     """the number as a double, or null."""
-    value = extract_number(c).try_cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return finite(extract_number(c))
 
 
 def extract_choice(c: Column, choices: Column | None = None) -> Column:
@@ -100,19 +105,33 @@ def extract_answer(response: Column, answer_type: Column, choices: Column | None
     return F.when(answer_type == "choice", extract_choice(found, choices)).when(answer_type == "number", extract_number(found)).otherwise(clean_answer(found))
 
 
+def _equal(x: Column, y: Column, x_text: Column, y_text: Column, tolerance: float) -> Column:
+    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(x_text == y_text)
+
+
 def numbers_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     """equal within an absolute tolerance; if one is no number, as extracted texts."""
-    x, y = parse_number(a), parse_number(b)
-    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(extract_number(a) == extract_number(b))
+    return _equal(parse_number(a), parse_number(b), extract_number(a), extract_number(b), tolerance)
 
 
-def numeric_key(c: Column, tolerance: float = TOLERANCE) -> Column:
-    """F8: one key for 11, 11.0 and 11.00."""
-    x = parse_number(c)
+def _key(x: Column, tolerance: float) -> Column:
     whole = F.rint(x)
     near = F.abs(x - whole) <= F.greatest(F.lit(tolerance), F.lit(RELATIVE) * F.greatest(F.abs(x), F.abs(whole)))
     integer = F.coalesce(whole.try_cast("decimal(38,0)").cast("string"), whole.cast("string"))
-    return F.when(x.isNull(), normalize(c)).when(near, F.concat(F.lit("num:"), integer)).otherwise(F.concat(F.lit("num:"), F.bround(x, 6).cast("string")))
+    return F.concat(F.lit("num:"), F.when(near, integer).otherwise(F.bround(x, 6).cast("string")))
+
+
+def numeric_key(c: Column, tolerance: float = TOLERANCE) -> Column:
+    """F8: one key for 11, 11.0 and 11.00."""
+    x = parse_number(c)
+    return F.when(x.isNull(), normalize(c)).otherwise(_key(x, tolerance))
+
+
+def _same_text(prediction: Column, gold: Column, strict: bool) -> Column:
+    p, g = normalize(prediction), normalize(gold)
+    if not strict:
+        return p == g
+    return F.when((p == "") & (g == ""), strip_space(_text(prediction)) == strip_space(_text(gold))).otherwise(p == g)
 
 
 def exact_match(prediction: Column, gold: Column, answer_type: Column, strict: bool = False) -> Column:
@@ -121,11 +140,7 @@ def exact_match(prediction: Column, gold: Column, answer_type: Column, strict: b
     Answers that are nothing but a label or punctuation normalise to an empty text
     and match each other; `strict` compares those as they stand.
     """
-    p, g = normalize(prediction), normalize(gold)
-    same = p == g
-    if strict:
-        same = F.when((p == "") & (g == ""), strip_space(_text(prediction)) == strip_space(_text(gold))).otherwise(same)
-    return (_text(gold) != "") & F.when(answer_type == "number", numbers_equal(prediction, gold)).otherwise(same)
+    return (_text(gold) != "") & F.when(answer_type == "number", numbers_equal(prediction, gold)).otherwise(_same_text(prediction, gold, strict))
 
 
 def vote_key(answer: Column, answer_type: Column, position: Column) -> Column:
@@ -134,6 +149,23 @@ def vote_key(answer: Column, answer_type: Column, position: Column) -> Column:
     return F.when(text == "", F.concat(F.lit("__empty_"), position.cast("string"))).when(answer_type == "number", numeric_key(text)).otherwise(normalize(text))
 
 
+def with_match(rows: DataFrame, name: str, prediction: str, gold: str, answer_type: str) -> DataFrame:
+    """`exact_match` as a column, in steps: each number is extracted and parsed once a row, and the plan stays small."""
+    number = F.col(answer_type) == "number"
+    texts = {f"__{side}_text": F.when(number, extract_number(F.col(c))) for side, c in (("p", prediction), ("g", gold))}
+    values = {f"__{side}": finite(F.col(f"__{side}_text")) for side in "pg"}
+    same = F.when(number, _equal(F.col("__p"), F.col("__g"), F.col("__p_text"), F.col("__g_text"), TOLERANCE)).otherwise(_same_text(F.col(prediction), F.col(gold), False))
+    return rows.withColumns(texts).withColumns(values).withColumn(name, (_text(F.col(gold)) != "") & same).drop(*texts, *values)
+
+
+def with_vote_key(rows: DataFrame, name: str, answer: str, answer_type: str, position: str) -> DataFrame:
+    """`vote_key` as a column, in steps like `with_match`."""
+    text = _text(F.col(answer))
+    step = rows.withColumn("__x", F.when(F.col(answer_type) == "number", parse_number(text)))
+    key = F.when(text == "", F.concat(F.lit("__empty_"), F.col(position).cast("string"))).when(F.col("__x").isNotNull(), _key(F.col("__x"), TOLERANCE)).otherwise(normalize(text))
+    return step.withColumn(name, key).drop("__x")
+
+
 def words_or_usage(completion: Column, total: Column, response: Column) -> Column:
     """reported completion tokens, else total tokens, else words, one at least."""
     words = F.size(F.filter(F.split(_text(response), f"{_SPACE}+"), lambda w: w != ""))

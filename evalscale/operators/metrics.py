@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalscale.functions.text import exact_match
+from evalscale.functions.text import with_match
 from evalscale.operators.dedupe import keep_last
 from evalscale.schemas import CANDIDATE, CONDITION, EXAMPLE, LABELS
 
@@ -18,21 +18,24 @@ def ratio(top: Column, below: Column, otherwise: float | None = None) -> Column:
     return out if otherwise is None else out.otherwise(F.lit(otherwise))
 
 
-def matches(candidates: DataFrame) -> Column:
-    return exact_match(F.col("extracted_answer"), F.col("gold_answer"), F.col("answer_type"))
+def matched(candidates: DataFrame) -> DataFrame:
+    """Candidates with `right`: whether each equals its own gold answer."""
+    return with_match(candidates, "right", "extracted_answer", "gold_answer", "answer_type")
 
 
 def pass_per_example(candidates: DataFrame, keys: Sequence[str] = EXAMPLE) -> DataFrame:
     """A2: whether any candidate equals its own gold answer."""
-    return candidates.groupBy(*keys).agg(F.bool_or(matches(candidates)).alias("passed"))
+    return matched(candidates).groupBy(*keys).agg(F.bool_or("right").alias("passed"))
 
 
 def pass_per_group(candidates: DataFrame, keys: Sequence[str] = EXAMPLE) -> DataFrame:
     """A3: as A2, with the gold answer and type of each group's first candidate (text if it names none)."""
-    named = F.struct("pos", F.coalesce("gold_answer", F.lit("")).alias("gold"), F.coalesce(F.nullif("answer_type", F.lit("")), F.lit("text")).alias("kind"))
-    heads = candidates.groupBy(*keys).agg(F.min(named).alias("head"))
-    joined = candidates.join(heads, list(keys))
-    return joined.groupBy(*keys).agg(F.bool_or(exact_match(F.col("extracted_answer"), F.col("head.gold"), F.col("head.kind"))).alias("passed"))
+    # answers are pooled first, so each distinct one is matched once, against the group's gold, without a join
+    pooled = candidates.groupBy(*keys, F.coalesce("extracted_answer", F.lit("")).alias("__answer")).agg(F.min(F.struct("pos", "gold_answer", "answer_type")).alias("__first"))
+    groups = pooled.groupBy(*keys).agg(F.min("__first").alias("__head"), F.collect_set("__answer").alias("__answers"))
+    gold, kind = F.coalesce("__head.gold_answer", F.lit("")), F.coalesce(F.nullif("__head.answer_type", F.lit("")), F.lit("text"))
+    rows = groups.select(*keys, gold.alias("__gold"), kind.alias("__kind"), F.explode("__answers").alias("__answer"))
+    return with_match(rows, "right", "__answer", "__gold", "__kind").groupBy(*keys).agg(F.bool_or("right").alias("passed"))
 
 
 def conditions(candidates: DataFrame, selections: DataFrame) -> DataFrame:
@@ -45,8 +48,8 @@ def conditions(candidates: DataFrame, selections: DataFrame) -> DataFrame:
     """
     c, s = keep_last(candidates, CANDIDATE), keep_last(selections, EXAMPLE)
     c_label, s_label = (F.min(F.struct("ord", *LABELS)).alias(name) for name in ("c_label", "s_label"))
-    per = c.groupBy(*EXAMPLE).agg(
-        F.bool_or(matches(c)).alias("passed"),
+    per = matched(c).groupBy(*EXAMPLE).agg(
+        F.bool_or("right").alias("passed"),
         F.count(F.lit(1)).alias("candidates"),
         F.sum(F.coalesce("token_count", F.lit(0))).alias("tokens"),
         F.sum(F.coalesce(F.col("latency_s"), F.lit(0.0)).cast("decimal(18,6)")).alias("latency"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalscale.functions.text import exact_match
+from evalscale.functions.text import with_match
 from evalscale.operators.dedupe import keep_last, positions
 from evalscale.operators.metrics import pass_per_group, ratio
 from evalscale.operators.select import select
@@ -17,14 +17,13 @@ from evalscale.schemas import CANDIDATE, CONDITION, EXAMPLE
 def reselect(candidates: DataFrame, strategies: Sequence[str] = ("first", "majority_vote"), dedupe: bool = True) -> DataFrame:
     """One row per group and strategy: chosen answer, votes and whether it is right."""
     rows = positions(keep_last(candidates, CANDIDATE) if dedupe else candidates, EXAMPLE)
-    heads = rows.groupBy(*EXAMPLE).agg(F.min(F.struct("pos", "gold_answer", "answer_type")).alias("h"), F.count(F.lit(1)).alias("candidate_count"))
     out = None
     for name in strategies:
-        chosen = select(rows, EXAMPLE, name).withColumn("strategy", F.lit(name))
+        chosen = select(rows, EXAMPLE, name, ("gold_answer", "answer_type")).withColumn("strategy", F.lit(name))
         out = chosen if out is None else out.unionByName(chosen)
-    kind = F.coalesce(F.nullif(F.col("h.answer_type"), F.lit("")), F.lit("text"))
-    joined = out.join(heads, EXAMPLE).withColumn("gold_answer", F.coalesce("h.gold_answer", F.lit(""))).withColumn("answer_type", kind)
-    return joined.withColumn("is_correct", exact_match(F.col("selected_answer"), F.col("gold_answer"), F.col("answer_type"))).drop("h")
+    kind = F.coalesce(F.nullif("answer_type", F.lit("")), F.lit("text"))
+    named = out.withColumns({"gold_answer": F.coalesce("gold_answer", F.lit("")), "answer_type": kind})
+    return with_match(named, "is_correct", "selected_answer", "gold_answer", "answer_type")
 
 
 def reselection_report(candidates: DataFrame, strategies: Sequence[str] = ("first", "majority_vote")) -> DataFrame:

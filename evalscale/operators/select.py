@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalscale.functions.text import vote_key
+from evalscale.functions.text import with_vote_key
 
-#: Strategies by name; each takes (rows, keys).  More can be registered.
-STRATEGIES: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {}
+#: Strategies by name; each takes (rows, keys, carry).  More can be registered.
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {}
 
 
 def strategy(name: str):
@@ -25,11 +25,15 @@ def strategy(name: str):
     return register
 
 
-def select(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """One row per group of (keys, pos, sample_index, extracted_answer, answer_type): the chosen answer and its votes."""
+def select(rows: DataFrame, keys: Sequence[str], name: str, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per group of (keys, pos, sample_index, extracted_answer, answer_type): the chosen answer and its votes.
+
+    `carry` names columns of each group's first row to bring along, with the number
+    of its rows as `candidate_count`, in the same aggregation.
+    """
     if name not in STRATEGIES:
         raise ValueError(f"unsupported selection strategy {name!r}; expected one of {', '.join(sorted(STRATEGIES))}")
-    return STRATEGIES[name](rows, keys)
+    return STRATEGIES[name](rows, keys, carry)
 
 
 def group_type(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,20 +42,30 @@ def group_type(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("answer_type"))
 
 
+def _row(carry: Sequence[str]) -> Column:
+    return F.struct("pos", "sample_index", F.coalesce("extracted_answer", F.lit("")).alias("answer"), *carry)
+
+
+def _output(chosen: DataFrame, keys: Sequence[str], carry: Sequence[str], best: str, head: str) -> DataFrame:
+    more = [F.col(f"{head}.{c}").alias(c) for c in carry] + [F.col("candidate_count")] * bool(carry)
+    return chosen.select(*keys, F.col(f"{best}.sample_index").alias("selected_sample_index"), F.col(f"{best}.answer").alias("selected_answer"), "vote_counts", *more)
+
+
 @strategy("first")
-def first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    chosen = rows.groupBy(*keys).agg(F.min(F.struct("pos", "sample_index", F.coalesce("extracted_answer", F.lit("")).alias("answer"))).alias("s"))
-    votes = F.map_from_arrays(F.array("s.answer"), F.array(F.lit(1).cast("long")))
-    return chosen.select(*keys, F.col("s.sample_index").alias("selected_sample_index"), F.col("s.answer").alias("selected_answer"), votes.alias("vote_counts"))
+def first(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    chosen = rows.groupBy(*keys).agg(F.min(_row(carry)).alias("head"), F.count(F.lit(1)).alias("candidate_count"))
+    votes = F.map_from_arrays(F.array("head.answer"), F.array(F.lit(1).cast("long")))
+    return _output(chosen.withColumn("vote_counts", votes), keys, carry, "head", "head")
 
 
 @strategy("majority_vote")
-def majority_vote(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    answer = F.coalesce("extracted_answer", F.lit(""))
-    keyed = rows.withColumn("__answer", answer).withColumn("__key", vote_key(F.col("__answer"), F.col("answer_type"), F.col("pos")))
-    pooled = keyed.groupBy(*keys, "__key").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("pos", "sample_index", "__answer")).alias("__first"))
-    best = F.min(F.struct((-F.col("__n")).alias("less"), "__first")).alias("__best")
-    votes = F.map_from_entries(F.array_sort(F.collect_list(F.struct("__key", "__n")))).alias("vote_counts")
-    return pooled.groupBy(*keys).agg(best, votes).select(
-        *keys, F.col("__best.__first.sample_index").alias("selected_sample_index"), F.col("__best.__first.__answer").alias("selected_answer"), "vote_counts"
+def majority_vote(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    keyed = with_vote_key(rows.withColumn("__answer", F.coalesce("extracted_answer", F.lit(""))), "__key", "__answer", "answer_type", "pos")
+    pooled = keyed.groupBy(*keys, "__key").agg(F.count(F.lit(1)).alias("__n"), F.min(_row(carry)).alias("__first"))
+    chosen = pooled.groupBy(*keys).agg(
+        F.min(F.struct((-F.col("__n")).alias("less"), "__first")).alias("__best"),
+        F.min("__first").alias("head"),
+        F.sum("__n").alias("candidate_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("__key", "__n")))).alias("vote_counts"),
     )
+    return _output(chosen, keys, carry, "__best.__first", "head")

@@ -60,10 +60,9 @@ FROM per JOIN sel USING ({_EX}) GROUP BY dataset, model, n""",
 )
 def scaling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pass@N, select@N and their gap by dataset, model and sample count, in one pass over pooled votes."""
-    key = X.vote_key(F.col("extracted_answer"), F.col("answer_type"), F.col("pos"))
-    right = X.exact_match(F.col("extracted_answer"), F.col("gold_answer"), F.col("answer_type"))
     # of all samples of an answer the match is the same, so it is computed on the pool and carried with the votes
-    pooled = V.pool(spark, sf_dir).withColumn("pos", F.col("sample_index")).withColumns({"key": key, "right": right})
+    pooled = V.pool(spark, sf_dir).withColumn("pos", F.col("sample_index"))
+    pooled = metrics.matched(X.with_vote_key(pooled, "key", "extracted_answer", "answer_type", "pos"))
     sizes = F.filter(F.array(*[F.lit(n) for n in V.SIZES]), lambda n: n > F.col("sample_index"))
     votes = pooled.select("dataset", "model", "example_id", "key", "pos", "right", F.explode(sizes).alias("n")).groupBy("dataset", "model", "n", "example_id", "key").agg(
         F.count(F.lit(1)).alias("c"), F.min("pos").alias("p"), F.bool_or("right").alias("right")
