@@ -228,7 +228,7 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     pieces = cut(tokenise(documents, path, capacity), "pack")
     per = pieces.groupBy("length", "pid").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    segments = plan(counts, capacity)
+    segments = sorted(plan(counts, capacity))
     keys = np.array([length << 48 | at for length, at, *_ in segments], np.int64)
     each, first, offset = (np.array([s[i] for s in segments], np.int64) for i in (2, 3, 4))
 

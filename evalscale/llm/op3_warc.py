@@ -99,6 +99,9 @@ class Bad(ValueError):
     pass
 
 
+_TOKEN = re.compile(rb"[!-9;-~]+")
+
+
 def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     """The record at a position of plain bytes, and where it ends; Bad if any check fails."""
     if not data.startswith(b"WARC/1.", at):
@@ -109,7 +112,7 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     headers = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or not _TOKEN.fullmatch(name) or b"\r" in value or b"\n" in value:
             raise Bad("malformed header line")
         headers[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"\d+", headers.get("content-length", "")):
@@ -152,7 +155,7 @@ def unit(data: bytes, at: int) -> tuple[list[Record], int]:
     return [record], end
 
 
-_NEXT = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.")
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
