@@ -621,3 +621,81 @@ def metrics_csv(spark, sf_dir):
     """K3: the text form of the CSV sink."""
     rows = _items(spark, sf_dir).groupBy(*CONDITION).agg(F.sum("total_examples").alias("total_examples"), F.array_sort(F.collect_set("run_id")).alias("run_ids"))
     return logs.csv_ready(rows)
+
+
+# ---- smaller functions and rules ------------------------------------------------------------------------------------
+
+
+@query(
+    "running_accuracy",
+    f"{_E1} SELECT method, ord, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER w AS BIGINT) AS correct, count(*) OVER w AS scored FROM sels WINDOW w AS (PARTITION BY method ORDER BY ord)",
+)
+def running_accuracy(spark, sf_dir):
+    """A18 on a stored log: correct and scored so far after each selection."""
+    from pyspark.sql import Window
+
+    so_far = Window.partitionBy("method").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _e1(spark, sf_dir)[0]
+    return rows.select("method", "ord", F.sum(F.col("is_correct").cast("long")).over(so_far).alias("correct"), F.count(F.lit(1)).over(so_far).alias("scored"))
+
+
+@query(
+    "checkpoint_keys",
+    f"""WITH {_POOL} SELECT DISTINCT CASE ord % 4 WHEN 0 THEN concat('k', example_id) WHEN 1 THEN concat_ws(chr(9), 'standalone', dataset, model, event_type, CAST(example_id AS VARCHAR))
+  ELSE concat_ws(chr(9), 'nested', dataset, model, 'g', CAST(example_id AS VARCHAR)) END AS key FROM pool WHERE ord % 4 <> 3""",
+)
+def checkpoint_keys(spark, sf_dir):
+    """Rows with a key, structured rows of both kinds, and torn ones."""
+    form = F.col("ord") % 4
+    log = V.pool(spark, sf_dir).select(
+        F.when(form == 0, F.concat(F.lit("k"), F.col("example_id"))).when(form == 1, "").alias("key"), F.when(form == 1, "standalone").when(form == 2, "nested").alias("unit_type"), "dataset", "model",
+        F.col("event_type").alias("method"), F.lit("g").alias("group_id"), F.col("example_id").cast("string").alias("example_id"),
+    )
+    return resume.checkpoint_keys(log)
+
+
+@query(
+    "generic_normalize",
+    """SELECT concat('own_dev_', o_orderkey) AS id, o_orderpriority AS question, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS gold_answer, CASE WHEN o_orderkey % 2 = 0 THEN 'language' END AS error,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'a#b' END AS choices FROM orders""",
+)
+def generic_normalize(spark, sf_dir):
+    """Any spelling of the fields, with the first fault of each row."""
+    k = F.col("o_orderkey")
+    rows = V.table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("uid"), F.lit("").alias("question"), F.concat(F.lit(" "), "o_orderpriority").alias("prompt"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("label"),
+        F.when(k % 2 == 0, "fr").otherwise("yoruba").alias("locale"), F.when(k % 5 > 0, "a||b").alias("options"),
+    )
+    items = raw.normalize(rows, raw.Source("own", "generic", "g", ("dev",)), "dev")
+    return items.select("id", "question", "gold_answer", "error", F.array_join("choices", "#").alias("choices"))
+
+
+@query(
+    "numeric_equal",
+    f"WITH {_POOL} SELECT ord, true AS with_point, (token_count * 1000 = token_count * 1000 + ord % 2) AS with_commas, false AS text_and_number FROM pool",
+)
+def numeric_equal(spark, sf_dir):
+    k = F.col("token_count")
+    commas = F.format_string("%,d", k * 1000)
+    return V.pool(spark, sf_dir).select(
+        "ord", X.numbers_equal(F.concat(k.cast("string"), F.lit(".0")), k.cast("string")).alias("with_point"), X.numbers_equal(commas, (k * 1000 + F.col("ord") % 2).cast("string")).alias("with_commas"),
+        X.numbers_equal(F.lit("none"), k.cast("string")).alias("text_and_number"),
+    )
+
+
+@query("strip_label", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE lower(c_mktsegment) END AS bare, c_name AS clean FROM customer")
+def strip_label(spark, sf_dir):
+    """F9, F10"""
+    label = F.when(F.col("c_custkey") % 3 == 0, " b) ").when(F.col("c_custkey") % 3 == 1, "Ọ.").otherwise("")
+    text = F.when(F.col("c_custkey") % 3 == 2, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    return V.table(spark, sf_dir, "customer").select(
+        "c_custkey", X.strip_choice_label(F.concat(label, text)).alias("bare"), X.clean_answer(F.concat(F.lit(" **`"), "c_name", F.lit("_`** \n"))).alias("clean")
+    )
+
+
+@query("run_id_sets", f"WITH {_CAND}, {_ITEMS} SELECT dataset, model, method, n, string_agg(DISTINCT run_id, ';' ORDER BY run_id) FILTER (run_id IN ('r1', 'r2')) AS shared, string_agg(DISTINCT run_id, ';' ORDER BY run_id) FILTER (run_id NOT IN ('r1', 'r2')) AS other FROM items GROUP BY ALL")
+def run_id_sets(spark, sf_dir):
+    """Intersection and difference of run-id sets."""
+    rows = _items(spark, sf_dir).groupBy(*CONDITION).agg(F.array_sort(F.collect_set("run_id")).alias("ids"))
+    known = F.array(F.lit("r1"), F.lit("r2"))
+    return rows.select(*CONDITION, F.array_join(F.array_intersect("ids", known), ";").alias("shared"), F.array_join(F.array_except("ids", known), ";").alias("other"))
