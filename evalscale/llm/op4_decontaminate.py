@@ -33,7 +33,7 @@ from evalscale.llm.text import ALNUM, Lookup, Words, gram_of, gram_rows, grams,
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK = 200_000
+BLOCK = 50_000
 
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,length:long>>, items array<long>, doc_key long"
 
