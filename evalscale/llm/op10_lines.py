@@ -1,10 +1,13 @@
 """Removal of globally repeated multi-line chunks.
 
 A rolling hash over the hashes of neighbouring lines chooses where chunks end, so
-an inserted line moves ends only next to it.  Chunks of two lines or more whose
-hash occurs again anywhere are candidates; only their bytes are gathered, and the
-groups of equal hash and digest are kept if all their bytes are equal.  Of each
-group the first occurrence (smallest doc_id, then place) stays, the others go.
+an inserted line moves ends only next to it.  A text is chunked twice: one family
+ends where the hash is even, the other where it is odd, so that a passage of few
+lines is more likely to hold a whole chunk of one of them.  Chunks of two lines or
+more whose hash occurs again in their family are candidates; only their bytes are
+gathered, and the groups of equal hash and digest are kept if all their bytes are
+equal.  Of each group the first occurrence (smallest doc_id, then place) stays, and
+the lines of the others go.  What goes has an earlier copy, and so on to the first.
 
 Cases: a null text stays null and has no lines; an empty one has no chunks; the
 last chunk of a text may be a single line, which is never removed; rows equal in
@@ -26,19 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalscale.llm.common import BROADCAST_BYTES, cut, join_small, longs, small
-from evalscale.llm.text import Lookup, buffers, grams, hash_spans, slices
+from evalscale.llm.text import Lookup, buffers, grams, hash_spans, mix, slices
 
 WINDOW = 2
 MIN_LINES, MAX_LINES = 2, 16
 MIN_BYTES = 32
-#: A chunk ends where the rolling hash is divisible by this.
-DIVISOR = 2
+#: A family's chunks end where the rolling hash modulo this is the family's number.
+FAMILIES = 2
 
 
 class Chunks:
     """Lines and chunks of a column's texts: byte spans, and for each row its chunks as line ranges."""
 
-    def __init__(self, column: pa.Array, window: int = WINDOW, divisor: int = DIVISOR):
+    def __init__(self, column: pa.Array, window: int = WINDOW):
         self.raw, self.offsets = buffers(column)
         ends = np.flatnonzero(self.raw == 10)
         full = np.flatnonzero(np.diff(self.offsets) > 0)  # an empty text has no lines
@@ -54,14 +57,14 @@ class Chunks:
         self.first = np.concatenate([[0], np.cumsum(self.n_lines)])
         hashes = hash_spans(self.raw, self.starts, self.stops, lower=False)
         rolled = grams(hashes, window)
-        self.marks = np.zeros(len(hashes), bool)
-        self.marks[window - 1 :] = rolled % np.uint64(divisor) == 0
+        self.marks = np.full(len(hashes), -1)
+        self.marks[window - 1 :] = rolled % np.uint64(FAMILIES)
 
-    def of_row(self, row: int) -> list[tuple[int, int]]:
-        """Chunks of a row, as first and past-last line (counted over the column)."""
+    def of_row(self, row: int, family: int) -> list[tuple[int, int]]:
+        """A family's chunks of a row, as first and past-last line (counted over the column)."""
         a, b = int(self.first[row]), int(self.first[row + 1])
         out, at = [], a
-        for i, mark in enumerate(self.marks[a:b].tolist(), a + 1):
+        for i, mark in enumerate((self.marks[a:b] == family).tolist(), a + 1):
             n = i - at
             if n >= MIN_LINES and (mark or n >= MAX_LINES):
                 out.append((at, i))
@@ -73,11 +76,15 @@ class Chunks:
     def span(self, chunk: tuple[int, int]) -> tuple[int, int]:
         return int(self.starts[chunk[0]]), int(self.stops[chunk[1] - 1])
 
+    def numbered(self, row: int) -> list[tuple[int, tuple[int, int]]]:
+        """All chunks of a row with their places: order of lines, and the family as the remainder."""
+        return [(i * FAMILIES + f, c) for f in range(FAMILIES) for i, c in enumerate(self.of_row(row, f))]
+
     def all_chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, place, start and end of every chunk that may be removed."""
         rows, places, starts, ends = [], [], [], []
         for row in np.flatnonzero(self.n_lines >= MIN_LINES).tolist():
-            for place, chunk in enumerate(self.of_row(row)):
+            for place, chunk in self.numbered(row):
                 a, b = self.span(chunk)
                 if chunk[1] - chunk[0] >= MIN_LINES and b - a >= MIN_BYTES:
                     rows.append(row)
@@ -86,6 +93,14 @@ class Chunks:
                     ends.append(b)
         return tuple(np.array(x, np.int64) for x in (rows, places, starts, ends))
 
+    def hashes_of(self, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Chunk hashes; those of different families differ."""
+        out = np.empty(len(place), np.uint64)
+        for f in range(FAMILIES):  # a family's chunks follow each other; those of different families overlap
+            own = place % FAMILIES == f
+            out[own] = mix(hash_spans(self.raw, a[own], b[own], lower=False) + np.uint64(f))
+        return out
+
 
 def chunk_hashes(rows: DataFrame) -> DataFrame:
     def run(batches):
@@ -93,7 +108,7 @@ def chunk_hashes(rows: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 chunks = Chunks(part.column(1))
                 row, place, a, b = chunks.all_chunks()
-                h = hash_spans(chunks.raw, a, b, lower=False).view(np.int64)
+                h = chunks.hashes_of(place, a, b).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(h)], names=["key", "place", "hash"])
 
     return rows.select("key", "text").mapInArrow(run, "key long, place int, hash long")
@@ -107,7 +122,7 @@ def chunk_bytes(rows: DataFrame, wanted: Lookup | None) -> DataFrame:
             for part in slices(batch, "text"):
                 chunks = Chunks(part.column(1))
                 row, place, a, b = chunks.all_chunks()
-                h = hash_spans(chunks.raw, a, b, lower=False)
+                h = chunks.hashes_of(place, a, b)
                 at = np.arange(len(h)) if wanted is None else wanted.find(h)[0]
                 data = chunks.raw.tobytes()
                 own = [data[i:j] for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True)]
@@ -162,19 +177,17 @@ def dedup_lines(documents: DataFrame, stats: str = "line_dedup") -> DataFrame:
                 data = chunks.raw.tobytes()
                 stats = []
                 for row in range(part.num_rows):
-                    own = chunks.of_row(row)
+                    own = chunks.numbered(row)
                     gone = set(places_of[row] or ())
-                    lines = lost = 0
-                    if gone:
-                        kept = []
-                        for place, chunk in enumerate(own):
-                            a, b = chunks.span(chunk)
-                            if place in gone:
-                                lines, lost = lines + chunk[1] - chunk[0], lost + b - a
-                            else:
-                                kept.append(data[a:b])
-                        texts[row] = b"\n".join(kept).decode()
-                    stats.append({"n_lines": int(chunks.n_lines[row]), "n_chunks": len(own), "removed_chunks": len(gone), "removed_lines": lines, "removed_bytes": lost})
+                    lines: set[int] = set()
+                    for place, chunk in own if gone else ():
+                        if place in gone:
+                            lines.update(range(*chunk))
+                    if lines:
+                        every = range(int(chunks.first[row]), int(chunks.first[row + 1]))
+                        texts[row] = b"\n".join(data[slice(*chunks.span((i, i + 1)))] for i in every if i not in lines).decode()
+                    lost = sum(int(chunks.stops[i] - chunks.starts[i]) for i in lines)
+                    stats.append({"n_lines": int(chunks.n_lines[row]), "n_chunks": len(own), "removed_chunks": len(gone), "removed_lines": len(lines), "removed_bytes": lost})
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(1), pa.array(stats, kind)], names=["text", "rest", "line_dedup"])
 
     done = marked.select("text", "rest", "places").mapInArrow(run, f"text string, rest {struct}, line_dedup {counts}")
@@ -193,15 +206,13 @@ def brute_force(rows: list[tuple[int, str]]) -> dict[int, str]:
     out, seen = {}, set()
     for doc_id, text in sorted(rows):
         chunks = Chunks(pa.array([text]))
-        data, kept = chunks.raw.tobytes(), []
-        for chunk in chunks.of_row(0):
+        data, gone = chunks.raw.tobytes(), set()
+        for place, chunk in chunks.numbered(0):
             a, b = chunks.span(chunk)
-            may = chunk[1] - chunk[0] >= MIN_LINES and b - a >= MIN_BYTES
-            digest = hashlib.sha256(data[a:b]).digest()
-            if may and digest in seen:
-                continue
-            if may:
-                seen.add(digest)
-            kept.append(data[a:b])
-        out[doc_id] = b"\n".join(kept).decode()
+            name = place % FAMILIES, hashlib.sha256(data[a:b]).digest()
+            if chunk[1] - chunk[0] >= MIN_LINES and b - a >= MIN_BYTES:
+                if name in seen:
+                    gone.update(range(*chunk))
+                seen.add(name)
+        out[doc_id] = b"\n".join(data[slice(*chunks.span((i, i + 1)))] for i in range(int(chunks.n_lines[0])) if i not in gone).decode()
     return out

@@ -15,15 +15,16 @@ def test_lines_and_chunks_put_the_text_together():
         for row, text in enumerate(texts):
             lines = [data[chunks.starts[i] : chunks.stops[i]].decode() for i in range(chunks.first[row], chunks.first[row + 1])]
             assert lines == (text.split("\n") if text else [])
-            assert "\n".join(data[slice(*chunks.span(c))].decode() for c in chunks.of_row(row)) == text
+            assert all("\n".join(data[slice(*chunks.span(c))].decode() for c in chunks.of_row(row, f)) == text for f in range(L.FAMILIES))
 
 
 def test_chunk_ends_are_shift_resistant():
     rng = random.Random(1)
     body = [f"line {rng.random()}" for _ in range(200)]
-    ends = {c[1] for c in L.Chunks(pa.array(["\n".join(body)])).of_row(0)}
-    moved = {c[1] - 1 for c in L.Chunks(pa.array(["\n".join(["new", *body])])).of_row(0)}
-    assert len(ends & moved) > 0.9 * len(ends)
+    for f in range(L.FAMILIES):
+        ends = {c[1] for c in L.Chunks(pa.array(["\n".join(body)])).of_row(0, f)}
+        moved = {c[1] - 1 for c in L.Chunks(pa.array(["\n".join(["new", *body])])).of_row(0, f)}
+        assert len(ends & moved) > 0.9 * len(ends)
 
 
 def corpus(seed):
