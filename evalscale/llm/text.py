@@ -7,13 +7,14 @@ code points give the same words.  Nulls behave as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: A slice of a batch is handled at a time, so that a worker's memory follows this and the longest text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U64 = np.uint64
 MULTIPLIER = _U64(0x9E3779B97F4A7C15)
@@ -77,8 +78,35 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_caches: dict[str, Callable[[], None]] = {}
+_user: str | None = None
+
+
+def release() -> None:
+    """Gives freed memory back: worker processes outlive their tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def cache_of(user: str, clear: Callable[[], None]) -> None:
+    """Names what a worker keeps between tasks of one operator; it is dropped when another operator's task comes."""
+    _caches[user] = clear
+
+
+def claim(user: str | None) -> None:
+    global _user
+    if user != _user:
+        for name, clear in _caches.items():
+            if name != user:
+                clear()
+        _user = user
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, user: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts take about `limit` bytes, one row at least."""
+    claim(user)
     if not batch.num_rows:
         return
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
@@ -87,6 +115,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 class Words:
