@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was measured to take no more than this.
 BROADCAST_BYTES = 32 << 20
 LOCAL_SHARED = "/tmp/evalscale-checkpoints"
+#: Rows of an Arrow batch: documents are long, and batches count twice, in the JVM and in the worker.
+BATCH_ROWS = 2_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to `BATCH_ROWS`, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +52,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: computed once, and safe from lost executors."""
     spark = df.sparkSession
+    modest_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -68,11 +77,3 @@ def longs(df: DataFrame, column: str) -> list[int]:
 def crc_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def lower_az(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

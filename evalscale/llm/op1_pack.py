@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalscale.llm.common import cut
-from evalscale.llm.text import slices
+from evalscale.llm.text import cache_of, release, slices
 
 CAPACITY = 2048
 #: A worker forgets all words beyond this many (about 150 MB) and starts anew.
 CACHE_WORDS = 700_000
+#: Words encoded in one call; what the tokenizer returns for a word takes much more memory than its ids.
+ENCODE_WORDS = 2_000
 CLOSING = ".,!?;:*$%&#|()\""
 #: Larger slices than elsewhere, so that more words repeat within one.
 TEXT_BYTES = 6 << 20
@@ -93,8 +95,8 @@ class Encoder:
         if self.known + len(new) > self.limit:
             self._reset()
             new = list({w: 0 for w in chain(rests, ends) if w not in self.cache})
-        if new:
-            self._learn(new)
+        for at in range(0, len(new), ENCODE_WORDS):
+            self._learn(new[at : at + ENCODE_WORDS])
         get = self.cache.__getitem__
         out = np.empty((len(chunks), 2), np.int64)
         out[:, 0] = np.fromiter(map(get, rests), np.int64, len(chunks))
@@ -116,22 +118,25 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int) -> Encoder:
     """One per worker process, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, cache_words)
+
+
+cache_of("encoder", encoder.cache_clear)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, number long"
 
 
-def tokenise(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def tokenise(documents: DataFrame, path: str, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Pieces of every document, each numbered among those of its length in its partition."""
 
     def run(batches):
-        words, pid = encoder(path), TaskContext.get().partitionId()
+        words, pid = encoder(path, cache_words), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", TEXT_BYTES):
+            for part in slices(batch, "text", text_bytes, "encoder"):
                 flat, bounds = words.encode(part.column(1))
                 docs, ids = [], part.column(0).to_pylist()
                 for doc_id, a, b in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -155,6 +160,7 @@ def tokenise(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataF
                     ],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "pid", "number"],
                 )
+                release()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -223,9 +229,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return segments
 
 
-def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: where it starts in its document, its length, checksum, sequence and offset there."""
-    pieces = cut(tokenise(documents, path, capacity), "pack")
+def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """One row per piece: where it starts in its document, its length, checksum, sequence and offset there.
+
+    Fewer remembered words and smaller slices of text take less memory and more time.
+    """
+    pieces = cut(tokenise(documents, path, capacity, cache_words, text_bytes), "pack")
     per = pieces.groupBy("length", "pid").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     segments = sorted(plan(counts, capacity))
