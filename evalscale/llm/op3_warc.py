@@ -38,6 +38,7 @@ from evalscale.llm.common import cut, join_small, scratch
 
 ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 0
+PIECE = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -130,14 +131,16 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """A gzip member's content, and where it ends; Bad if it is damaged or cut off."""
-    z = zlib.decompressobj(31)
+    z, out, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while not z.eof and pos < len(data):  # piece by piece: what follows a member is handed back as a copy
+            out.append(z.decompress(view[pos : pos + PIECE]))
+            pos += PIECE
     except zlib.error as e:
         raise Bad(f"gzip: {e}") from None
     if not z.eof:
         raise Bad("gzip: cut off")
-    return out, len(data) - len(z.unused_data)
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
 
 
 def unit(data: bytes, at: int) -> tuple[list[Record], int]:
