@@ -48,7 +48,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the last of five stages in one session: executors hold what the others left, so it remembers fewer words
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=80_000, text_bytes=1 << 20)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dup", near_dup), ("decontaminate", decontaminate), ("pack", pack)]
