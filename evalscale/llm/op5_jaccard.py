@@ -20,7 +20,8 @@ region.  So regions are found by what near texts must have in common:
     already); the rest is compared.  A region beyond `cap` sets is split by
     several pivots into Voronoi cells, with the sets in the triangle-inequality
     window around a cell's undecided sets copied to it, and cells are joined in
-    turn; one that does not shrink is joined block against block.
+    turn; one that does not shrink is joined block against block.  Only pairs with
+    linked pivots near both are skipped; sets near different pivots are compared.
 
 The links are true links with the components of all links, at most a few per set
 and region.  `component_id` is the smallest doc_id over a component's classes.
@@ -258,13 +259,16 @@ def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.n
     return 100 * both >= percent * (a + b - both)
 
 
-def region_links(names: list[int], sets: list[np.ndarray], asks: np.ndarray, percent: int, pivots: int = PIVOTS) -> list[tuple[int, int]]:
-    """Links that join whatever near sets of the region join; of each pair one set at least must ask."""
+def region_links(names: list[int], sets: list[np.ndarray], asks: np.ndarray, percent: int, pivots: int = PIVOTS, groups: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join whatever near sets of the region join; of each pair one set at least must ask, and sets of one group are joined already."""
     region, forest, out = Region(sets), Forest(), []
     n, m = region.sizes, len(sets)
     reach = 1 - percent / 100 + 1e-9
     distances: list[np.ndarray] = []
     every = np.arange(m)
+    firsts: dict[int, int] = {}
+    for i, group in enumerate(groups or []):
+        forest.join(i, firsts.setdefault(group, i))
 
     def tie(i: int, others: np.ndarray) -> None:
         for j in others.tolist():
@@ -301,23 +305,23 @@ LINKS = "a long, b long"
 
 
 def join_small_regions(rows: DataFrame, percent: int) -> DataFrame:
-    """Joins regions whole; rows (region, fp, asks, tokens), of which a task holds one region at a time."""
+    """Joins regions whole; rows (region, fp, asks, group, tokens), of which a task holds one region at a time."""
 
     def run(batches):
         name, held, out = None, [], []
 
         def close():
             if len(held) > 1 and any(h[1] for h in held):
-                out.extend(region_links([h[0] for h in held], [np.frombuffer(h[2], np.uint64) for h in held], np.array([h[1] for h in held]), percent))
+                out.extend(region_links([h[0] for h in held], [np.frombuffer(h[3], np.uint64) for h in held], np.array([h[1] for h in held]), percent, groups=[h[2] for h in held]))
 
         for batch in batches:
-            data, offsets = buffers(batch.column(3))
+            data, offsets = buffers(batch.column(4))
             bounds = offsets.tolist()
-            for i, (region, fp, asks) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+            for i, (region, fp, asks, group) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
                 if region != name:
                     close()
                     name, held = region, []
-                held.append((fp, asks, data[bounds[i] : bounds[i + 1]].tobytes()))
+                held.append((fp, asks, group, data[bounds[i] : bounds[i + 1]].tobytes()))
             yield links_of(out)
             out = []
             release()
@@ -327,45 +331,97 @@ def join_small_regions(rows: DataFrame, percent: int) -> DataFrame:
     def links_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("region").sortWithinPartitions("region", "fp").select("region", "fp", "asks", "tokens").mapInArrow(run, LINKS)
+    return rows.repartition("region").sortWithinPartitions("region", "fp").select("region", "fp", "asks", "group", "tokens").mapInArrow(run, LINKS)
 
 
-def split(rows: DataFrame, percent: int, pivots: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """Voronoi cells of regions, with boundary copies; and the links found to the pivots."""
+def merged_groups(chains: DataFrame) -> DataFrame:
+    """(region, node, root) of the group names that chains (region, nodes) say are one component; few in each region."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for region, pairs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                forest = Forest()
+                for p in pairs:
+                    forest.join(p["a"], p["b"])
+                out += [(region, x, forest.root(x)) for x in forest.up]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["region", "node", "root"])
+
+    first = F.get("nodes", F.lit(0))
+    pairs = F.transform(F.slice("nodes", F.lit(2), F.size("nodes")), lambda x: F.struct(F.get("nodes", F.lit(0)).alias("a"), x.alias("b")))
+    pairs = chains.where(first.isNotNull()).select("region", F.explode(pairs).alias("pair")).where("pair.a <> pair.b").distinct()
+    return pairs.groupBy("region").agg(F.collect_list("pair").alias("pairs")).mapInArrow(run, "region long, node long, root long")
+
+
+def split(rows: DataFrame, percent: int, pivots: int, level: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Voronoi cells of regions, with boundary copies; the links found to the pivots; and blocks of the regions whose cells save little.
+
+    Pivots are done: they were compared with the whole region.  Sets near a pivot
+    get the name of its group, and groups with a set or pivot in common are one:
+    their members are linked already.  One group of a region stops asking, the
+    largest that has all sets that did not ask; the others ask on, since two sets
+    near different pivots can be the only link between their groups.
+    """
     reach = 1 - percent / 100 + 1e-9
     order = Window.partitionBy("region").orderBy(F.xxhash64("fp", F.lit(level)), "fp")
     chosen = rows.where("asks").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots)
-    packed = chosen.groupBy("region").agg(F.collect_list(F.struct("fp", "tokens")).alias("pivots"))  # at most `pivots` sets
+    packed = chosen.groupBy("region").agg(F.collect_list(F.struct("fp", "group", "tokens")).alias("pivots"))  # at most `pivots` sets
 
     def measure(batches):
         for batch in batches:
-            out = {"region": [], "fp": [], "asks": [], "tokens": [], "d": [], "near": []}
-            for region, fp, asks, tokens, centres in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out = {"region": [], "fp": [], "asks": [], "group": [], "tokens": [], "d": [], "near": [], "nodes": [], "pivot": []}
+            for region, fp, asks, group, tokens, centres in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, d, near = np.frombuffer(tokens, np.uint64), [], []
+                is_pivot = any(c["fp"] == fp for c in centres)
+                nodes = [group] if is_pivot or group != fp else []
                 for c in centres:
                     y = np.frombuffer(c["tokens"], np.uint64)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     d.append(1 - both / (len(x) + len(y) - both))
                     if c["fp"] != fp and 100 * both >= percent * (len(x) + len(y) - both):
                         near.append(c["fp"])
-                is_pivot = any(c["fp"] == fp for c in centres)
-                for key, v in zip(out, (region, fp, asks and not near and not is_pivot, tokens, d, near), strict=True):
+                        nodes.append(c["group"])
+                for key, v in zip(out, (region, fp, asks, group, tokens, d, near, nodes, is_pivot), strict=True):
                     out[key].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    joined = rows.join(packed, "region").select("region", "fp", "asks", "tokens", "pivots")
-    measured = cut(joined.mapInArrow(measure, "region long, fp long, asks boolean, tokens binary, d array<double>, near array<long>"), "cells")
+    joined = rows.join(packed, "region").select("region", "fp", "asks", "group", "tokens", "pivots")
+    kinds = "region long, fp long, asks boolean, group long, tokens binary, d array<double>, near array<long>, nodes array<long>, pivot boolean"
+    measured = cut(joined.mapInArrow(measure, kinds), "cells")
     links = measured.select(F.col("fp").alias("a"), F.explode("near").alias("b"))
+
+    roots = cut(merged_groups(measured.select("region", "nodes")), "groups")
+    named = measured.where("not pivot").withColumn("node", F.coalesce(F.get("nodes", F.lit(0)), "group")).drop("group", "near", "pivot")
+    named = join_small(named, roots, ["region", "node"], "left", 24).withColumn("group", F.coalesce("root", "node"))
+    silent = F.sum((~F.col("asks")).cast("long")).alias("silent")
+    groups = named.where(F.size("nodes") > 0).groupBy("region", "group").agg(silent, F.sum(F.col("asks").cast("long")).alias("asking"))
+    all_silent = named.groupBy("region").agg(silent.alias("all_silent"))
+    quiet = groups.join(all_silent, "region").where("silent = all_silent and asking > 0").groupBy("region").agg(F.max(F.struct("asking", "group")).alias("most"))
+    quiet = cut(quiet.select("region", F.col("most.group").alias("quiet")), "quiet")
+    named = join_small(named, quiet, "region", "left", 16).withColumn("asks", F.col("asks") & ~F.col("group").eqNullSafe(F.col("quiet")))
+    # where all that ask are of one group, they need not see its others
+    asking = F.when(F.col("asks"), F.col("group"))
+    state = named.groupBy("region").agg(F.min(asking).alias("low_ask"), F.max(asking).alias("high_ask"), F.min("group").alias("low_all"), F.max("group").alias("high_all"))
+    state = cut(state.where("low_ask is not null and low_all <> high_all").select("region", "low_ask", "high_ask"), "state")
+    needed = F.col("asks") | (F.col("low_ask") != F.col("high_ask")) | (F.col("group") != F.col("low_ask"))
+    left = join_small(named, state, "region", "inner", 24).where(needed).select("region", "fp", "asks", "group", "tokens", "d")
+
     home = F.array_position("d", F.array_min("d")) - 1
-    ranges = measured.where("asks").select("region", home.cast("int").alias("cell"), F.array_min("d").alias("x")).groupBy("region", "cell").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    ranges = left.where("asks").select("region", home.cast("int").alias("cell"), F.array_min("d").alias("x")).groupBy("region", "cell").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     ranges = ranges.groupBy("region").agg(F.collect_list(F.struct("cell", "low", "high")).alias("cells"))  # at most `pivots`
-    placed = measured.join(ranges, "region").withColumn("home", home.cast("int")).withColumn("c", F.explode("cells"))
+    placed = left.join(ranges, "region").withColumn("home", home.cast("int")).withColumn("c", F.explode("cells"))
     inside = (F.col("c.cell") == F.col("home")) & F.col("asks")
     distance = F.element_at("d", F.col("c.cell") + 1)
     boundary = (distance >= F.col("c.low") - reach) & (distance <= F.col("c.high") + reach)
-    cells = placed.where(inside | boundary).select(F.xxhash64("region", "c.cell", F.lit(level)).alias("region"), "fp", inside.alias("asks"), "tokens")
-    return cells, links
+    placed = placed.where(inside | boundary)
+    count, asked = F.count(F.lit(1)), F.sum(F.col("asks").cast("long"))
+    work = placed.groupBy("region", "c.cell").agg((count * F.sum(inside.cast("long"))).alias("work")).groupBy("region").agg(F.sum("work").alias("work"))
+    whole = left.groupBy("region").agg(count.alias("size"), (count * asked).alias("whole"))
+    stuck = cut(whole.join(work, "region").where("2 * work > whole").select("region", "size"), "stuck")
+    cells = join_small(placed, stuck.select("region"), "region", "left_anti", 8)
+    cells = cells.select(F.xxhash64("region", "c.cell", F.lit(level)).alias("region"), "fp", inside.alias("asks"), "group", "tokens")
+    return cells, links, blocks(left.drop("d"), stuck, cap)
 
 
 def blocks(rows: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
@@ -373,14 +429,14 @@ def blocks(rows: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
     n = F.ceil(F.col("size") / (cap // 2)).cast("int")
     marked = rows.join(sizes, "region").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     unit = lambda i, j: F.xxhash64("region", i, j)
-    askers = marked.where("asks").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("j <> own").select(unit(F.col("own"), F.col("j")).alias("region"), "fp", "asks", "tokens")
+    askers = marked.where("asks").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("j <> own").select(unit(F.col("own"), F.col("j")).alias("region"), "fp", "asks", "group", "tokens")
     others = marked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    others = others.select(unit(F.col("i"), F.col("own")).alias("region"), "fp", (F.col("asks") & (F.col("i") == F.col("own"))).alias("asks"), "tokens")
+    others = others.select(unit(F.col("i"), F.col("own")).alias("region"), "fp", (F.col("asks") & (F.col("i") == F.col("own"))).alias("asks"), "group", "tokens")
     return askers.unionByName(others)
 
 
 def join_regions(rows: DataFrame, percent: int, cap: int = CAP, pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
-    """Links of all regions (region, fp, asks, tokens), splitting those beyond `cap` recursively."""
+    """Links of all regions (region, fp, asks, group, tokens), splitting those beyond `cap` recursively."""
     links: list[DataFrame] = []
     for level in range(depth + 1):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.max("asks").alias("open")).where("open and size > 1")
@@ -393,8 +449,8 @@ def join_regions(rows: DataFrame, percent: int, cap: int = CAP, pivots: int = PI
         if level == depth:
             links.append(join_small_regions(blocks(big, large, cap), percent))
             break
-        cells, found = split(big, percent, pivots, level)
-        links.append(found)
+        cells, found, blocked = split(big, percent, pivots, level, cap)
+        links += [found, join_small_regions(blocked, percent)]
         rows = cut(cells, "regions")
     out = links[0]
     for more in links[1:]:
@@ -429,7 +485,7 @@ def links(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, slack:
     alone = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
     regions = members.join(alone, "region", "left_semi")
     sets = sets_of(docs, able, k)
-    shipped = regions.join(sets, "fp").select("region", "fp", F.lit(True).alias("asks"), "tokens")
+    shipped = regions.join(sets, "fp").select("region", "fp", F.lit(True).alias("asks"), F.col("fp").alias("group"), "tokens")
     if members.groupBy("region").count().where(F.col("count") > cap).isEmpty():
         return join_small_regions(shipped, percent)
     return join_regions(cut(shipped, "shipped"), percent, cap)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from evalscale.llm.graph import components
-from evalscale.llm.op5_jaccard import jaccard_components, region_links
+from evalscale.llm.op5_jaccard import jaccard_components, join_regions, region_links
 
 SCHEMA = "doc_id long, text string, fp string, lang string"
 
@@ -70,6 +70,41 @@ def test_regions_beyond_the_cap_are_split(spark, cap, least):
     assert run(spark, rows, cap=cap, least=least) == brute_force(rows)
 
 
+def hubs(seed, linked=2, size=40, n=200):
+    """Hubs, each linked with the one before and with variants that are linked with it alone."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda k: rng.integers(1 << 40, 1 << 62, k).astype(np.uint64)
+    edited = lambda x, k: np.unique(np.concatenate([rng.permutation(x)[: len(x) - k], fresh(k)]))
+    centres = [np.unique(fresh(n))]
+    while len(centres) < linked:
+        centres.append(edited(centres[-1], n * 7 // 100))
+    sets = centres + [edited(c, n * 10 // 100) for c in centres for _ in range(size)]
+    return [sets[i] for i in rng.permutation(len(sets))]
+
+
+def roots_of(n, pairs):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("seed, linked, depth", [(1, 2, 4), (2, 2, 4), (3, 4, 4), (4, 2, 0)])
+def test_hubs_near_different_pivots_are_compared(spark, seed, linked, depth):
+    sets = hubs(seed, linked)
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if (b := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 80 * (len(sets[i]) + len(sets[j]) - b)}
+    rows = [(7, i, True, i, bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    got = {(r.a, r.b) for r in join_regions(spark.createDataFrame(rows, "region long, fp long, asks boolean, group long, tokens binary"), 80, cap=16, depth=depth).collect()}
+    assert {(max(p), min(p)) for p in got} <= near
+    assert set(roots_of(len(sets), near)) == {0} and roots_of(len(sets), got) == roots_of(len(sets), near)
+
+
 def test_repeated_rows_nulls_and_no_rows(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f"), (7, None), (7, None)]
     assert run(spark, rows) == [(1, 6 - 4, 1), (3, 2, 1), (3, 2, 1), (7, 0, 7), (7, 0, 7)]
