@@ -4,8 +4,11 @@ Every rolling word k-gram of a document that a template has is joined by Spark t
 the template positions with the same hash; document position minus template
 position is the match's diagonal.  Votes are summed by diagonal, diagonals of a
 few words' distance (a word more or less) are merged, and the words of each span
-so found are compared with the template's: the share of template words that they
-hold in order is the span's score.
+so found are compared with the template's: a span's score is the number of
+template words that it holds in order, of the template's and the inserted words.
+A span that has other deciding words than the template (version numbers, nc, sa,
+nd, lesser, affero) is of another license and scores 0.  Of overlapping spans that
+score enough, the best is taken.
 
 Base places are exact: where the words of a phrase stand one after another.
 
@@ -20,6 +23,8 @@ the k-grams that occur in a template (the join's own filter, applied early) are.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect
 from collections import defaultdict
 
 import numpy as np
@@ -50,7 +55,28 @@ TEMPLATES = [
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
+    ("lgpl-2.1", "this work is licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl-3.0", "this work is licensed under the gnu lesser general public license version 3"),
+    ("agpl-3.0", "this work is licensed under the gnu affero general public license version 3"),
+    ("lgpl", "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation"),
+    ("agpl", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("apache-1.1", "licensed under the apache license version 1 1"),
+    ("cc0-1.0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work"),
+    ("cc0-1.0", "this work is licensed under cc0 1 0 universal"),
 ]
+_CC = {"": "", "-sa": " sharealike", "-nd": " noderivatives", "-nc": " noncommercial", "-nc-sa": " noncommercial sharealike", "-nc-nd": " noncommercial noderivatives"}
+for _version, _port in (("4.0", "international"), ("3.0", "unported")):
+    for _short, _long in _CC.items():
+        _own = [f"this work is licensed under a creative commons attribution{_long} {_version} {_port} license", f"licensed under cc by{_short} {_version}"]
+        TEMPLATES += [x for t in _own if (x := (f"cc-by{_short}-{_version}", re.sub("[-.]", " ", t))) not in TEMPLATES]
+
+#: Words that tell a license from its siblings; numbers too, in templates that have any.
+DECIDING = {"lesser", "library", "affero", "sharealike", "noncommercial", "noderivatives"}
+#: Other ways to write them.
+ALIKE = {"sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives", "noderivs": "noderivatives", "v": "version"}
+ALIKE_TWO = {("share", "alike"): "sharealike", ("non", "commercial"): "noncommercial", ("no", "derivatives"): "noderivatives", ("no", "derivs"): "noderivatives"}
 
 SCANNED = (
     "key long, doc_id long, n_words long, places array<struct<start:long,label:string>>, grams array<struct<at:long,hash:long>>, contexts array<struct<start:long,words:array<string>>>"
@@ -133,6 +159,41 @@ def in_order(a: list[str], b: list[str]) -> int:
     return best[-1]
 
 
+def plain(words: list[str]) -> list[str]:
+    """The words with one way of writing for those that decide."""
+    out: list[str] = []
+    for w in words:
+        if out and (out[-1], w) in ALIKE_TWO:
+            out[-1] = ALIKE_TWO[out[-1], w]
+        else:
+            out.append(ALIKE.get(w, w))
+    return out
+
+
+def deciding(words: list[str], numbers: bool) -> list[str]:
+    return [w for w in words if w in DECIDING or numbers and w.isdigit()]
+
+
+def span_score(own: list[str], template: list[str]) -> float:
+    """Template words held in order, of the template's and the inserted words; 0 if the deciding words differ."""
+    own, template = plain(own), plain(template)
+    numbers = any(w.isdigit() for w in template)
+    if deciding(own, numbers) != deciding(template, numbers):
+        return 0.0
+    both = in_order(own, template)
+    return both / (len(template) + len(own) - both)
+
+
+def best_spans(spans: list[dict]) -> list[dict]:
+    """Of overlapping spans the one with the best score, then the longest."""
+    taken: list[tuple[int, int, dict]] = []
+    for s in sorted(spans, key=lambda s: (-s["score"], s["start"] - s["end"], s["start"], s["label"])):
+        i = bisect(taken, s["start"], key=lambda t: t[0])
+        if (i == 0 or taken[i - 1][1] <= s["start"]) and (i == len(taken) or s["end"] <= taken[i][0]):
+            taken.insert(i, (s["start"], s["end"], s))
+    return [s for _, _, s in taken]
+
+
 def vote(scanned: DataFrame, templates: list[tuple[str, str]], k: int, apart: int) -> DataFrame:
     """Spans (key, template, first and past-last word) of merged diagonals, with their votes."""
     spark = scanned.sparkSession
@@ -147,7 +208,7 @@ def vote(scanned: DataFrame, templates: list[tuple[str, str]], k: int, apart: in
 
 
 def verify(spans: DataFrame, scanned: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """Scores each span: template words that it holds in order, of all."""
+    """Scores each span against its template."""
     split = [(label, text.split()) for label, text in templates]
 
     def run(batches):
@@ -156,7 +217,7 @@ def verify(spans: DataFrame, scanned: DataFrame, templates: list[tuple[str, str]
             for r in batch.to_pylist():
                 label, words = split[r["template"]]
                 own = [w for c in r["contexts"] for i, w in enumerate(c["words"], c["start"]) if r["a"] <= i < r["b"]]
-                out.append({"key": r["key"], "label": label, "start": r["a"], "end": r["b"], "score": in_order(own, words) / len(words)})
+                out.append({"key": r["key"], "label": label, "start": r["a"], "end": r["b"], "score": span_score(own, words)})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     around = F.expr("filter(contexts, c -> c.start < b and c.start + size(c.words) > a)")
@@ -169,9 +230,16 @@ def scan_licenses(documents: DataFrame, phrases: dict[str, str] | None = None, t
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     scanned = cut(scan(documents, phrases, templates, k), "licenses")
     spans = verify(vote(scanned, templates, k, apart), scanned, templates)
-    per = spans.groupBy("key").agg(
-        F.max("score").alias("score"), F.collect_set(F.when(F.col("score") >= least, F.col("label"))).alias("own"), F.collect_list(F.when(F.col("score") >= least, F.struct("start", "end", "label", "score"))).alias("spans")
-    )
+    span = "struct<start:long,end:long,label:string,score:double>"
+    listed = F.collect_list(F.when(F.col("score") >= least, F.struct("start", "end", "label", "score")))
+    per = spans.groupBy("key").agg(F.max("score").alias("score"), listed.alias("spans"))
+
+    def choose(batches):
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())]))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([best_spans(x) for x in batch.column(2).to_pylist()], kind)], names=["key", "score", "spans"])
+
+    per = per.mapInArrow(choose, f"key long, score double, spans array<{span}>").withColumn("own", F.array_distinct("spans.label"))
     starts, base = F.col("places.start"), F.array_sort(F.array_distinct(F.col("places.label")))
     return scanned.drop("grams", "contexts").join(per, "key", "left").select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),

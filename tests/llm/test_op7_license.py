@@ -52,6 +52,26 @@ def test_diagonals(spark):
     assert [(s.start, s.end) for s in got[1].spans] == [(40, 40 + len(notice.split()))] and len(got[6].spans) == 2
 
 
+def test_sibling_licenses(spark):
+    cc = "This work is licensed under a Creative Commons Attribution"
+    free = "is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    cases = {
+        f"{cc} 4.0 International License": "cc-by-4.0", f"{cc}-ShareAlike 4.0 International License": "cc-by-sa-4.0", f"{cc}-NonCommercial 4.0 International License": "cc-by-nc-4.0",
+        f"{cc}-NonCommercial-NoDerivatives 4.0 International License": "cc-by-nc-nd-4.0", f"{cc}-Share Alike 3.0 Unported License": "cc-by-sa-3.0", f"{cc} 2.0 Generic License": "",
+        "This work is licensed under the GNU General Public License version 2": "gpl,gpl-2.0", "This work is licensed under the GNU General Public License version 3": "gpl,gpl-3.0",
+        "This work is licensed under the GNU Affero General Public License version 3": "agpl-3.0", "Licensed under the Apache License, Version 1.1": "apache,apache-1.1",
+        "Licensed under the Apache License, Version 2.0": "apache,apache-2.0", "Licensed under the Apache License, Version 7.1": "apache", "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0",
+        f"This program {free.format('')}": "gpl", f"This library {free.format('Lesser ')}": "lgpl", f"This program {free.format('Affero ')}": "agpl", "This work is licensed under CC0 1.0 Universal": "cc0-1.0",
+    }
+    got = run(spark, [(i, f"w1 w2 {t}. w3 w4") for i, t in enumerate(cases)])
+    assert {t: got[i].labels for i, t in enumerate(cases)} == cases
+
+
+def test_inserted_words_are_charged():
+    words = L.TEMPLATES[5][1].split()
+    assert L.span_score(words, words) == 1 and L.span_score([*words[:5], *["x"] * 10, *words[5:]], words) < L.LEAST_SCORE
+
+
 def test_no_documents(spark):
     assert run(spark, []) == {}
 
