@@ -9,7 +9,9 @@ partition, so a task that runs again replaces it with the same bytes.
 Reading: a record is taken only if its member, header, length and block digest
 hold.  After a failed check the reader searches for the next gzip member or
 `WARC/1.` line that does hold, goes on from there, and logs the bytes between as
-a quarantined gap with the reason.
+a quarantined gap with the reason.  Inside a member it does the same with the
+content, also with what a damaged or cut off member still gives (there a record
+needs a block digest); such gaps have the member's place in the archive.
 
 Cases: a null payload is empty; a null URL is written as empty; rows that share
 the smallest page id of a payload are all responses; a row without page id is a
@@ -143,46 +145,119 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(pos, len(data)) - len(z.unused_data)
 
 
-def unit(data: bytes, at: int) -> tuple[list[Record], int]:
-    """What stands at a position: a member with its records, or one plain record."""
-    if data.startswith(b"\x1f\x8b", at):
-        content, end = inflate(data, at)
-        records, pos = [], 0
-        while pos < len(content):
-            record, pos = parse(content, pos)
-            records.append(record)
-        if not records:
-            raise Bad("empty member")
-        return records, end
-    record, end = parse(data, at)
-    return [record], end
+def inflate_some(data: bytes, at: int, size: int | None = None) -> tuple[bytes, int]:
+    """What a damaged member gives up to its damage (or `size` bytes of it), and how far it was read."""
+    z, out, total, pos, step, view = zlib.decompressobj(31), [], 0, at, PIECE, memoryview(data)
+    while not z.eof and pos < len(data) and (size is None or total < size):
+        before = z.copy()
+        try:
+            piece = z.decompress(view[pos : pos + step])
+        except zlib.error:
+            piece = None
+        if step > 1 and (piece is None or size is not None and total + len(piece) >= size):
+            z, step = before, 1
+            continue
+        if piece is None:
+            break
+        out.append(piece)
+        total, pos = total + len(piece), pos + step
+    return b"".join(out), min(pos, len(data))
 
 
-_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_VERSION = re.compile(rb"WARC/1\.")
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All records that hold, in order, and a gap for every run of bytes that belongs to none."""
-    at, n = 0, len(data)
-    while at < n:
+def content_records(content: bytes, sound: bool) -> list[tuple[int, int, Record | str]]:
+    """Records that hold in a member's content, and the reasons of gaps, with their places; without a sound checksum of the member, records need a digest."""
+
+    def holds(at: int) -> tuple[Record, int]:
+        record, end = parse(content, at)
+        if not sound and not record.headers.get("warc-block-digest", "").startswith("sha1:"):
+            raise Bad("no block digest in a damaged member")
+        return record, end
+
+    out, pos, found = [], 0, None
+    while pos < len(content):
         try:
-            records, end = unit(data, at)
+            record, end = found or holds(pos)
+            out.append((pos, end, record))
+            pos, found = end, None
         except Bad as e:
-            reason, start, found = str(e), at, None
-            for m in _NEXT.finditer(data, at + 1):
+            start, pos = pos, len(content)
+            for m in _VERSION.finditer(content, start + 1):
                 try:
-                    found = unit(data, m.start())
+                    found = holds(m.start())
                 except Bad:
                     continue
-                at = m.start()
+                pos = m.start()
                 break
-            if found is None:
-                yield Gap(start, n, reason)
-                return
-            yield Gap(start, at, reason)
-            records, end = found
-        yield from records
-        at = end
+            out.append((start, pos, str(e)))
+    return out
+
+
+def member_records(data: bytes, at: int) -> tuple[list[tuple[int, int, Record | str]], int, str | None]:
+    """What a member's content holds, where the member ends, and how it is damaged, if it is."""
+    try:
+        content, end = inflate(data, at)
+        return content_records(content, True), end, None
+    except Bad as e:
+        content, end = inflate_some(data, at)
+        return content_records(content, False), end, str(e)
+
+
+_MEMBER = re.compile(rb"\x1f\x8b\x08")
+
+
+def unit(data: bytes, at: int) -> tuple[list[Record | Gap], int, str | None]:
+    """What stands at a position: one plain record, or a member's records that hold and gaps; its end, or for a damaged member where to search on and why."""
+    if not data.startswith(b"\x1f\x8b", at):
+        record, end = parse(data, at)
+        return [record], end, None
+    own, end, damage = member_records(data, at)
+    held = [stop for _, stop, x in own if isinstance(x, Record)]
+    lost = next((start for start, _, x in own if not isinstance(x, Record)), None)
+    if damage is not None and held and lost is not None and lost < held[-1]:
+        # past the first gap, the damaged member may have run into the next one
+        for m in _MEMBER.finditer(data, max(at + 1, inflate_some(data, at, lost)[1])):
+            if any(isinstance(x, Record) for _, _, x in member_records(data, m.start())[0]):
+                own, end, damage = member_records(data[: m.start()], at)
+                held = [stop for _, stop, x in own if isinstance(x, Record)]
+                break
+    if not held:
+        raise Bad(damage or next((x for _, _, x in own), "empty member"))
+    reason = None
+    if damage is not None:
+        reason = f"{damage}, after {held[-1]} bytes of content"
+        own = [x for x in own if x[1] <= held[-1]]
+        end = max(at + 1, inflate_some(data, at, held[-1])[1])
+    return [x if isinstance(x, Record) else Gap(at, end, f"{x}: bytes {a} to {b} of the member") for a, b, x in own], end, reason
+
+
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """All records that hold, in order, and a gap for every run of bytes that belongs to none (for a part of a member, with the member's place)."""
+    at, n, found = 0, len(data), None
+    while at < n:
+        start = at
+        try:
+            items, at, reason = found or unit(data, at)
+        except Bad as e:
+            items, at, reason = [], at + 1, str(e)
+        found = None
+        yield from items
+        if reason is None:
+            continue
+        search, at = at, n
+        for m in _NEXT.finditer(data, search):
+            try:
+                found = unit(data, m.start())
+            except Bad:
+                continue
+            at = m.start()
+            break
+        yield Gap(start, at, reason)
 
 
 WRITTEN = "path string, records long, bytes long"

@@ -33,6 +33,28 @@ def test_salvage_after_damage(gz):
     assert found(b"") == ([], []) and found(b"nothing here") == ([], [(0, 12)])
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_members(level):
+    rng = random.Random(2)
+    parts = [record(i, bytes(rng.randrange(256) for _ in range(30_000))) for i in range(5)]
+    whole = W.member(b"".join(parts), level)
+    assert found(whole) == ([0, 1, 2, 3, 4], [])
+    bad = bytearray(parts[2])
+    bad[-100] ^= 0x55
+    wrong = W.member(b"".join([*parts[:2], bytes(bad), *parts[3:]]), level)
+    gaps = [(0, len(wrong))]
+    assert found(wrong) == ([0, 1, 3, 4], gaps)
+    assert found(wrong + whole) == ([0, 1, 3, 4, 0, 1, 2, 3, 4], gaps)
+    cut = whole[: len(whole) * 7 // 10]
+    assert found(cut) == ([0, 1, 2], [(0, len(cut))])
+    assert found(b"junk" + cut + wrong) == ([0, 1, 2, 0, 1, 3, 4], [(0, 4), (4, 4 + len(cut)), (4 + len(cut), 4 + len(cut) + len(wrong))])
+    for spoilt in (whole[:-8] + bytes(4) + whole[-4:], whole[:-4] + bytes(4)):
+        assert found(spoilt) == ([0, 1, 2, 3, 4], [(0, len(spoilt))])
+    unsigned = W.member(b"".join(x.replace(b"WARC-Block-Digest: sha1:", b"X-Other: ") for x in parts), level)
+    assert found(unsigned) == ([0, 1, 2, 3, 4], [])
+    assert level == 0 or found(unsigned[:-4] + bytes(4))[0] == []  # stored bytes are plain records too
+
+
 def test_checks_of_a_record():
     good = record(1)
     for bad, reason in (
