@@ -48,6 +48,8 @@ class Encoder:
     No token spans white space, so texts are cut there.  Closing ASCII punctuation
     after a letter or digit is a token run of its own, and the tokenizer folds case,
     so what is looked up is the lower-cased rest and the punctuation, each encoded once.
+    Added tokens are found before case is folded, so a word keeps its case if folding
+    would make one of them.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -56,6 +58,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache_words
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
         self._reset()
 
     def _reset(self) -> None:
@@ -89,7 +92,10 @@ class Encoder:
                 end = c[len(rest) :]
             else:
                 rest, end = c, ""
-            rests.append(rest.lower() if rest.isascii() or max(rest) < "\u0130" else rest)
+            low = rest.lower() if rest.isascii() or max(rest) < "\u0130" else rest
+            if low != rest and any(t in low and low.count(t) != rest.count(t) for t in self.added):
+                low = rest
+            rests.append(low)
             ends.append(end)
         new = list({w: 0 for w in chain(rests, ends) if w not in self.cache})
         if self.known + len(new) > self.limit:

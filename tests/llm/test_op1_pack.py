@@ -57,6 +57,17 @@ def test_tree_finds_the_least_from_a_value_on():
 TEXTS = ["", "  ", None, "a<|startoftext|>b <|endoftext|> I'm don't  é é  x y 12 ABC İΣ ΑΣ", "\x1c\x1d a\x85b", "Hello, World!! it's (fine).", "'s... a'b. ₂x² 漢字。", "İ. ſ, ﬁ! ¹;"]
 
 
+CONTROLS = ["<|ENDOFTEXT|>", "a<|EndOfText|>b <|StartOfText|>.", "<|endoftext|><|ENDOFTEXT|> <|endoftext|>ABC", "É<|ENDOFTEXT|>É, <|ENDOFTEXT|", "<|endoftext|> <|ENDOFTEXT|>"]
+
+
+@pytest.mark.parametrize("limit", [4, 1000])
+def test_added_tokens_in_other_case_are_ordinary_text(limit):
+    e = Encoder(PATH, limit)
+    flat, bounds = e.encode(pa.array(CONTROLS))
+    for i, t in enumerate(CONTROLS):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("limit", [4, 1000])
 def test_encoder_equals_the_tokenizer(limit):
     e = Encoder(PATH, limit)
