@@ -5,7 +5,8 @@ signs, digits, cell bars, repeated words, closing marks, words seen before) and
 the same of the lines before and after it; neighbouring labels are tied by
 transition weights.  The field is trained by gradient ascent on the likelihood of
 line labels taken from their document's label, over a sample of at most `rows`
-labelled documents, then once more with the lines that the first field finds good
+labelled documents (in hash order up to `lines` lines, whatever their lengths; while
+it is fitted, a text is several chains of at most `chain` lines), then once more with the lines that the first field finds good
 in bad documents left to it.  A document's score is the share of its text, by
 length, that the forward-backward marginals call good, through a logistic scale
 fitted on the training documents.
@@ -30,6 +31,8 @@ from evalscale.llm.op10_lines import Chunks
 from evalscale.llm.text import SPACED, Words, slices
 
 STEPS, RATE, RIDGE = 120, 0.12, 1e-3
+#: Lines that the field is fitted on, at most (the driver holds their features, about 1 KB each), and those of one chain.
+LINES, CHAIN = 200_000, 400
 SIGNS = b"#$%&*+<=>@[\\]^_`{}~"
 
 
@@ -162,8 +165,11 @@ def logit(p: np.ndarray) -> np.ndarray:
 
 def fit_lines(field: Field, x: np.ndarray, first: np.ndarray, y: np.ndarray, known: np.ndarray, weight: np.ndarray, steps: int = STEPS) -> None:
     """Adam on the likelihood of line labels y where known; the other lines are summed over (their label is free)."""
-    z = np.clip((x - field.mean) / field.scale, -6, 6)
-    z = np.concatenate([z, np.ones((len(z), 1))], 1)
+    z = np.ones((len(x), x.shape[1] + 1))
+    own = z[:, :-1]
+    np.subtract(x, field.mean, out=own)
+    np.divide(own, field.scale, out=own)
+    np.clip(own, -6, 6, out=own)
     clamp = np.zeros((len(z), 2))
     clamp[known, 1 - y[known].astype(int)] = -30.0
     theta = np.concatenate([field.weights, field.pair.ravel()])
@@ -180,20 +186,45 @@ def fit_lines(field: Field, x: np.ndarray, first: np.ndarray, y: np.ndarray, kno
     field.weights, field.pair = theta[:-4], theta[-4:].reshape(2, 2)
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS) -> Field:
-    sample = labelled_sample(documents, labels, label, keep, rows)
+def within(sample: DataFrame, rows: int, lines: int) -> DataFrame:
+    """The sample's first rows in hash order, whatever their lengths, up to `lines` lines in all; `most` are those that a row may give."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = sample.select(order[0].alias("h"), "doc_id", n_lines.alias("n")).orderBy("h", "doc_id", "n").limit(rows).collect()
+    used, last = 0, None
+    for k, r in enumerate(sizes, 1):
+        last, left, used = r, lines - used, used + r.n
+        if used >= lines:
+            break
+    if last is None:
+        return sample.withColumn("most", F.lit(lines).cast("long"))
+    same = sum(r.doc_id == last.doc_id for r in sizes[:k])
+    before = sample.where((order[0] < last.h) | (order[0] == last.h) & (F.col("doc_id") < last.doc_id)).withColumn("most", F.lit(lines).cast("long"))
+    final = sample.where((order[0] == last.h) & (F.col("doc_id") == last.doc_id)).orderBy(n_lines).limit(same)
+    return before.unionByName(final.withColumn("most", F.lit(left).cast("long")))
+
+
+def chains(first: np.ndarray, most: int) -> np.ndarray:
+    """The same bounds with texts of more than `most` lines cut into several chains."""
+    return np.unique(np.concatenate([first, *(np.arange(a, b, most) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) if b - a > most)]))
+
+
+def train(documents: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS, lines: int = LINES, chain: int = CHAIN) -> Field:
+    """A field fitted on at most `rows` labelled documents and `lines` lines of them, in chains of at most `chain` lines."""
+    sample = within(labelled_sample(documents, labels, label, keep, rows).select("doc_id", "text", "label"), rows, lines)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                lines = Lines(part.column(1))
-                own = [lines.x[a:b].astype(np.float32).tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
-                size = [lines.length[a:b].astype(np.float32).tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
+                found = Lines(part.column(1))
+                bounds = [(a, min(b, a + most)) for a, b, most in zip(found.first[:-1], found.first[1:], part.column(3).to_pylist(), strict=True)]
+                own = [found.x[a:b].astype(np.float32).tobytes() for a, b in bounds]
+                size = [found.length[a:b].astype(np.float32).tobytes() for a, b in bounds]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary()), pa.array(size, pa.binary())], names=["doc_id", "label", "x", "size"])
 
-    # features of at most `rows` documents, of the sample's own line limit: what is sent to the driver is bounded
-    seen = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary, size binary")
-    held = seen.where(F.length("size") <= 4 * 400).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 4).collect()
+    # features of at most `lines` lines: what is sent to the driver is bounded
+    held = sample.select("doc_id", "text", "label", "most").mapInArrow(run, "doc_id long, label int, x binary, size binary").collect()
+    held.sort(key=lambda r: (r.doc_id, len(r.size)))
     y = np.array([r.label for r in held], float)
     prior = float((y.sum() + 1) / (len(y) + 2))
     if len(set(y.tolist())) < 2:
@@ -201,17 +232,19 @@ def train(documents: DataFrame, labels: DataFrame, label: str, keep: Column, row
     sizes = [np.frombuffer(r.size, np.float32).astype(float) for r in held]
     first = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
     length = np.concatenate(sizes)
-    x = np.concatenate([np.frombuffer(r.x, np.float32) for r in held]).astype(float).reshape(len(length), -1)
-    field = Field(x.mean(0), x.std(0) + 1e-6, np.zeros(x.shape[1] + 1), np.zeros((2, 2)), (1.0, 0.0), prior)
+    x = np.concatenate([np.frombuffer(r.x, np.float32) for r in held]).reshape(len(length), -1)
+    del held
+    field = Field(x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6, np.zeros(x.shape[1] + 1), np.zeros((2, 2)), (1.0, 0.0), prior)
     line_y = np.repeat(y, np.diff(first))
     share = np.array([y.mean(), 1 - y.mean()])
     weight = np.log1p(length) * np.where(line_y == 1, 0.5 / share[0], 0.5 / share[1])
     everything = np.ones(len(x), bool)
-    fit_lines(field, x, first, line_y, everything, weight)
+    linked = chains(first, chain)
+    fit_lines(field, x, linked, line_y, everything, weight)
     marginal, _ = forward_backward(field.unary(x), field.pair, first)
     worst = np.minimum.reduceat(marginal[:, 1], first[:-1])
     doubtful = (line_y == 0) & (marginal[:, 1] > 0.8) & (np.repeat(worst, np.diff(first)) < 0.5)
-    fit_lines(field, x, first, line_y, ~doubtful, weight, STEPS // 2)
+    fit_lines(field, x, linked, line_y, ~doubtful, weight, STEPS // 2)
     raw = document_scores(field, x, first, length)
     field.logistic = platt(logit(raw), y)
     return field

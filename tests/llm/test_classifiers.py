@@ -98,6 +98,25 @@ def test_one_class_no_labels_no_documents(spark, tables, module):
     assert module.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_quality_is_fitted_on_long_documents(spark):
+    docs = [(i, "\n".join(["A line of plain words."] * 500 if i % 2 else ["AAA $$$ AAA!!"] * 500), "c") for i in range(12)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    field = op8_quality.train(docs, labels, "quality", F.lit(True))
+    assert field.fitted and field.prior == 7 / 14
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in op8_quality.score_documents(docs, field).collect())
+
+
+def test_lines_of_the_sample_are_bounded_in_hash_order(spark):
+    sample = spark.createDataFrame([(i, "x\n" * (i * i), i % 2) for i in range(20)], "doc_id long, text string, label int")
+    order = [r.doc_id for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for rows, lines in ((20, 10**6), (7, 10**6), (20, 300), (20, 1)):
+        got = {r.doc_id: min(r.most, r.doc_id**2 + 1) for r in op8_quality.within(sample, rows, lines).collect()}
+        assert set(got) == set(order[: len(got)]) and sum(got.values()) <= lines
+        assert len(got) == rows or sum(got.values()) == lines
+    assert op8_quality.within(sample.limit(0), 5, 5).count() == 0
+    assert op8_quality.chains(np.array([0, 3, 10, 12]), 3).tolist() == [0, 3, 6, 9, 10, 12]
+
+
 def test_toxicity_signs():
     lexicon = op2_toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 1)
     texts = ["you idiot", "some idiot far away from any of those who might be meant by you", "1d1ot", "i d i o t", "id*ot", "FINE DAY!!", "", None]
