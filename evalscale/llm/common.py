@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,16 +11,20 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was measured to take no more than this.
 BROADCAST_BYTES = 32 << 20
+#: Where tables go in tests, when all of Spark runs in one process and no folder is set.
 LOCAL_SHARED = "/tmp/evalscale-checkpoints"
-#: Rows of an Arrow batch: documents are long, and batches count twice, in the JVM and in the worker.
-BATCH_ROWS = 2_000
+#: Bytes of an Arrow batch, about: documents are long, and batches count twice, in the JVM and in the worker.
+BATCH_BYTES = 8 << 20
+#: Columns that know a row by its id and text, 128 bits in all.
+ROW_KEY = ["key", "key2"]
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to `BATCH_ROWS`, if they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's Arrow batches to `BATCH_BYTES`, if they are larger.  Plans read this when they run, so it stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set (tests)."""
+    """The folder that the cluster names for checkpoints; one of our own only where none is set and no cluster is (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them and the driver share")
     return (found or f"file://{LOCAL_SHARED}").rstrip("/")
 
 
@@ -69,6 +76,17 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int,
     return left.join(F.broadcast(right) if small(right, row_bytes, limit) else right, on, how)
 
 
+def join_measured(left: DataFrame, right: DataFrame, on, how: str, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """As `join_small`, for a (written) right side whose rows differ in size: their bytes are summed."""
+    fits = (right.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= limit
+    return left.join(F.broadcast(right) if fits else right, on, how)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Two hashes of a row's id and text, seeded differently."""
+    return [F.xxhash64(doc_id, text).alias(ROW_KEY[0]), F.xxhash64(F.lit(1), text, doc_id).alias(ROW_KEY[1])]
+
+
 def longs(df: DataFrame, column: str) -> list[int]:
     """A column of a table whose size was checked before."""
     return [x[0] for x in df.select(column).collect()]

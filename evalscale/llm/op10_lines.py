@@ -4,47 +4,58 @@ A rolling hash over the hashes of neighbouring lines chooses where chunks end, s
 an inserted line moves ends only next to it.  A text is chunked twice: one family
 ends where the hash is even, the other where it is odd, so that a passage of few
 lines is more likely to hold a whole chunk of one of them.  Chunks of two lines or
-more whose hash occurs again in their family are candidates; only their bytes are
-gathered, and the groups of equal hash and digest are kept if all their bytes are
-equal.  Of each group the first occurrence (smallest doc_id, then place) stays, and
-the lines of the others go.  What goes has an earlier copy, and so on to the first.
-
-Cases: a null text stays null and has no lines; an empty one has no chunks; the
-last chunk of a text may be a single line, which is never removed; rows equal in
+more whose hash occurs again are candidates; only their bytes are gathered, and the
+groups of equal hash and digest are kept if all their bytes are equal.  Of each
+group the first occurrence (smallest doc_id, then place) stays, and the lines of
+the others go.
+
+A repeated passage seldom begins and ends where chunks do.  What chunks leave of
+one, and passages too short to hold a chunk, are found by the hash's windows: the
+shortest runs of two lines or more and `MIN_BYTES` bytes that begin, or end, at each
+line and lie in no chunk that goes.  They are counted, compared and removed like
+chunks.  Together that is exact: a line goes if, and only if, it is in a run of two
+lines or more and `MIN_BYTES` or more bytes that occurs earlier too.  What goes has
+an earlier copy, and so on to the first, which stays.
+
+Cases: a null text stays null and has no lines; an empty one has no chunks; a lone
+line is never removed, nor is a run of fewer than `MIN_BYTES` bytes; rows equal in
 id and text are one document; a null doc_id comes last; all columns of the input
 are kept, whatever their names; an empty table gives no rows.
 
-Scale: hashes of chunks are shuffled once, bytes only of repeated ones.  Lists of
-hashes and of removals are broadcast only if measured small; else they are joined
-by shuffles that split skewed keys.
+Scale: a row is known by 128 bits of hash.  Hashes of chunks and of windows are
+shuffled once each, bytes only of repeated ones.  Lists of hashes and of removals
+are broadcast only if measured small; else they are joined by shuffles that split
+skewed keys.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import BROADCAST_BYTES, cut, join_small, longs, small
-from evalscale.llm.text import Lookup, buffers, grams, hash_spans, mix, slices
+from evalscale.llm.common import BROADCAST_BYTES, ROW_KEY, cut, join_measured, longs, row_key, small
+from evalscale.llm.text import Lookup, buffers, grams, hash_spans, slices
 
 WINDOW = 2
 MIN_LINES, MAX_LINES = 2, 16
 MIN_BYTES = 32
 #: A family's chunks end where the rolling hash modulo this is the family's number.
 FAMILIES = 2
+#: A span's place is its first line and, in the last bits, its number of lines.
+COUNT_BITS = 24
 
 
-class Chunks:
-    """Lines and chunks of a column's texts: byte spans, and for each row its chunks as line ranges."""
+class Lines:
+    """Lines of a column's texts as byte spans; an empty text has none."""
 
-    def __init__(self, column: pa.Array, window: int = WINDOW):
+    def __init__(self, column: pa.Array):
         self.raw, self.offsets = buffers(column)
         ends = np.flatnonzero(self.raw == 10)
-        full = np.flatnonzero(np.diff(self.offsets) > 0)  # an empty text has no lines
+        full = np.flatnonzero(np.diff(self.offsets) > 0)
         starts = np.concatenate([self.offsets[full], ends + 1])
         stops = np.concatenate([ends, self.offsets[full + 1]])
         starts.sort(kind="stable")
@@ -55,6 +66,25 @@ class Chunks:
         self.n_lines = np.bincount(row_of, minlength=len(self.offsets) - 1)
         self.n_lines[full] += 1
         self.first = np.concatenate([[0], np.cumsum(self.n_lines)])
+
+    @property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n_lines)), self.n_lines)
+
+    def span(self, first: int, end: int) -> tuple[int, int]:
+        """Bytes of the lines from `first` up to `end`, counted over the column."""
+        return int(self.starts[first]), int(self.stops[end - 1])
+
+    def places(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Places in their texts of spans of n lines."""
+        return first - self.first[self.rows[first]] << COUNT_BITS | n
+
+
+class Chunks(Lines):
+    """Lines with the ends of their content-defined chunks."""
+
+    def __init__(self, column: pa.Array, window: int = WINDOW):
+        super().__init__(column)
         hashes = hash_spans(self.raw, self.starts, self.stops, lower=False)
         rolled = grams(hashes, window)
         self.marks = np.full(len(hashes), -1)
@@ -73,124 +103,136 @@ class Chunks:
             out.append((at, b))
         return out
 
-    def span(self, chunk: tuple[int, int]) -> tuple[int, int]:
-        return int(self.starts[chunk[0]]), int(self.stops[chunk[1] - 1])
-
-    def numbered(self, row: int) -> list[tuple[int, tuple[int, int]]]:
-        """All chunks of a row with their places: order of lines, and the family as the remainder."""
-        return [(i * FAMILIES + f, c) for f in range(FAMILIES) for i, c in enumerate(self.of_row(row, f))]
-
-    def all_chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, place, start and end of every chunk that may be removed."""
-        rows, places, starts, ends = [], [], [], []
-        for row in np.flatnonzero(self.n_lines >= MIN_LINES).tolist():
-            for place, chunk in self.numbered(row):
-                a, b = self.span(chunk)
-                if chunk[1] - chunk[0] >= MIN_LINES and b - a >= MIN_BYTES:
-                    rows.append(row)
-                    places.append(place)
-                    starts.append(a)
-                    ends.append(b)
-        return tuple(np.array(x, np.int64) for x in (rows, places, starts, ends))
-
-    def hashes_of(self, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Chunk hashes; those of different families differ."""
-        out = np.empty(len(place), np.uint64)
-        for f in range(FAMILIES):  # a family's chunks follow each other; those of different families overlap
-            own = place % FAMILIES == f
-            out[own] = mix(hash_spans(self.raw, a[own], b[own], lower=False) + np.uint64(f))
-        return out
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-last line of every chunk of either family that may be removed, once each, in order."""
+        found = sorted({c for row in np.flatnonzero(self.n_lines >= MIN_LINES).tolist() for f in range(FAMILIES) for c in self.of_row(row, f)})
+        return self.large(np.array(found, np.int64).reshape(-1, 2))
+
+    def large(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, end = found[:, 0], found[:, 1]
+        keep = (end - first >= MIN_LINES) & (self.stops[end - 1] - self.starts[first] >= MIN_BYTES)
+        return first[keep], end[keep]
+
+
+def windows(lines: Lines, gone: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last line of the windows that lie in no span that goes (places of each row), once each, in order."""
+    n = len(lines.starts)
+    at, rows = np.arange(n), lines.rows
+    ahead = np.maximum(at + MIN_LINES, np.searchsorted(lines.stops, lines.starts + MIN_BYTES) + 1)
+    back = np.minimum(at + 1 - MIN_LINES, np.searchsorted(lines.starts, lines.stops - MIN_BYTES, side="right") - 1)
+    ahead_in, back_in = ahead <= lines.first[1:][rows], back >= lines.first[:-1][rows]
+    found = np.concatenate([np.stack([at, ahead], 1)[ahead_in], np.stack([back, at + 1], 1)[back_in]])
+    found = np.unique(found, axis=0)
+    # the furthest end of the spans that go and begin at a line or before it
+    values, counts = gone.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(gone.value_lengths().fill_null(0)).astype(np.int64)
+    first = np.repeat(lines.first[:-1], counts) + (values >> COUNT_BITS)
+    reach = np.zeros(n, np.int64)
+    np.maximum.at(reach, first, first + (values & (1 << COUNT_BITS) - 1))
+    reach = np.maximum.accumulate(reach)
+    found = found[found[:, 1] > reach[found[:, 0]]]
+    return found[:, 0], found[:, 1]
+
 
+def chunk_spans(part: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
+    chunks = Chunks(part.column(0))
+    return chunks, *chunks.spans()
 
-def chunk_hashes(rows: DataFrame) -> DataFrame:
+
+def window_spans(part: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
+    lines = Lines(part.column(0))
+    return lines, *windows(lines, part.column(part.num_columns - 1))
+
+
+Spans = Callable[[pa.RecordBatch], tuple[Lines, np.ndarray, np.ndarray]]
+
+
+def span_hashes(rows: DataFrame, spans: Spans) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                chunks = Chunks(part.column(1))
-                row, place, a, b = chunks.all_chunks()
-                h = chunks.hashes_of(place, a, b).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(h)], names=["key", "place", "hash"])
+                lines, first, end = spans(part)
+                h = hash_spans(lines.raw, lines.starts[first], lines.stops[end - 1], lower=False)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["hash"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, place int, hash long")
+    return rows.select("text", *[c for c in rows.columns if c == "gone"]).mapInArrow(run, "hash long")
 
 
-def chunk_bytes(rows: DataFrame, wanted: Lookup | None) -> DataFrame:
-    """Bytes of the chunks whose hash is wanted (all, if None)."""
+def span_bytes(rows: DataFrame, spans: Spans, wanted: Lookup | None) -> DataFrame:
+    """Bytes of the spans whose hash is wanted (all, if None)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                chunks = Chunks(part.column(1))
-                row, place, a, b = chunks.all_chunks()
-                h = chunks.hashes_of(place, a, b)
+                lines, first, end = spans(part)
+                a, b = lines.starts[first], lines.stops[end - 1]
+                h = hash_spans(lines.raw, a, b, lower=False)
                 at = np.arange(len(h)) if wanted is None else wanted.find(h)[0]
-                data = chunks.raw.tobytes()
-                own = [data[i:j] for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row[at])), part.column(2).take(pa.array(row[at])), pa.array(place[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(own, pa.binary())],
-                    names=["key", "id", "place", "hash", "bytes"],
-                )
+                row, place = pa.array(lines.rows[first[at]]), lines.places(first[at], (end - first)[at])
+                own = [lines.raw[i:j].tobytes() for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(row) for i in (1, 2, 3)], pa.array(place), pa.array(h[at].view(np.int64)), pa.array(own, pa.binary())], names=["key", "key2", "id", "place", "hash", "bytes"])
 
-    return rows.select("key", "text", "id").mapInArrow(run, "key long, id long, place int, hash long, bytes binary")
+    return rows.select("text", "key", "key2", "id", *[c for c in rows.columns if c == "gone"]).mapInArrow(run, "key long, key2 long, id long, place long, hash long, bytes binary")
 
 
-def removals(rows: DataFrame) -> DataFrame:
-    """Places of the chunks to remove, per row key."""
-    hashes = chunk_hashes(rows)
-    repeated = cut(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "lines")
-    if small(repeated, 8, BROADCAST_BYTES):
-        wanted = Lookup(np.array(longs(repeated, "hash"), np.int64).view(np.uint64))
-        found = chunk_bytes(rows, wanted)
+def repeated(rows: DataFrame, spans: Spans, name: str) -> DataFrame:
+    """Places of the spans that have an earlier copy, per row key."""
+    again = cut(span_hashes(rows, spans).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), name)
+    if small(again, 8, BROADCAST_BYTES):
+        found = span_bytes(rows, spans, Lookup(np.array(longs(again, "hash"), np.int64).view(np.uint64)))
     else:
-        found = chunk_bytes(rows, None).join(repeated, "hash", "left_semi")
-    found = cut(found.withColumn("digest", F.sha2("bytes", 256)), "line-bytes")
-    groups = found.groupBy("hash", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "place")).alias("first"), F.min("bytes").alias("least"), F.max("bytes").alias("most")
-    )
+        found = span_bytes(rows, spans, None).join(again, "hash", "left_semi")
+    found = cut(found.withColumn("digest", F.sha2("bytes", 256)), f"{name}-bytes")
+    at = F.struct("id", *ROW_KEY, "place")
+    groups = found.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.min("bytes").alias("least"), F.max("bytes").alias("most"))
     groups = groups.where("n > 1 and least = most").select("hash", "digest", "first")
-    again = found.select("id", "key", "place", "hash", "digest").join(groups, ["hash", "digest"]).where(F.struct("id", "key", "place") != F.col("first"))
-    return cut(again.groupBy("key").agg(F.collect_set("place").alias("places")), "line-removals")
+    later = found.drop("bytes").join(groups, ["hash", "digest"]).where(at != F.col("first"))
+    return cut(later.groupBy(*ROW_KEY).agg(F.collect_set("place").alias("places")), f"{name}-places")
+
+
+def with_places(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    return join_measured(rows, places.withColumnRenamed("places", name), ROW_KEY, "left", 48 + 8 * F.size(name))
+
+
+def removals(rows: DataFrame) -> DataFrame:
+    """The rows with the places of their spans to remove: `gone` (chunks) and `more` (windows), null if there are none."""
+    marked = with_places(rows, repeated(rows, chunk_spans, "lines"), "gone")
+    return with_places(marked, repeated(marked, window_spans, "windows"), "more")
 
 
 def dedup_lines(documents: DataFrame, stats: str = "line_dedup") -> DataFrame:
-    """The documents with `text` rid of repeated chunks; counts in a struct column `stats` (of a name still free)."""
+    """The documents with `text` rid of repeated lines; counts in a struct column `stats` (of a name still free)."""
     if stats in documents.columns:
         raise ValueError(f"the documents have a column {stats!r} already")
-    key = F.xxhash64("doc_id", "text")
-    rows = documents.select(key.alias("key"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
-    places = removals(rows)
-    counts = "struct<n_lines:long,n_chunks:long,removed_chunks:long,removed_lines:long,removed_bytes:long>"
     rest = [c for c in documents.columns if c != "text"]
     inside = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
-    marked = join_small(documents.select(key.alias("key"), F.col("text"), inside.alias("rest")), places, "key", "left", 100)
+    rows = documents.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), inside.alias("rest"), *row_key())
+    marked = removals(rows)
     struct = marked.schema["rest"].dataType.simpleString()
+    names = ("n_lines", "removed_chunks", "removed_windows", "removed_lines", "removed_bytes")
 
     def run(batches):
-        names = ("n_lines", "n_chunks", "removed_chunks", "removed_lines", "removed_bytes")
         kind = pa.struct([(n, pa.int64()) for n in names])
         for batch in batches:
             for part in slices(batch, "text"):
-                text = part.column(0)
-                chunks = Chunks(text)
-                places_of = part.column(2).to_pylist()
-                texts = text.to_pylist()
-                data = chunks.raw.tobytes()
-                stats = []
+                text, gone, more = part.column(0), part.column(2).to_pylist(), part.column(3).to_pylist()
+                lines = Lines(text)
+                texts, counts = text.to_pylist(), np.zeros((len(names), part.num_rows), np.int64)
+                counts[0] = lines.n_lines
                 for row in range(part.num_rows):
-                    own = chunks.numbered(row)
-                    gone = set(places_of[row] or ())
-                    lines: set[int] = set()
-                    for place, chunk in own if gone else ():
-                        if place in gone:
-                            lines.update(range(*chunk))
-                    if lines:
-                        every = range(int(chunks.first[row]), int(chunks.first[row + 1]))
-                        texts[row] = b"\n".join(data[slice(*chunks.span((i, i + 1)))] for i in every if i not in lines).decode()
-                    lost = sum(int(chunks.stops[i] - chunks.starts[i]) for i in lines)
-                    stats.append({"n_lines": int(chunks.n_lines[row]), "n_chunks": len(own), "removed_chunks": len(gone), "removed_lines": len(lines), "removed_bytes": lost})
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(1), pa.array(stats, kind)], names=["text", "rest", "line_dedup"])
-
-    done = marked.select("text", "rest", "places").mapInArrow(run, f"text string, rest {struct}, line_dedup {counts}")
+                    if not gone[row] and not more[row]:
+                        continue
+                    a, b = int(lines.first[row]), int(lines.first[row + 1])
+                    go = np.zeros(b - a, bool)
+                    for place in [*(gone[row] or ()), *(more[row] or ())]:
+                        first = place >> COUNT_BITS
+                        go[first : first + (place & (1 << COUNT_BITS) - 1)] = True
+                    texts[row] = b"\n".join(lines.raw[slice(*lines.span(i, i + 1))].tobytes() for i in (a + np.flatnonzero(~go)).tolist()).decode()
+                    counts[1:, row] = len(gone[row] or ()), len(more[row] or ()), go.sum(), (lines.stops[a:b] - lines.starts[a:b])[go].sum()
+                stats = pa.StructArray.from_arrays([pa.array(c) for c in counts], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(1), stats], names=["text", "rest", "line_dedup"])
+
+    counted = ", ".join(f"{n}:long" for n in names)
+    done = marked.select("text", "rest", "gone", "more").mapInArrow(run, f"text string, rest {struct}, line_dedup struct<{counted.replace(' ', '')}>")
     columns = [F.col("text") if c == "text" else F.col(f"rest.c{rest.index(c)}").alias(c) for c in documents.columns]
     return done.select(*columns, F.col("line_dedup").alias(stats))
 
@@ -199,20 +241,3 @@ def report(documents: DataFrame) -> DataFrame:
     """Digest columns of the result, per document."""
     done = dedup_lines(documents.select("doc_id", "text"))
     return done.select("doc_id", "line_dedup.*", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-def brute_force(rows: list[tuple[int, str]]) -> dict[int, str]:
-    """The kept texts by definition, for tests on small inputs."""
-    out, seen = {}, set()
-    for doc_id, text in sorted(rows):
-        chunks = Chunks(pa.array([text]))
-        data, gone = chunks.raw.tobytes(), set()
-        for place, chunk in chunks.numbered(0):
-            a, b = chunks.span(chunk)
-            name = place % FAMILIES, hashlib.sha256(data[a:b]).digest()
-            if chunk[1] - chunk[0] >= MIN_LINES and b - a >= MIN_BYTES:
-                if name in seen:
-                    gone.update(range(*chunk))
-                seen.add(name)
-        out[doc_id] = b"\n".join(data[slice(*chunks.span((i, i + 1)))] for i in range(int(chunks.n_lines[0])) if i not in gone).decode()
-    return out

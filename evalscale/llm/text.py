@@ -149,13 +149,14 @@ class Words:
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte spans, A-Z read as a-z if `lower`; block by block, for bounded memory."""
+    """64-bit hashes of the byte spans (by start; they may overlap), A-Z read as a-z if `lower`; block by block, for bounded memory."""
     out, at = np.empty(len(starts), _U64), 0
+    reach = np.maximum.accumulate(ends)
     table = _BYTE_HASH_LOWER if lower else _BYTE_HASH
     while at < len(starts):
         base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
-        size = int(ends[to - 1] - base)
+        to = max(at + 1, int(np.searchsorted(reach, base + SLICE_BYTES, side="right")))
+        size = int(reach[to - 1] - base)
         up, down = _power(size + 1)
         total = np.zeros(size + 1, _U64)
         np.cumsum(table[raw[base : base + size]] * up[:size], out=total[1:])
