@@ -13,11 +13,15 @@ SAMPLE_ROWS = 12_000
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled documents; of contradicting labels the larger counts."""
+    """(doc_id, text, label), one row per doc_id, of the first `rows` labelled ids in hash order.
+
+    Of contradicting labels the larger counts, of texts with one id the smallest.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded by `rows`, so it may be broadcast
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(chosen), "doc_id"), "sample")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return cut(found, "sample")
 
 
 class Boosted:

@@ -4,9 +4,10 @@ Features of a whole text: densities of a fixed lexicon and of one learned from
 the training labels (whole words, and openings of longer words, which catches
 inflected and compound forms), hits near second-person words, capitals,
 punctuation, digits, and signs of obfuscation (letters written as digits or
-signs, masked and spaced-out words).  The trees are fitted on a sample of
-labelled rows of at most `rows` (see `labelled_sample`); the calibration on
-scores that each third of it gets from trees fitted on the rest.
+signs, masked and spaced-out words).  The trees are fitted on a sample of at most
+`rows` labelled documents (see `labelled_sample`); the calibration on scores that
+each third of it, dealt by a hash of the text so that copies stay together, gets
+from a lexicon and trees learned on the rest.
 
 Cases: a null text is empty and gets the score that the features of nothing get;
 without labels, or with one class only, every score is the smoothed share of
@@ -37,6 +38,7 @@ SECOND_PERSON = "you your yours youre yourself u ur ya du dich dir dein deine ih
 #: Openings of words that the learned lexicon looks at, in bytes; 0 is the whole word.
 OPENINGS = (0, 4, 5, 6, 7, 8, 9, 10)
 LEAST_DOCS = 5
+FOLDS = 3
 NEAR = 6
 
 _LEET = LOWER.copy()
@@ -79,8 +81,8 @@ class Lexicon:
         self.hashes, self.toxic, self.clean = self.hashes[order], self.toxic[order], self.clean[order]
         self.lookup = Lookup(self.hashes)
 
-    def weights(self, label: int | None = None) -> np.ndarray:
-        """Log odds of each entry; for a training document, without its own part in them."""
+    def weights(self, label: int = -1) -> np.ndarray:
+        """Log odds of each entry; for a training document (of label 0 or 1), without its own part in them."""
         t = self.toxic - (label == 1)
         c = self.clean - (label == 0)
         out = np.log((np.maximum(t, 0) + 0.3) / (self.n_toxic + 1)) - np.log((np.maximum(c, 0) + 0.3) / (self.n_clean + 1))
@@ -93,7 +95,8 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def features(part: pa.RecordBatch, column: int, lexicon: Lexicon, labels: list[int] | None = None) -> np.ndarray:
+def features(part: pa.RecordBatch, column: int, lexicon: Lexicon, labels: np.ndarray | None = None) -> np.ndarray:
+    """A row of features for each text; `labels` of those that the lexicon was learned from, -1 for others (None: all)."""
     w = Words(part.column(column), ALNUM)
     n = len(w.counts)
     raw, bytes_off, word_off = w.raw, w.offsets, w.first
@@ -104,14 +107,13 @@ def features(part: pa.RecordBatch, column: int, lexicon: Lexicon, labels: list[i
     you[second.find(w.hashes)[0]] = True
     weight = np.zeros(len(w.starts))
     rows = w.rows
-    tables = {None: lexicon.weights()} if labels is None else {k: lexicon.weights(k) for k in (0, 1)}
-    own = None if labels is None else np.array(labels)
+    tables = np.stack([lexicon.weights(k) for k in ((-1,) if labels is None else (-1, 0, 1))])
+    own = np.zeros(n, np.int64) if labels is None else labels + 1
     for length in OPENINGS:
         at, hashes = opened(w, length)
         found, index = lexicon.lookup.find(hashes)
         at = at[found]
-        value = tables[None][index] if own is None else np.where(own[rows[at]] == 1, tables[1][index], tables[0][index])
-        np.maximum.at(weight, at, value)
+        np.maximum.at(weight, at, tables[own[rows[at]], index])
     strong = (weight >= 2) | (hit > 0)
     top = np.zeros(n)
     np.maximum.at(top, rows, weight)
@@ -139,7 +141,7 @@ def features(part: pa.RecordBatch, column: int, lexicon: Lexicon, labels: list[i
         known = np.zeros(len(odd), bool)
         known[fixed.find(hashes)[0]] = True
         found, index = lexicon.lookup.find(hashes)
-        known[found[lexicon.weights()[index] >= 2]] = True
+        known[found[tables[0][index] >= 2]] = True
         disguised[odd[known]] = 1
     star = raw == 42
     masked = np.zeros(len(raw))
@@ -177,15 +179,15 @@ def gram1(word: str) -> int:
     return int(hash_spans(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
-def entry_counts(sample: DataFrame, label: int, wanted: Lookup | None, least: int) -> dict[int, int]:
-    """Documents of a class that hold each entry; of the wanted entries, or of all with at least `least`."""
+def entry_counts(sample: DataFrame, label: int, wanted: Lookup | None, least: int) -> dict[int, list[int]]:
+    """Documents of a class that hold each entry, by fold; of the wanted entries, or of all with at least `least`."""
 
     def run(batches):
-        total_h, total_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        total_h, total_n = np.zeros(0, np.uint64), np.zeros((0, FOLDS), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column(0), ALNUM)
-                rows, held = w.rows, []
+                rows, held, fold = w.rows, [], part.column(1).to_numpy(zero_copy_only=False)
                 for n in OPENINGS:
                     at, hashes = opened(w, n)
                     if wanted is not None:
@@ -195,25 +197,43 @@ def entry_counts(sample: DataFrame, label: int, wanted: Lookup | None, least: in
                 own, every = (np.concatenate([x[i] for x in held]) for i in (0, 1))
                 order = np.lexsort((every, own))
                 own, every = own[order], every[order]
-                distinct = every[np.concatenate([[True], (own[1:] != own[:-1]) | (every[1:] != every[:-1])])] if len(every) else every
-                total_h, inverse = np.unique(np.concatenate([total_h, distinct]), return_inverse=True)
-                total_n = np.bincount(inverse, np.concatenate([total_n, np.ones(len(distinct), np.int64)]), len(total_h)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total_h.view(np.int64)), pa.array(total_n)], names=["h", "n"])
-
-    rows = sample.where(F.col("label") == label).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+                fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (every[1:] != every[:-1])])[: len(every)]
+                before = len(total_h)
+                total_h, inverse = np.unique(np.concatenate([total_h, every[fresh]]), return_inverse=True)
+                counts = np.zeros((len(total_h), FOLDS), np.int64)
+                counts[inverse[:before]] = total_n
+                np.add.at(counts, (inverse[before:], fold[own[fresh]]), 1)
+                total_n = counts
+        yield pa.RecordBatch.from_arrays([pa.array(total_h.view(np.int64)), *[pa.array(total_n[:, k]) for k in range(FOLDS)]], names=["h", *folds])
+
+    folds = [f"n{k}" for k in range(FOLDS)]
+    rows = sample.where(F.col("label") == label).select("text", "fold").mapInArrow(run, "h long, " + ", ".join(f"{n} long" for n in folds)).groupBy("h").agg(*[F.sum(n).alias(n) for n in folds])
+    total = sum(F.col(n) for n in folds)
+    rows = rows.where(total >= least)
     if wanted is None:
-        rows = rows.orderBy(F.desc("n"), "h").limit(50_000)  # of a bounded sample
-    return {r.h & (1 << 64) - 1: r.n for r in rows.collect()}
+        rows = rows.orderBy(total.desc(), "h").limit(50_000)  # of a bounded sample
+    return {r.h & (1 << 64) - 1: [r[n] for n in folds] for r in rows.collect()}
 
 
-def learn_lexicon(sample: DataFrame, least: int = LEAST_DOCS) -> Lexicon:
-    counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+def learn_lexicons(sample: DataFrame, least: int = LEAST_DOCS) -> list[Lexicon]:
+    """The lexicon of the whole sample (with columns text, label, fold), and those of all but each fold."""
+    sizes = np.zeros((2, FOLDS), np.int64)
+    for r in sample.where("label in (0, 1)").groupBy("label", "fold").count().collect():
+        sizes[r.label, r.fold] = r["count"]
     toxic = entry_counts(sample, 1, None, least)
     hashes = np.array(list(toxic), np.uint64)
     clean = entry_counts(sample, 0, Lookup(hashes), 1) if len(hashes) else {}
-    lexicon = Lexicon(hashes, np.array(list(toxic.values()), np.int64), np.array([clean.get(h, 0) for h in toxic], np.int64), counts.get(1, 0), counts.get(0, 0))
-    keep = lexicon.weights() >= 1.5
-    return Lexicon(lexicon.hashes[keep], lexicon.toxic[keep], lexicon.clean[keep], lexicon.n_toxic, lexicon.n_clean)
+    t = np.array(list(toxic.values()), np.int64).reshape(-1, FOLDS)
+    c = np.array([clean.get(h, [0] * FOLDS) for h in toxic], np.int64).reshape(-1, FOLDS)
+
+    def without(fold: int | None) -> Lexicon:
+        own = np.arange(FOLDS) != (FOLDS if fold is None else fold)
+        n_toxic, n_clean = (int(x) for x in sizes[::-1][:, own].sum(1))
+        every = Lexicon(hashes, t[:, own].sum(1), c[:, own].sum(1), n_toxic, n_clean)
+        keep = (every.weights() >= 1.5) & (every.toxic >= least)
+        return Lexicon(every.hashes[keep], every.toxic[keep], every.clean[keep], n_toxic, n_clean)
+
+    return [without(None), *[without(k) for k in range(FOLDS)]]
 
 
 @dataclass
@@ -228,27 +248,29 @@ class Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS) -> Model:
-    sample = labelled_sample(documents, labels, label, keep, rows)
-    lexicon = learn_lexicon(sample)
+    sample = labelled_sample(documents, labels, label, keep, rows).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    lexicons = learn_lexicons(sample)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                own = part.column(2).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(features(part, 1, lexicon, own)), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
-
-    held = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>").orderBy("doc_id").collect()  # at most `rows`
-    y = np.array([r.label for r in held], float)
+                own, fold = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                known = [own, *[np.where(fold == k, -1, own) for k in range(FOLDS)]]
+                x = np.concatenate([features(part, 1, lexicon, y) for lexicon, y in zip(lexicons, known, strict=True)], axis=1)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in (0, 2, 3)], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "fold", "x"])
+
+    # at most `rows`: the sample has one row per doc_id
+    held = sample.select("doc_id", "text", "label", "fold").mapInArrow(run, "doc_id long, label int, fold int, x array<double>").orderBy("doc_id").collect()
+    y, fold = np.array([r.label for r in held], float), np.array([r.fold for r in held])
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(set(y.tolist())) < 2:
-        return Model(lexicon, None, (np.zeros(1), np.zeros(1)), float(prior))
-    x = np.array([r.x for r in held])
-    fold = np.arange(len(y)) % 3
+        return Model(lexicons[0], None, (np.zeros(1), np.zeros(1)), float(prior))
+    views = np.split(np.array([r.x for r in held]), FOLDS + 1, axis=1)
     out = np.zeros(len(y))
-    for k in range(3):
-        if len(set(y[fold != k].tolist())) == 2:
+    for k, x in enumerate(views[1:]):
+        if len(set(y[fold != k].tolist())) == 2 and (fold == k).any():
             out[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(lexicon, Boosted().fit(x, y), isotonic(out, y), float(prior))
+    return Model(lexicons[0], Boosted().fit(views[0], y), isotonic(out, y), float(prior))
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:

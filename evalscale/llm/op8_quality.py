@@ -9,7 +9,7 @@ labelled documents (in hash order up to `lines` lines, whatever their lengths; w
 it is fitted, a text is several chains of at most `chain` lines), then once more with the lines that the first field finds good
 in bad documents left to it.  A document's score is the share of its text, by
 length, that the forward-backward marginals call good, through a logistic scale
-fitted on the training documents.
+fitted on a fifth of the sample, dealt by a hash of the text, that the field is not.
 
 Cases: null and empty texts have one empty line; without labels or with one class
 every score is the smoothed share of good labels; repeated rows score equally;
@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalscale.llm.learn import SAMPLE_ROWS, labelled_sample, platt
-from evalscale.llm.op10_lines import Chunks
+from evalscale.llm.op10_lines import Lines as TextLines
 from evalscale.llm.text import SPACED, Words, slices
 
 STEPS, RATE, RIDGE = 120, 0.12, 1e-3
 #: Lines that the field is fitted on, at most (the driver holds their features, about 1 KB each), and those of one chain.
 LINES, CHAIN = 200_000, 400
+#: One document in so many of the sample calibrates the scores instead.
+CALIBRATION = 5
 SIGNS = b"#$%&*+<=>@[\\]^_`{}~"
 
 
@@ -49,7 +51,7 @@ class Lines:
     """Lines of a column's texts with their features; an empty text has one empty line."""
 
     def __init__(self, column: pa.Array):
-        chunks = Chunks(column)
+        chunks = TextLines(column)
         raw = chunks.raw
         empty = chunks.n_lines == 0
         counts = np.where(empty, 1, chunks.n_lines)
@@ -220,33 +222,45 @@ def train(documents: DataFrame, labels: DataFrame, label: str, keep: Column, row
                 bounds = [(a, min(b, a + most)) for a, b, most in zip(found.first[:-1], found.first[1:], part.column(3).to_pylist(), strict=True)]
                 own = [found.x[a:b].astype(np.float32).tobytes() for a, b in bounds]
                 size = [found.length[a:b].astype(np.float32).tobytes() for a, b in bounds]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary()), pa.array(size, pa.binary())], names=["doc_id", "label", "x", "size"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary()), pa.array(size, pa.binary()), part.column(4)], names=["doc_id", "label", "x", "size", "apart"])
 
     # features of at most `lines` lines: what is sent to the driver is bounded
-    held = sample.select("doc_id", "text", "label", "most").mapInArrow(run, "doc_id long, label int, x binary, size binary").collect()
-    held.sort(key=lambda r: (r.doc_id, len(r.size)))
+    apart = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
+    held = sample.select("doc_id", "text", "label", "most", apart.alias("apart")).mapInArrow(run, "doc_id long, label int, x binary, size binary, apart boolean").collect()
+    held.sort(key=lambda r: r.doc_id)
     y = np.array([r.label for r in held], float)
     prior = float((y.sum() + 1) / (len(y) + 2))
     if len(set(y.tolist())) < 2:
         return Field(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((2, 2)), (1.0, 0.0), prior, False)
+    both = [[r for r in held if r.apart], [r for r in held if not r.apart]]
+    if any(len({r.label for r in part}) < 2 for part in both):  # too few to set some apart
+        both = [held, held]
+    del held
+    field = fit(*lines_of(both[1]), prior, chain)
+    x, first, length, y = lines_of(both[0])
+    field.logistic = platt(logit(document_scores(field, x, first, length)), y)
+    return field
+
+
+def lines_of(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines, bounds of the documents, line lengths and document labels."""
     sizes = [np.frombuffer(r.size, np.float32).astype(float) for r in held]
     first = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
     length = np.concatenate(sizes)
-    x = np.concatenate([np.frombuffer(r.x, np.float32) for r in held]).reshape(len(length), -1)
-    del held
+    return np.concatenate([np.frombuffer(r.x, np.float32) for r in held]).reshape(len(length), -1), first, length, np.array([r.label for r in held], float)
+
+
+def fit(x: np.ndarray, first: np.ndarray, length: np.ndarray, y: np.ndarray, prior: float, chain: int) -> Field:
     field = Field(x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6, np.zeros(x.shape[1] + 1), np.zeros((2, 2)), (1.0, 0.0), prior)
     line_y = np.repeat(y, np.diff(first))
     share = np.array([y.mean(), 1 - y.mean()])
     weight = np.log1p(length) * np.where(line_y == 1, 0.5 / share[0], 0.5 / share[1])
-    everything = np.ones(len(x), bool)
     linked = chains(first, chain)
-    fit_lines(field, x, linked, line_y, everything, weight)
+    fit_lines(field, x, linked, line_y, np.ones(len(x), bool), weight)
     marginal, _ = forward_backward(field.unary(x), field.pair, first)
     worst = np.minimum.reduceat(marginal[:, 1], first[:-1])
     doubtful = (line_y == 0) & (marginal[:, 1] > 0.8) & (np.repeat(worst, np.diff(first)) < 0.5)
     fit_lines(field, x, linked, line_y, ~doubtful, weight, STEPS // 2)
-    raw = document_scores(field, x, first, length)
-    field.logistic = platt(logit(raw), y)
     return field
 
 

@@ -99,7 +99,7 @@ def test_one_class_no_labels_no_documents(spark, tables, module):
 
 
 def test_quality_is_fitted_on_long_documents(spark):
-    docs = [(i, "\n".join(["A line of plain words."] * 500 if i % 2 else ["AAA $$$ AAA!!"] * 500), "c") for i in range(12)]
+    docs = [(i, "\n".join(["A line of plain words."] * 1000 if i % 2 else ["AAA $$$ AAA!!"] * 1000), "c") for i in range(12)]
     docs, labels = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
     field = op8_quality.train(docs, labels, "quality", F.lit(True))
     assert field.fitted and field.prior == 7 / 14
@@ -117,6 +117,29 @@ def test_lines_of_the_sample_are_bounded_in_hash_order(spark):
     assert op8_quality.chains(np.array([0, 3, 10, 12]), 3).tolist() == [0, 3, 6, 9, 10, 12]
 
 
+def test_the_sample_has_one_text_per_id_and_no_more_rows_than_asked(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(5000)] + [(i, None if i == 3 else f"own {i}") for i in range(2, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] * 2 + [(1, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    for rows in (2, 8, 100):
+        got = learn.labelled_sample(docs, labels, "toxic", F.lit(True), rows).collect()
+        assert len(got) == len({r.doc_id for r in got}) == min(rows, 8)
+    assert {r.doc_id: (r.text, r.label) for r in got} == {1: ("text 0", 1), 3: ("", 1), **{i: (f"own {i}", i % 2) for i in (2, 4, 5, 6, 7, 8)}}
+
+
+def test_lexicons_leave_their_fold_out(spark):
+    """Counts by fold against plain sets of words; copies of a text are in one fold."""
+    docs, labels = corpus(3, 300)
+    known = {d: t for d, t, _ in labels}
+    rows = spark.createDataFrame([(t, known[d]) for d, t, _ in docs] + [(docs[0][1], known[0])] * 3, "text string, label int").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(op2_toxicity.FOLDS)).cast("int"))
+    held = rows.collect()
+    for fold, lexicon in zip([None, 0, 1, 2], op2_toxicity.learn_lexicons(rows), strict=True):
+        own = [r for r in held if r.fold != fold]
+        assert (lexicon.n_toxic, lexicon.n_clean) == (sum(r.label == 1 for r in own), sum(r.label == 0 for r in own))
+        index = int(np.flatnonzero(lexicon.hashes == np.uint64(op2_toxicity.gram1("idiot")))[0])
+        counts = [sum("idiot" in r.text.lower().replace("!", "").replace(".", "").split() for r in own if r.label == y) for y in (1, 0)]
+        assert [lexicon.toxic[index], lexicon.clean[index]] == counts
+
+
 def test_toxicity_signs():
     lexicon = op2_toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 1)
     texts = ["you idiot", "some idiot far away from any of those who might be meant by you", "1d1ot", "i d i o t", "id*ot", "FINE DAY!!", "", None]
