@@ -3,117 +3,180 @@
 Every window of a benchmark item (10 consecutive words, or the whole item if it
 has fewer) is a set of word shingles.  A document can contain a window only if
 it contains all of them, so one necessary prefix token does: the window's rarest
-shingle over the whole corpus.  Documents are joined with these tokens alone; a
-match fixes where the window would have to lie (positional bound), the document
-must be long enough on both sides (length bound), and the words are compared.
+shingle over the whole corpus, by which its shingles are ordered.  Documents are
+joined with these tokens alone; a match fixes where the window would have to lie
+(positional bound), the document must be long enough on both sides (length bound),
+and the words around the match are compared with the window's.
 
 Cases: a null or empty text has no words; a null item id or a repeated item row
 counts once by id (rows without an id are ignored); repeated documents each get
 their row; columns beyond doc_id, text, item_id are ignored.  An empty benchmark
-leaves every document clean.
-
-Scale: the benchmark is the fixed query set.  It is handled in blocks of at most
-`block` windows, each block broadcast (bounded by that parameter) and run against
-all documents; a benchmark of any size takes more blocks, not more memory.
-Documents are never shuffled whole: only (doc key, item) pairs are, if there is
-more than one block.
+leaves every document clean, and an empty table of documents gives no rows.
+
+Scale: documents are read twice, once to count shingles and once to match,
+whatever the benchmark's size, and never shuffled whole.  What executors get of
+the benchmark is a bit filter of at most 2 ** `bits` bits; what passes it (counts of
+shingles, summed in each slice first, and matches with the words around them) meets
+the windows in Spark joins, whose benchmark side is broadcast only if its measured
+bytes allow.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalscale.llm.text import ALNUM, Lookup, Words, gram_of, gram_rows, grams, slices
+from evalscale.llm.common import ROW_KEY, cut, join_measured, row_key
+from evalscale.llm.text import ALNUM, Words, gram_rows, grams, slices
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK = 50_000
+#: The filter has at most 2 ** BITS bits, and 16 for each token up to that.
+BITS = 26
+PAGE_BITS = 15  # of one bitmap row
+
+HIT = "array<struct<k:int,h:long,start:long,lead:int,words:string>>"
+_HIT = pa.list_(pa.struct([("k", pa.int32()), ("h", pa.int64()), ("start", pa.int64()), ("lead", pa.int32()), ("words", pa.string())]))
+
+
+class Filter:
+    """A bit for each of 2 ** bits ranges of hashes: set if some token is there."""
+
+    def __init__(self, bits: int):
+        self.bits, self.pages = bits, {}
 
-HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,length:long>>, items array<long>, doc_key long"
+    def put(self, page: int, data: bytes) -> None:
+        self.pages[page] = data
 
+    def table(self) -> np.ndarray:
+        size = min(1 << self.bits, 1 << PAGE_BITS)
+        out = np.zeros(1 << self.bits, bool)
+        for page, data in self.pages.items():
+            bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[:size]
+            out[page * size : (page + 1) * size] = bits
+        return out
 
-def item_words(text: str | None) -> list[bytes]:
-    return Words(pa.array([text or ""]), ALNUM, hashes=False).words(0, 1 << 60)
 
+def filter_of(tokens: DataFrame, most_bits: int) -> tuple[Filter, list[int]]:
+    """The filter of a (written) table's hashes `h`, and the distinct `k`: at most 2 ** most_bits bits come to the driver."""
+    n = tokens.count()
+    bits = min(most_bits, max(8, int(n * 16).bit_length()))
+    place = F.shiftrightunsigned(F.col("h"), 64 - bits)
+    pages = tokens.select(F.shiftright(place, PAGE_BITS).alias("page"), place.bitwiseAND((1 << PAGE_BITS) - 1).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = Filter(bits)
+    for r in pages.collect():
+        out.put(r.page, bytes(r.bits))
+    return out, sorted(r.k for r in tokens.select("k").distinct().collect())
 
-def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
-    n = min(window, len(words))
-    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
 
+def passing(words: Words, k: int, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the k-grams inside one text that the filter lets pass."""
+    hashes = grams(words.hashes, k)
+    at = np.flatnonzero(table[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
+    if len(at):
+        at = at[gram_rows(words.first, words.counts, k, len(hashes))[at]]
+    return at, hashes[at].view(np.int64)
+
+
+def windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """Distinct windows: words, how many, the items that have them, and the hashes of their shingles of k words."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column(1), ALNUM)
+                out = {"item": [], "words": [], "n": [], "k": [], "shingles": []}
+                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                for item, a, count in zip(part.column(0).to_pylist(), words.first[:-1].tolist(), words.counts.tolist(), strict=True):
+                    n = min(window, count)
+                    k = min(shingle, n)
+                    own = [w.decode() for w in words.words(a, a + count)]
+                    hashes = grams(words.hashes[a : a + count], k).view(np.int64).tolist() if n else []
+                    for i in range(count - n + 1 if n else 0):
+                        for key, value in zip(out, (item, " ".join(own[i : i + n]), n, k, hashes[i : i + n - k + 1]), strict=True):
+                            out[key].append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item"), "text").distinct()
+    found = items.mapInArrow(run, "item long, words string, n int, k int, shingles array<long>")
+    return cut(found.groupBy("words", "n", "k", "shingles").agg(F.collect_set("item").alias("items")), "windows")
+
+
+def shingle_counts(documents: DataFrame, tokens: DataFrame, most_bits: int) -> DataFrame:
+    """(k, h, count) of the tokens that documents have; and of others that the filter lets pass."""
+    known, ks = filter_of(tokens, most_bits)
+
+    def run(batches):
+        table = known.table()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column(0), ALNUM)
+                for k in ks:
+                    values, counts = np.unique(passing(words, k, table, known.bits)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(values), pa.array(counts.astype(np.int64))], names=["k", "h", "count"])
 
-class Block:
-    """Windows of one block of items, their shingles, and (once counted) the rarest shingle of each."""
+    return documents.select("text").mapInArrow(run, "k int, h long, count long").groupBy("k", "h").agg(F.sum("count").alias("count"))
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list[int]], shingle: int):
-        self.windows = windows
-        self.shingles: dict[int, set[int]] = defaultdict(set)
-        self.places: dict[tuple[bytes, ...], list[tuple[int, int, int]]] = {}
-        for w in windows:
-            k = min(shingle, len(w))
-            self.places[w] = [(gram_of(list(w[i : i + k])), k, i) for i in range(len(w) - k + 1)]
-            self.shingles[k].update(h for h, _, _ in self.places[w])
-        self.lookups = {k: Lookup(np.array(list(v), np.uint64)) for k, v in self.shingles.items()}
 
-    def choose(self, counts: dict[tuple[int, int], int]) -> None:
-        """Keeps one necessary token per window: that with the smallest corpus count, ties by hash."""
-        chosen: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for w, places in self.places.items():
-            h, k, i = min(places, key=lambda p: (counts.get((p[1], p[0]), 0), p[0], p[2]))
-            if counts.get((k, h), 0):  # a token that the corpus lacks rules its window out
-                chosen[k][h].append((i, w, self.windows[w]))
-        self.chosen = {k: dict(v) for k, v in chosen.items()}
-        self.lookups = {k: Lookup(np.array(list(v), np.uint64)) for k, v in self.chosen.items()}
-        self.shingles, self.places, self.windows = {}, {}, {}
+def prefix_tokens(documents: DataFrame, found: DataFrame, most_bits: int) -> DataFrame:
+    """One necessary token per window: its shingle with the smallest corpus count, ties by hash; none if the corpus lacks one."""
+    places = found.select("words", "n", "k", "items", F.posexplode("shingles").alias("offset", "h"))
+    tokens = cut(places.select("k", "h").distinct(), "shingles")
+    counts = cut(shingle_counts(documents, tokens, most_bits).join(tokens, ["k", "h"], "left_semi"), "counts")
+    rated = places.join(counts, ["k", "h"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    best = rated.groupBy("words", "n", "k").agg(F.min(F.struct("count", "h", "offset")).alias("best"))
+    best = best.where("best.count > 0").select("words", "n", "k", "best.h", "best.offset")
+    return cut(best.join(found.select("words", "items"), "words"), "prefixes")
 
 
-def shingle_counts(documents: DataFrame, block: Block) -> dict[tuple[int, int], int]:
-    """Occurrences of the block's shingles over all documents, at most one row per shingle and task in the shuffle."""
+def scan(documents: DataFrame, chosen: DataFrame, window: int, most_bits: int) -> DataFrame:
+    """Per document: its words, and the places where the filter lets a token pass, with the words that a window there could have."""
+    known, ks = filter_of(chosen, most_bits)
 
-    def count(batches):
-        found = {k: np.zeros(len(v.values), np.int64) for k, v in block.lookups.items()}
+    def run(batches):
+        table = known.table()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column(0), ALNUM)
-                for k, lookup in block.lookups.items():
-                    hashes = grams(words.hashes, k)
-                    at, index = lookup.find(hashes)
-                    if len(at):
-                        np.add.at(found[k], index[gram_rows(words.first, words.counts, k, len(hashes))[at]], 1)
-        for k, n in found.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), k, np.int32)), pa.array(block.lookups[k].values[some].view(np.int64)), pa.array(n[some])], names=["k", "h", "n"]
-            )
-
-    rows = documents.select("text").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).collect()
-    return {(r.k, r.h & (1 << 64) - 1): r.n for r in rows}
-
-
-def match(words: Words, a: int, b: int, hits: list[tuple[int, int, int]], block: Block) -> tuple[list[tuple[int, int]], set[int]]:
-    """Verified spans (from the document's first word) and items of one document; hits: (word index, k, hash)."""
-    texts: dict[int, bytes] = {}
-
-    def word(i: int) -> bytes:
-        if i not in texts:
-            texts[i] = words.words(i, i + 1)[0]
-        return texts[i]
-
-    spans, items = [], set()
-    for at, k, h in hits:
-        for offset, window, ids in block.chosen[k][h]:
-            start = at - offset
-            if start < a or start + len(window) > b:  # positional and length bounds
-                continue
-            if all(word(start + j) == w for j, w in enumerate(window)):
-                spans.append((start - a, len(window)))
-                items.update(ids)
-    return spans, items
+                first, hits = words.first.tolist(), [[] for _ in range(part.num_rows)]
+                for k in ks:
+                    at, hashes = passing(words, k, table, known.bits)
+                    rows = np.searchsorted(words.first, at, side="right") - 1
+                    for i, r, h in zip(at.tolist(), rows.tolist(), hashes.tolist(), strict=True):
+                        a, b = max(first[r], i - window + k), min(first[r + 1], i + window)
+                        around = b" ".join(words.words(a, b)).decode()
+                        hits[r].append({"k": k, "h": h, "start": a - first[r], "lead": i - a, "words": around})
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(words.counts.astype(np.int64)), pa.array(hits, _HIT)], names=["doc_id", *ROW_KEY, "n_words", "hits"])
+
+    rows = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"), *row_key())
+    return cut(rows.mapInArrow(run, f"doc_id long, key long, key2 long, n_words long, hits {HIT}"), "scanned")
+
+
+def verified(scanned: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Places of windows, and their items, of the documents that have any."""
+    hits = scanned.where(F.size("hits") > 0).select(*ROW_KEY, F.explode("hits").alias("hit"))
+    hits = hits.select(*ROW_KEY, "hit.k", "hit.h", "hit.start", "hit.lead", F.split("hit.words", " ").alias("around"))
+    sides = chosen.select("k", "h", "offset", "n", F.col("words").alias("window"), "items")
+    both = join_measured(hits, sides, ["k", "h"], "inner", 64 + F.length("window") + 8 * F.size("items"))
+    begin = F.col("lead") - F.col("offset")
+    fits = (begin >= 0) & (begin + F.col("n") <= F.size("around"))  # positional and length bounds
+    same = F.array_join(F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.col("n")), " ") == F.col("window")
+    place = F.struct((F.col("start") + begin).alias("start"), F.col("n").cast("long").alias("length"))
+    # of one document: as long as its text allows
+    return both.where(fits & same).groupBy(*ROW_KEY).agg(F.collect_set(place).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+
+SPANS = "array<struct<start:long,length:long>>"
+_FOUND = pa.schema(
+    [
+        *[(k, pa.int64()) for k in ROW_KEY], ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()),
+        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("items", pa.list_(pa.int64())),
+    ]
+)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,105 +189,38 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def digest(items: set[int]) -> str:
+def digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def scan(documents: DataFrame, block: Block) -> DataFrame:
-    def find(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column(1), ALNUM)
-                hits = defaultdict(list)
-                for k, lookup in block.lookups.items():
-                    hashes = grams(words.hashes, k)
-                    at, index = lookup.find(hashes)
-                    good = gram_rows(words.first, words.counts, k, len(hashes))[at] if len(at) else slice(0)
-                    rows = np.searchsorted(words.first, at[good], side="right") - 1
-                    for i, r, h in zip(at[good].tolist(), rows.tolist(), lookup.values[index[good]].tolist(), strict=True):
-                        hits[r].append((i, k, h))
-                spans, items = [[]] * part.num_rows, [set()] * part.num_rows
-                for r, found in hits.items():
-                    s, items[r] = match(words, int(words.first[r]), int(words.first[r + 1]), found, block)
-                    spans[r] = merge(s)
-                n_hit = [sum(n for _, n in s) for s in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(words.counts.astype(np.int64)),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(x) for x in items], pa.int64()),
-                        pa.array([digest(x) for x in items]),
-                        pa.array([n > 0 for n in n_hit]),
-                        pa.array([[{"start": a, "length": n} for a, n in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                        part.column(2),
-                    ],
-                    schema=_schema(),
-                )
-
-    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(find, HITS)
-
-
-def blocks(benchmark: DataFrame, window: int, shingle: int, size: int):
-    """Reads the items in blocks through the driver, which holds one block at a time."""
-    windows: dict[tuple[bytes, ...], list[int]] = {}
-    for row in benchmark.where("item_id is not null").select("item_id", "text").distinct().toLocalIterator():
-        for w in windows_of(item_words(row.text), window):
-            windows.setdefault(w, [])
-            if row.item_id not in windows[w]:
-                windows[w].append(row.item_id)
-        if len(windows) >= size:
-            yield Block(windows, shingle)
-            windows = {}
-    if windows:
-        yield Block(windows, shingle)
-
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row per document: words, words hit, items, merged hit spans (in words)."""
-    parts = []
-    for b in blocks(benchmark, window, shingle, block):
-        b.choose(shingle_counts(documents, b))
-        parts.append(scan(documents, b))
-    if not parts:
-        return scan(documents, Block({}, shingle))
-    if len(parts) == 1:
-        return parts[0]
-    return combine(parts)
-
-
-def combine(parts: list[DataFrame]) -> DataFrame:
-    """Unites the blocks' findings per document; equal rows stay as many as they were."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("items", "spans")]  # of one document: as long as its text allows
-    return _digest(every.groupBy("doc_id", "doc_key", "n_words").agg(F.count(F.lit(1)).alias("rows"), *lists), len(parts))
-
-
-def _digest(per: DataFrame, n_blocks: int) -> DataFrame:
-    def finish(batches):
+def summed(found: DataFrame) -> DataFrame:
+    """Merged spans, words hit and the items' digest of each document with findings."""
+
+    def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
             out = []
-            for r in rows:
-                spans = merge([(s["start"], s["length"]) for s in r["spans"]])
-                hit = sum(n for _, n in spans)
-                row = {
-                    "doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": hit, "n_items": len(set(r["items"])), "items_sha256": digest(set(r["items"])),
-                    "contaminated": hit > 0, "spans": [{"start": a, "length": n} for a, n in spans], "items": sorted(set(r["items"])), "doc_key": r["doc_key"],
-                }
-                out += [row] * (r["rows"] // n_blocks)
-            yield pa.RecordBatch.from_pylist(out, schema=_schema())
-
-    return per.mapInArrow(finish, HITS)
-
-
-def _schema() -> pa.Schema:
-    return pa.schema(
-        [
-            ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()),
-            ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("items", pa.list_(pa.int64())), ("doc_key", pa.int64()),
-        ]
+            for r in batch.to_pylist():
+                spans, items = merge([(s["start"], s["length"]) for s in r["spans"]]), sorted(r["items"])
+                out.append(
+                    {
+                        **{k: r[k] for k in ROW_KEY}, "n_hit": sum(n for _, n in spans), "n_items": len(items), "items_sha256": digest(items),
+                        "spans": [{"start": a, "length": n} for a, n in spans], "items": items,
+                    }
+                )
+            yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
+
+    return found.mapInArrow(run, f"key long, key2 long, n_hit long, n_items long, items_sha256 string, spans {SPANS}, items array<long>")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row per document: words, words hit, items, merged hit spans (in words), and the row's key."""
+    chosen = prefix_tokens(documents, windows(benchmark, window, shingle), bits)
+    scanned = scan(documents, chosen, window, bits)
+    found = cut(summed(verified(scanned, chosen)), "found")
+    joined = join_measured(scanned.drop("hits"), found, ROW_KEY, "left", 160 + 16 * F.size("spans") + 8 * F.size("items"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    counted = F.coalesce("n_hit", F.lit(0))
+    return joined.select(
+        "doc_id", "n_words", counted.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        (counted > 0).alias("contaminated"), none("spans", SPANS), none("items", "array<long>"), *ROW_KEY,
     )
