@@ -4,7 +4,7 @@ Every stage takes the documents that the one before kept, as a written table, an
 all but the last return the columns of `documents`.
 
     toxicity       documents that score 0.7 or more go
-    line_dedup     repeated multi-line chunks go; documents that lose all their text go
+    line_dedup     lines of repeated multi-line chunks go; documents that lose all their text go
     near_dup       of each component of near copies the smallest doc_id stays
     decontaminate  documents that hold a benchmark window go
     pack           the rest as sequences of at most 2048 tokens
@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import crc_fold, cut, join_small, table
+from evalscale.llm.common import ROW_KEY, crc_fold, cut, join_small, row_key, table
 from evalscale.llm.op1_pack import pack as pack_documents
 from evalscale.llm.op2_toxicity import drop_toxic, train
 from evalscale.llm.op4_decontaminate import decontaminate as find_leaks
@@ -33,8 +33,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = dedup_lines(docs, "line_dedup")
-    kept = done.where((F.length(F.trim("text")) > 0) | F.col("text").isNull() | (F.col("line_dedup.removed_chunks") == 0))
-    shorter = F.when(F.col("line_dedup.removed_chunks") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    kept = done.where((F.length(F.trim("text")) > 0) | F.col("text").isNull() | (F.col("line_dedup.removed_lines") == 0))
+    shorter = F.when(F.col("line_dedup.removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", shorter.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -43,8 +43,8 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = cut(find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_key").distinct(), "leaks")
-    return join_small(docs.withColumn("doc_key", F.xxhash64("doc_id", "text")), leaks, "doc_key", "left_anti", 16).select(*docs.columns)
+    leaks = cut(find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(*ROW_KEY).distinct(), "leaks")
+    return join_small(docs.select(F.struct("*").alias("row"), *row_key()), leaks, ROW_KEY, "left_anti", 32).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
