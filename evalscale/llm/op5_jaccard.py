@@ -15,13 +15,15 @@ region.  So regions are found by what near texts must have in common:
     in a group of near copies is its centre.  All sets with a pivot in common are
     that pivot's region; a set is in the regions of all its pivots, so each pair
     of near sets meets in one.
-4.  A region is joined exactly: distances to pivots prune pairs (they differ by
-    more than 1 - t) and decide others (both near the pivot: one component
-    already); the rest is compared.  A region beyond `cap` sets is split by
-    several pivots into Voronoi cells, with the sets in the triangle-inequality
-    window around a cell's undecided sets copied to it, and cells are joined in
-    turn; one that does not shrink is joined block against block.  Only pairs with
-    linked pivots near both are skipped; sets near different pivots are compared.
+4.  A region is joined exactly and recursively.  Pivots, its centre first, are
+    compared with all its sets; each other set belongs to the Voronoi cell of the
+    nearest pivot, and what lies in the triangle-inequality window around a cell
+    (distances to its pivot that differ by no more than 1 - t) is copied to it.
+    Cells are joined in turn, until all sets of one are tied together or cells save
+    little; then pairs inside the windows of all pivots are compared.  Regions of
+    few sets and bytes (`REGION_SETS`, `REGION_BYTES`) are joined so within a task,
+    larger ones first dealt to tasks by cells, in the same way; one that does not
+    shrink is joined block against block.
 
 The links are true links with the components of all links, at most a few per set
 and region.  `component_id` is the smallest doc_id over a component's classes.
@@ -40,13 +42,14 @@ gives right results) and a list of set hashes if measured small.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import BROADCAST_BYTES, cut, join_small, longs, small
+from evalscale.llm.common import BROADCAST_BYTES, ROW_KEY, cut, join_measured, join_small, longs, row_key, small
 from evalscale.llm.graph import Forest, components
 from evalscale.llm.text import SPACED, Lookup, Words, buffers, grams, mix, release, slices
 
@@ -55,7 +58,8 @@ PERCENT = 80
 SLACK = 5  # hundredths of a set
 HOT_TOKENS = 1_000_000
 HOT_COUNT = 16
-CAP = 4096
+#: What one task joins by itself; regions beyond either are split by tasks in the same way.
+REGION_SETS, REGION_BYTES = 512, 8 << 20
 PIVOTS = 8
 DEPTH = 4
 
@@ -91,15 +95,16 @@ def lower_class(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def describe(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, key, n, fp) of every row."""
+    """(doc_id, row key, n, fp) of every row."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = row_sets(part, 1, k)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.int64())], names=["doc_id", "key", "n", "fp"])
+                n, fp = pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], n, fp], names=["doc_id", *ROW_KEY, "n", "fp"])
 
-    return documents.mapInArrow(run, "doc_id long, key long, n long, fp long")
+    return documents.mapInArrow(run, "doc_id long, key long, key2 long, n long, fp long")
 
 
 def distinct_sets(batches, column: int, k: int):
@@ -259,45 +264,75 @@ def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.n
     return 100 * both >= percent * (a + b - both)
 
 
-def region_links(names: list[int], sets: list[np.ndarray], asks: np.ndarray, percent: int, pivots: int = PIVOTS, groups: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join whatever near sets of the region join; of each pair one set at least must ask, and sets of one group are joined already."""
+def region_links(
+    names: list[int], sets: list[np.ndarray], asks: np.ndarray, percent: int, pivots: int = PIVOTS, groups: list[int] | None = None, centre: int | None = None, trace: Counter | None = None
+) -> list[tuple[int, int]]:
+    """Links that join whatever near sets of the region join; of each pair one set at least must ask, and sets of one group are joined already.
+
+    Pivots, the centre first, are compared with all; the others go to the cell of
+    their nearest pivot, and those in a cell's window are copied to it; cells are
+    joined in turn, or pair by pair inside the windows of all pivots where cells
+    would save less than half.  `trace` counts regions, pivots, cells, copies and pairs.
+    """
     region, forest, out = Region(sets), Forest(), []
-    n, m = region.sizes, len(sets)
+    n, trace = region.sizes, Counter() if trace is None else trace
     reach = 1 - percent / 100 + 1e-9
-    distances: list[np.ndarray] = []
-    every = np.arange(m)
     firsts: dict[int, int] = {}
     for i, group in enumerate(groups or []):
         forest.join(i, firsts.setdefault(group, i))
 
-    def tie(i: int, others: np.ndarray) -> None:
-        for j in others.tolist():
+    def compare(i: int, others: np.ndarray) -> np.ndarray:
+        """Distances to others; near ones are tied."""
+        trace["pairs"] += len(others)
+        both = region.intersections(i, others)
+        for j in others[linked(both, n[others], n[i], percent) & (others != i)].tolist():
             if forest.join(i, j):
                 out.append((names[i], names[j]))
+        return 1 - both / (n[others] + n[i] - both)
 
-    ask = np.flatnonzero(asks)
-    first = ask[np.linspace(0, len(ask) - 1, min(pivots if m > 16 else 1, len(ask))).astype(int)]
-    for i in dict.fromkeys(first.tolist()):
-        both = region.intersections(i, every)
-        distances.append(1 - both / (n + n[i] - both))
-        near = linked(both, n, n[i], percent)
-        near[i] = False
-        tie(i, np.flatnonzero(near))
-    done = set(first.tolist())
-    for i in ask.tolist():
-        if i in done:
+    def one(members: np.ndarray) -> bool:
+        root = forest.root(int(members[0]))
+        return all(forest.root(i) == root for i in members.tolist())
+
+    todo = [(np.arange(len(sets)), np.array(asks, bool))]
+    while todo:
+        members, asking = todo.pop()
+        if not asking.any() or one(members):
             continue
-        done.add(i)
-        root = forest.root(i)
-        fits = (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
-        for d in distances:
-            fits &= np.abs(d - d[i]) <= reach
-        fits[i] = False
-        others = np.flatnonzero(fits)
-        others = others[[forest.root(j) != root for j in others.tolist()]] if len(others) else others
-        if len(others):
-            both = region.intersections(i, others)
-            tie(i, others[linked(both, n[others], n[i], percent)])
+        trace["regions"] += 1
+        ask = members[asking]
+        spread = np.linspace(0, len(ask) - 1, min(max(2, min(pivots, math.isqrt(len(members)))), len(ask))).astype(int)
+        chosen = list(dict.fromkeys([*(i for i in ask.tolist() if names[i] == centre), *ask[spread].tolist()]))
+        distances = []
+        for i in chosen:
+            distances.append(compare(i, members))
+            if one(members):
+                break
+        else:
+            d = np.stack(distances)
+            is_pivot = np.isin(members, chosen)
+            asking = asking & ~is_pivot
+            home = d.argmin(0)
+            cells = []
+            for c, row in enumerate(d):
+                inside = asking & (home == c)
+                if inside.any():
+                    cells.append((inside, ~is_pivot & (row >= row[inside].min() - reach) & (row <= row[inside].max() + reach)))
+            trace["pivots"] += len(chosen)
+            trace["cells"] += len(cells)
+            trace["copies"] += sum(int((window & ~inside).sum()) for inside, window in cells)
+            if 2 * sum(inside.sum() * window.sum() for inside, window in cells) <= asking.sum() * (~is_pivot).sum():
+                todo += [(members[window], inside[window]) for inside, window in cells]
+                continue
+            open_ = ~is_pivot  # not compared with all yet
+            for k in np.flatnonzero(asking).tolist():
+                open_[k] = False
+                i, size = int(members[k]), n[members]
+                fits = open_ & (100 * size >= percent * n[members[k]]) & (100 * n[members[k]] >= percent * size) & (np.abs(d - d[:, k : k + 1]) <= reach).all(0)
+                root = forest.root(i)
+                others = np.array([j for j in members[fits].tolist() if forest.root(j) != root], np.int64)
+                if len(others):
+                    compare(i, others)
     return out
 
 
@@ -312,7 +347,8 @@ def join_small_regions(rows: DataFrame, percent: int) -> DataFrame:
 
         def close():
             if len(held) > 1 and any(h[1] for h in held):
-                out.extend(region_links([h[0] for h in held], [np.frombuffer(h[3], np.uint64) for h in held], np.array([h[1] for h in held]), percent, groups=[h[2] for h in held]))
+                names, asks, groups, sets = zip(*held, strict=True)
+                out.extend(region_links(names, [np.frombuffer(x, np.uint64) for x in sets], np.array(asks), percent, groups=groups, centre=name))
 
         for batch in batches:
             data, offsets = buffers(batch.column(4))
@@ -353,7 +389,7 @@ def merged_groups(chains: DataFrame) -> DataFrame:
     return pairs.groupBy("region").agg(F.collect_list("pair").alias("pairs")).mapInArrow(run, "region long, node long, root long")
 
 
-def split(rows: DataFrame, percent: int, pivots: int, level: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split(rows: DataFrame, percent: int, pivots: int, level: int, cap: int, cap_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Voronoi cells of regions, with boundary copies; the links found to the pivots; and blocks of the regions whose cells save little.
 
     Pivots are done: they were compared with the whole region.  Sets near a pivot
@@ -363,7 +399,7 @@ def split(rows: DataFrame, percent: int, pivots: int, level: int, cap: int) -> t
     near different pivots can be the only link between their groups.
     """
     reach = 1 - percent / 100 + 1e-9
-    order = Window.partitionBy("region").orderBy(F.xxhash64("fp", F.lit(level)), "fp")
+    order = Window.partitionBy("region").orderBy(F.col("fp") != F.col("region"), F.xxhash64("fp", F.lit(level)), "fp")  # the centre first
     chosen = rows.where("asks").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots)
     packed = chosen.groupBy("region").agg(F.collect_list(F.struct("fp", "group", "tokens")).alias("pivots"))  # at most `pivots` sets
 
@@ -386,7 +422,8 @@ def split(rows: DataFrame, percent: int, pivots: int, level: int, cap: int) -> t
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    joined = rows.join(packed, "region").select("region", "fp", "asks", "group", "tokens", "pivots")
+    size = F.aggregate("pivots", F.lit(64).cast("long"), lambda n, p: n + 32 + F.length(p["tokens"]))
+    joined = join_measured(rows, cut(packed, "pivots"), "region", "inner", size).select("region", "fp", "asks", "group", "tokens", "pivots")
     kinds = "region long, fp long, asks boolean, group long, tokens binary, d array<double>, near array<long>, nodes array<long>, pivot boolean"
     measured = cut(joined.mapInArrow(measure, kinds), "cells")
     links = measured.select(F.col("fp").alias("a"), F.explode("near").alias("b"))
@@ -410,24 +447,24 @@ def split(rows: DataFrame, percent: int, pivots: int, level: int, cap: int) -> t
     home = F.array_position("d", F.array_min("d")) - 1
     ranges = left.where("asks").select("region", home.cast("int").alias("cell"), F.array_min("d").alias("x")).groupBy("region", "cell").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     ranges = ranges.groupBy("region").agg(F.collect_list(F.struct("cell", "low", "high")).alias("cells"))  # at most `pivots`
-    placed = left.join(ranges, "region").withColumn("home", home.cast("int")).withColumn("c", F.explode("cells"))
+    placed = join_small(left, cut(ranges, "ranges"), "region", "inner", 64 + 24 * pivots).withColumn("home", home.cast("int")).withColumn("c", F.explode("cells"))
     inside = (F.col("c.cell") == F.col("home")) & F.col("asks")
     distance = F.element_at("d", F.col("c.cell") + 1)
     boundary = (distance >= F.col("c.low") - reach) & (distance <= F.col("c.high") + reach)
     placed = placed.where(inside | boundary)
     count, asked = F.count(F.lit(1)), F.sum(F.col("asks").cast("long"))
     work = placed.groupBy("region", "c.cell").agg((count * F.sum(inside.cast("long"))).alias("work")).groupBy("region").agg(F.sum("work").alias("work"))
-    whole = left.groupBy("region").agg(count.alias("size"), (count * asked).alias("whole"))
-    stuck = cut(whole.join(work, "region").where("2 * work > whole").select("region", "size"), "stuck")
+    whole = left.groupBy("region").agg(count.alias("size"), F.sum(F.length("tokens")).alias("bytes"), (count * asked).alias("whole"))
+    stuck = cut(whole.join(work, "region").where("2 * work > whole").select("region", "size", "bytes"), "stuck")
     cells = join_small(placed, stuck.select("region"), "region", "left_anti", 8)
     cells = cells.select(F.xxhash64("region", "c.cell", F.lit(level)).alias("region"), "fp", inside.alias("asks"), "group", "tokens")
-    return cells, links, blocks(left.drop("d"), stuck, cap)
+    return cells, links, blocks(left.drop("d"), stuck, cap, cap_bytes)
 
 
-def blocks(rows: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
+def blocks(rows: DataFrame, sizes: DataFrame, cap: int, cap_bytes: int) -> DataFrame:
     """Regions that do not shrink, as pairs of blocks: asking sets of one against all sets of another."""
-    n = F.ceil(F.col("size") / (cap // 2)).cast("int")
-    marked = rows.join(sizes, "region").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    n = F.greatest(F.ceil(F.col("size") / (cap // 2)), F.least(F.ceil(F.col("bytes") / (cap_bytes // 2)), F.col("size"))).cast("int")
+    marked = join_small(rows, sizes, "region", "inner", 32).withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     unit = lambda i, j: F.xxhash64("region", i, j)
     askers = marked.where("asks").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("j <> own").select(unit(F.col("own"), F.col("j")).alias("region"), "fp", "asks", "group", "tokens")
     others = marked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -435,21 +472,23 @@ def blocks(rows: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
     return askers.unionByName(others)
 
 
-def join_regions(rows: DataFrame, percent: int, cap: int = CAP, pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
-    """Links of all regions (region, fp, asks, group, tokens), splitting those beyond `cap` recursively."""
+def join_regions(rows: DataFrame, percent: int, cap: int = REGION_SETS, cap_bytes: int = REGION_BYTES, pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
+    """Links of all regions (region, fp, asks, group, tokens) of a written table; those beyond a task's bounds are split recursively."""
     links: list[DataFrame] = []
     for level in range(depth + 1):
-        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.max("asks").alias("open")).where("open and size > 1")
-        large = cut(sizes.where(F.col("size") > cap).select("region", "size"), "large")
+        size, weight = F.count(F.lit(1)).alias("size"), F.sum(F.length("tokens")).alias("bytes")
+        sizes = rows.groupBy("region").agg(size, weight, F.max("asks").alias("open")).where("open and size > 1")
+        large = cut(sizes.where(beyond(cap, cap_bytes)).select("region", "size", "bytes"), "large")
         if large.isEmpty():
             links.append(join_small_regions(rows, percent))
             break
-        links.append(join_small_regions(rows.join(large, "region", "left_anti"), percent))
-        big = rows.join(large.select("region"), "region")
+        names = large.select("region")
+        links.append(join_small_regions(join_small(rows, names, "region", "left_anti", 16), percent))
+        big = join_small(rows, names, "region", "left_semi", 16)
         if level == depth:
-            links.append(join_small_regions(blocks(big, large, cap), percent))
+            links.append(join_small_regions(blocks(big, large, cap, cap_bytes), percent))
             break
-        cells, found, blocked = split(big, percent, pivots, level, cap)
+        cells, found, blocked = split(big, percent, pivots, level, cap, cap_bytes)
         links += [found, join_small_regions(blocked, percent)]
         rows = cut(cells, "regions")
     out = links[0]
@@ -472,46 +511,62 @@ def sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return (found if lookup is not None else found.join(wanted, "fp", "left_semi")).dropDuplicates(["fp"])
 
 
-def links(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, slack: int = SLACK, cap: int = CAP, hot: int = HOT_TOKENS, least: int = HOT_COUNT) -> DataFrame:
-    """True links (a, b) between set hashes, with the components of all links."""
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
-    frequent = hot_tokens(docs, k, percent, slack, hot, least)
-    rows = cut(shared(prefixes(docs, k, percent, slack, frequent)), "tokens")
+def regions_of(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, slack: int = SLACK, hot: int = HOT_TOKENS, least: int = HOT_COUNT) -> DataFrame:
+    """Members (region, fp, n) of the regions around elected centres that have two or more."""
+    frequent = hot_tokens(documents, k, percent, slack, hot, least)
+    rows = cut(shared(prefixes(documents, k, percent, slack, frequent)), "tokens")
     size = F.col("meta").bitwiseAND((1 << 32) - 1)
     enough = 1 + F.floor(F.lit(slack) * F.lit(percent) * size / 10_000)
-    able = rows.groupBy("fp", "meta").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("fp")
-    able = cut(able, "able")
+    able = cut(rows.groupBy("fp", "meta").agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") >= enough).select("fp", size.alias("n")), "able")
     members = cut(elect(rows.join(able, "fp", "left_semi")), "regions")
     alone = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
-    regions = members.join(alone, "region", "left_semi")
-    sets = sets_of(docs, able, k)
-    shipped = regions.join(sets, "fp").select("region", "fp", F.lit(True).alias("asks"), F.col("fp").alias("group"), "tokens")
-    if members.groupBy("region").count().where(F.col("count") > cap).isEmpty():
-        return join_small_regions(shipped, percent)
-    return join_regions(cut(shipped, "shipped"), percent, cap)
+    return cut(members.join(alone, "region", "left_semi").join(able, "fp").select("region", "fp", "n"), "members")
+
+
+def shipped(documents: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The members with their sets, ready to be joined; each set is made once and travels to its regions."""
+    sets = sets_of(documents, cut(members.select("fp").distinct(), "wanted"), k)
+    return members.join(sets, "fp").select("region", "fp", F.lit(True).alias("asks"), F.col("fp").alias("group"), "tokens")
+
+
+def links(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cap: int = REGION_SETS, cap_bytes: int = REGION_BYTES, **options) -> DataFrame:
+    """True links (a, b) between set hashes, with the components of all links."""
+    docs = documents.select(F.col("doc_id").cast("long"), "text")
+    members = regions_of(docs, k, percent, **options)
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum("n")).alias("bytes"))
+    large = cut(sizes.where(beyond(cap, cap_bytes)).select("region"), "large")
+    found = join_small_regions(shipped(docs, join_small(members, large, "region", "left_anti", 16), k), percent)
+    if large.isEmpty():
+        return found
+    return found.unionByName(join_regions(cut(shipped(docs, join_small(members, large, "region", "left_semi", 16), k), "shipped"), percent, cap, cap_bytes))
+
+
+def beyond(cap: int, cap_bytes: int) -> Column:
+    """Regions that one task does not join by itself."""
+    return (F.col("size") > cap) | (F.col("size") > 2) & (F.col("bytes") > cap_bytes)
 
 
 def jaccard_components(documents: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; its set's hash and that of its component's root; its row key."""
     k = options.get("k", SHINGLE)
-    own = cut(describe(documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key")), k), "sets")
+    own = cut(describe(documents.select(F.col("doc_id").cast("long"), "text", *row_key()), k), "sets")
     roots = cut(components(links(documents, **options)), "roots")
     classes = own.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "root").select("fp", "root", "component_id")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return own.join(ids, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "fp", "root", "key")
+    return own.join(ids, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "fp", "root", *ROW_KEY)
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """One document of each component, that with the smallest doc_id; those without words all stay."""
-    found = cut(jaccard_components(documents, **options).where("n_shingles > 0").select("root", "doc_id", "key"), "components")
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    go = cut(found.join(stay, "root").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("row_key")).distinct(), "copies")
-    left = join_small(documents.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key")), go, "row_key", "left_anti", 16)
-    again = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("row_key")), "again")
+    found = cut(jaccard_components(documents, **options).where("n_shingles > 0").select("root", "doc_id", *ROW_KEY), "components")
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", *ROW_KEY)).alias("first"))
+    go = cut(found.join(stay, "root").where(F.struct(*ROW_KEY) != F.struct(*[f"first.{k}" for k in ROW_KEY])).select(*ROW_KEY).distinct(), "copies")
+    left = join_small(documents.select(F.struct("*").alias("row"), *row_key()), go, ROW_KEY, "left_anti", 32)
+    again = cut(found.groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ROW_KEY), "again")
     if not again.isEmpty():  # rows repeated whole
-        once = left.join(again, "row_key", "left_semi").dropDuplicates(["row_key"])
-        left = left.join(again, "row_key", "left_anti").unionByName(once)
+        once = left.join(again, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+        left = left.join(again, ROW_KEY, "left_anti").unionByName(once)
     return left.select("row.*")

@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from evalscale.llm.graph import components
-from evalscale.llm.op5_jaccard import jaccard_components, join_regions, region_links
+from evalscale.llm.op5_jaccard import jaccard_components, join_regions, region_links, regions_of, shipped
 
 SCHEMA = "doc_id long, text string, fp string, lang string"
 
@@ -64,10 +65,34 @@ def test_against_brute_force(spark, seed):
     assert run(spark, rows) == brute_force(rows)
 
 
-@pytest.mark.parametrize("cap, least", [(6, 2), (10, 1000)])
-def test_regions_beyond_the_cap_are_split(spark, cap, least):
+@pytest.mark.parametrize("cap, cap_bytes, least", [(6, 1 << 20, 2), (10, 1 << 20, 1000), (1000, 4000, 2)])
+def test_regions_beyond_a_task_are_split(spark, cap, cap_bytes, least):
     rows = near_copies(5, groups=3, size=14)
-    assert run(spark, rows, cap=cap, least=least) == brute_force(rows)
+    assert run(spark, rows, cap=cap, cap_bytes=cap_bytes, least=least) == brute_force(rows)
+
+
+def loosely_alike(seed, n=240):
+    """Texts that share a notice and most sentences of their subject: alike, but most are no near copies."""
+    rng = random.Random(seed)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(9))
+    notice, subjects = " ".join(sentence() for _ in range(4)), [[sentence() for _ in range(10)] for _ in range(6)]
+    texts = [" ".join([notice, *rng.sample(subjects[i % 6], 8), *(sentence() for _ in range(rng.randint(1, 3)))]) for i in range(n)]
+    return list(enumerate([*texts, *(t.rsplit(" ", 2)[0] for t in texts[:20])]))
+
+
+def test_cells_and_windows_are_made_on_a_plain_corpus(spark):
+    """Every region goes through pivots; those that are no near copies go through cells, with copies in their windows."""
+    rows = loosely_alike(1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    regions, trace = {}, Counter()
+    for r in shipped(docs, regions_of(docs), 5).collect():
+        regions.setdefault(r.region, []).append((r.fp, np.frombuffer(bytes(r.tokens), np.uint64)))
+    for name, held in regions.items():
+        names, sets = zip(*sorted(held, key=lambda x: x[0]), strict=True)
+        region_links(names, sets, np.ones(len(held), bool), 80, centre=name, trace=trace)
+    every = sum(len(h) * (len(h) - 1) // 2 for h in regions.values())
+    assert trace["regions"] > 100 and trace["cells"] > 100 and trace["copies"] > 100 and trace["pairs"] < every / 2
+    assert run(spark, rows) == brute_force(rows)
 
 
 def hubs(seed, linked=2, size=40, n=200):
@@ -134,6 +159,24 @@ def test_region_links_join_what_near_sets_join():
         assert all(root(i) == root(j) for i, j in want)
 
 
+def test_cells_are_joined_recursively():
+    """Clusters far from each other: each is a cell, with few copies, and its own cells are smaller."""
+    rng = np.random.default_rng(7)
+    fresh = lambda k: rng.integers(1 << 40, 1 << 62, k).astype(np.uint64)
+    common, sets = fresh(20), []
+    for _ in range(5):
+        centre = fresh(100)
+        for _ in range(4):
+            inner = np.concatenate([rng.permutation(centre)[:60], fresh(40)])
+            sets += [np.unique(np.concatenate([common, rng.permutation(inner)[:94], fresh(6)])) for _ in range(6)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if (b := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 80 * (len(sets[i]) + len(sets[j]) - b)}
+    trace = Counter()
+    got = region_links(range(len(sets)), sets, np.ones(len(sets), bool), 80, trace=trace)
+    assert {(max(p), min(p)) for p in got} <= near and roots_of(len(sets), got) == roots_of(len(sets), near) and len(near) > 30
+    assert trace["regions"] > 5 and trace["cells"] > 10 and trace["copies"] > 0 and trace["pairs"] < len(sets) * len(sets) / 5
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n) if i % 50 != 49], "a long, b long")
