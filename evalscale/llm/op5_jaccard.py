@@ -269,13 +269,13 @@ def region_links(
 ) -> list[tuple[int, int]]:
     """Links that join whatever near sets of the region join; of each pair one set at least must ask, and sets of one group are joined already.
 
-    Pivots, the centre first, are compared with all; the others go to the cell of
+    Pivots, the centre first and the others far from those before, are compared with all; the other sets go to the cell of
     their nearest pivot, and those in a cell's window are copied to it; cells are
     joined in turn, or pair by pair inside the windows of all pivots where cells
     would save less than half.  `trace` counts regions, pivots, cells, copies and pairs.
     """
     region, forest, out = Region(sets), Forest(), []
-    n, trace = region.sizes, Counter() if trace is None else trace
+    n, named, trace = region.sizes, np.array(names, np.int64), Counter() if trace is None else trace
     reach = 1 - percent / 100 + 1e-9
     firsts: dict[int, int] = {}
     for i, group in enumerate(groups or []):
@@ -300,17 +300,23 @@ def region_links(
         if not asking.any() or one(members):
             continue
         trace["regions"] += 1
-        ask = members[asking]
-        spread = np.linspace(0, len(ask) - 1, min(max(2, min(pivots, math.isqrt(len(members)))), len(ask))).astype(int)
-        chosen = list(dict.fromkeys([*(i for i in ask.tolist() if names[i] == centre), *ask[spread].tolist()]))
-        distances = []
-        for i in chosen:
-            distances.append(compare(i, members))
+        at = int((asking & (named[members] == centre if centre is not None else True)).argmax())
+        at = at if asking[at] else int(asking.argmax())
+        chosen, distances, nearest = [], [], np.where(asking, np.inf, -1.0)
+        for _ in range(max(2, min(pivots, math.isqrt(len(members))))):
+            chosen.append(at)
+            distances.append(compare(int(members[at]), members))
             if one(members):
                 break
-        else:
+            nearest = np.minimum(nearest, distances[-1])
+            nearest[chosen] = -1
+            at = int(nearest.argmax())  # the next pivot is as far as possible from those before
+            if nearest[at] < 0:
+                break
+        if not one(members):
             d = np.stack(distances)
-            is_pivot = np.isin(members, chosen)
+            is_pivot = np.zeros(len(members), bool)
+            is_pivot[chosen] = True
             asking = asking & ~is_pivot
             home = d.argmin(0)
             cells = []

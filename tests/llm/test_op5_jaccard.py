@@ -163,12 +163,12 @@ def test_cells_are_joined_recursively():
     """Clusters far from each other: each is a cell, with few copies, and its own cells are smaller."""
     rng = np.random.default_rng(7)
     fresh = lambda k: rng.integers(1 << 40, 1 << 62, k).astype(np.uint64)
-    common, sets = fresh(20), []
+    common, sets = fresh(8), []
     for _ in range(5):
         centre = fresh(100)
         for _ in range(4):
-            inner = np.concatenate([rng.permutation(centre)[:60], fresh(40)])
-            sets += [np.unique(np.concatenate([common, rng.permutation(inner)[:94], fresh(6)])) for _ in range(6)]
+            inner = np.concatenate([rng.permutation(centre)[:85], fresh(15)])
+            sets += [np.unique(np.concatenate([common, rng.permutation(inner)[:95], fresh(5)])) for _ in range(6)]
     sets = [sets[i] for i in rng.permutation(len(sets))]
     near = {(i, j) for i in range(len(sets)) for j in range(i) if (b := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 80 * (len(sets[i]) + len(sets[j]) - b)}
     trace = Counter()
