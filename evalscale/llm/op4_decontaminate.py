@@ -15,7 +15,7 @@ leaves every document clean, and an empty table of documents gives no rows.
 
 Scale: documents are read twice, once to count shingles and once to match,
 whatever the benchmark's size, and never shuffled whole.  What executors get of
-the benchmark is a bit filter of at most 2 ** `bits` bits; what passes it (counts of
+the benchmark is a bit filter of at most 2 x 2 ** `bits` bits; what passes it (counts of
 shingles, summed in each slice first, and matches with the words around them) meets
 the windows in Spark joins, whose benchmark side is broadcast only if its measured
 bytes allow.
@@ -35,48 +35,51 @@ from evalscale.llm.text import ALNUM, Words, gram_rows, grams, slices
 
 WINDOW = 10
 SHINGLE = 3
-#: The filter has at most 2 ** BITS bits, and 16 for each token up to that.
+#: Each half of the filter has at most 2 ** BITS bits, and 64 for each token up to that.
 BITS = 26
 PAGE_BITS = 15  # of one bitmap row
+LOW = 9  # where the second half's bits begin in a hash
 
 HIT = "array<struct<k:int,h:long,start:long,lead:int,words:string>>"
 _HIT = pa.list_(pa.struct([("k", pa.int32()), ("h", pa.int64()), ("start", pa.int64()), ("lead", pa.int32()), ("words", pa.string())]))
 
 
 class Filter:
-    """A bit for each of 2 ** bits ranges of hashes: set if some token is there."""
+    """Two bitmaps over different bits of a hash: a token has its bit in both."""
 
     def __init__(self, bits: int):
-        self.bits, self.pages = bits, {}
+        self.bits = bits
+        self.halves = [np.zeros(max(1 << bits, 1 << PAGE_BITS) // 8, np.uint8) for _ in range(2)]
 
-    def put(self, page: int, data: bytes) -> None:
-        self.pages[page] = data
+    def put(self, half: int, page: int, data: bytes) -> None:
+        size = 1 << PAGE_BITS - 3
+        self.halves[half][page * size : (page + 1) * size] = np.frombuffer(data, np.uint8)
 
-    def table(self) -> np.ndarray:
-        size = min(1 << self.bits, 1 << PAGE_BITS)
-        out = np.zeros(1 << self.bits, bool)
-        for page, data in self.pages.items():
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[:size]
-            out[page * size : (page + 1) * size] = bits
-        return out
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        """Indices of the hashes that have both bits."""
+        at = np.arange(len(hashes))
+        for half, shift in zip(self.halves, (64 - self.bits, LOW), strict=True):
+            place = (hashes[at] >> np.uint64(shift)).astype(np.int64) & (1 << self.bits) - 1
+            at = at[half[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
+        return at
 
 
 def filter_of(tokens: DataFrame, most_bits: int) -> tuple[Filter, list[int]]:
-    """The filter of a (written) table's hashes `h`, and the distinct `k`: at most 2 ** most_bits bits come to the driver."""
-    n = tokens.count()
-    bits = min(most_bits, max(8, int(n * 16).bit_length()))
-    place = F.shiftrightunsigned(F.col("h"), 64 - bits)
-    pages = tokens.select(F.shiftright(place, PAGE_BITS).alias("page"), place.bitwiseAND((1 << PAGE_BITS) - 1).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+    """The filter of a (written) table's hashes `h`, and the distinct `k`: at most 2 ** most_bits bits a half come to the driver."""
+    bits = min(most_bits, max(8, int(tokens.count() * 64).bit_length()))
     out = Filter(bits)
-    for r in pages.collect():
-        out.put(r.page, bytes(r.bits))
+    for half, shift in enumerate((64 - bits, LOW)):
+        place = F.shiftrightunsigned(F.col("h"), shift).bitwiseAND((1 << bits) - 1)
+        pages = tokens.select(F.shiftright(place, PAGE_BITS).alias("page"), place.bitwiseAND((1 << PAGE_BITS) - 1).alias("at"))
+        for r in pages.groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+            out.put(half, r.page, bytes(r.bits))
     return out, sorted(r.k for r in tokens.select("k").distinct().collect())
 
 
-def passing(words: Words, k: int, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def passing(words: Words, k: int, known: Filter) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the k-grams inside one text that the filter lets pass."""
     hashes = grams(words.hashes, k)
-    at = np.flatnonzero(table[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
+    at = known.passing(hashes)
     if len(at):
         at = at[gram_rows(words.first, words.counts, k, len(hashes))[at]]
     return at, hashes[at].view(np.int64)
@@ -111,12 +114,11 @@ def shingle_counts(documents: DataFrame, tokens: DataFrame, most_bits: int) -> D
     known, ks = filter_of(tokens, most_bits)
 
     def run(batches):
-        table = known.table()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column(0), ALNUM)
                 for k in ks:
-                    values, counts = np.unique(passing(words, k, table, known.bits)[1], return_counts=True)
+                    values, counts = np.unique(passing(words, k, known)[1], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(values), pa.array(counts.astype(np.int64))], names=["k", "h", "count"])
 
     return documents.select("text").mapInArrow(run, "k int, h long, count long").groupBy("k", "h").agg(F.sum("count").alias("count"))
@@ -138,13 +140,12 @@ def scan(documents: DataFrame, chosen: DataFrame, window: int, most_bits: int) -
     known, ks = filter_of(chosen, most_bits)
 
     def run(batches):
-        table = known.table()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column(0), ALNUM)
                 first, hits = words.first.tolist(), [[] for _ in range(part.num_rows)]
                 for k in ks:
-                    at, hashes = passing(words, k, table, known.bits)
+                    at, hashes = passing(words, k, known)
                     rows = np.searchsorted(words.first, at, side="right") - 1
                     for i, r, h in zip(at.tolist(), rows.tolist(), hashes.tolist(), strict=True):
                         a, b = max(first[r], i - window + k), min(first[r + 1], i + window)
