@@ -10,7 +10,7 @@ import ast
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,20 +54,33 @@ def literal_list(text: str | None) -> list[str] | None:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def parse_literal_list(texts: pd.Series) -> pd.Series:
-    """The only per-row Python of ingestion; used where a text looks like a list."""
+    """The only per-row Python of ingestion; `with_list` gives it the rows that nothing else can read."""
     return texts.map(literal_list)
 
 
-def _listed(c: Column) -> Column:
-    """A list text as an array; null for other texts."""
-    text = strip_space(c)
-    return F.when(text.startswith("[") & text.endswith("]"), parse_literal_list(text))
+# Items that need no Python: strings without escapes, whole numbers and names; lists of more characters are left to it too.
+_ITEM = r"""(?:'[^'\\\n\r\x00]*'|"[^"\\\n\r\x00]*"|-?(?:0|[1-9][0-9]*)|True|False|None)"""
+_LIST = rf"^\[[ \t\n]*(?:{_ITEM}[ \t\n]*(?:,[ \t\n]*{_ITEM}[ \t\n]*)*+,?[ \t\n]*)?\]\z"
+_LIST_CHARS = 2000
 
 
-def coerce_choices(c: Column) -> Column:
-    """a list literal, or parts between double bars; null if there is nothing."""
-    parts = F.filter(F.transform(F.split(strip_space(c), r"\|\|"), strip_space), lambda p: p != "")
-    return F.when(present(c).isNotNull(), F.coalesce(_listed(c), parts))
+def _plain_list(text: Column) -> Column:
+    """A list of plain items as strings; null for other texts."""
+    items = F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0))
+    return F.when((F.length(text) <= _LIST_CHARS) & text.rlike(_LIST), F.transform(items, lambda x: F.when(x.rlike("^['\"]"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)))
+
+
+def with_list(rows: DataFrame, name: str, text: Column) -> DataFrame:
+    """`text` read as a Python list literal of strings, null if it is none; only rows that need it go through Python."""
+    step = rows.withColumn("__text", strip_space(text)).withColumn(name, _plain_list(F.col("__text")))
+    odd = F.coalesce(F.startswith("__text", F.lit("[")) & F.endswith("__text", F.lit("]")) & F.col(name).isNull(), F.lit(False))
+    return step.where(~odd).unionByName(step.where(odd).withColumn(name, parse_literal_list("__text"))).drop("__text")
+
+
+def coerce_choices(text: Column, listed: Column) -> Column:
+    """the list that the text is (see `with_list`), or its parts between double bars; null if there is nothing."""
+    parts = F.filter(F.transform(F.split(strip_space(text), r"\|\|"), strip_space), lambda p: p != "")
+    return F.when(present(text).isNotNull(), F.coalesce(listed, parts))
 
 
 def choices_of_columns(columns: dict[str, Column]) -> Column:
@@ -90,14 +103,14 @@ def answer_label(c: Column, numeric: bool = False) -> Column:
     return F.when((number >= 0) & (number <= 3), F.char(65 + number.cast("long"))).when(number.isNull() & (F.length(text) == 1), F.upper(text)).otherwise(text)
 
 
-def answer_list(c: Column) -> Column:
-    """a list literal, or the text alone; empty if there is none."""
-    text = strip_space(F.coalesce(c, F.lit("")))
-    return F.coalesce(_listed(text), F.when(text != "", F.array(text)), F.array().cast("array<string>"))
+def answer_list(text: Column, listed: Column) -> Column:
+    """the list that the text is (see `with_list`), or the text alone; empty if there is none."""
+    bare = strip_space(F.coalesce(text, F.lit("")))
+    return F.coalesce(listed, F.when(bare != "", F.array(bare)), F.array().cast("array<string>"))
 
 
-def first_answer(c: Column) -> Column:
-    return F.coalesce(F.try_element_at(answer_list(c), F.lit(1)), F.lit(""))
+def first_answer(answers: Column) -> Column:
+    return F.coalesce(F.try_element_at(answers, F.lit(1)), F.lit(""))
 
 
 def is_language(columns: Sequence[Column], config: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space, line ends, ASCII punctuation and the marker words of a final answer.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -29,7 +30,7 @@ def _text(c: Column) -> Column:
 
 
 def strip_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def strip_thinking(response: Column) -> Column:
@@ -40,7 +41,7 @@ def strip_thinking(response: Column) -> Column:
 
 def clean_answer(c: Column) -> Column:
     """white space off, then quoting marks and white space off."""
-    return F.regexp_replace(strip_space(_text(c)), r"^[`*_ \t\r\n]+|[`*_ \t\r\n]+\z", "")
+    return F.btrim(strip_space(_text(c)), F.lit("`*_ \t\r\n"))
 
 
 def _last_marked(text: Column) -> Column:
@@ -66,8 +67,8 @@ def strip_choice_label(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """label off, lower case, ASCII punctuation deleted, white space single."""
-    bare = F.translate(F.lower(strip_choice_label(c)), _PUNCTUATION, "")
-    return strip_space(F.regexp_replace(bare, f"{_SPACE}+", " "))
+    bare = F.translate(F.lower(strip_choice_label(c)), WHITE + _PUNCTUATION, " " * len(WHITE))  # what has no counterpart is deleted
+    return F.btrim(F.regexp_replace(bare, " {2,}", " "))
 
 
 def extract_number(c: Column) -> Column:

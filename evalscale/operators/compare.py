@@ -54,20 +54,37 @@ def _allowed(metrics: DataFrame, c: Comparison) -> DataFrame:
     return metrics if c.datasets is None else metrics.where(F.col("dataset").isin(*c.datasets))
 
 
+def _compared(metrics: DataFrame, c: Comparison) -> DataFrame:
+    """Every condition once, with whether it is the small model's row of its n (`__small`), the large one's beside it, and how they compare.
+
+    One scan of the metrics: both sides are picked by windows of the same rows.
+    """
+    rows = _allowed(distinct_conditions(metrics), c)
+    named = F.coalesce("dataset", F.lit("")) != ""
+    sides = {
+        "__small": named & (F.col("model") == c.small_model) & method_matches(F.col("method"), c.small_method),
+        "__large": named & (F.col("model") == c.large_model) & (F.col("n") == c.large_n) & method_matches(F.col("method"), c.large_method),
+    }
+    rows = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in sides.items()})
+    best = {k: F.col(k) & (F.row_number().over(Window.partitionBy("dataset", "model", "n", k).orderBy(F.desc("total_examples"), "method")) == 1) for k in sides}
+    rows = rows.withColumns(best)
+    columns = [x for x in metrics.columns if x not in ("dataset", "model", "ord")]
+    whole = Window.partitionBy("dataset")
+    rows = rows.withColumn("__beside", F.first(F.when(F.col("__large"), F.struct(*columns)), ignorenulls=True).over(whole))
+    has = F.col("__beside.accuracy").isNotNull()
+    return rows.withColumn("matches_or_beats_large", F.when(has, F.col("accuracy") + EPSILON >= F.col("__beside.accuracy")))
+
+
 def paper_table(metrics: DataFrame, c: Comparison) -> DataFrame:
     """A row per dataset and n of the small model, with the large one's beside it (null if missing)."""
-    rows = _allowed(distinct_conditions(metrics), c)
-    columns = [x for x in rows.columns if x not in ("dataset", "model", "ord")]
-    small = resolve(rows, F.col("model") == c.small_model, c.small_method).select("dataset", *[F.col(x).alias(f"small_{x}") for x in columns])
-    large = resolve(rows, (F.col("model") == c.large_model) & (F.col("n") == c.large_n), c.large_method).select("dataset", *[F.col(x).alias(f"large_{x}") for x in columns])
-    both = small.join(large, "dataset", "left").withColumn("large_n", F.lit(c.large_n))
-    has = F.col("large_accuracy").isNotNull()
+    columns = [x for x in metrics.columns if x not in ("dataset", "model", "ord")]
+    small, large = ([F.col(f"{prefix}{x}").alias(f"{name}_{x}") for x in columns if (name, x) != ("large", "n")] for prefix, name in (("", "small"), ("__beside.", "large")))
+    both = _compared(metrics, c).where("__small").select("dataset", *small, *large, "matches_or_beats_large").withColumn("large_n", F.lit(c.large_n))
     return both.withColumns(
         {
             "small_model": F.lit(c.small_model),
             "large_model": F.lit(c.large_model),
             "accuracy_delta": F.col("small_accuracy") - F.col("large_accuracy"),
-            "matches_or_beats_large": F.when(has, F.col("small_accuracy") + EPSILON >= F.col("large_accuracy")),
             "token_ratio_vs_large": ratio(F.col("small_total_tokens"), F.col("large_total_tokens")),
             "latency_ratio_vs_large": ratio(F.col("small_total_latency_s"), F.col("large_total_latency_s")),
         }
@@ -76,11 +93,8 @@ def paper_table(metrics: DataFrame, c: Comparison) -> DataFrame:
 
 def per_dataset(metrics: DataFrame, c: Comparison) -> DataFrame:
     """For each dataset whether the large model has a baseline, and the least n at which the small one matches it."""
-    rows = _allowed(distinct_conditions(metrics), c)
-    names = rows.where(F.coalesce("dataset", F.lit("")) != "").select("dataset").distinct()
-    large = resolve(rows, (F.col("model") == c.large_model) & (F.col("n") == c.large_n), c.large_method).select("dataset", F.lit(True).alias("has_large"))
-    least = paper_table(metrics, c).groupBy("dataset").agg(F.min(F.when(F.col("matches_or_beats_large"), F.col("small_n"))).alias("min_n"))
-    return names.join(large, "dataset", "left").join(least, "dataset", "left").withColumn("has_large", F.coalesce("has_large", F.lit(False)))
+    least = F.min(F.when(F.col("__small") & F.col("matches_or_beats_large"), F.col("n")))
+    return _compared(metrics, c).where(F.coalesce("dataset", F.lit("")) != "").groupBy("dataset").agg(F.bool_or("__large").alias("has_large"), least.alias("min_n"))
 
 
 def headline(metrics: DataFrame, c: Comparison) -> DataFrame:

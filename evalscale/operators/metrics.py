@@ -54,10 +54,10 @@ def conditions(candidates: DataFrame, selections: DataFrame) -> DataFrame:
         F.sum(F.coalesce("token_count", F.lit(0))).alias("tokens"),
         F.sum(F.coalesce(F.col("latency_s"), F.lit(0.0)).cast("decimal(18,6)")).alias("latency"),
         F.sum(F.coalesce(F.col("estimated_cost"), F.lit(0.0)).cast("decimal(18,9)")).alias("cost"),
-        F.collect_set("run_id").alias("c_runs"),
+        F.array_sort(F.collect_set("run_id")).alias("c_runs"),
         c_label,
     )
-    chosen = s.groupBy(*EXAMPLE).agg(F.bool_or(F.coalesce("is_correct", F.lit(False))).alias("correct"), F.collect_set("run_id").alias("s_runs"), s_label)
+    chosen = s.groupBy(*EXAMPLE).agg(F.bool_or(F.coalesce("is_correct", F.lit(False))).alias("correct"), F.array_sort(F.collect_set("run_id")).alias("s_runs"), s_label)
     joined = per.join(chosen, list(EXAMPLE), "full_outer")
     picked = F.col("s_label").isNotNull()
     seen = F.col("c_label").isNotNull()
@@ -71,7 +71,8 @@ def conditions(candidates: DataFrame, selections: DataFrame) -> DataFrame:
         F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("total_tokens"),
         F.coalesce(F.sum("latency"), F.lit(0)).cast("double").alias("total_latency_s"),
         F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("total_estimated_cost"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("c_runs", "s_runs"))))).alias("run_ids"),
+        # examples of the same runs name the same list, so this holds a list per mixture of runs, not per example
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("c_runs", "s_runs"))))).alias("run_ids"),
         F.coalesce(F.min("c_label"), F.min("s_label")).alias("label"),
     )
     some = F.col("picked") > 0

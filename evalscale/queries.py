@@ -11,7 +11,7 @@ from evalscale import views as V
 from evalscale.functions import ingest as N
 from evalscale.functions import prompts as P
 from evalscale.functions import text as X
-from evalscale.operators import compare, dedupe, metrics, reselect, resume, select
+from evalscale.operators import compare, dedupe, metrics, numbering, reselect, resume, scaling, select
 from evalscale.plans import config, sweep
 from evalscale.schemas import CONDITION, EXAMPLE
 from evalscale.sources import logs, raw
@@ -60,22 +60,10 @@ FROM per JOIN sel USING ({_EX}) GROUP BY dataset, model, n""",
 )
 def scaling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pass@N, select@N and their gap by dataset, model and sample count, in one pass over pooled votes."""
-    # of all samples of an answer the match is the same, so it is computed on the pool and carried with the votes
-    pooled = V.pool(spark, sf_dir).withColumn("pos", F.col("sample_index"))
-    pooled = metrics.matched(X.with_vote_key(pooled, "key", "extracted_answer", "answer_type", "pos"))
-    sizes = F.filter(F.array(*[F.lit(n) for n in V.SIZES]), lambda n: n > F.col("sample_index"))
-    votes = pooled.select("dataset", "model", "example_id", "key", "pos", "right", F.explode(sizes).alias("n")).groupBy("dataset", "model", "n", "example_id", "key").agg(
-        F.count(F.lit(1)).alias("c"), F.min("pos").alias("p"), F.bool_or("right").alias("right")
-    )
-    # most votes, then the earliest, as one number with the match in its last bit: a hash aggregate, where a struct would sort
-    rank = F.shiftleft("c", 33) + F.shiftleft(F.lit((1 << 32) - 1) - F.col("p"), 1) + F.col("right").cast("long")
-    best = (F.max(rank) % 2 == 1).alias("best")
-    per = votes.groupBy("dataset", "model", "n", "example_id").agg(best, F.bool_or("right").alias("passed"))
-    total, good, passed = F.count(F.lit(1)), F.count_if("best"), F.count_if("passed")
-    return per.groupBy("dataset", "model", "n").agg(
-        total.alias("total_examples"), good.alias("select_correct"), passed.alias("pass_correct"), F.round(passed / total, 6).alias("pass_at_n_rate"),
-        F.round(good / total, 6).alias("accuracy"), F.round(passed / total - good / total, 6).alias("gap"),
-    )
+    rows = scaling.pooled_conditions(V.pool(spark, sf_dir), V.SIZES)
+    total, good, passed = F.col("total_examples"), F.col("select_correct"), F.col("pass_at_n_correct")
+    rates = {"pass_at_n_rate": passed / total, "accuracy": good / total, "gap": passed / total - good / total}
+    return rows.select("dataset", "model", "n", "total_examples", "select_correct", passed.alias("pass_correct"), *[F.round(c, 6).alias(k) for k, c in rates.items()])
 
 
 @query("majority_vote", f"WITH {_VOTES} SELECT {_EX}, p AS selected_sample_index, answer AS selected_answer FROM chosen")
@@ -263,10 +251,11 @@ _COMPARE = compare.Comparison("m0", "m2", 1, ("m1", "m9"), None, "ttc_n*", "ttc"
 
 def _metrics(spark, sf_dir):
     """V5: the conditions as E4 input; dataset d1 has no large baseline in the dataset `e`."""
-    c = V.candidates(spark, sf_dir)
-    rows = metrics.with_rates(_conditions(spark, sf_dir, c, chosen(spark, sf_dir)))
-    extra = rows.where("dataset = 'd0' and model = 'm0'").withColumn("dataset", F.lit("e"))
-    return rows.unionByName(extra).withColumn("ord", F.col("n").cast("long"))
+    pool = V.pool(spark, sf_dir).withColumn("estimated_cost", F.col("token_count") / 1000.0 * 0.5)
+    rows = metrics.with_rates(scaling.pooled_conditions(pool, V.SIZES, totals=True).withColumn("total_latency_s", F.round("total_latency_s", 4)))
+    both = F.array(F.col("dataset"), F.when((F.col("dataset") == "d0") & (F.col("model") == "m0"), "e"))
+    rows = rows.withColumn("dataset", F.explode(F.array_compact(both)))
+    return rows.withColumns({"method": F.concat(F.lit("ttc_n"), F.col("n").cast("string")), "ord": F.col("n").cast("long")})
 
 
 _E4 = f"""{_VOTES}, {_MARK}, {_TOTALS.format(cand='cand', sel='sel')},
@@ -508,7 +497,8 @@ def orphan_units(spark, sf_dir):
 def ingest_choices(spark, sf_dir):
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     text = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("['"), flag, F.lit("', \""), status, F.lit("\", 'x']"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit(" "), flag, F.lit(" || || "), status))
-    return V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(N.coerce_choices(text), "#").alias("choices"))
+    rows = N.with_list(V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text")), "listed", F.col("text"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(N.coerce_choices(F.col("text"), F.col("listed")), "#").alias("choices"))
 
 
 @query(
@@ -542,7 +532,9 @@ def language_filter(spark, sf_dir):
 @query("answer_list", "SELECT o_orderkey, o_orderstatus AS first, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM orders")
 def answer_list(spark, sf_dir):
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("['"), F.col("o_orderstatus"), F.lit("', 'b']"))).otherwise(F.col("o_orderstatus"))
-    return V.table(spark, sf_dir, "orders").select("o_orderkey", N.first_answer(text).alias("first"), F.size(N.answer_list(text)).alias("n"))
+    rows = N.with_list(V.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "listed", F.col("text"))
+    answers = N.answer_list(F.col("text"), F.col("listed"))
+    return rows.select("o_orderkey", N.first_answer(answers).alias("first"), F.size(answers).alias("n"))
 
 
 @query("infer_task", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'math' WHEN lang = 'fr' THEN 'reading_comprehension' ELSE 'qa' END AS task FROM documents")
@@ -554,10 +546,8 @@ def infer_task(spark, sf_dir):
 
 @query("example_ids", "SELECT doc_id, concat(source, '_file_', lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 6, '0')) AS id FROM documents")
 def example_ids(spark, sf_dir):
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return V.table(spark, sf_dir, "documents").withColumn("row", number).select("doc_id", N.synthetic_id(F.col("source"), F.lit("file"), F.col("row")).alias("id"))
+    rows = numbering.running(V.table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id", {"row": F.lit(1)})
+    return rows.select("doc_id", N.synthetic_id(F.col("source"), F.lit("file"), F.col("row")).alias("id"))
 
 
 def _math_items(spark, sf_dir):
@@ -634,11 +624,8 @@ def metrics_csv(spark, sf_dir):
 )
 def running_accuracy(spark, sf_dir):
     """A18 on a stored log: correct and scored so far after each selection."""
-    from pyspark.sql import Window
-
-    so_far = Window.partitionBy("method").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _e1(spark, sf_dir)[0]
-    return rows.select("method", "ord", F.sum(F.col("is_correct").cast("long")).over(so_far).alias("correct"), F.count(F.lit(1)).over(so_far).alias("scored"))
+    rows = _e1(spark, sf_dir)[0].select("method", "ord", "is_correct")
+    return numbering.running(rows, ["method"], "ord", {"correct": F.col("is_correct").cast("long"), "scored": F.lit(1)}).drop("is_correct")
 
 
 @query(

@@ -80,17 +80,22 @@ def normalize(raw: DataFrame, s: Source, split: str) -> DataFrame:
     """benchmark items of raw rows, with an `error` column for rows that are not valid and kept metadata."""
     c = _columns(raw)
     text = lambda name: c[name].cast("string") if name in c else F.lit(None).cast("string")
-    listed = lambda name: c[name] if name in c and dict(raw.dtypes)[name].startswith("array") else None
     none = F.lit(None).cast("array<string>")
+    own = {"choice": "choices", "answers": "answers"}.get(s.shape)
+    if own in c and dict(raw.dtypes)[own].startswith("array"):
+        raw = raw.withColumn("__list", c[own].cast("array<string>"))
+    else:
+        written = text(own) if own else N.first_present([text(k) for k in N.CHOICE_KEYS]) if s.shape not in ("reading", "math") else F.lit(None).cast("string")
+        raw = N.with_list(raw, "__list", written) if s.shape not in ("reading", "math") else raw.withColumn("__list", none)
+    listed = F.col("__list")
     language = F.lit("yo")
     if s.shape == "choice":
         question, kind, task = text("question"), "choice", F.lit("qa")
-        choices = listed("choices") if listed("choices") is not None else N.coerce_choices(text("choices"))
+        choices = N.coerce_choices(text("choices"), listed)
         gold = N.answer_label(text("answer"))
     elif s.shape == "answers":
         question, kind, task, choices = text("question"), "text", F.lit("qa"), none
-        own = listed("answers")
-        gold = N.first_answer(text("answers")) if own is None else F.coalesce(F.try_element_at(own, F.lit(1)), F.lit(""))
+        gold = N.first_answer(N.answer_list(text("answers"), listed))
     elif s.shape == "reading":
         whole = F.concat(F.lit(f"{STORY}:\n"), F.coalesce(text("story"), F.lit("")), F.lit(f"\n\n{QUESTION}:\n"), F.coalesce(text("question"), F.lit("")))
         question, kind, task = strip_space(whole), "choice", F.lit("reading_comprehension")
@@ -103,7 +108,7 @@ def normalize(raw: DataFrame, s: Source, split: str) -> DataFrame:
     else:  # F22
         question, kind = N.first_present([text(k) for k in N.QUESTION_KEYS]), "text"
         task, gold = F.coalesce(N.present(text("task")), F.lit("qa")), F.coalesce(N.first_present([text(k) for k in N.GOLD_KEYS]), F.lit(""))
-        choices = F.coalesce(*[N.coerce_choices(text(k)) for k in N.CHOICE_KEYS])
+        choices = N.coerce_choices(N.first_present([text(k) for k in N.CHOICE_KEYS]), listed)
         own = strip_space(F.coalesce(N.first_present([text(k) for k in N.LANGUAGE_KEYS]), F.lit("yo")))
         language = F.when(own.isin("yo", "yor", "yoruba"), "yo").otherwise(own)
     record = F.map_filter(F.create_map(*[x for n in sorted(c) for x in (F.lit(n), text(n))]), lambda k, v: v.isNotNull()) if c else F.create_map().cast("map<string,string>")

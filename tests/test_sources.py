@@ -109,10 +109,18 @@ def test_generic_records(spark):
     assert items[1].error == "language" and items[0].id != items[1].id and items[0].id.startswith("own_")
 
 
-@pytest.mark.parametrize("text, want", [("['a', \"b\"]", ["a", "b"]), ("[1, None]", ["1", "None"]), ("[broken", ["[broken"]), ("[bro]", ["[bro]"]), (" x || ||y ", ["x", "y"]), ("", None), (None, None), ("[__import__('os')]", ["[__import__('os')]"])])
+@pytest.mark.parametrize("text, want", [("['a', \"b\"]", ["a", "b"]), ("[1, None]", ["1", "None"]), ("[broken", ["[broken"]), ("[bro]", ["[bro]"]), (" x || ||y ", ["x", "y"]), ("", None), (None, None), ("[__import__('os')]", ["[__import__('os')]"]), ("[]", []), ("[ 'a' , ]", ["a"]), (r"['it\'s', 1.50, True]", ["it's", "1.5", "True"]), ("['a' 'b', [1]]", ["ab", "[1]"]), ("[01]", ["[01]"]), ("['a', -7, \"\"]", ["a", "-7", ""]), ("[" + "'x'," * 3000 + "]", ["x"] * 3000)])
 def test_choices(spark, text, want):
-    rows = spark.createDataFrame([(text,)], "c string")
-    assert rows.select(N.coerce_choices(F.col("c")).alias("x")).first().x == want
+    rows = N.with_list(spark.createDataFrame([(text,)], "c string"), "listed", F.col("c"))
+    assert rows.columns == ["c", "listed"] and rows.select(N.coerce_choices(F.col("c"), F.col("listed")).alias("x")).first().x == want
+
+
+def test_only_odd_lists_go_through_python(spark):
+    texts = F.array(*[F.lit(t) for t in ("['a']", "b", "['\\t']")])
+    rows = N.with_list(spark.range(3).select(F.get(texts, F.col("id").cast("int")).alias("c")), "listed", F.col("c"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Filter" in plan[plan.index("ArrowEvalPython") :]
+    assert [tuple(r) for r in rows.orderBy("c").collect()] == [("['\\t']", ["\t"]), ("['a']", ["a"]), ("b", None)]
 
 
 @pytest.mark.parametrize("text, want", [("0", "A"), ("3", "D"), ("4", "4"), ("b", "B"), (" Yes ", "Yes"), (None, "")])
