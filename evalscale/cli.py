@@ -68,16 +68,21 @@ def accuracy(spark, a):
 
 def truncated(spark, a):
     rows = logs.read_candidates(spark, logs.find_runs(a.runs))
-    rows = rows.where(M.truncated(rows) & F.col("method").isin(*(C.name_set(a.methods) or ())))
+    wanted = C.name_set(a.methods)
+    rows = rows.where(M.truncated(rows) & (F.col("method").isin(*wanted) if wanted else F.lit(True)))  # all methods, if none is named
     logs.write_splits(rows, a.out, "method")
 
 
 def reselect(spark, a):
-    names = [x.strip() for x in a.strategies.split(",") if x.strip()]
-    for folder in (logs.find_runs(a.runs) if a.run is None else [Path(a.runs) / a.run])[: a.limit]:
+    names, every = [x.strip() for x in a.strategies.split(",") if x.strip()], []
+    folders = (logs.find_runs(a.runs) if a.run is None else [Path(a.runs) / a.run])[: a.limit]
+    for folder in folders:
         rows = logs.read_candidates(spark, [folder]).cache()
-        found = reports.reselection(R.reselect(rows, names), R.reselection_report(rows, names), Path(a.out or folder / "reselected"))
+        found = reports.reselection(R.reselect(rows, names), R.reselection_report(rows, names), Path(a.out, *[folder.name] * (len(folders) > 1)) if a.out else folder / "reselected")
+        every += [{"run": folder.name, **r} for r in found]
         print(reports.text_table(found, ("dataset", "model", "method", "n", "strategy", "total", "pass_at_n_rate", "select_rate", "gap")))
+    if len(folders) > 1:
+        logs.write_json({"rows": every}, Path(a.out or a.runs) / "summary.json")
 
 
 def compare(spark, a):
@@ -100,7 +105,9 @@ def ingest(spark, a):
     out = out.cache()
     kept = raw.retained(out)
     logs.write_splits(kept.select(F.col("metadata.split").alias("split"), "answer_type", "choices", "gold_answer", "question"), str(Path(a.out) / s.group / s.key))
-    _show(raw.split_counts(out).orderBy("split"), ("split", "raw", "retained", "skipped"))
+    counts = reports.rows_of(raw.split_counts(out).orderBy("split"))
+    logs.write_json({"dataset": s.key, "origin": s.origin, "splits": counts, "all": sum(r["retained"] for r in counts)}, Path(a.out) / s.group / s.key / "manifest.json")
+    print(reports.text_table(counts, ("split", "raw", "retained", "skipped")))
 
 
 def prompts(spark, a):

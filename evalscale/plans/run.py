@@ -1,8 +1,10 @@
 """A whole sampling run on Spark: examples, prompts, pending units, generation, selection, resumable output.
 
-Output is Parquet below a run folder: `candidates` and `selections`, one
-sub-folder per attempt, and a manifest.  A unit's rows are committed by Spark's
-writer; what a lost attempt left without selections is stripped on the next one.
+Output is Parquet below a run folder: `candidates`, `selections` and `units` (the
+checkpoint, written last, with what each unit generated and how long it took), one
+sub-folder per attempt, and a manifest.  Examples are handled `batch` at a time, each
+batch committed by Spark's writer, so a lost attempt loses a batch at most; what it
+left without selections is stripped on the next one.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from evalscale.plans import sweep as S
 from evalscale.sources import logs
 
 
+#: Examples of one batch.
+BATCH = 100_000
+
+
 def examples_of(spark: SparkSession, c: C.RunConfig, names: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     out = None
     for d in C.named(c.datasets, names):
@@ -55,6 +61,7 @@ def run(
     limit: int | None = None,
     resume: bool = True,
     overwrite: bool = False,
+    batch: int = BATCH,
 ) -> dict:
     """Runs what is pending and returns the manifest.  Overwriting, or not resuming, drops all earlier output."""
     base = Path(c.output_dir) / c.run_id
@@ -63,32 +70,52 @@ def run(
     alone, groups = C.partition_methods(C.named(c.methods, methods))
     examples = examples_of(spark, c, datasets, limit)
     done = finished(spark, base, {g: [m.name for m in own] for g, own in groups.items()})
-    attempt, wrote, skipped = f"attempt={int(time.time() * 1000)}", 0, 0
+    attempt, totals = f"attempt={int(time.time() * 1000)}", dict.fromkeys(("units_completed", "units_skipped", "generations", "candidate_rows", "selection_rows"), 0) | {"latency_s": 0.0}
+    planned = examples.count()
     for model in C.named(c.models, models):
         factory = make_backend(model)
         for kind, name, own in [*(("standalone", m.name, [m]) for m in alone), *(("nested", g, ms) for g, ms in groups.items())]:
             keyed = examples.withColumn("key", S.unit_key(F.lit(kind), F.col("dataset"), F.lit(model.name), F.lit(name), F.col("example_id")))
             todo = keyed if done is None else S.pending(keyed, done)
             n = todo.count()
-            wrote, skipped = wrote + n, skipped + examples.count() - n
-            if not n:
-                continue
-            folder = f"{base}/pool/{attempt}-{model.name}-{name}"
-            pool_of(todo.drop("key"), factory, model, own, c, exemplars or {}, kind).write.parquet(folder)  # sampled once, whatever is cut from it
-            rows = slices_of(spark.read.parquet(folder), own, name, kind).withColumn("ord", F.monotonically_increasing_id())
-            rows.write.mode("append").parquet(f"{base}/candidates/{attempt}")
-            chosen = None
-            for strategy in sorted({m.selection for m in own}):
-                part = reselect(rows.where(F.col("selection") == strategy), [strategy], dedupe=False)
-                chosen = part if chosen is None else chosen.unionByName(part)
-            tags = {"run_id": F.lit(c.run_id), "nested": F.lit(kind == "nested"), "nested_group_id": F.lit(name if kind == "nested" else None).cast("string"), "ord": F.monotonically_increasing_id()}
-            chosen.withColumns(tags).write.mode("append").parquet(f"{base}/selections/{attempt}")
-            shutil.rmtree(folder, ignore_errors=True)
-    manifest = {"run_id": c.run_id, "units_completed": wrote, "units_skipped": skipped, "seed": c.seed, "methods": [m.name for m in c.methods], "models": [m.name for m in c.models]}
+            totals["units_skipped"] += planned - n
+            pieces = max(1, -(-n // batch))
+            for piece in range(pieces if n else 0):
+                part = todo.where(F.pmod(F.xxhash64("key"), F.lit(pieces)) == piece)
+                for k, v in commit(spark, base, f"{attempt}", part, factory, model, kind, name, own, c, exemplars or {}).items():
+                    totals[k] += v
+    manifest = {"run_id": c.run_id, **totals, "seed": c.seed, "methods": [m.name for m in c.methods], "models": [m.name for m in c.models]}
     logs.write_json(manifest, base / "manifest.json")
     return manifest
 
 
+def commit(spark: SparkSession, base: Path, attempt: str, examples: DataFrame, factory, model: C.Model, kind: str, name: str, methods: Sequence[C.Method], c: C.RunConfig, exemplars) -> dict:
+    """Samples a batch of examples once, appends what is cut and selected from it, and last its units; returns their totals."""
+    folder = f"{base}/pool/{attempt}-{model.name}-{name}"
+    pool_of(examples.drop("key"), factory, model, methods, c, exemplars, kind).write.mode("overwrite").parquet(folder)
+    pool = spark.read.parquet(folder)
+    rows = slices_of(pool, methods, name, kind).withColumn("ord", F.monotonically_increasing_id())
+    rows.write.mode("append").parquet(f"{base}/candidates/{attempt}")
+    chosen = None
+    for strategy in sorted({m.selection for m in methods}):
+        part = reselect(rows.where(F.col("selection") == strategy), [strategy], dedupe=False)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    tags = {"run_id": F.lit(c.run_id), "nested": F.lit(kind == "nested"), "nested_group_id": F.lit(name if kind == "nested" else None).cast("string"), "ord": F.monotonically_increasing_id()}
+    chosen.withColumns(tags).write.mode("append").parquet(f"{base}/selections/{attempt}")
+    units = unit_costs(pool.withColumn("key", S.unit_key(F.lit(kind), F.col("dataset"), F.lit(model.name), F.lit(name), F.col("example_id"))), ["key"])
+    units.write.mode("append").parquet(f"{base}/units/{attempt}")
+    per = len(methods)
+    found = pool.agg(F.count(F.lit(1)).alias("generations"), F.countDistinct("dataset", "example_id").alias("units_completed"), F.coalesce(F.sum("latency_s"), F.lit(0.0)).alias("latency_s")).first().asDict()
+    found |= {"selection_rows": per * found["units_completed"], "candidate_rows": rows.count()}
+    shutil.rmtree(folder, ignore_errors=True)
+    return found
+
+
+def unit_costs(pool: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What each unit generated, how many tokens and how long: of samples really made, not of the rows cut from them."""
+    return pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("generations"), F.sum(F.coalesce("token_count", F.lit(0))).alias("tokens"), F.sum(F.coalesce("latency_s", F.lit(0.0)).cast("decimal(18,6)")).cast("double").alias("latency_s"))
+
+
 def read_run(spark: SparkSession, base: Path | str) -> tuple[DataFrame, DataFrame]:
     """Candidates and selections of a run folder; later attempts come later in append order."""
     order = F.struct(F.col("attempt").cast("long"), "ord")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from evalscale.functions import prompts as P
 from evalscale.functions import text as X
 from evalscale.operators import compare, dedupe, metrics, numbering, reselect, resume, scaling, select
 from evalscale.plans import config, sweep
+from evalscale.plans import run as runs
 from evalscale.schemas import CONDITION, EXAMPLE
 from evalscale.sources import logs, raw
 
@@ -300,6 +303,43 @@ def e4_headline(spark, sf_dir):
     )
 
 
+@query(
+    "e4_one_dataset",
+    f"WITH {_E4} SELECT small.dataset, small.n AS small_n, round(small.accuracy, 6) AS small_accuracy, round(large.accuracy, 6) AS large_accuracy FROM small LEFT JOIN large USING (dataset) WHERE dataset = 'e'",
+)
+def e4_one_dataset(spark, sf_dir):
+    """A comparison over some of the datasets, here the one without a large baseline."""
+    rows = compare.paper_table(_metrics(spark, sf_dir), replace(_COMPARE, datasets=("e",)))
+    return rows.select("dataset", "small_n", *[F.round(c, 6).alias(c) for c in ("small_accuracy", "large_accuracy")])
+
+
+@query(
+    "distinct_conditions",
+    f"WITH {_CAND}, {_ITEMS} SELECT dataset, model, method, n, run_id, total_examples, ord FROM (SELECT *, row_number() OVER (PARTITION BY dataset, model, method, n ORDER BY total_examples DESC, ord) AS w FROM items) WHERE w = 1",
+)
+def distinct_conditions(spark, sf_dir):
+    """O3: of a condition's many rows that with most examples, the earliest if they tie."""
+    return compare.distinct_conditions(_items(spark, sf_dir)).select(*CONDITION, "run_id", "total_examples", "ord")
+
+
+@query("condition_labels", f"WITH {_CAND} SELECT dataset, model, method, n, arg_min(run_id, ord) AS model_size_label, arg_min(event_type, ord) AS prompt_style, string_agg(DISTINCT run_id, ';' ORDER BY run_id) AS run_ids FROM cand GROUP BY ALL")
+def condition_labels(spark, sf_dir):
+    """The labels of a condition are those of its first candidate; and the runs that its examples come from."""
+    c = V.candidates(spark, sf_dir).withColumns({"model_size_label": F.col("run_id"), "prompt_style": F.col("event_type")})
+    rows = metrics.conditions(c, chosen(spark, sf_dir).where("n < 0"))
+    return rows.select(*CONDITION, "model_size_label", "prompt_style", F.concat_ws(";", "run_ids").alias("run_ids"))
+
+
+@query(
+    "unit_costs",
+    f"""WITH {_POOL} SELECT concat_ws(chr(9), 'nested', dataset, model, 'ttc', CAST(example_id AS VARCHAR)) AS key, count(*) AS generations, CAST(sum(token_count) AS BIGINT) AS tokens, round(CAST(sum(CAST(latency_s AS DECIMAL(18, 6))) AS DOUBLE), 4) AS latency_s FROM pool GROUP BY ALL""",
+)
+def unit_costs(spark, sf_dir):
+    """Samples, tokens and seconds of each unit, by what was really generated."""
+    key = sweep.unit_key(F.lit("nested"), F.col("dataset"), F.col("model"), F.lit("ttc"), F.col("example_id").cast("string"))
+    return runs.unit_costs(V.pool(spark, sf_dir).withColumn("key", key), ["key"]).withColumn("latency_s", F.round("latency_s", 4))
+
+
 @query("e4_ladder", f"WITH {_E4} SELECT dataset, model, method, n, round(accuracy, 6) AS accuracy FROM m WHERE model IN ('m1', 'm9') AND n = 1")
 def e4_ladder(spark, sf_dir):
     return compare.ladder(_metrics(spark, sf_dir), _COMPARE).select("dataset", "model", "method", "n", F.round("accuracy", 6).alias("accuracy"))
@@ -457,11 +497,11 @@ sels AS (SELECT *, concat_ws(chr(9), 'nested', dataset, model, 'ttc', CAST(examp
 whole AS (SELECT key FROM sels GROUP BY key HAVING count(DISTINCT method) = 4)"""
 
 
-def _recovered(spark, sf_dir):
+def _recovered(spark, sf_dir, checkpoint=None):
     tags = {"nested": F.lit(True), "nested_group_id": F.lit("ttc")}
     c = V.candidates(spark, sf_dir).withColumns(tags)
     s = chosen(spark, sf_dir).withColumns(tags).where("not (example_id % 4 = 0 and n = 16)")
-    return resume.recover(c, s, {"ttc": [f"ttc_n{n}" for n in V.SIZES]})
+    return resume.recover(c, s, {"ttc": [f"ttc_n{n}" for n in V.SIZES]}, checkpoint)
 
 
 @query("recovered_units", f"WITH {_SLICED} SELECT key FROM whole")
@@ -469,6 +509,19 @@ def recovered_units(spark, sf_dir):
     return _recovered(spark, sf_dir).completed
 
 
+@query(
+    "checkpointed_units",
+    f"""WITH {_SLICED}, logged AS (SELECT DISTINCT concat_ws(chr(9), 'nested', dataset, model, 'ttc', CAST(example_id AS VARCHAR)) AS key FROM pool WHERE example_id % 4 < 2 UNION SELECT DISTINCT concat_ws(chr(9), 'standalone', dataset, 'm9', 'x', CAST(example_id AS VARCHAR)) FROM pool)
+SELECT key FROM (SELECT key FROM whole UNION SELECT key FROM logged) WHERE key NOT IN (SELECT key FROM sels WHERE key NOT IN (SELECT key FROM whole))""",
+)
+def checkpointed_units(spark, sf_dir):
+    """U4: what the checkpoint or the outputs show as done, less what the outputs show as broken."""
+    pool = V.pool(spark, sf_dir).select("dataset", "model", F.col("example_id").cast("string").alias("example_id"), F.lit(None).cast("string").alias("key"))
+    nested = pool.where(F.col("example_id").cast("long") % 4 < 2).withColumns({"unit_type": F.lit("nested"), "group_id": F.lit("ttc"), "method": F.lit(None).cast("string")})
+    alone = pool.withColumns({"model": F.lit("m9"), "unit_type": F.lit("standalone"), "group_id": F.lit(None).cast("string"), "method": F.lit("x")})
+    return _recovered(spark, sf_dir, nested.unionByName(alone)).completed
+
+
 @query("incomplete_units", f"WITH {_SLICED} SELECT DISTINCT key FROM sels WHERE key NOT IN (SELECT key FROM whole)")
 def incomplete_units(spark, sf_dir):
     return _recovered(spark, sf_dir).incomplete
@@ -570,15 +623,50 @@ def split_counts(spark, sf_dir):
 
 
 _EXEMPLARS = {"math": [P.Exemplar("Mo ní ìwé 2. Mo ra 3 sí i. Mélòó ni?", "2 + 3 = 5.", "2 + 3 = 5 ni.", "5", "I have 2 books. I buy 3 more. How many?")]}
-_BLOCK = P.exemplar_block(_EXEMPLARS["math"], "en").replace("'", "''")
-_INSTRUCTIONS = "\n".join(["Instructions:", P.GUIDE, P.QUANTITIES.format("Yoruba "), P.STEPS.format("English"), P.FINISH])
+
+
+_SAMPLE = {"en": "2 + 3 = 5.", "yo": "2 + 3 = 5 ni.", "translate": "2 + 3 = 5."}
+
+
+def _written_block(mode: str) -> str:
+    """The worked example as it should read, for the oracles."""
+    english = "English translation:\nI have 2 books. I buy 3 more. How many?\n\n" if mode == "translate" else ""
+    return f"""Examples:
+
+---
+
+Question:
+Mo ní ìwé 2. Mo ra 3 sí i. Mélòó ni?
+
+{english}Reasoning:
+{_SAMPLE[mode]}
+
+Final answer: 5
+
+---
+
+Now answer the following question using the same format.
+
+"""
+
+
+_YORUBA_SYSTEM = """You are a careful reasoning assistant.
+
+Read the Yoruba problem carefully, preserve the quantities and relationships, and solve only from the information given."""
+_RULES = """Instructions:
+- Use the examples only as formatting guides, not as source facts.
+"""
+_QUANTITY = "- First identify the {0}quantities and whether they mean add, subtract, multiply, or divide.\n"
+_END = "- Finish with exactly one line:\nFinal answer: <answer>"
+_PIVOT_RULES = f"{_RULES}- Translate the Yoruba question into English.\n- Solve the translated question by reasoning step by step in English.\n{_END}"
+_PIVOT_USER = f"concat('{_written_block('translate')}Question (Yoruba):\n', text, '\n\nAnswer format:\nFinal answer: <number>\n\n{_PIVOT_RULES}')"
 
 
 @query(
     "prompt_render",
-    f"""SELECT item_id, concat('System:', chr(10), '{P.SYSTEM.format("Yoruba ")}', chr(10), chr(10), 'User:', chr(10), CASE WHEN item_id % 2 = 0 THEN '{_BLOCK}' ELSE '' END, 'Question (Yoruba):', chr(10), text,
+    f"""SELECT item_id, concat('System:', chr(10), '{_YORUBA_SYSTEM}', chr(10), chr(10), 'User:', chr(10), CASE WHEN item_id % 2 = 0 THEN '{_written_block("en")}' ELSE '' END, 'Question (Yoruba):', chr(10), text,
   CASE WHEN item_id % 3 = 0 THEN concat(chr(10), chr(10), 'Choices:', chr(10), 'A. yes', chr(10), 'B) no', chr(10), 'C. B. odd') ELSE '' END,
-  chr(10), chr(10), 'Answer format:', chr(10), 'Final answer: ', CASE WHEN item_id % 3 = 0 THEN '<option letter>' WHEN item_id % 2 = 0 THEN '<number>' ELSE '<concise Yoruba answer>' END, chr(10), chr(10), '{_INSTRUCTIONS}') AS prompt
+  chr(10), chr(10), 'Answer format:', chr(10), 'Final answer: ', CASE WHEN item_id % 3 = 0 THEN '<option letter>' WHEN item_id % 2 = 0 THEN '<number>' ELSE '<concise Yoruba answer>' END, chr(10), chr(10), '{_RULES}{_QUANTITY.format("Yoruba ")}- Reason step by step in English.\n{_END}') AS prompt
 FROM benchmark""",
 )
 def prompt_render(spark, sf_dir):
@@ -589,13 +677,24 @@ def prompt_render(spark, sf_dir):
     return V.table(spark, sf_dir, "benchmark").select("item_id", P.as_text(prompt).alias("prompt"))
 
 
-@query("sample_seed")
+def _seed_values(base: int, items: int = 200, samples: int = 4) -> str:
+    """Expected seeds, straight from the standard library's BLAKE2b: eight bytes, big end first, modulo 2**31."""
+    made = ((i, k, hashlib.blake2b(f"{base}\0{i}\0{k}".encode(), digest_size=8).hexdigest()) for i in range(items) for k in range(samples))
+    return ", ".join(f"({i}, {k}, {int(h, 16) % 2**31})" for i, k, h in made)
+
+
+@query("sample_seed", f"SELECT item_id, sample_index, CAST(seed AS BIGINT) AS seed FROM benchmark JOIN (VALUES {_seed_values(20260708)}) t(item_id, sample_index, seed) USING (item_id)")
 def sample_seed(spark, sf_dir):
     rows = V.table(spark, sf_dir, "benchmark").withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return rows.select("item_id", "sample_index", sweep.seeds(20260708, F.col("item_id").cast("string"), F.col("sample_index")).alias("seed"))
 
 
-@query("generate_mock")
+@query(
+    "generate_mock",
+    f"""WITH seeds AS (SELECT * FROM (VALUES {_seed_values(7)}) t(item_id, sample_index, seed)),
+made AS (SELECT item_id, sample_index, seed, CAST(concat('0x', substr(sha1(concat('{_YORUBA_SYSTEM}', chr(0), {_PIVOT_USER}, chr(0), seed)), 1, 4)) AS INTEGER) % 20 AS v FROM benchmark JOIN seeds USING (item_id))
+SELECT CAST(item_id AS VARCHAR) AS example_id, sample_index, CAST(seed AS BIGINT) AS sample_seed, CAST(3 + v AS BIGINT) AS token_count, (3 + v) / 1000.0 * 0.5 AS estimated_cost, CAST(v AS VARCHAR) AS extracted_answer FROM made""",
+)
 def generate_mock(spark, sf_dir):
     """Prompts, four seeded samples each from the stand-in backend, and their extracted answers."""
     prompt = P.render("translate_pivot", _EXEMPLARS, F.lit("math"), F.lit("own"), F.col("text"), F.lit(None).cast("array<string>"), F.lit("number"))
@@ -605,6 +704,73 @@ def generate_mock(spark, sf_dir):
     return rows.select("example_id", "sample_index", "sample_seed", "token_count", "estimated_cost", X.extract_answer(F.col("response"), F.lit("number")).alias("extracted_answer"))
 
 
+@query(
+    "prompt_styles",
+    f"""WITH i AS (SELECT item_id, text, item_id % 2 = 1 AS en FROM benchmark),
+own AS (SELECT item_id, CASE WHEN en THEN '{_YORUBA_SYSTEM.replace('the Yoruba problem', 'the problem')}' ELSE '{_YORUBA_SYSTEM}' END AS own_system,
+  CASE WHEN en THEN 'Question' ELSE 'Question (Yoruba)' END AS label, CASE WHEN en THEN '{_QUANTITY.format('')}' ELSE '{_QUANTITY.format('Yoruba ')}' END AS quantity, text, en FROM i),
+parts AS (
+  SELECT item_id, 'yoruba_cot' AS style, '{_YORUBA_SYSTEM}' AS system, concat('{_written_block('yo')}', label, ':\n', text) AS problem, concat('{_RULES}', quantity, '- Reason step by step in Yoruba.\n{_END}') AS rules FROM own
+  UNION ALL SELECT item_id, 'translate_pivot', '{_YORUBA_SYSTEM}', concat('{_written_block('translate')}Question (Yoruba):\n', text), '{_PIVOT_RULES}' FROM own
+  UNION ALL SELECT item_id, 'best_of_n_cot', own_system, concat(CASE WHEN en THEN replace('{_written_block('en')}', 'Mo ní ìwé 2. Mo ra 3 sí i. Mélòó ni?', 'I have 2 books.') ELSE '{_written_block('en')}' END, label, ':\n', text),
+    concat('{_RULES}', quantity, '- Reason step by step in English.\n{_END}') FROM own)
+SELECT item_id, style, concat('System:\n', system, '\n\nUser:\n', problem, '\n\nAnswer format:\nFinal answer: <number>\n\n', rules) AS prompt FROM parts""",
+)
+def prompt_styles(spark, sf_dir):
+    """The other styles, for texts in either language; one style is an alias with examples of its own for English sources."""
+    english = P.Exemplar("I have 2 books.", "2 + 3 = 5.", "", "5", "")
+    source = F.when(F.col("item_id") % 2 == 1, "afrimgsm_translate").otherwise("own")
+    rows, none = V.table(spark, sf_dir, "benchmark"), F.lit(None).cast("array<string>")
+    texts = [F.struct(F.lit(s).alias("style"), P.as_text(P.render(s, _EXEMPLARS | {"math_en": [english]}, F.lit("math"), source, F.col("text"), none, F.lit("number"))).alias("prompt")) for s in P.STYLES[1:]]
+    return rows.select("item_id", F.explode(F.array(*texts)).alias("p")).select("item_id", "p.style", "p.prompt")
+
+
+def _items_of(rows: DataFrame, key: str, split: str) -> DataFrame:
+    return raw.normalize(rows, raw.SOURCES[key], split).select("id", "question", "gold_answer", "answer_type", "task", F.array_join("choices", "#").alias("choices"), "error")
+
+
+@query(
+    "normalize_choice",
+    f"""WITH r AS (SELECT concat('afrimmlu_test_', p_partkey) AS id, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS question, CASE WHEN p_size % 6 <= 3 THEN chr(65 + p_size % 6) ELSE CAST(p_size % 6 AS VARCHAR) END AS gold_answer,
+  CASE WHEN p_partkey % 3 = 0 THEN p_brand || '#x#None' WHEN p_partkey % 3 = 1 THEN p_brand || '#' || p_type END AS choices FROM part)
+SELECT id, question, gold_answer, 'choice' AS answer_type, 'qa' AS task, choices, CASE WHEN question = '' THEN 'question' END AS error FROM r""",
+)
+def normalize_choice(spark, sf_dir):
+    """F21, choices: written as a list, between bars, or missing; answers as numbers."""
+    k = F.col("p_partkey")
+    choices = F.when(k % 3 == 0, F.concat(F.lit("['"), "p_brand", F.lit("', \"x\", None]"))).when(k % 3 == 1, F.concat("p_brand", F.lit(" || "), "p_type")).otherwise("")
+    question = F.when(k % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("\n")))
+    return _items_of(V.table(spark, sf_dir, "part").select(k.alias("id"), question.alias("question"), (F.col("p_size") % 6).cast("string").alias("answer"), choices.alias("choices")), "afrimmlu", "test")
+
+
+@query(
+    "normalize_answers",
+    """SELECT concat('afriqa_train_', o_orderkey) AS id, o_orderpriority AS question, CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN o_orderstatus WHEN 1 THEN 'it''s' WHEN 2 THEN o_orderstatus ELSE '' END AS gold_answer,
+  'text' AS answer_type, 'qa' AS task, CAST(NULL AS VARCHAR) AS choices, CAST(NULL AS VARCHAR) AS error FROM orders""",
+)
+def normalize_answers(spark, sf_dir):
+    """F21, answers: a plain list, one with escapes, a bare text, or none."""
+    form = F.col("o_orderkey") % 4
+    answers = F.when(form == 0, F.concat(F.lit("['"), "o_orderstatus", F.lit("', 'b']"))).when(form == 1, r"['it\'s', 2.50]").when(form == 2, F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")))
+    return _items_of(V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("question"), answers.alias("answers")), "afriqa", "train")
+
+
+@query(
+    "normalize_reading",
+    """SELECT concat('naijarc_validation_', c_custkey) AS id, concat('Àyọkà:', chr(10), c_mktsegment, chr(10), chr(10), 'Ìbéèrè:', chr(10), c_name) AS question, CASE WHEN c_custkey % 2 = 0 THEN 'B' ELSE upper(substr(c_mktsegment, 1, 1)) END AS gold_answer,
+  'choice' AS answer_type, 'reading_comprehension' AS task, concat_ws('#', 'A. ' || c_name, CASE WHEN c_custkey % 2 = 0 THEN 'C. ' || c_mktsegment END) AS choices, CAST(NULL AS VARCHAR) AS error FROM customer""",
+)
+def normalize_reading(spark, sf_dir):
+    """F21, reading: story and question in one text, choices from columns, the answer under either spelling."""
+    even = F.col("c_custkey") % 2 == 0
+    rows = V.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("uid"), F.col("c_mktsegment").alias("story"), F.concat("c_name", F.lit(" ")).alias("question"), F.col("c_name").alias("options_A"), F.when(even, F.col("c_mktsegment")).alias("c"),
+        F.when(even, "1").alias("Answer"), F.lower(F.substring("c_mktsegment", 1, 1)).alias("answer_text"),
+    )
+    rows = rows.withColumn("Answer", F.coalesce("Answer", "answer_text")).drop("answer_text")
+    return _items_of(rows, "naijarc", "validation")
+
+
 @query(
     "metrics_csv",
     f"""WITH {_CAND}, {_ITEMS} SELECT dataset, model, method, CAST(n AS VARCHAR) AS n, CAST(sum(total_examples) AS VARCHAR) AS total_examples, string_agg(DISTINCT run_id, ';' ORDER BY run_id) AS run_ids FROM items GROUP BY dataset, model, method, items.n""",

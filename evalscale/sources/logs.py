@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -20,15 +20,17 @@ NO_RUNS = frozenset({"sample_prompts", "__pycache__", ".git", "_smoke", "smoke",
 
 
 def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Non-blank lines with their file and append position.
+    """Non-blank lines with their file and line number (0 first), of files of any size.
 
-    Spark has no line numbers for text, so files are read whole and split; a log is
-    one run's, and of a size that one task reads.  Tables beyond that are kept as
-    Parquet with an `ord` column from the start.
+    A task reads the lines of a part of a file in order, so a line's number is its
+    place in its part and the lines of the parts before, of which there are few.
     """
-    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return lines.where(strip_space(F.col("text")) != "").select("path", F.col("line").cast("long").alias("ord"), "text")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = spark.read.text(list(paths), lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), row.alias("row"), F.col("value").alias("text"))
+    parts = lines.groupBy("path", "part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("path", "part", (before - F.col("first")).alias("shift"))
+    return lines.join(parts, ["path", "part"]).where(strip_space(F.col("text")) != "").select("path", (F.col("row") + F.col("shift")).alias("ord"), "text")
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, strict: bool = True) -> DataFrame:
@@ -139,9 +141,23 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
 
+def swapped_in(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """K6: writes beside the target and then takes its place, so a failed write leaves what was there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
+    files = target.getFileSystem(conf)
+    files.delete(fresh, True)
+    write(str(fresh))
+    if files.exists(target):
+        files.delete(old, True)
+        files.rename(target, old)
+    files.rename(fresh, target)
+    files.delete(old, True)
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """K1: JSON lines with sorted keys and nulls kept."""
-    rows.select(*sorted(rows.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    swapped_in(rows.sparkSession, path, lambda to: rows.select(*sorted(rows.columns)).write.option("ignoreNullFields", "false").json(to))
 
 
 def write_json(value: Any, path: str | Path) -> None:

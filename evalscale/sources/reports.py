@@ -67,12 +67,25 @@ def comparison(metrics: DataFrame, c: compare.Comparison, folder: str | Path, pl
     logs.write_json(report, Path(folder) / "comparison.json")
     if plots:
         for d in [None, *[x["dataset"] for x in report["datasets"]]] if len(report["datasets"]) > 1 else [None]:
-            plot(report["paper_table"], ("dataset", "small_model"), "small_n", "small_accuracy", Path(folder) / f"accuracy{'' if d is None else f'_{d}'}.png", d)
+            end = "" if d is None else f"_{d}"
+            plot(report["paper_table"], ("dataset", "small_model"), "small_n", "small_accuracy", Path(folder) / f"accuracy{end}.png", d, level="large_accuracy")
+            for x in ("total_tokens", "total_latency_s"):
+                plot(efficiency_points(rows, c), ("dataset", "model"), x, "accuracy", Path(folder) / f"accuracy_by_{x}{end}.png", d, scatter=True)
     return report
 
 
-def plot(rows: Sequence[dict[str, Any]], series: Sequence[str], x: str, y: str, path: str | Path, dataset: str | None = None) -> Path | None:
-    """One line per series, by rising x; None without rows or without matplotlib."""
+def efficiency_points(metrics: DataFrame, c: compare.Comparison) -> list[dict[str, Any]]:
+    """What the efficiency plot shows: each side's rows of the comparison, with what they cost."""
+    table = compare.paper_table(metrics, c)
+    columns = ("model", "n", "accuracy", "total_tokens", "total_latency_s")
+    sides = [table.select("dataset", *[F.col(f"{side}_{x}").alias(x) for x in columns]) for side in ("small", "large")]
+    return rows_of(sides[0].unionByName(sides[1]).where("accuracy is not null").distinct().orderBy("dataset", "model", "n"))
+
+
+def plot(
+    rows: Sequence[dict[str, Any]], series: Sequence[str], x: str, y: str, path: str | Path, dataset: str | None = None, level: str | None = None, scatter: bool = False
+) -> Path | None:
+    """One line (or cloud) per series, by rising x, and its dashed level; None without rows or without matplotlib."""
     rows = [r for r in rows if (dataset is None or r.get("dataset") == dataset) and r.get(x) is not None and r.get(y) is not None]
     if not rows:
         return None
@@ -83,7 +96,9 @@ def plot(rows: Sequence[dict[str, Any]], series: Sequence[str], x: str, y: str,
     axes = (figure := Figure(figsize=(7, 4.5))).subplots()
     for name in sorted({tuple(str(r[s]) for s in series) for r in rows}):
         own = sorted((r for r in rows if tuple(str(r[s]) for s in series) == name), key=lambda r: r[x])
-        axes.plot([r[x] for r in own], [r[y] for r in own], marker="o", label=" / ".join(name))
+        axes.plot([r[x] for r in own], [r[y] for r in own], marker="o", linestyle="" if scatter else "-", label=" / ".join(name))
+        if level is not None and own[0].get(level) is not None:
+            axes.axhline(own[0][level], linestyle="--", label=f"{name[0]}: large model")
     axes.set(xlabel=x, ylabel=y)
     axes.legend()
     Path(path).parent.mkdir(parents=True, exist_ok=True)
