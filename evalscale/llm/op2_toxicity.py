@@ -260,7 +260,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str, keep: Column, row
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in (0, 2, 3)], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "fold", "x"])
 
     # at most `rows`: the sample has one row per doc_id
-    held = sample.select("doc_id", "text", "label", "fold").mapInArrow(run, "doc_id long, label int, fold int, x array<double>").orderBy("doc_id").collect()
+    held = sample.select("doc_id", "text", "label", "fold").mapInArrow(run, "doc_id long, label int, fold int, x array<double>").collect()
+    held.sort(key=lambda r: r.doc_id)
     y, fold = np.array([r.label for r in held], float), np.array([r.fold for r in held])
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(set(y.tolist())) < 2:
