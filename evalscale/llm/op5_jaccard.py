@@ -147,13 +147,10 @@ def prefixes(documents: DataFrame, k: int, percent: int, slack: int, hot: np.nda
             tokens, metas, fps, sizes = [], [], [], []
             for fp, x in sets:
                 p = prefix_length(len(x), percent, slack)
-                if len(lookup.values):
-                    is_hot = np.zeros(len(x), bool)
-                    is_hot[lookup.find(x)[0]] = True
-                    x = np.concatenate([x[~is_hot], x[is_hot]])
-                    rank = 255 - 255 * max(0, p - int(len(is_hot) - is_hot.sum())) // p
-                else:
-                    rank = 255
+                is_hot = np.zeros(len(x), bool)
+                is_hot[lookup.find(x)[0]] = True
+                rank = 255 - 255 * int(is_hot[:p].sum()) // p  # by how many of its first tokens other sets have
+                x = np.concatenate([x[~is_hot], x[is_hot]])
                 size_class = int(lower_class(np.array([len(x)]), percent)[0])
                 tokens.append(x[:p])
                 metas.append(size_class << 40 | rank << 32 | len(x))
