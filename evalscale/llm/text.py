@@ -155,6 +155,10 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     table = _BYTE_HASH_LOWER if lower else _BYTE_HASH
     while at < len(starts):
         base = starts[at]
+        if ends[at] - base > SLICE_BYTES:
+            out[at] = _long_span(table, raw[base : ends[at]])
+            at += 1
+            continue
         to = max(at + 1, int(np.searchsorted(reach, base + SLICE_BYTES, side="right")))
         size = int(reach[to - 1] - base)
         up, down = _power(size + 1)
@@ -166,6 +170,16 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     return out
 
 
+def _long_span(table: np.ndarray, span: np.ndarray) -> np.uint64:
+    """The same hash of one long span, a piece at a time."""
+    up, _ = _power(SLICE_BYTES)
+    total = 0
+    for a in range(0, len(span), SLICE_BYTES):
+        piece = span[a : a + SLICE_BYTES]
+        total += int((table[piece] * up[: len(piece)]).sum(dtype=_U64)) * pow(_BASE, a, 1 << 64)
+    return mix(np.array([total + len(span) * int(MULTIPLIER) & (1 << 64) - 1], _U64))[0]
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k consecutive words; those that cross rows are for the caller to drop."""
     n = len(hashes) - k + 1

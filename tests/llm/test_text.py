@@ -39,6 +39,15 @@ def test_hashes_do_not_depend_on_slices_and_keep_to_rows():
     assert int(g[1]) == T.gram_of([b"beta", b"gamma"]) == int(g[4])
 
 
+def test_long_spans_have_the_same_hash(monkeypatch):
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, 5000).astype(np.uint8)
+    starts, ends = np.array([0, 10, 3000]), np.array([9, 2990, 5000])
+    whole = T.hash_spans(raw, starts, ends)
+    monkeypatch.setattr(T, "SLICE_BYTES", 64)
+    assert np.array_equal(T.hash_spans(raw, starts, ends), whole)
+
+
 def test_lookup():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
