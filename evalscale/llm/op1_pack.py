@@ -17,6 +17,7 @@ repeated rows are packed once each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -29,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import cut
+from evalscale.llm.common import cut, join_small
 from evalscale.llm.text import cache_of, release, slices
 
 CAPACITY = 2048
 #: A worker forgets all words beyond this many (about 150 MB) and starts anew.
 CACHE_WORDS = 700_000
+#: Nor does it remember more characters of words.
+CACHE_CHARS = 64 << 20
 #: Words encoded in one call; what the tokenizer returns for a word takes much more memory than its ids.
 ENCODE_WORDS = 2_000
 CLOSING = ".,!?;:*$%&#|()\""
@@ -42,8 +45,18 @@ CLOSING = ".,!?;:*$%&#|()\""
 TEXT_BYTES = 6 << 20
 
 
+def folds_words(path: str) -> bool:
+    """Whether a tokenizer file works as `Encoder` needs to look words up: it parts texts at white space and punctuation, and lower-cases."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = (made.get("normalizer") or {}).get("normalizers") or [made.get("normalizer") or {}]
+    splits = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [made.get("pre_tokenizer") or {}]
+    pattern = next((s["pattern"].get("Regex", "") for s in splits if s.get("type") == "Split"), "")
+    return "Lowercase" in [s.get("type") for s in steps] and bool(made["model"].get("end_of_word_suffix")) and r"[^\s\p{L}\p{N}]+" in pattern
+
+
 class Encoder:
-    """Ids of whole texts, by remembered words.
+    """Ids of whole texts, by remembered words; of another kind of tokenizer (see `folds_words`) text by text.
 
     No token spans white space, so texts are cut there.  Closing ASCII punctuation
     after a letter or digit is a token run of its own, and the tokenizer folds case,
@@ -57,7 +70,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = cache_words
+        self.limit, self.folds = cache_words, folds_words(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
         self._reset()
 
@@ -65,7 +78,7 @@ class Encoder:
         self.cache = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used, self.known = 0, 1
+        self.used, self.known, self.held = 0, 1, 0
 
     def _learn(self, words: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -79,7 +92,7 @@ class Encoder:
         self.starts[self.known : self.known + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.lengths[self.known : self.known + len(words)] = sizes
         self.cache.update(zip(words, range(self.known, self.known + len(words)), strict=True))
-        self.used, self.known = self.used + total, self.known + len(words)
+        self.used, self.known, self.held = self.used + total, self.known + len(words), self.held + sum(map(len, words))
 
     def _entries(self, chunks: list[str]) -> np.ndarray:
         """Two entries (rest, closing punctuation) for each chunk."""
@@ -98,7 +111,7 @@ class Encoder:
             rests.append(low)
             ends.append(end)
         new = list({w: 0 for w in chain(rests, ends) if w not in self.cache})
-        if self.known + len(new) > self.limit:
+        if self.known + len(new) > self.limit or self.held + sum(map(len, new)) > CACHE_CHARS:
             self._reset()
             new = list({w: 0 for w in chain(rests, ends) if w not in self.cache})
         for at in range(0, len(new), ENCODE_WORDS):
@@ -111,6 +124,9 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts, and where each text's begin."""
+        if not self.folds:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
         parts = pc.ascii_split_whitespace(column.fill_null(""))
         values = parts.flatten().dictionary_encode()
         entry = self._entries(values.dictionary.to_pylist())[values.indices.to_numpy(zero_copy_only=False)].ravel()
@@ -258,7 +274,7 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, cache_words:
             )
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("pid")) - F.col("n")
-    numbered = pieces.join(per.withColumn("before", before).drop("n"), ["length", "pid"])
+    numbered = join_small(pieces, cut(per.withColumn("before", before).drop("n"), "before"), ["length", "pid"], "inner", 32)
     return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number")).alias("number")).mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

@@ -77,6 +77,19 @@ def test_encoder_equals_the_tokenizer(limit):
             assert flat[bounds[i] : bounds[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_other_tokenizers_and_long_words():
+    """A tokenizer that keeps case and white space encodes texts whole; what is remembered is bounded in bytes."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    for path, folds in ((PATH, True), (other, False)):
+        e = Encoder(path)
+        assert e.folds is folds
+        texts = [*TEXTS, "x" * 300_000, "Ab" * 2000 + " y", "tail  with   gaps\n\n"]
+        flat, bounds = e.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert flat[bounds[i] : bounds[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert e.held < 1 << 20
+
+
 def test_packing(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "xyzzy"]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None, "", "word " * 200]
