@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import cut, join_small
+from evalscale.llm.common import ROW_KEY, cut, join_measured, join_small, row_key
 from evalscale.llm.text import _splitmix, buffers, slices
 
 FRAME = 576
@@ -101,10 +101,10 @@ def feature(samples: bytes) -> str:
     return f"n={len(x)};sum={int(wide.sum())};power={int((wide * wide).sum())};min={int(x.min())};max={int(x.max())};crossings={int((above[1:] != above[:-1]).sum())}"
 
 
-STORE = "kind string, key long, doc_id long, n_bytes long, recipe array<struct<digest:binary,length:int,shared:boolean>>, inline binary, digest binary, bytes binary"
+STORE = "kind string, key long, key2 long, doc_id long, n_bytes long, recipe array<struct<digest:binary,length:int,shared:boolean>>, inline binary, digest binary, bytes binary"
 _RECIPE = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("shared", pa.bool_())]))
 _STORE = pa.schema(
-    [("kind", pa.string()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("recipe", _RECIPE), ("inline", pa.binary()), ("digest", pa.binary()), ("bytes", pa.binary())]
+    [("kind", pa.string()), ("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("recipe", _RECIPE), ("inline", pa.binary()), ("digest", pa.binary()), ("bytes", pa.binary())]
 )
 
 
@@ -114,33 +114,34 @@ def occurrences(documents: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, own, place, digests = part.column(0).to_pylist(), [], [], []
-                for row, p, ends in chunked(part, 1):
+                own, place, digests = [], [], []
+                for row, p, ends in chunked(part, 0):
                     at = 0
                     for i, end in enumerate(ends):
-                        own.append(keys[row])
+                        own.append(row)
                         place.append(i)
                         digests.append(hashlib.sha256(p[at:end]).digest())
                         at = end
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(place, pa.int32()), pa.array(digests, pa.binary())], names=["key", "place", "digest"])
+                rows = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(1).take(rows), part.column(2).take(rows), pa.array(place, pa.int32()), pa.array(digests, pa.binary())], names=[*ROW_KEY, "place", "digest"])
 
-    return documents.select("key", "text").mapInArrow(run, "key long, place int, digest binary")
+    return documents.select("text", *ROW_KEY).mapInArrow(run, "key long, key2 long, place int, digest binary")
 
 
 def write_store(documents: DataFrame) -> DataFrame:
     """The chunk store: rows of kind `media` (ordered chunk list, own bytes) and of kind `chunk` (repeated ones, once)."""
-    rows = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = documents.select(F.col("doc_id").cast("long"), "text", *row_key())
     found = cut(occurrences(rows), "chunks")
-    owner = F.min(F.struct("key", "place")).alias("owner")
-    repeated = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), owner).where("n > 1").drop("n")
-    marks = found.join(repeated, "digest").select("key", "place", (F.struct("key", "place") == F.col("owner")).alias("writes"))
-    places = cut(marks.groupBy("key").agg(F.collect_set("place").alias("shared"), F.collect_set(F.when(F.col("writes"), F.col("place"))).alias("writes")), "repeated")
+    at = F.struct(*ROW_KEY, "place")
+    # written, so that the join has an exchange of its own on either side and a common chunk's rows can be split
+    repeated = cut(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("owner")).where("n > 1").drop("n"), "repeated-chunks")
+    marks = join_small(found, repeated, "digest", "inner", 80).select(*ROW_KEY, "place", (at == F.col("owner")).alias("writes"))
+    places = cut(marks.groupBy(*ROW_KEY).agg(F.collect_set("place").alias("shared"), F.collect_set(F.when(F.col("writes"), F.col("place"))).alias("writes")), "repeated")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                shared, writes = part.column(3).to_pylist(), part.column(4).to_pylist()
-                ids, keys = part.column(0).to_pylist(), part.column(2).to_pylist()
+                ids, keys, keys2, shared, writes = (part.column(i).to_pylist() for i in (0, 2, 3, 4, 5))
                 sizes = np.diff(buffers(part.column(1))[1]).tolist()
                 out = []
                 for row, p, ends in chunked(part, 1):
@@ -155,14 +156,15 @@ def write_store(documents: DataFrame) -> DataFrame:
                         elif i in own:
                             out.append({"kind": "chunk", "digest": digest, "bytes": chunk})
                         at = end
-                    out.append({"kind": "media", "key": keys[row], "doc_id": ids[row], "n_bytes": sizes[row], "recipe": recipe, "inline": b"".join(inline)})
+                    out.append({"kind": "media", "key": keys[row], "key2": keys2[row], "doc_id": ids[row], "n_bytes": sizes[row], "recipe": recipe, "inline": b"".join(inline)})
                 yield pa.RecordBatch.from_pylist(out, schema=_STORE)
 
-    marked = join_small(rows, places, "key", "left", 200).select("doc_id", "text", "key", "shared", "writes")
+    size = 48 + 4 * (F.size("shared") + F.size("writes"))
+    marked = join_measured(rows, places, ROW_KEY, "left", size).select("doc_id", "text", *ROW_KEY, "shared", "writes")
     return cut(marked.mapInArrow(run, STORE), "media")
 
 
-RESULT = "key long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESULT = "key long, key2 long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def assemble(recipe: list[dict], inline: bytes, foreign: dict[int, bytes]) -> bytes:
@@ -181,36 +183,36 @@ def assemble(recipe: list[dict], inline: bytes, foreign: dict[int, bytes]) -> by
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Rebuilds the media of rows (key, doc_id, n_bytes, recipe, inline, foreign) and computes what they hold."""
+    """Rebuilds the media of rows (row key, doc_id, n_bytes, recipe, inline, foreign) and computes what they hold."""
 
     def run(batches):
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                key, doc_id, n_bytes, recipe, inline, foreign = (c[i].as_py() for c in batch.columns)
+                key, key2, doc_id, n_bytes, recipe, inline, foreign = (c[i].as_py() for c in batch.columns)
                 file = assemble(recipe, inline, {f["place"]: f["bytes"] for f in foreign or ()})
                 samples = samples_of(file)
                 out.append(
-                    (key, doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(samples))
+                    (key, key2, doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(samples))
                 )
             kinds = [pa.string() if f.endswith("string") else pa.int64() for f in RESULT.split(", ")]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
-    return media.select("key", "doc_id", "n_bytes", "recipe", "inline", "foreign").mapInArrow(run, RESULT)
+    return media.select(*ROW_KEY, "doc_id", "n_bytes", "recipe", "inline", "foreign").mapInArrow(run, RESULT)
 
 
 def read_store(store: DataFrame) -> DataFrame:
     """Every media rebuilt from the store, verified and described: one row per document."""
-    media = store.where("kind = 'media'").select("key", "doc_id", "n_bytes", "recipe", "inline")
+    media = store.where("kind = 'media'").select(*ROW_KEY, "doc_id", "n_bytes", "recipe", "inline")
     lone = ~F.exists("recipe", lambda c: c["shared"])
     nothing = F.lit(None).cast("array<struct<place:int,bytes:binary>>")
     plain = describe(media.where(lone).withColumn("foreign", nothing))
     chunks = store.where("kind = 'chunk'").select("digest", "bytes").dropDuplicates(["digest"])
     rest = media.where(~lone)
-    asked = rest.select("key", F.posexplode("recipe").alias("place", "c")).where("c.shared").select("key", "place", "c.digest").distinct()
-    fetched = asked.join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("place", "bytes")).alias("foreign"))
-    done = describe(rest.dropDuplicates(["key"]).join(fetched, "key"))
-    again = rest.select("key").join(done, "key")  # repeated rows have one key
+    asked = rest.select(*ROW_KEY, F.posexplode("recipe").alias("place", "c")).where("c.shared").select(*ROW_KEY, "place", "c.digest").distinct()
+    fetched = asked.join(chunks, "digest").groupBy(*ROW_KEY).agg(F.collect_list(F.struct("place", "bytes")).alias("foreign"))
+    done = describe(rest.dropDuplicates(ROW_KEY).join(fetched, ROW_KEY))
+    again = rest.select(*ROW_KEY).join(done, ROW_KEY)  # repeated rows have one key
     columns = [f.split()[0] for f in RESULT.split(", ")]
     return plain.unionByName(again.select(*columns))
