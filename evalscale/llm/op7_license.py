@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import cut
+from evalscale.llm.common import BROADCAST_BYTES, ROW_KEY, cut, join_measured, row_key
+from evalscale.llm.licenses import LICENSES
 from evalscale.llm.text import ALNUM, Lookup, Words, gram_of, gram_rows, grams, slices
 
 K = 3
@@ -43,7 +44,7 @@ NEAR = 40
 #: Fixed phrases and labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Fixed notices of public licenses, in the words that a scan sees; labels are the method's own.
+#: Fixed short notices of public licenses, in the words that a scan sees; labels are the method's own.  Whole texts follow below.
 TEMPLATES = [
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
@@ -72,6 +73,9 @@ for _version, _port in (("4.0", "international"), ("3.0", "unported")):
         _own = [f"this work is licensed under a creative commons attribution{_long} {_version} {_port} license", f"licensed under cc by{_short} {_version}"]
         TEMPLATES += [x for t in _own if (x := (f"cc-by{_short}-{_version}", re.sub("[-.]", " ", t))) not in TEMPLATES]
 
+_WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+TEMPLATES += [(label, " ".join(_WORD.findall(text.lower()))) for label, text in LICENSES]
+
 #: Words that tell a license from its siblings; numbers too, in templates that have any.
 DECIDING = {"lesser", "library", "affero", "sharealike", "noncommercial", "noderivatives"}
 #: Other ways to write them.
@@ -79,11 +83,11 @@ ALIKE = {"sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives", "node
 ALIKE_TWO = {("share", "alike"): "sharealike", ("non", "commercial"): "noncommercial", ("no", "derivatives"): "noderivatives", ("no", "derivs"): "noderivatives"}
 
 SCANNED = (
-    "key long, doc_id long, n_words long, places array<struct<start:long,label:string>>, grams array<struct<at:long,hash:long>>, contexts array<struct<start:long,words:array<string>>>"
+    "key long, key2 long, doc_id long, n_words long, places array<struct<start:long,label:string>>, grams array<struct<at:long,hash:long>>, contexts array<struct<start:long,words:array<string>>>"
 )
 _SCANNED = pa.schema(
     [
-        ("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))),
+        ("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))),
         ("grams", pa.list_(pa.struct([("at", pa.int64()), ("hash", pa.int64())]))), ("contexts", pa.list_(pa.struct([("start", pa.int64()), ("words", pa.list_(pa.string()))]))),
     ]
 )
@@ -140,13 +144,13 @@ def scan(documents: DataFrame, phrases: dict[str, str], templates: list[tuple[st
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(2), part.column(0), pa.array(words.counts.astype(np.int64)), pa.array([places.get(i, []) for i in range(n)], _SCANNED.field(3).type),
-                        pa.array([hits.get(i, []) for i in range(n)], _SCANNED.field(4).type), pa.array([contexts.get(i, []) for i in range(n)], _SCANNED.field(5).type),
+                        part.column(2), part.column(3), part.column(0), pa.array(words.counts.astype(np.int64)), pa.array([places.get(i, []) for i in range(n)], _SCANNED.field(4).type),
+                        pa.array([hits.get(i, []) for i in range(n)], _SCANNED.field(5).type), pa.array([contexts.get(i, []) for i in range(n)], _SCANNED.field(6).type),
                     ],
                     schema=_SCANNED,
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, SCANNED)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key()).mapInArrow(run, SCANNED)
 
 
 def in_order(a: list[str], b: list[str]) -> int:
@@ -195,16 +199,18 @@ def best_spans(spans: list[dict]) -> list[dict]:
 
 
 def vote(scanned: DataFrame, templates: list[tuple[str, str]], k: int, apart: int) -> DataFrame:
-    """Spans (key, template, first and past-last word) of merged diagonals, with their votes."""
+    """Spans (row key, template, first and past-last word) of merged diagonals, with their votes."""
     spark = scanned.sparkSession
     places = [(h - (1 << 64) if h >> 63 else h, t, i) for h, t, i in template_grams(templates, k)]
+    if len(places) * 32 > BROADCAST_BYTES:
+        raise ValueError(f"the templates have {len(places)} {k}-grams, more than executors are sent at once; scan with fewer at a time")
     table = F.broadcast(spark.createDataFrame(places, "hash long, template int, place long"))
-    hits = scanned.where(F.size("grams") > 0).dropDuplicates(["key"]).select("key", F.explode("grams").alias("g")).select("key", "g.at", "g.hash")
-    votes = hits.join(table, "hash").groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("a"), (F.max("at") + k).alias("b"))
-    order = Window.partitionBy("key", "template").orderBy("diagonal")
+    hits = scanned.where(F.size("grams") > 0).dropDuplicates(ROW_KEY).select(*ROW_KEY, F.explode("grams").alias("g")).select(*ROW_KEY, "g.at", "g.hash")
+    votes = hits.join(table, "hash").groupBy(*ROW_KEY, "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("a"), (F.max("at") + k).alias("b"))
+    order = Window.partitionBy(*ROW_KEY, "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= apart, 0).otherwise(1)
     grouped = votes.withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(order))
-    return grouped.groupBy("key", "template", "group").agg(F.sum("n").alias("votes"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return grouped.groupBy(*ROW_KEY, "template", "group").agg(F.sum("n").alias("votes"), F.min("a").alias("a"), F.max("b").alias("b"))
 
 
 def verify(spans: DataFrame, scanned: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
@@ -217,12 +223,13 @@ def verify(spans: DataFrame, scanned: DataFrame, templates: list[tuple[str, str]
             for r in batch.to_pylist():
                 label, words = split[r["template"]]
                 own = [w for c in r["contexts"] for i, w in enumerate(c["words"], c["start"]) if r["a"] <= i < r["b"]]
-                out.append({"key": r["key"], "label": label, "start": r["a"], "end": r["b"], "score": span_score(own, words)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+                out.append({**{k: r[k] for k in ROW_KEY}, "label": label, "start": r["a"], "end": r["b"], "score": span_score(own, words)})
+            kinds = [*[(k, pa.int64()) for k in ROW_KEY], ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
 
     around = F.expr("filter(contexts, c -> c.start < b and c.start + size(c.words) > a)")
-    near = spans.join(scanned.where(F.size("grams") > 0).dropDuplicates(["key"]).select("key", "contexts"), "key").withColumn("contexts", around)
-    return near.select("key", "template", "a", "b", "contexts").mapInArrow(run, "key long, label string, start long, end long, score double")
+    near = spans.join(scanned.where(F.size("grams") > 0).dropDuplicates(ROW_KEY).select(*ROW_KEY, "contexts"), ROW_KEY).withColumn("contexts", around)
+    return near.select(*ROW_KEY, "template", "a", "b", "contexts").mapInArrow(run, "key long, key2 long, label string, start long, end long, score double")
 
 
 def scan_licenses(documents: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, k: int = K, apart: int = MERGE, least: float = LEAST_SCORE) -> DataFrame:
@@ -232,17 +239,18 @@ def scan_licenses(documents: DataFrame, phrases: dict[str, str] | None = None, t
     spans = verify(vote(scanned, templates, k, apart), scanned, templates)
     span = "struct<start:long,end:long,label:string,score:double>"
     listed = F.collect_list(F.when(F.col("score") >= least, F.struct("start", "end", "label", "score")))
-    per = spans.groupBy("key").agg(F.max("score").alias("score"), listed.alias("spans"))
+    per = spans.groupBy(*ROW_KEY).agg(F.max("score").alias("score"), listed.alias("spans"))
 
     def choose(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())]))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([best_spans(x) for x in batch.column(2).to_pylist()], kind)], names=["key", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([best_spans(x) for x in batch.column(3).to_pylist()], kind)], names=[*ROW_KEY, "score", "spans"])
 
-    per = per.mapInArrow(choose, f"key long, score double, spans array<{span}>").withColumn("own", F.array_distinct("spans.label"))
+    per = cut(per.mapInArrow(choose, f"key long, key2 long, score double, spans array<{span}>").withColumn("own", F.array_distinct("spans.label")), "spans")
     starts, base = F.col("places.start"), F.array_sort(F.array_distinct(F.col("places.label")))
-    return scanned.drop("grams", "contexts").join(per, "key", "left").select(
+    joined = join_measured(scanned.drop("grams", "contexts"), per, ROW_KEY, "left", 64 + 48 * F.size("spans") + 24 * F.size("own"))
+    return joined.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, F.coalesce("own", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"), "spans",
+        F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("spans", F.array().cast(f"array<{span}>")).alias("spans"),
     )

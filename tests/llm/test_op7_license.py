@@ -67,6 +67,43 @@ def test_sibling_licenses(spark):
     assert {t: got[i].labels for i, t in enumerate(cases)} == cases
 
 
+def test_whole_license_texts(spark):
+    """Each with its own holder and line breaks, inside other text; the siblings of one text are told apart."""
+    rows = [(i, f"Copyright 2020 Some One.\n{text}\nFiller behind {i} it.") for i, (_, text) in enumerate(L.LICENSES)]
+    mit = dict(L.LICENSES)["mit"]
+    rows += [(100, mit.replace("obtaining a copy", "who gets a copy").replace("merge, publish,", "")), (101, " ".join(mit.split()[:60])), (102, f"{mit}\n{dict(L.LICENSES)['isc']}")]
+    got = run(spark, rows)
+    for i, (label, text) in enumerate(L.LICENSES):
+        own = set(got[i].labels.split(","))
+        assert label in own and own - {label} <= {"gpl", "apache"} and got[i].score > 0.99
+        assert any(s.label == label and s.end - s.start >= len(text.split()) - 5 for s in got[i].spans)
+    assert got[100].labels == "mit" and 0.9 < got[100].score < 1 and got[101].labels == "mit" and {"mit", "isc"} <= set(got[102].labels.split(","))
+
+
+def brute_spans(text, templates, least):
+    """Labels of templates that stand word for word, by search."""
+    w = words(text)
+    return {label for label, t in templates if (x := t.split()) and any(w[i : i + len(x)] == x for i in range(len(w) - len(x) + 1))}
+
+
+def test_labels_and_score_against_brute_force(spark):
+    """Texts put together of whole notices and other words: a template that stands in full is found, one that shares no k-gram is not."""
+    rng = random.Random(9)
+    rows = []
+    for d in range(40):
+        parts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(3, 30))) for _ in range(3)]
+        for _ in range(rng.randint(0, 2)):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(L.TEMPLATES)[1])
+        rows.append((d, " . ".join(parts)))
+    got = run(spark, rows)
+    for d, t in rows:
+        full, labels = brute_spans(t, L.TEMPLATES, 1), set(got[d].labels.split(",")) - {""}
+        grams = {tuple(words(t)[i : i + L.K]) for i in range(len(words(t)))}
+        sharing = {label for label, x in L.TEMPLATES if any(tuple(x.split()[i : i + L.K]) in grams for i in range(len(x.split()) - L.K + 1))}
+        assert labels <= sharing | set(L.PHRASES.values()) and (got[d].score == 1.0) == bool(full) and bool(full) <= bool(labels)
+        assert {s.label for s in got[d].spans} & full == {s.label for s in got[d].spans}
+
+
 def test_inserted_words_are_charged():
     words = L.TEMPLATES[5][1].split()
     assert L.span_score(words, words) == 1 and L.span_score([*words[:5], *["x"] * 10, *words[5:]], words) < L.LEAST_SCORE
