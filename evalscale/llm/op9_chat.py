@@ -112,15 +112,22 @@ _TURN = re.compile(rf"{re.escape(START)}([^\n]*)\n(.*?){re.escape(END)}\n", re.S
 
 
 def read_back(parts: DataFrame) -> DataFrame:
-    """Digests of the turns and of the text under the loss mask, from the formatted parts alone."""
+    """Digests of the turns and of the text under the loss mask, from the formatted parts alone.
+
+    A conversation's parts must come one after another, as they were made; parts that
+    were dealt out since have to be brought together again by (conv_id, part).
+    """
 
     def run(batches):
         out = []
         for conv_id, rows in groupby(rows_of(batches), key=lambda r: r[0]):
             turns, loss = hashlib.sha256(), hashlib.sha256()
             n, loss_chars, chars = 0, 0, 0
-            for _, _, text, spans, _, _ in rows:
-                at = 0
+            expected, ended = 0, False
+            for _, part, text, spans, _, last in rows:
+                if part != expected or ended:
+                    raise ValueError(f"conversation {conv_id}: part {part} where {expected} was due")
+                expected, ended, at = part + 1, last, 0
                 for m in _TURN.finditer(text):
                     if m.start() != at:
                         raise ValueError(f"conversation {conv_id}: text between turns")
@@ -133,6 +140,8 @@ def read_back(parts: DataFrame) -> DataFrame:
                     loss.update(own.encode())
                     loss_chars += len(own)
                 chars += len(text)
+            if not ended:
+                raise ValueError(f"conversation {conv_id}: its last part is missing")
             out.append((conv_id, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             if len(out) >= 5000:
                 yield batch_of(out)

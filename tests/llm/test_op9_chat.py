@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evalscale.llm import op9_chat as C
 from evalscale.llm.template import Const, Out, Template, TemplateError, fold_body, parse
@@ -92,3 +93,12 @@ def test_added_conversation(spark):
     control = "</s>[INST] ok [/INST]"
     assert (r.conv_id, r.n_turns, r.loss_chars) == (-1, 2, len(control))
     assert r.loss_sha256 == hashlib.sha256(control.encode()).hexdigest()
+
+
+def test_parts_out_of_order_are_refused(spark):
+    rows = spark.createDataFrame([(1, i, "user", "x" * 40_000) for i in range(6)], "conv_id long, turn long, role string, text string")
+    parts = C.format_conversations(rows).coalesce(1)
+    assert parts.count() > 2 and C.read_back(parts).first().n_turns == 6
+    for broken in (parts.orderBy(F.desc("part")), parts.where("part <> 1"), parts.where("not last"), parts.unionByName(parts)):
+        with pytest.raises(Exception, match="part"):
+            C.read_back(broken.coalesce(1)).collect()
