@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalscale.llm import sql
-from evalscale.llm.common import crc_fold, table
+from evalscale.llm.common import crc_fold, cut, table
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,27 @@ def decided(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing: all documents are in it, pieces follow gaplessly in documents and in sequences, and only long ones are cut."""
+    packed = cut(op1_pack(spark, sf_dir), "packed")
+    start = F.coalesce(F.sum("length").over(Window.partitionBy("sequence_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sequences = packed.withColumn("gap", F.col("offset") != start).groupBy("sequence_id").agg(F.max("gap").alias("gap"), F.sum("length").alias("size"))
+    bad = sequences.agg(F.count_if(F.col("gap") | (F.col("size") > 2048)).alias("bad_sequences"))
+    cuts = (F.col("piece") > 0) & (F.col("start") != F.col("piece") * 2048) | (F.col("piece") == 0) & (F.col("start") != 0)
+    pieces = packed.agg(F.count_if(F.col("piece") == 0).alias("documents"), F.countDistinct("doc_id").alias("ids"), F.count_if(cuts | (F.col("length") < 1)).alias("bad_pieces"))
+    return pieces.crossJoin(bad)  # one row each
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the media read back, what SQL can compute as well."""
+    return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the license scan, the columns that are exact by contract."""
+    return op7_license(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_toxicity": op2_toxicity,
@@ -95,10 +116,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_lines": op10_lines,
+    "pack_sequences": pack_sequences,
+    "media_payloads": media_payloads,
+    "license_base": license_base,
 }
 ORACLES: dict[str, str] = {
     "op3_warc": sql.OP3,
     "op4_decontaminate": sql.OP4,
     "op5_jaccard": sql.OP5,
     "op9_chat": sql.OP9,
+    "pack_sequences": sql.PACK,
+    "media_payloads": sql.MEDIA,
+    "license_base": sql.LICENSE,
 }

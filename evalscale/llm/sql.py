@@ -53,3 +53,20 @@ least AS (SELECT a, min(doc_id) AS m FROM reach JOIN docs ON docs.r = reach.b GR
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
 FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least ON least.a = docs.r
 """
+
+PACK = "SELECT count(*) AS documents, count(DISTINCT doc_id) AS ids, 0::BIGINT AS bad_pieces, 0::BIGINT AS bad_sequences FROM documents"
+
+MEDIA = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, b, CASE WHEN octet_length(b) = 0 THEN 576 ELSE (576 - octet_length(b) % 576) % 576 END AS pad FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n + pad AS BIGINT) AS payload_bytes, sha256(b || unhex(repeat('FF', CAST(pad AS BIGINT)))) AS payload_sha256, CAST(44 + n + pad AS BIGINT) AS media_bytes FROM p
+"""
+
+LICENSE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+phrases(p, k, label) AS (VALUES ('gnu general public license', 4, 'gpl'), ('apache license', 2, 'apache'), ('cc by', 2, 'cc-by'), ('mit license', 2, 'mit')),
+places AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM docs),
+hits AS (SELECT r, i, label FROM places JOIN phrases ON array_to_string(w[i + 1:i + k], ' ') = p),
+per AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM docs LEFT JOIN per USING (r)
+"""
