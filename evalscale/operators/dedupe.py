@@ -14,6 +14,11 @@ def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ord
     return rows.withColumn("__nth", F.row_number().over(newest)).where("__nth = 1").drop("__nth")
 
 
+def keep_last_together(rows: DataFrame, keys: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """As `keep_last`, dealt out by `groups`, of which the keys are finer: what follows on the groups needs no further shuffle."""
+    return keep_last(rows.repartition(*groups), keys)
+
+
 def keep_last_at_first(rows: DataFrame, keys: Sequence[str], order: str = "ord", first: str = "first_ord") -> DataFrame:
     """As `keep_last`, with the position where the key was first seen in column `first`."""
     rest = [c for c in rows.columns if c not in keys and c != order]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalscale.functions.text import with_match
-from evalscale.operators.dedupe import keep_last
+from evalscale.operators.dedupe import keep_last, keep_last_together
 from evalscale.schemas import CANDIDATE, CONDITION, EXAMPLE, LABELS
 
 
@@ -43,10 +43,10 @@ def conditions(candidates: DataFrame, selections: DataFrame) -> DataFrame:
 
     If a condition has selections, its examples are the selected ones; else those
     with candidates, none correct.  Tokens, latency and cost count all candidates.
-    Candidates are read once: an aggregate per example, one outer join, one more
-    aggregate, all on keys that start alike.
+    Candidates are read once and dealt out once, by example: their rows are ranked,
+    aggregated and joined there; one more shuffle brings examples to conditions.
     """
-    c, s = keep_last(candidates, CANDIDATE), keep_last(selections, EXAMPLE)
+    c, s = keep_last_together(candidates, CANDIDATE, EXAMPLE), keep_last_together(selections, EXAMPLE, EXAMPLE)
     c_label, s_label = (F.min(F.struct("ord", *LABELS)).alias(name) for name in ("c_label", "s_label"))
     per = matched(c).groupBy(*EXAMPLE).agg(
         F.bool_or("right").alias("passed"),
