@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was measured to take no more than this.
 BROADCAST_BYTES = 32 << 20
+#: The same for sides that grow with the data and whose rows take many times their bytes in memory.
+FEW_BYTES = 4 << 20
 #: Where tables go in tests, when all of Spark runs in one process and no folder is set.
 LOCAL_SHARED = "/tmp/evalscale-checkpoints"
 #: Bytes of an Arrow batch, about: documents are long, and batches count twice, in the JVM and in the worker.
@@ -40,13 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"file://{LOCAL_SHARED}").rstrip("/")
 
 
+#: Folders made and not yet removed, oldest first.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, removed when the driver ends."""
+    """A new folder in the shared one, removed when the driver ends, or by `remove_since`."""
     path = f"{shared_dir(spark)}/evalscale/{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
+    _made.append(path)
     return path
 
 
+def made() -> int:
+    """A mark for `remove_since`."""
+    return len(_made)
+
+
+def remove_since(spark: SparkSession, mark: int) -> None:
+    """Removes the folders made since the mark but for the newest, which holds the result of those before."""
+    for path in _made[mark:-1]:
+        remove(spark, path)
+    del _made[mark:-1]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
