@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import BROADCAST_BYTES, ROW_KEY, cut, join_measured, join_small, longs, row_key, small
+from evalscale.llm.common import BROADCAST_BYTES, FEW_BYTES, ROW_KEY, cut, join_measured, join_small, longs, row_key, small
 from evalscale.llm.text import Lookup, buffers, grams, hash_spans, slices
 
 WINDOW = 2
@@ -186,7 +186,7 @@ def repeated(rows: DataFrame, spans: Spans, name: str) -> DataFrame:
     groups = found.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.min("bytes").alias("least"), F.max("bytes").alias("most"))
     # written, so that the join has an exchange of its own on either side and a common span's rows can be split
     groups = cut(groups.where("n > 1 and least = most").select("hash", "digest", "first"), f"{name}-groups")
-    later = join_small(found.drop("bytes"), groups, ["hash", "digest"], "inner", 160).where(at != F.col("first"))
+    later = join_small(found.drop("bytes"), groups, ["hash", "digest"], "inner", 160, FEW_BYTES).where(at != F.col("first"))
     return cut(later.groupBy(*ROW_KEY).agg(F.collect_set("place").alias("places")), f"{name}-places")
 
 

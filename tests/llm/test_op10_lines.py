@@ -69,7 +69,7 @@ def corpus(seed):
 def test_against_brute_force(spark, monkeypatch, seed, small):
     if not small:  # nothing is small enough to broadcast: all by shuffles
         monkeypatch.setattr(L, "small", lambda *a: False)
-        monkeypatch.setattr(L, "join_small", lambda left, right, on, how, size: left.join(right, on, how))
+        monkeypatch.setattr(L, "join_small", lambda left, right, on, how, *size: left.join(right, on, how))
         monkeypatch.setattr(L, "join_measured", lambda left, right, on, how, size: left.join(right, on, how))
     docs = corpus(seed)
     frame = spark.createDataFrame([(d, t, d, "s") for d, t in docs], "doc_id long, text string, place long, hash string")
