@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import ROW_KEY, cut, join_measured, join_small, row_key
+from evalscale.llm.common import FEW_BYTES, ROW_KEY, cut, join_measured, join_small, row_key
 from evalscale.llm.text import _splitmix, buffers, slices
 
 FRAME = 576
@@ -135,7 +135,7 @@ def write_store(documents: DataFrame) -> DataFrame:
     at = F.struct(*ROW_KEY, "place")
     # written, so that the join has an exchange of its own on either side and a common chunk's rows can be split
     repeated = cut(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("owner")).where("n > 1").drop("n"), "repeated-chunks")
-    marks = join_small(found, repeated, "digest", "inner", 80).select(*ROW_KEY, "place", (at == F.col("owner")).alias("writes"))
+    marks = join_small(found, repeated, "digest", "inner", 80, FEW_BYTES).select(*ROW_KEY, "place", (at == F.col("owner")).alias("writes"))
     places = cut(marks.groupBy(*ROW_KEY).agg(F.collect_set("place").alias("shared"), F.collect_set(F.when(F.col("writes"), F.col("place"))).alias("writes")), "repeated")
 
     def run(batches):
