@@ -59,7 +59,7 @@ SLACK = 5  # hundredths of a set
 HOT_TOKENS = 1_000_000
 HOT_COUNT = 16
 #: What one task joins by itself; regions beyond either are split by tasks in the same way.
-REGION_SETS, REGION_BYTES = 512, 8 << 20
+REGION_SETS, REGION_BYTES = 2048, 16 << 20
 PIVOTS = 8
 DEPTH = 4
 
@@ -563,9 +563,9 @@ def jaccard_components(documents: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; those without words all stay."""
+    """One document of each component, that with the smallest doc_id (a null one comes last); those without words all stay."""
     found = cut(jaccard_components(documents, **options).where("n_shingles > 0").select("root", "doc_id", *ROW_KEY), "components")
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", *ROW_KEY)).alias("first"))
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("first"))
     go = cut(found.join(stay, "root").where(F.struct(*ROW_KEY) != F.struct(*[f"first.{k}" for k in ROW_KEY])).select(*ROW_KEY).distinct(), "copies")
     left = join_small(documents.select(F.struct("*").alias("row"), *row_key()), go, ROW_KEY, "left_anti", 32)
     again = cut(found.groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ROW_KEY), "again")
