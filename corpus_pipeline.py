@@ -8,6 +8,14 @@ all but the last return the columns of `documents`.
     near_dup       of each component of near copies the smallest doc_id stays
     decontaminate  documents that hold a benchmark window go
     pack           the rest as sequences of at most 2048 tokens
+
+Cases: a null or empty text has no lines, no shingles and no benchmark window, so it
+stays, and is packed as its closing id alone; a text whose lines all go, goes; of
+rows equal in id and text the near-copy stage leaves one; of copies that tie the
+smallest doc_id stays, of one doc_id's rows with texts near each other the one with the smallest row
+key; a null doc_id comes last and is kept like any other, unless it copies another
+row; columns beyond those of `documents`, whatever their names, pass through to the
+last stage; empty tables give empty results, and without labels no text is toxic.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import ROW_KEY, crc_fold, cut, join_small, row_key, table
+from evalscale.llm.common import ROW_KEY, crc_fold, cut, join_small, made, remove_since, row_key, table
 from evalscale.llm.op1_pack import pack as pack_documents
 from evalscale.llm.op2_toxicity import drop_toxic, train
 from evalscale.llm.op4_decontaminate import decontaminate as find_leaks
@@ -59,7 +67,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_since(spark, mark)  # what the stage wrote on its way, and its input
     return docs
