@@ -106,7 +106,7 @@ def ingest(spark, a):
     kept = raw.retained(out)
     logs.write_splits(kept.select(F.col("metadata.split").alias("split"), "answer_type", "choices", "gold_answer", "question"), str(Path(a.out) / s.group / s.key))
     counts = reports.rows_of(raw.split_counts(out).orderBy("split"))
-    logs.write_json({"dataset": s.key, "origin": s.origin, "splits": counts, "all": sum(r["retained"] for r in counts)}, Path(a.out) / s.group / s.key / "manifest.json")
+    logs.write_json({"dataset": s.key, "origin": s.origin, "splits": counts, "all": sum(r["retained"] for r in counts)}, Path(a.out) / s.group / f"{s.key}.manifest.json")  # beside the folder, which is read whole
     print(reports.text_table(counts, ("split", "raw", "retained", "skipped")))
 
 

@@ -73,6 +73,10 @@ def test_commands(spark, tmp_path, capsys):
     assert "ttc_n2" in capsys.readouterr().out
     cli.main(["truncated", *at, "--methods", "ttc_n1", "--out", str(tmp_path / "cut")])
     assert spark.read.json(str(tmp_path / "cut")).count() == 2
+    cli.main(["truncated", *at, "--out", str(tmp_path / "all")])  # of all methods
+    assert spark.read.json(str(tmp_path / "all")).count() == 8
+    cli.main(["reselect", *at, "--out", str(tmp_path / "every"), "--limit", "2"])
+    assert {r["run"] for r in json.loads((tmp_path / "every" / "summary.json").read_text())["rows"]} == {"a", "b"} and (tmp_path / "every" / "b" / "report.json").exists()
     cli.main(["reselect", *at, "--run", "a", "--out", str(tmp_path / "re")])
     rows = json.loads((tmp_path / "re" / "report.json").read_text())["rows"]
     assert {(r["strategy"], r["select_rate"], r["pass_at_n_rate"]) for r in rows} == {("first", 0.5, 1.0), ("majority_vote", 0.5, 1.0)}
@@ -88,6 +92,8 @@ def test_ingest_and_prompts(spark, config, tmp_path):
         (tmp_path / "raw" / f"{split}.tsv").write_text("question\tanswer_number\nq1\t5\nq2\t\n")
     cli.main(["ingest", "--dataset", "afrimgsm", "--files", str(tmp_path / "raw"), "--out", str(tmp_path / "data")])
     rows = spark.read.json(str(tmp_path / "data" / "math-reasoning" / "afrimgsm"))
+    counts = json.loads((tmp_path / "data" / "math-reasoning" / "afrimgsm.manifest.json").read_text())
+    assert counts["all"] == 2 and counts["splits"] == [{"split": s, "raw": 2, "retained": 1, "skipped": 1} for s in ("test", "train")]
     assert rows.count() == 2 and {r.split for r in rows.select("split").distinct().collect()} == {"train", "test"}
     cli.main(["prompts", "--config", str(tmp_path / "run.json"), "--out", str(tmp_path / "prompts"), "--limit", "1"])
     assert (tmp_path / "prompts" / "task=math" / "prompt_style=yoruba_cot").is_dir()
