@@ -154,13 +154,16 @@ def scan(documents: DataFrame, phrases: dict[str, str], templates: list[tuple[st
 
 
 def in_order(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of words."""
-    best = [0] * (len(b) + 1)
+    """Length of the longest common subsequence of words, a bit for each word of b: cleared where one more is held."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    free = every
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, best[j] = best[j], last + 1 if x == y else max(best[j], best[j - 1])
-    return best[-1]
+        met = free & at.get(x, 0)
+        free = (free + met | free - met) & every
+    return len(b) - free.bit_count()
 
 
 def plain(words: list[str]) -> list[str]:

@@ -114,4 +114,12 @@ def test_no_documents(spark):
 
 
 def test_longest_common_subsequence():
-    assert L.in_order(list("abcde"), list("axcye")) == 3 and L.in_order([], list("ab")) == 0
+    assert L.in_order(list("abcde"), list("axcye")) == 3 and L.in_order([], list("ab")) == 0 == L.in_order(list("ab"), [])
+    rng = random.Random(0)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 80))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+        assert L.in_order(a, b) == best[-1][-1]
