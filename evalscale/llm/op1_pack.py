@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalscale.llm.common import cut, join_small
-from evalscale.llm.text import cache_of, release, slices
+from evalscale.llm.text import buffers, cache_of, release, slices
 
 CAPACITY = 2048
 #: A worker forgets all words beyond this many (about 150 MB) and starts anew.
@@ -41,6 +41,7 @@ CACHE_CHARS = 64 << 20
 #: Words encoded in one call; what the tokenizer returns for a word takes much more memory than its ids.
 ENCODE_WORDS = 2_000
 CLOSING = ".,!?;:*$%&#|()\""
+_ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 #: Larger slices than elsewhere, so that more words repeat within one.
 TEXT_BYTES = 6 << 20
 
@@ -94,22 +95,39 @@ class Encoder:
         self.cache.update(zip(words, range(self.known, self.known + len(words)), strict=True))
         self.used, self.known, self.held = self.used + total, self.known + len(words), self.held + sum(map(len, words))
 
-    def _entries(self, chunks: list[str]) -> np.ndarray:
+    def _fold(self, rest: str) -> str:
+        low = rest.lower() if rest.isascii() or max(rest) < "\u0130" else rest
+        return rest if low != rest and any(t in low and low.count(t) != rest.count(t) for t in self.added) else low
+
+    def _parted(self, chunks: pa.StringArray) -> tuple[list[str], list[str]]:
+        """The lower-cased rest of each chunk, and its closing punctuation; ASCII chunks all at once."""
+        texts, ascii_only = chunks.to_pylist(), pc.string_is_ascii(chunks).to_numpy(zero_copy_only=False)
+        trimmed = pc.ascii_rtrim(chunks, characters=CLOSING)
+        raw, offsets = buffers(trimmed)
+        size, whole = np.diff(offsets), np.diff(buffers(chunks)[1])
+        last = np.zeros(len(size), np.uint8)
+        last[size > 0] = raw[offsets[1:][size > 0] - 1]
+        closed = ascii_only & (size < whole) & _ALNUM[last]
+        rest = pc.if_else(pa.array(closed), trimmed, chunks)
+        folded = pc.ascii_lower(rest)
+        rests, ends = folded.to_pylist(), [""] * len(texts)
+        for i, n in zip(np.flatnonzero(closed).tolist(), size[closed].tolist(), strict=True):
+            ends[i] = texts[i][n:]
+        for i in np.flatnonzero(~ascii_only).tolist():
+            c = texts[i]
+            own = c.rstrip(CLOSING)
+            if len(own) < len(c) and own and own[-1].isalnum() and own[-1] < "\u0130":
+                ends[i] = c[len(own) :]
+                c = own
+            rests[i] = self._fold(c)
+        for t in self.added:
+            for i in np.flatnonzero(ascii_only & pc.match_substring(folded, t).to_numpy(zero_copy_only=False)).tolist():
+                rests[i] = self._fold(rest[i].as_py())
+        return rests, ends
+
+    def _entries(self, chunks: pa.StringArray) -> np.ndarray:
         """Two entries (rest, closing punctuation) for each chunk."""
-        rests, ends = [], []
-        for c in chunks:
-            rest = c.rstrip(CLOSING)
-            if len(rest) == len(c):
-                end = ""
-            elif rest and rest[-1].isalnum() and rest[-1] < "\u0130":
-                end = c[len(rest) :]
-            else:
-                rest, end = c, ""
-            low = rest.lower() if rest.isascii() or max(rest) < "\u0130" else rest
-            if low != rest and any(t in low and low.count(t) != rest.count(t) for t in self.added):
-                low = rest
-            rests.append(low)
-            ends.append(end)
+        rests, ends = self._parted(chunks)
         new = list({w: 0 for w in chain(rests, ends) if w not in self.cache})
         if self.known + len(new) > self.limit or self.held + sum(map(len, new)) > CACHE_CHARS:
             self._reset()
@@ -117,9 +135,9 @@ class Encoder:
         for at in range(0, len(new), ENCODE_WORDS):
             self._learn(new[at : at + ENCODE_WORDS])
         get = self.cache.__getitem__
-        out = np.empty((len(chunks), 2), np.int64)
-        out[:, 0] = np.fromiter(map(get, rests), np.int64, len(chunks))
-        out[:, 1] = np.fromiter(map(get, ends), np.int64, len(chunks))
+        out = np.empty((len(rests), 2), np.int64)
+        out[:, 0] = np.fromiter(map(get, rests), np.int64, len(rests))
+        out[:, 1] = np.fromiter(map(get, ends), np.int64, len(rests))
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +147,7 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
         parts = pc.ascii_split_whitespace(column.fill_null(""))
         values = parts.flatten().dictionary_encode()
-        entry = self._entries(values.dictionary.to_pylist())[values.indices.to_numpy(zero_copy_only=False)].ravel()
+        entry = self._entries(values.dictionary)[values.indices.to_numpy(zero_copy_only=False)].ravel()
         sizes = self.lengths[entry]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
