@@ -21,7 +21,7 @@ import json
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,9 @@ CACHE_CHARS = 64 << 20
 #: Words encoded in one call; what the tokenizer returns for a word takes much more memory than its ids.
 ENCODE_WORDS = 2_000
 CLOSING = ".,!?;:*$%&#|()\""
-_ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+#: Below this, characters are lower-cased one for one.
+PLAIN = 0x130
+_ALNUM = np.array([chr(c).isalnum() for c in range(PLAIN)] + [False])
 #: Larger slices than elsewhere, so that more words repeat within one.
 TEXT_BYTES = 6 << 20
 
@@ -95,49 +97,48 @@ class Encoder:
         self.cache.update(zip(words, range(self.known, self.known + len(words)), strict=True))
         self.used, self.known, self.held = self.used + total, self.known + len(words), self.held + sum(map(len, words))
 
-    def _fold(self, rest: str) -> str:
-        low = rest.lower() if rest.isascii() or max(rest) < "\u0130" else rest
-        return rest if low != rest and any(t in low and low.count(t) != rest.count(t) for t in self.added) else low
-
-    def _parted(self, chunks: pa.StringArray) -> tuple[list[str], list[str]]:
-        """The lower-cased rest of each chunk, and its closing punctuation; ASCII chunks all at once."""
-        texts, ascii_only = chunks.to_pylist(), pc.string_is_ascii(chunks).to_numpy(zero_copy_only=False)
-        trimmed = pc.ascii_rtrim(chunks, characters=CLOSING)
+    def _parted(self, chunks: pa.StringArray) -> tuple[list[str], np.ndarray, list[str]]:
+        """The lower-cased rest of each chunk, which chunks have closing punctuation, and theirs; characters beyond `PLAIN` are left as they are."""
+        trimmed = pc.utf8_rtrim(chunks, characters=CLOSING)
         raw, offsets = buffers(trimmed)
         size, whole = np.diff(offsets), np.diff(buffers(chunks)[1])
-        last = np.zeros(len(size), np.uint8)
-        last[size > 0] = raw[offsets[1:][size > 0] - 1]
-        closed = ascii_only & (size < whole) & _ALNUM[last]
+        tail = np.concatenate([np.zeros(2, np.uint8), raw])  # of each rest the last byte and the one before
+        last, before = tail[offsets[1:] + 1].astype(np.int64), tail[offsets[1:]].astype(np.int64)
+        point = np.where(last < 0x80, last, np.where((before >= 0xC2) & (before <= 0xC4), (before & 0x1F) << 6 | last & 0x3F, PLAIN))
+        closed = (size > 0) & (size < whole) & _ALNUM[np.minimum(point, PLAIN)]
         rest = pc.if_else(pa.array(closed), trimmed, chunks)
-        folded = pc.ascii_lower(rest)
-        rests, ends = folded.to_pylist(), [""] * len(texts)
-        for i, n in zip(np.flatnonzero(closed).tolist(), size[closed].tolist(), strict=True):
-            ends[i] = texts[i][n:]
-        for i in np.flatnonzero(~ascii_only).tolist():
-            c = texts[i]
-            own = c.rstrip(CLOSING)
-            if len(own) < len(c) and own and own[-1].isalnum() and own[-1] < "\u0130":
-                ends[i] = c[len(own) :]
-                c = own
-            rests[i] = self._fold(c)
+        raw, offsets = buffers(rest)
+        far = raw >= 0xC5
+        far[:-1] |= (raw[:-1] == 0xC4) & (raw[1:] >= 0xB0)
+        total = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(far, out=total[1:])
+        low = pc.if_else(pa.array(total[offsets[1:]] == total[offsets[:-1]]), pc.utf8_lower(rest), rest)
+        rests, at = low.to_pylist(), np.flatnonzero(closed)
+        ends = [c[-n:] for c, n in zip(chunks.take(pa.array(at)).to_pylist(), (whole - size)[at].tolist(), strict=True)]
         for t in self.added:
-            for i in np.flatnonzero(ascii_only & pc.match_substring(folded, t).to_numpy(zero_copy_only=False)).tolist():
-                rests[i] = self._fold(rest[i].as_py())
-        return rests, ends
+            for i in np.flatnonzero(pc.match_substring(low, t).to_numpy(zero_copy_only=False)).tolist():
+                own = rest[i].as_py()
+                if any(x in rests[i] and rests[i].count(x) != own.count(x) for x in self.added):
+                    rests[i] = own
+        return rests, at, ends
 
     def _entries(self, chunks: pa.StringArray) -> np.ndarray:
         """Two entries (rest, closing punctuation) for each chunk."""
-        rests, ends = self._parted(chunks)
-        new = list({w: 0 for w in chain(rests, ends) if w not in self.cache})
+        rests, at, ends = self._parted(chunks)
+        found = [np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words)) for words in (rests, ends)]
+        missing = [np.flatnonzero(x < 0) for x in found]
+        new = list(dict.fromkeys(words[i] for words, own in zip((rests, ends), missing, strict=True) for i in own.tolist()))
         if self.known + len(new) > self.limit or self.held + sum(map(len, new)) > CACHE_CHARS:
             self._reset()
-            new = list({w: 0 for w in chain(rests, ends) if w not in self.cache})
-        for at in range(0, len(new), ENCODE_WORDS):
-            self._learn(new[at : at + ENCODE_WORDS])
+            missing = [np.arange(len(x)) for x in found]
+            new = [w for w in dict.fromkeys(chain(rests, ends)) if w]
+        for a in range(0, len(new), ENCODE_WORDS):
+            self._learn(new[a : a + ENCODE_WORDS])
         get = self.cache.__getitem__
-        out = np.empty((len(rests), 2), np.int64)
-        out[:, 0] = np.fromiter(map(get, rests), np.int64, len(rests))
-        out[:, 1] = np.fromiter(map(get, ends), np.int64, len(rests))
+        for words, own, x in zip((rests, ends), missing, found, strict=True):
+            x[own] = np.fromiter((get(words[i]) for i in own.tolist()), np.int64, len(own))
+        out = np.zeros((len(rests), 2), np.int64)  # entry 0 is the empty word
+        out[:, 0], out[at, 1] = found
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

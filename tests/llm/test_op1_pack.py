@@ -90,6 +90,23 @@ def test_other_tokenizers_and_long_words():
         assert e.held < 1 << 20
 
 
+def test_words_are_parted_as_their_characters_say():
+    """Every letter below the bound, and some beyond, before each closing mark; against plain string methods."""
+    e = Encoder(PATH)
+    words = [f"{a}{chr(c)}{end}" for c in [*range(0x21, 0x400), 0x3A3, 0x4E00, 0x1F600] if not chr(c).isspace() for a in ("", "Xy", "É") for end in ("", ".", "!?")]
+    words += ["...", "", "A<|ENDOFTEXT|>.", "<|endoftext|>É,"]
+    rests, at, found = e._parted(pa.array(words))
+    ends = dict(zip(at.tolist(), found, strict=True))
+    for i, (w, rest) in enumerate(zip(words, rests, strict=True)):
+        end = ends.get(i, "")
+        own = w.rstrip(".,!?;:*$%&#|()\"")
+        if len(own) == len(w) or not own or not own[-1].isalnum() or ord(own[-1]) >= 0x130:
+            own = w
+        assert end == w[len(own) :]
+        low = own.lower() if max(own, default="a") < "\u0130" else own
+        assert rest == (own if low.count("<|endoftext|>") != own.count("<|endoftext|>") else low)
+
+
 def test_packing(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "xyzzy"]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None, "", "word " * 200]
