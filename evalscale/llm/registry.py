@@ -64,6 +64,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op11_filters import audit_documents
+
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalscale.llm.op2_toxicity import score_documents, train
 
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_lines": op10_lines,
+    "op11_filters": op11_filters,
     "pack_sequences": pack_sequences,
     "media_payloads": media_payloads,
     "license_base": license_base,
@@ -125,6 +132,7 @@ ORACLES: dict[str, str] = {
     "op4_decontaminate": sql.OP4,
     "op5_jaccard": sql.OP5,
     "op9_chat": sql.OP9,
+    "op11_filters": sql.OP11,
     "pack_sequences": sql.PACK,
     "media_payloads": sql.MEDIA,
     "license_base": sql.LICENSE,

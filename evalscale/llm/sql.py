@@ -70,3 +70,23 @@ hits AS (SELECT r, i, label FROM places JOIN phrases ON array_to_string(w[i + 1:
 per AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM hits GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM docs LEFT JOIN per USING (r)
 """
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+e AS (SELECT *, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS again, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS INT)
+             + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(again AS INT) AS mask, coalesce(good, false) AS good, coalesce(bad, false) AS bad FROM e LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS x FROM m GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT concat(a.letter, b.letter, c.letter, d.letter, e.letter) AS filter_order FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, f.bit AS bit, coalesce((SELECT sum(p.bit) FROM f p WHERE position(p.letter IN substr(filter_order, 1, k - 1)) > 0), 0) AS earlier
+      FROM o, range(1, 6) r(k) JOIN f ON f.letter = substr(filter_order, k, 1)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (earlier + bit)::INT = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier::INT = 0), 0) AS removed,
+             coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier::INT > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+             coalesce(sum(g) FILTER (mask & bit > 0 AND mask & earlier::INT = 0), 0) AS good_lost, coalesce(sum(x) FILTER (mask & bit > 0 AND mask & earlier::INT = 0), 0) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
