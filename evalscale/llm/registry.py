@@ -70,6 +70,12 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op13_phrases import mine_phrases
+
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalscale.llm.op2_toxicity import score_documents, train
 
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_lines": op10_lines,
     "op11_filters": op11_filters,
+    "op13_phrases": op13_phrases,
     "pack_sequences": pack_sequences,
     "media_payloads": media_payloads,
     "license_base": license_base,
@@ -133,6 +140,7 @@ ORACLES: dict[str, str] = {
     "op5_jaccard": sql.OP5,
     "op9_chat": sql.OP9,
     "op11_filters": sql.OP11,
+    "op13_phrases": sql.OP13,
     "pack_sequences": sql.PACK,
     "media_payloads": sql.MEDIA,
     "license_base": sql.LICENSE,

@@ -90,3 +90,20 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM r
 """
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, {_LOWER.format('text')} AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM pieces, range(1, 4) r(k)),
+f AS (SELECT lang, k, g, count(*) AS n FROM grams GROUP BY lang, k, g),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, n AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut, w FROM c),
+scored AS (SELECT u.lang, u.g, u.a, cut, l.n AS l, r.n AS r, (1000000::HUGEINT * u.a * u.a) // (l.n::HUGEINT * r.n) AS score
+           FROM cuts u JOIN f l ON l.lang = u.lang AND l.g = array_to_string(w[1:cut], ' ') AND l.k = cut JOIN f r ON r.lang = u.lang AND r.k = u.k - cut AND r.g = array_to_string(w[cut + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner2 AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM c WHERE k = 3) GROUP BY lang, g),
+kept AS (SELECT best.* FROM best LEFT JOIN inner2 USING (lang, g) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
