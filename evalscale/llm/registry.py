@@ -70,6 +70,13 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalscale.llm.op12_secrets import digest, find_secrets, train_on
+
+    documents = table(spark, sf_dir, "documents")
+    return digest(find_secrets(documents, train_on(documents)))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalscale.llm.op13_phrases import mine_phrases
 
@@ -112,6 +119,11 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the secret scan, what is exact by contract."""
+    return op12_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the license scan, the columns that are exact by contract."""
     return op7_license(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -129,10 +141,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_lines": op10_lines,
     "op11_filters": op11_filters,
+    "op12_secrets": op12_secrets,
     "op13_phrases": op13_phrases,
     "pack_sequences": pack_sequences,
     "media_payloads": media_payloads,
     "license_base": license_base,
+    "secrets_base": secrets_base,
 }
 ORACLES: dict[str, str] = {
     "op3_warc": sql.OP3,
@@ -144,4 +158,5 @@ ORACLES: dict[str, str] = {
     "pack_sequences": sql.PACK,
     "media_payloads": sql.MEDIA,
     "license_base": sql.LICENSE,
+    "secrets_base": sql.SECRETS,
 }

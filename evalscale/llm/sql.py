@@ -107,3 +107,16 @@ kept AS (SELECT best.* FROM best LEFT JOIN inner2 USING (lang, g) WHERE longer I
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """
+
+_EITHER = {w: "".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token", "api", "key")}
+_ASSIGN = "({password}|{passwd}|{secret}|{token}|{api}_?{key})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)".format(**_EITHER)
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, 0 AS k, 'assign' AS kind, 12 AS least, regexp_extract_all(t, '{_ASSIGN}', 2) AS v, regexp_extract_all(t, '{_ASSIGN}') AS x, string_split_regex(t, '{_ASSIGN}') AS gaps FROM d
+      UNION ALL SELECT r, 1, 'access', 18, regexp_extract_all(t, 'AKIA[A-Z0-9]+') AS v, v, string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+      UNION ALL SELECT r, 2, 'hex', 16, regexp_extract_all(t, '[0-9a-f]{{16,}}') AS v, v, string_split_regex(t, '[0-9a-f]{{16,}}') FROM d),
+e AS (SELECT r, k, kind, least, unnest(v) AS v, unnest(x) AS x, x AS xs, gaps, generate_subscripts(x, 1) AS i FROM m WHERE len(x) > 0),
+s AS (SELECT r, k, kind, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(xs[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS a, length(x) AS n FROM e WHERE length(v) >= least),
+per AS (SELECT r, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN per USING (r)
+"""
