@@ -95,17 +95,6 @@ def pass_at_n_group(spark, sf_dir):
     return metrics.pass_per_group(V.candidates(spark, sf_dir))
 
 
-@query(
-    "answer_types",
-    f"WITH {_CAND} SELECT dataset, model, method, n, example_id, 'number' AS answer_type FROM cand WHERE sample_index = 0",
-)
-def answer_types(spark, sf_dir):
-    """rows name the type from the second sample on only; the group takes the first that is named."""
-    c = V.candidates(spark, sf_dir).withColumn("answer_type", F.when((F.col("pos") > 0) | (F.col("n") == 1), F.col("answer_type")))
-    rows = select.group_type(c, EXAMPLE)
-    return rows.withColumn("answer_type", F.coalesce("answer_type", F.lit("number")))
-
-
 _LAST = "l_orderkey, l_linenumber"
 
 

@@ -59,3 +59,29 @@ def response_text() -> Column:
 def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: line items as an append log with repeated keys."""
     return table(spark, sf_dir, "lineitem")
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    sizes = F.filter(F.array(*[F.lit(n) for n in SIZES]), lambda n: n > F.col("sample_index"))
+    return rows.withColumn("n", F.explode(sizes)).withColumn("method", F.concat(F.lit("ttc_n"), F.col("n").cast("string")))
+
+
+def mixed_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: the pool with answers written in four ways (one empty) and a type that only some samples name, number or text by user."""
+    rows = pool(spark, sf_dir)
+    value = (F.col("token_count") % 3).cast("string")
+    form, named = F.floor(F.col("ord") / 7) % 4, F.floor(F.col("ord") / 5) % 3
+    answer = F.when(form == 0, value).when(form == 1, F.concat(value, F.lit(".0"))).when(form == 2, F.lit("")).otherwise(F.concat(value, F.lit(".")))
+    kind = F.when(named == 1, "").when(named == 2, F.when(F.col("example_id") % 2 == 0, "number").otherwise("text"))
+    return rows.withColumns({"extracted_answer": answer, "answer_type": kind, "gold_answer": (F.col("example_id") % 3).cast("string")})
+
+
+def mixed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prefixes(mixed_pool(spark, sf_dir))
+
+
+def uneven_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: the pool with answers that share a vote key though only one of them is the gold answer."""
+    form, gold = F.col("ord") % 5, F.when(F.col("example_id") % 2 == 0, "1000000000").otherwise("none")
+    answer = F.when(form == 0, "None").when(form == 1, "none").when(form == 4, "1000000000").otherwise("1000000000.4")
+    return pool(spark, sf_dir).withColumns({"extracted_answer": answer, "gold_answer": gold})
