@@ -44,6 +44,10 @@ class Model:
     options: Mapping[str, Any] = field(default_factory=dict)
 
 
+#: Fixed name: the backend that may have several requests in flight; what generates within the process may not.
+SERVED = "openai_compatible"
+
+
 @dataclass(frozen=True)
 class Method:
     name: str
@@ -75,6 +79,11 @@ class RunConfig:
     continue_on_error: bool = False
     max_concurrent: int = 1
 
+    def requests_of(self, model: Model) -> tuple[int, float]:
+        """How many requests of a model a task may have in flight, and how long each may take."""
+        own = model.request_timeout_s
+        return self.max_concurrent if model.backend == SERVED else 1, self.request_timeout_s if own is None else own
+
 
 def method(row: Mapping[str, Any]) -> Method:
     style, selection, n = str(row["prompt_style"]), str(row.get("selection", "first")), int(row.get("n", 1))

@@ -39,7 +39,7 @@ def examples_of(spark: SparkSession, c: C.RunConfig, names: Sequence[str] | None
 
 
 def sample(prompts: DataFrame, make_backend: Callable[[], S.Backend], model: C.Model, method: C.Method, n: int, c: C.RunConfig) -> DataFrame:
-    rows = S.generate(prompts, make_backend, n, method, c.seed, model.cost_per_1k_tokens, c.continue_on_error)
+    rows = S.generate(prompts, make_backend, n, method, c.seed, model.cost_per_1k_tokens, c.continue_on_error, *c.requests_of(model))
     answer = X.extract_answer(F.col("response"), F.col("answer_type"), F.col("choices"))
     labels = {"extracted_answer": answer, "model": F.lit(model.name), "model_size_label": F.lit(model.size_label), "run_id": F.lit(c.run_id), "backend": F.lit(model.backend)}
     return rows.withColumns(labels).drop("prompt", "question")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalscale.plans.config import ConfigError, Method
+from evalscale.plans.inflight import RequestTimeout, batches_in_order
 
 
 @dataclass(frozen=True)
@@ -105,8 +106,15 @@ def nested_slices(pool: DataFrame, methods: Sequence[Method], group: str, pool_n
 GENERATED = "response string, token_count long, latency_s double, finish_reason string, error string"
 
 
-def generate(prompts: DataFrame, make_backend: Callable[[], Backend], n: int, method: Method, base_seed: int | None, cost_per_1k: float = 0.0, continue_on_error: bool = False) -> DataFrame:
-    """N samples per prompt row (example_id, prompt struct), in Arrow batches with one backend per task."""
+def generate(
+    prompts: DataFrame, make_backend: Callable[[], Backend], n: int, method: Method, base_seed: int | None, cost_per_1k: float = 0.0, continue_on_error: bool = False, concurrent: int = 1, timeout_s: float | None = None
+) -> DataFrame:
+    """N samples per prompt row (example_id, prompt struct), in Arrow batches with one backend per task.
+
+    A task has up to `concurrent` requests in flight, each for `timeout_s` at most;
+    rows keep their order.  A failed request becomes an empty response with its error;
+    or, unless the run goes on after errors, fails the task once its batch has ended.
+    """
     temperature, max_tokens, top_p = method.temperature, method.max_tokens, method.top_p
     samples = prompts.withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     samples = samples.withColumn("sample_seed", seeds(base_seed, F.col("example_id"), F.col("sample_index")))
@@ -114,19 +122,21 @@ def generate(prompts: DataFrame, make_backend: Callable[[], Backend], n: int, me
     @F.pandas_udf(GENERATED)
     def call(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         backend = make_backend()
-        for system, user, seed in batches:
-            out = []
-            for s, u, k in zip(system, user, seed, strict=True):
-                began = time.monotonic()
-                try:
-                    g = backend.generate(s, u, temperature, max_tokens, None if pd.isna(k) else int(k), top_p)
-                    tokens = g.token_count if g.token_count is not None else max(1, len(g.response.split()))
-                    out.append((g.response, tokens, g.latency_s or time.monotonic() - began, g.finish_reason, None))
-                except Exception as e:  # the caller chose to record failures as empty responses
-                    if not continue_on_error:
-                        raise
-                    out.append(("", 0, time.monotonic() - began, None, str(e)))
-            yield pd.DataFrame(out, columns=["response", "token_count", "latency_s", "finish_reason", "error"])
+
+        def ask(request: tuple[str, str, float | None]) -> tuple:
+            system, user, seed = request
+            began = time.monotonic()
+            g = backend.generate(system, user, temperature, max_tokens, None if pd.isna(seed) else int(seed), top_p)
+            tokens = g.token_count if g.token_count is not None else max(1, len(g.response.split()))
+            return g.response, tokens, g.latency_s or time.monotonic() - began, g.finish_reason, None
+
+        requests = (list(zip(*batch, strict=True)) for batch in batches)
+        for ended in batches_in_order(requests, ask, concurrent, timeout_s):
+            failed = [e for _, e in ended if e is not None]
+            if failed and not continue_on_error:
+                raise failed[0]
+            rows = [got if e is None else ("", 0, timeout_s if isinstance(e, RequestTimeout) else 0.0, None, str(e)) for got, e in ended]
+            yield pd.DataFrame(rows, columns=["response", "token_count", "latency_s", "finish_reason", "error"])
 
     made = samples.withColumn("__g", call(F.col("prompt.system"), F.col("prompt.user"), F.col("sample_seed")))
     cost = F.col("token_count") / 1000.0 * cost_per_1k

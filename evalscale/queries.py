@@ -685,11 +685,15 @@ made AS (SELECT item_id, sample_index, seed, CAST(concat('0x', substr(sha1(conca
 SELECT CAST(item_id AS VARCHAR) AS example_id, sample_index, CAST(seed AS BIGINT) AS sample_seed, CAST(3 + v AS BIGINT) AS token_count, (3 + v) / 1000.0 * 0.5 AS estimated_cost, CAST(v AS VARCHAR) AS extracted_answer FROM made""",
 )
 def generate_mock(spark, sf_dir):
-    """Prompts, four seeded samples each from the stand-in backend, and their extracted answers."""
+    return generated(spark, sf_dir, sweep.EchoBackend)
+
+
+def generated(spark: SparkSession, sf_dir: str, backend, **options) -> DataFrame:
+    """Prompts, four seeded samples each from a backend, and their extracted answers."""
     prompt = P.render("translate_pivot", _EXEMPLARS, F.lit("math"), F.lit("own"), F.col("text"), F.lit(None).cast("array<string>"), F.lit("number"))
     prompts = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("example_id"), prompt.alias("prompt"))
     method = config.method({"name": "bon", "prompt_style": "translate_pivot", "selection": "majority_vote", "n": 4, "temperature": 0.7})
-    rows = sweep.generate(prompts, sweep.EchoBackend, 4, method, 7, 0.5)
+    rows = sweep.generate(prompts, backend, 4, method, 7, 0.5, **options)
     return rows.select("example_id", "sample_index", "sample_seed", "token_count", "estimated_cost", X.extract_answer(F.col("response"), F.lit("number")).alias("extracted_answer"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from evalscale import views as V
 from evalscale.functions import text as X
 from evalscale.operators import reselect, scaling, select
-from evalscale.queries import _EX, _POOL, query
+from evalscale.plans import sweep
+from evalscale.queries import _EX, _POOL, ORACLES, generated, query
 from evalscale.schemas import EXAMPLE
 
 _MIXED = f"""{_POOL},
@@ -61,3 +64,18 @@ passed AS (SELECT dataset, model, n, example_id, bool_or(answer = gold) AS passe
 def uneven_matches(spark, sf_dir):
     """Answers that are pooled by one key and of which only some match: the first one of the key decides."""
     return scaling.pooled_conditions(V.uneven_pool(spark, sf_dir), V.SIZES)
+
+
+class SlowBackend(sweep.EchoBackend):
+    """The stand-in after a wait of up to five milliseconds, so that requests end in another order than they began."""
+
+    def generate(self, system, user, temperature, max_tokens, seed, top_p):
+        made = super().generate(system, user, temperature, max_tokens, seed, top_p)
+        time.sleep(made.token_count % 6 / 1000)
+        return made
+
+
+@query("generate_concurrent", ORACLES["generate_mock"])
+def generate_concurrent(spark, sf_dir):
+    """The samples of `generate_mock` with 16 requests in flight in each task."""
+    return generated(spark, sf_dir, SlowBackend, concurrent=16, timeout_s=30.0)
