@@ -19,8 +19,9 @@ smaller id; of several labels of an id the largest counts, ids without labels
 have neither; other columns are not read; no documents, no rows.
 
 Scale: the texts are read once, by built-in functions, and leave the scan as a
-mask and a digest.  Copies meet by digest in a partial aggregate and in a join
-that Spark may split; a part's polynomial has at most 32 mask counts.
+mask and a digest.  Copies are counted before they travel, so that a group of any
+size meets as a row per part and labels; a part's polynomial has at most 32 mask
+counts.
 """
 
 from __future__ import annotations
@@ -62,25 +63,42 @@ def mask_of(conditions: list[Column]) -> Column:
 
 
 def masks(documents: DataFrame, part: str = "lang") -> DataFrame:
-    """(doc_id, digest of the text, part, mask, n) of equal rows together; the mask has all five filters."""
+    """(doc_id, part, digest of the text, mask, n) of equal rows together; the mask has the filters A to D."""
     text = documents.select("doc_id", F.coalesce(part, F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     bare = F.btrim("text", F.lit(SPACE))
     words = F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
     rows = text.withColumn("words", words).select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), mask_of(text_filters(F.col("text"), F.col("words"))).alias("mask"))
-    rows = cut(rows.groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n")), "masks")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("n").alias("copies")).where("copies > 1").drop("copies")
-    repeats = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    return rows.join(first, "digest", "left").select("doc_id", "digest", "part", F.col("mask").bitwiseOR(F.when(repeats, 16).otherwise(0)).alias("mask"), "n")
+    return rows.groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mask_counts(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(part, mask, n, good, toxic) of rows as `masks` gives them."""
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows as `masks` gives them with booleans good and toxic."""
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     # rows without an id match nothing: they are spread by what else they have, not sent to one task
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("digest", "part")).otherwise(F.lit(0))
     joined = rows.withColumn("spread", spread).join(marks.withColumn("spread", F.lit(0).cast("long")), ["doc_id", "spread"], "left")
-    marked = lambda label: F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0))
-    return joined.groupBy("part", "mask").agg(F.sum("n").alias("n"), marked("quality").alias("good"), marked("toxic").alias("toxic"))
+    marked = lambda label: F.coalesce(F.col(label) == 1, F.lit(False))
+    return joined.select("doc_id", "part", "digest", "mask", "n", marked("quality").alias("good"), marked("toxic").alias("toxic"))
+
+
+def mask_counts(rows: DataFrame) -> DataFrame:
+    """(part, mask, n, good, toxic) of rows as `labelled` gives them; the mask has all five filters.
+
+    Copies of a text meet as one row per part and labels, with the smallest id and
+    its rows: of these the smallest id is the only one that is no repetition.
+    """
+    known = F.col("doc_id").isNotNull()
+    groups = rows.groupBy("digest", "part", "mask", "good", "toxic").agg(
+        F.sum("n").alias("n"), F.min(F.when(known, F.struct("doc_id", "n"))).alias("first"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("unnumbered")
+    )
+    groups = cut(groups, "masks")
+    least = groups.groupBy("digest").agg(F.min("first.doc_id").alias("least"))
+    once = F.col("unnumbered") + F.when(F.col("first.doc_id") == F.col("least"), F.col("first.n")).otherwise(0)
+    both = groups.join(least, "digest", "left").select(
+        "part", "good", "toxic", F.explode(F.array(F.struct("mask", once.alias("n")), F.struct(F.col("mask").bitwiseOR(16).alias("mask"), (F.col("n") - once).alias("n")))).alias("x")
+    )
+    marked = lambda label: F.sum(F.when(F.col(label), F.col("x.n")).otherwise(0)).alias(label)
+    return both.where("x.n > 0").groupBy("part", F.col("x.mask").alias("mask")).agg(F.sum("x.n").alias("n"), marked("good"), marked("toxic"))
 
 
 class RemovalPolynomial:
@@ -148,4 +166,4 @@ def audit(counted: DataFrame) -> DataFrame:
 
 
 def audit_documents(documents: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
-    return audit(mask_counts(masks(documents, part), labels))
+    return audit(mask_counts(labelled(masks(documents, part), labels)))
