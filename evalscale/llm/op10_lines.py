@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import BROADCAST_BYTES, FEW_BYTES, ROW_KEY, cut, join_measured, join_small, longs, row_key, small
+from evalscale.llm.common import BROADCAST_BYTES, FEW_BYTES, ROW_KEY, cut, join_measured, join_small, packed_longs, row_key, small
 from evalscale.llm.text import Lookup, buffers, grams, hash_spans, slices
 
 WINDOW = 2
@@ -178,7 +178,7 @@ def repeated(rows: DataFrame, spans: Spans, name: str) -> DataFrame:
     """Places of the spans that have an earlier copy, per row key."""
     again = cut(span_hashes(rows, spans).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), name)
     if small(again, 8, BROADCAST_BYTES):
-        found = span_bytes(rows, spans, Lookup(np.array(longs(again, "hash"), np.int64).view(np.uint64)))
+        found = span_bytes(rows, spans, Lookup(packed_longs(again, "hash")))
     else:
         found = span_bytes(rows, spans, None).join(again, "hash", "left_semi")
     found = cut(found.withColumn("digest", F.sha2("bytes", 256)), f"{name}-bytes")

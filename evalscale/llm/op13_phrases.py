@@ -19,9 +19,9 @@ are told frequent by a bit filter of at most 2 * 2 ** `filter_bits` bits, and wh
 it lets pass wrongly fails the exact count.  Occurrences with the same words are
 pooled where they are read and travel packed, in bins of about `bin_words`.  A
 prefix with more than a bin's quarter of occurrences (there are at most 4096 such,
-as larger corpora raise that bound) is dealt to all bins by its first two
-extensions: phrases of three words and more stay whole there, and only the counts
-of its pairs are summed afterwards.
+as larger corpora raise that bound) is dealt to all bins by its first extension, and
+where that is such a word too, by its second as well: phrases of three words and more
+stay whole there, and only the counts of pairs of such words are summed afterwards.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import cut
+from evalscale.llm.common import cut, fewer_parts
 from evalscale.llm.op4_decontaminate import Filter, filter_of
 from evalscale.llm.text import LOWER, Words, hash_spans, mix, slices
 
@@ -39,11 +39,11 @@ LEAST = 10
 LONGEST = 3
 TOP = 2000
 FILTER_BITS = 26
-BIN_WORDS = 2_000_000
+BIN_WORDS = 1_000_000
 LEAST_BINS = 48
 HOT_PREFIXES = 4096
 #: Occurrences that a worker pools before it sends them on.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 
 PIECE_ENDS = np.zeros(256, bool)
 PIECE_ENDS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -113,6 +113,11 @@ def suffixes(own: Coded, frequent: Filter, longest: int) -> list[np.ndarray]:
     return out
 
 
+def among(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which codes are in a sorted array."""
+    return known[np.searchsorted(known, codes).clip(max=len(known) - 1)] == codes if len(known) else np.zeros(len(codes), bool)
+
+
 def pooled(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct rows of the columns, how often each occurs (or the sums of n), and a hash of each row."""
     key = columns[0].copy()
@@ -137,10 +142,10 @@ def project(documents: DataFrame, frequent: Filter, hot: np.ndarray, bins: int,
     def sent(parts):
         columns, n, key = pooled([np.concatenate(c) for c in zip(*parts, strict=True)])
         spread = mix(columns[0])
-        if len(hot):
-            near = np.searchsorted(hot, columns[0]).clip(max=len(hot) - 1)
-            is_hot = hot[near] == columns[0]
-            spread = np.where(is_hot, mix(mix(columns[0] + columns[1] * _STEP[1]) + (columns[2] if longest > 2 else key) * _STEP[3]), spread)
+        first, second = among(hot, columns[0]), among(hot, columns[1])
+        pair = mix(columns[0] + columns[1] * _STEP[1])
+        longer = mix(pair + (columns[2] if longest > 2 else key) * _STEP[3])
+        spread = np.where(first, np.where(second, longer, pair), spread)
         to = ((spread >> np.uint64(32)) % np.uint64(bins)).astype(np.int64)
         order = np.lexsort((columns[0], to))
         to = to[order]
@@ -171,19 +176,22 @@ def project(documents: DataFrame, frequent: Filter, hot: np.ndarray, bins: int,
     return texts_of(documents, language).mapInArrow(run, "bin int, rows long, data binary")
 
 
-def grow(columns: list[np.ndarray], n: np.ndarray, hot: set[int], least: int) -> tuple[list[list[int]], list[int]]:
-    """Phrases that start with each prefix (the first column) and their counts; those of a hot prefix's pairs are parts of sums."""
+def grow(columns: list[np.ndarray], n: np.ndarray, hot: np.ndarray, least: int) -> tuple[list[list[int]], list[int]]:
+    """Phrases that start with each prefix (the first column) and their counts; those of a pair of hot words are parts of a sum."""
     paths: list[list[int]] = []
     totals: list[int] = []
 
-    def extend(pointers: np.ndarray, depth: int, path: list[int], partial: bool) -> None:
+    def extend(pointers: np.ndarray, depth: int, path: list[int], hot_prefix: bool) -> None:
         following = columns[depth][pointers]
         order = np.argsort(following, kind="stable")
         pointers, following = pointers[order], following[order]
         starts = np.flatnonzero(np.concatenate([[True], following[1:] != following[:-1]]))
         sums = np.add.reduceat(n[pointers], starts)
         ends = np.append(starts[1:], len(pointers))
-        for i in np.flatnonzero((sums >= (1 if partial else least)) & (following[starts] != 0)).tolist():
+        wanted = sums >= least
+        if hot_prefix:
+            wanted |= among(hot, following[starts])
+        for i in np.flatnonzero(wanted & (following[starts] != 0)).tolist():
             longer = [*path, int(following[starts[i]])]
             paths.append(longer)
             totals.append(int(sums[i]))
@@ -195,9 +203,9 @@ def grow(columns: list[np.ndarray], n: np.ndarray, hot: set[int], least: int) ->
     starts = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))[: len(prefix)]
     sums = np.add.reduceat(n[order], starts) if len(starts) else starts
     ends = np.append(starts[1:], len(prefix))
-    for i, code in enumerate(prefix[starts].tolist()):
-        if code in hot or sums[i] >= least:
-            extend(order[starts[i] : ends[i]], 1, [code], code in hot)
+    is_hot = among(hot, prefix[starts])
+    for i in np.flatnonzero(is_hot | (sums >= least)).tolist():
+        extend(order[starts[i] : ends[i]], 1, [int(prefix[starts[i]])], bool(is_hot[i]))
     return paths, totals
 
 
@@ -212,13 +220,12 @@ def count_phrases(documents: DataFrame, words: DataFrame, least: int = LEAST, lo
     # no more than HOT_PREFIXES words can have so many of all occurrences
     bound = max(bin_words // 4, -(-total // HOT_PREFIXES))
     hot = np.array(sorted(r.code & (1 << 64) - 1 for r in frequent.where(F.col("n") >= bound).select("code").collect()), np.uint64)
-    hot_set = set(hot.tolist())
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(r, d, longest) for r, d in zip(table["rows"].to_pylist(), table["data"].to_pylist(), strict=True)]
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         columns, n, _ = pooled(columns[:-1], columns[-1])
-        paths, totals = grow(columns, n, hot_set, least)
+        paths, totals = grow(columns, n, hot, least)
         flat = np.array([c for p in paths for c in p], np.uint64).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)
         return pa.table({"path": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "n": pa.array(totals, pa.int64())})
@@ -250,8 +257,8 @@ def mine_phrases(
     documents: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, inside: int = 50, language: str = "lang", filter_bits: int = FILTER_BITS, bin_words: int = BIN_WORDS
 ) -> DataFrame:
     """Each language's first `top` phrases by score, count and bytes; a phrase goes if a longer one holds `inside` percent of its occurrences."""
-    words = cut(count_words(documents, language), "words")
-    phrases = cut(count_phrases(documents, words, least, longest, language, filter_bits, bin_words), "phrases")
+    words = cut(fewer_parts(count_words(documents, language)), "words")
+    phrases = cut(fewer_parts(count_phrases(documents, words, least, longest, language, filter_bits, bin_words)), "phrases")
     frequent = words.where(F.col("n") >= least)
     kept = weakest_cuts(phrases, frequent).join(inner_counts(phrases), "path", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a"))).drop("longer")
     spelled = kept.select("*", F.posexplode("path").alias("at", "code")).join(frequent.select("code", "word"), "code")

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalscale.llm.common import BROADCAST_BYTES, ROW_KEY, cut, join_measured, join_small, longs, row_key, small
+from evalscale.llm.common import BROADCAST_BYTES, ROW_KEY, cut, join_measured, join_small, packed_longs, row_key, small
 from evalscale.llm.graph import Forest, components
 from evalscale.llm.text import SPACED, Lookup, Words, buffers, grams, mix, release, slices
 
@@ -135,7 +135,7 @@ def hot_tokens(documents: DataFrame, k: int, percent: int, slack: int, most: int
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["t", "n"])
 
     counts = documents.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.array(longs(counts.orderBy(F.desc("n"), "t").limit(most), "t"), np.int64).view(np.uint64)
+    return packed_longs(counts.orderBy(F.desc("n"), "t").limit(most), "t")
 
 
 def prefixes(documents: DataFrame, k: int, percent: int, slack: int, hot: np.ndarray) -> DataFrame:
@@ -502,7 +502,7 @@ def join_regions(rows: DataFrame, percent: int, cap: int = REGION_SETS, cap_byte
 
 def sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(fp, tokens), once, of the classes in `wanted`."""
-    lookup = Lookup(np.array(longs(wanted, "fp"), np.int64).view(np.uint64)) if small(wanted, 8, BROADCAST_BYTES) else None
+    lookup = Lookup(packed_longs(wanted, "fp")) if small(wanted, 8, BROADCAST_BYTES) else None
 
     def run(batches):
         for sets in distinct_sets(batches, 1, k):

@@ -213,11 +213,23 @@ class Lookup:
     """Membership of 64-bit values in a fixed set: a bit filter first, then a binary search."""
 
     def __init__(self, values: np.ndarray):
-        self.values = np.unique(np.asarray(values, dtype=_U64))
-        bits = min(26, max(16, int(np.ceil(np.log2(len(self.values) * 16 + 1)))))
+        own = np.sort(np.asarray(values, dtype=_U64))
+        fresh = own[1:] != own[:-1]
+        self._hold(own if fresh.all() else own[np.concatenate([[True], fresh])])
+
+    def _hold(self, values: np.ndarray) -> None:
+        self.values = values
+        bits = min(24, max(16, int(np.ceil(np.log2(len(self.values) * 16 + 1)))))
         self.shift = _U64(64 - bits)
         self.filter = np.zeros(1 << bits, bool)
-        self.filter[(self.values >> self.shift).astype(np.int64)] = True
+        for a in range(0, len(values), 1 << 18):
+            self.filter[(values[a : a + (1 << 18)] >> self.shift).astype(np.int64)] = True
+
+    def __getstate__(self) -> np.ndarray:
+        return self.values
+
+    def __setstate__(self, values: np.ndarray) -> None:  # the filter is made anew, not sent along
+        self._hold(values)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in `hashes` that are members, and their indices in `values`."""
