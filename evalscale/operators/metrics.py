@@ -1,4 +1,4 @@
-"""Metrics of conditions (A1-A3, A7-A12) and their merge over runs."""
+"""Metrics of conditions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalscale.functions.text import with_match
 from evalscale.operators.dedupe import keep_last, keep_last_together
+from evalscale.operators.merging import merge_runs  # noqa: F401  A6 is in a module of its own
 from evalscale.schemas import CANDIDATE, CONDITION, EXAMPLE, LABELS
 
 
@@ -113,29 +114,6 @@ def with_efficiency(metrics: DataFrame) -> DataFrame:
     )
 
 
-SUMS = ["total_examples", "select_correct", "pass_at_n_correct", "total_candidates", "total_tokens", "total_latency_s", "total_estimated_cost"]
-
-
-def merge_runs(items: DataFrame) -> DataFrame:
-    """Conditions of several runs in one row each, without counting a run twice.
-
-    `items` has a condition's columns, one `run_id` (null: a run of its own) and
-    `ord`.  Of the first run's items before any other run's, the largest counts
-    (ties: the earliest); of every other run the first item.
-    """
-    run = F.coalesce("run_id", F.concat(F.lit("\0anonymous "), F.col("ord").cast("string")))
-    key = Window.partitionBy(*CONDITION)
-    by_order = key.orderBy("ord")
-    marked = items.withColumn("__run", run).withColumn("__first_run", F.first("__run").over(by_order))
-    marked = marked.withColumn("__other", F.min(F.when(F.col("__run") != F.col("__first_run"), F.col("ord"))).over(key))
-    lead = (F.col("__run") == F.col("__first_run")) & (F.col("__other").isNull() | (F.col("ord") < F.col("__other")))
-    of_first = (F.col("__run") == F.col("__first_run")) & ~lead
-    within = Window.partitionBy(*CONDITION, "__run").orderBy(F.when(lead, -F.col("total_examples")).otherwise(F.lit(0)), "ord")
-    kept = marked.where(~of_first).withColumn("__nth", F.row_number().over(within)).where("__nth = 1")
-    label = lambda c: F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.col("ord"))).alias(c)
-    return kept.groupBy(*CONDITION).agg(*[label(c) for c in LABELS if c in items.columns], *[F.sum(c).alias(c) for c in SUMS if c in items.columns], F.array_sort(F.collect_set("run_id")).alias("run_ids"))
-
-
 def method_accuracy(selections: DataFrame, dedupe: bool = False) -> DataFrame:
     """Correct and total per method; repeated rows count unless de-duplicated."""
     rows = keep_last(selections, EXAMPLE) if dedupe else selections

@@ -13,7 +13,7 @@ from evalscale import views as V
 from evalscale.functions import ingest as N
 from evalscale.functions import prompts as P
 from evalscale.functions import text as X
-from evalscale.operators import compare, dedupe, metrics, numbering, reselect, resume, scaling, select
+from evalscale.operators import compare, dedupe, merging, metrics, numbering, reselect, resume, scaling, select
 from evalscale.plans import config, sweep
 from evalscale.plans import run as runs
 from evalscale.schemas import CONDITION, EXAMPLE
@@ -844,6 +844,5 @@ def strip_label(spark, sf_dir):
 @query("run_id_sets", f"WITH {_CAND}, {_ITEMS} SELECT dataset, model, method, n, string_agg(DISTINCT run_id, ';' ORDER BY run_id) FILTER (run_id IN ('r1', 'r2')) AS shared, string_agg(DISTINCT run_id, ';' ORDER BY run_id) FILTER (run_id NOT IN ('r1', 'r2')) AS other FROM items GROUP BY ALL")
 def run_id_sets(spark, sf_dir):
     """Intersection and difference of run-id sets."""
-    rows = _items(spark, sf_dir).groupBy(*CONDITION).agg(F.array_sort(F.collect_set("run_id")).alias("ids"))
-    known = F.array(F.lit("r1"), F.lit("r2"))
-    return rows.select(*CONDITION, F.array_join(F.array_intersect("ids", known), ";").alias("shared"), F.array_join(F.array_except("ids", known), ";").alias("other"))
+    rows = _items(spark, sf_dir).groupBy(*CONDITION).agg(F.collect_set("run_id").alias("run_ids"))
+    return merging.run_sets(rows, ["r1", "r2"]).select(*CONDITION, F.array_join("shared", ";").alias("shared"), F.array_join("other", ";").alias("other"))

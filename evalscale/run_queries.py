@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from evalscale import views as V
 from evalscale.functions import text as X
-from evalscale.operators import reselect, scaling, select
+from evalscale.operators import merging, reselect, scaling, select
 from evalscale.plans import sweep
 from evalscale.queries import _EX, _POOL, ORACLES, generated, query
 from evalscale.schemas import EXAMPLE
+from evalscale.sources import folders
+from evalscale.streaming import incremental, stateful
 
 _MIXED = f"""{_POOL},
 mixed AS (SELECT dataset, model, concat('ttc_n', n) AS method, n, example_id, sample_index, ord // 7 % 4 AS form, CAST(token_count % 3 AS VARCHAR) AS v, CAST(example_id % 3 AS VARCHAR) AS gold,
@@ -79,3 +81,116 @@ class SlowBackend(sweep.EchoBackend):
 def generate_concurrent(spark, sf_dir):
     """The samples of `generate_mock` with 16 requests in flight in each task."""
     return generated(spark, sf_dir, SlowBackend, concurrent=16, timeout_s=30.0)
+
+
+def _dealt(rows, folder: str, batch) -> None:
+    """Rows as the files of a stream, one for each batch number, in its order."""
+    numbered = rows.withColumn("__batch", batch)
+    for n in sorted(r[0] for r in numbered.select("__batch").distinct().collect()):  # a handful
+        numbered.where(F.col("__batch") == n).drop("__batch").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _stream(spark, folder: str):
+    return incremental.stream_rows(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+
+
+_SHIP = ["l_shipdate", "l_partkey", "l_suppkey"]
+
+
+@query("stream_keep_last", ORACLES["dedupe_keep_last"])
+def stream_keep_last(spark, sf_dir):
+    """T5: the log in four shuffled batches as a stream; what its state holds at the end."""
+    stateful.with_state_store(spark)
+    base = folders.scratch(spark, "stream-keep-last")
+    rows = V.append_log(spark, sf_dir)
+    _dealt(rows, f"{base}/in", F.pmod(F.xxhash64(*rows.columns), F.lit(4)))
+    stateful.run_through(stateful.keep_newest(_stream(spark, f"{base}/in"), ["l_orderkey", "l_linenumber"], _SHIP), None, f"{base}/state", "update")
+    return stateful.kept_values(spark, f"{base}/state").select("key.*", "value.max.*").select(*rows.columns)
+
+
+_ANSWERED = "SELECT event_type AS method, user_id, event_id AS ord, ts, user_id % 3 = 0 AS is_correct FROM events"
+
+
+@query("stream_newest", f"WITH s AS ({_ANSWERED}) SELECT user_id, method, epoch_us(ts) AS at, ord, is_correct FROM (SELECT *, row_number() OVER (PARTITION BY user_id, method ORDER BY ts DESC, ord DESC) AS nth FROM s) WHERE nth = 1")
+def stream_newest(spark, sf_dir):
+    """T5 with a time to live that none outlives here: changes of each batch, of which the last one of a key is the newest."""
+    base = _answered_stream(spark, sf_dir, "stream-newest")
+    found = stateful.keep_newest_for(_stream(spark, f"{base}/in").where("ord >= 0"), ["user_id", "method"], "ord", 366 * 86_400_000, "40 days")
+    stateful.run_through(found, f"{base}/out", f"{base}/state", "update")
+    return incremental.latest(spark, f"{base}/out", ["user_id", "method"]).select("user_id", "method", "at", "ord", "is_correct")
+
+
+@query("stream_running_accuracy", f"WITH s AS ({_ANSWERED}) SELECT method, ord, CAST(count(*) FILTER (is_correct) OVER w AS BIGINT) AS correct, count(*) OVER w AS scored FROM s WINDOW w AS (PARTITION BY method ORDER BY ts, ord)")
+def stream_running_accuracy(spark, sf_dir):
+    """A18 on a stream whose rows come up to a sixth of the whole time late: one row per selection, in event order."""
+    base = _answered_stream(spark, sf_dir, "stream-running")
+    late = int(spark.read.parquet(f"{base}/in").where("ord >= 0").agg((F.max("ts").cast("long") - F.min("ts").cast("long")) / 3).first()[0] or 0) + 2
+    stateful.run_through(stateful.running_in_order(_stream(spark, f"{base}/in"), ["method"], f"{late} seconds"), f"{base}/out", f"{base}/state", "append")
+    return spark.read.parquet(f"{base}/out").where("ord >= 0").select("method", "ord", "correct", "scored")
+
+
+def _answered_stream(spark, sf_dir, name: str) -> str:
+    """Selections in batches by time of which the rows overlap, then two closing rows of no method, whose time passes all others."""
+    stateful.with_state_store(spark)
+    base = folders.scratch(spark, name)
+    e = V.table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("method"), "user_id", F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3 == 0).alias("is_correct"))
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if first is None:
+        rows.write.parquet(f"{base}/in")
+        return base
+    part = (last - first) // 6 + 1
+    _dealt(rows, f"{base}/in", F.floor((F.unix_micros("ts") - first) / part) + F.pmod(F.xxhash64("ord"), F.lit(2)))
+    for k in (1, 2):
+        closing = spark.range(1).select(F.lit("").alias("method"), F.lit(-1).cast("long").alias("user_id"), F.lit(-k).cast("long").alias("ord"), F.timestamp_micros(F.lit(last + 4 * k * part)).alias("ts"), F.lit(False).alias("is_correct"))
+        _dealt(closing, f"{base}/in", F.lit(k))
+    return base
+
+
+#: Items of orders by status and priority; the runs of item j are r(j % 7) and, for every third, r(j * 3 % 7) too; every eleventh names none.
+_SETS = """items AS (SELECT o_orderstatus AS dataset, o_orderpriority AS model, 'x' AS method, 1 AS n, j AS ord, count(*) AS total_examples, CAST(sum(o_custkey % 5) AS BIGINT) AS total_tokens,
+  CASE WHEN j % 11 = 10 THEN []::VARCHAR[] WHEN j % 3 = 0 AND j % 7 <> j * 3 % 7 THEN list_sort([concat('r', j % 7), concat('r', j * 3 % 7)]) ELSE [concat('r', j % 7)] END AS ids
+  FROM (SELECT *, o_custkey % 24 AS j FROM orders) GROUP BY ALL)"""
+
+
+def _fold_sql(source: str, name: str) -> str:
+    """CTEs that fold the items of `source` (conditions, ord, ids and counts) one by one, and `name`, those kept with their decisions."""
+    key = "dataset, model, method, n"
+    return f"""{name}_i AS (SELECT *, CASE WHEN len(ids) > 0 THEN ids ELSE [concat('anonymous ', ord)] END AS own, row_number() OVER (PARTITION BY {key} ORDER BY ord) AS i FROM {source}),
+{name}_f AS (SELECT {key}, i, own AS covered, 1 AS sets, total_examples AS examples, [ord] AS kept, 'first' AS decision, ord FROM {name}_i WHERE i = 1
+  UNION ALL SELECT {key}, x.i,
+    CASE WHEN NOT list_has_any(covered, own) THEN list_concat(covered, own) ELSE covered END, sets + CASE WHEN NOT list_has_any(covered, own) THEN 1 ELSE 0 END,
+    CASE WHEN list_has_any(covered, own) AND sets = 1 AND list_has_all(covered, own) AND list_has_all(own, covered) AND total_examples > examples THEN total_examples ELSE examples END,
+    CASE WHEN NOT list_has_any(covered, own) THEN list_append(kept, x.ord) WHEN sets = 1 AND list_has_all(covered, own) AND list_has_all(own, covered) AND total_examples > examples THEN [x.ord] ELSE kept END,
+    CASE WHEN NOT list_has_any(covered, own) THEN 'added' WHEN sets = 1 AND list_has_all(covered, own) AND list_has_all(own, covered) AND total_examples > examples THEN 'replaced' WHEN list_has_all(covered, own) THEN 'covered' ELSE 'overlap' END, x.ord
+  FROM {name}_f f JOIN {name}_i x USING ({key}) WHERE x.i = f.i + 1),
+{name}_e AS (SELECT {key}, arg_max(kept, i) AS kept FROM {name}_f GROUP BY ALL),
+{name} AS (SELECT {key}, CAST(sum(total_examples) AS BIGINT) AS total_examples, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, list_sort(list_distinct(flatten(list(ids)))) AS ids
+  FROM {name}_i JOIN {name}_e USING ({key}) WHERE list_contains(kept, ord) GROUP BY ALL)"""
+
+
+def _set_items(spark, sf_dir):
+    j = F.col("o_custkey") % 24
+    one, two = F.concat(F.lit("r"), F.col("ord") % 7), F.concat(F.lit("r"), F.col("ord") * 3 % 7)
+    rows = V.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("model"), F.lit("x").alias("method"), F.lit(1).alias("n"), j.alias("ord"))
+    rows = rows.agg(F.count(F.lit(1)).alias("total_examples"), F.sum(F.col("o_custkey") % 5).alias("total_tokens"))
+    return rows.withColumn("run_ids", F.when(F.col("ord") % 11 == 10, F.array().cast("array<string>")).when(F.col("ord") % 3 == 0, F.array(one, two)).otherwise(F.array(one)))
+
+
+@query("merge_decisions", f"WITH RECURSIVE {_SETS}, {_fold_sql('items', 'm')} SELECT dataset, model, ord, decision FROM m_f")
+def merge_decisions(spark, sf_dir):
+    """What becomes of each item whose set of runs is new, counted already, or both in part."""
+    return merging.folded(_set_items(spark, sf_dir)).select("dataset", "model", "ord", "decision")
+
+
+@query(
+    "merge_merged",
+    f"""WITH RECURSIVE {_SETS}, early AS (SELECT * FROM items WHERE ord < 10), late AS (SELECT * FROM items WHERE ord >= 10), {_fold_sql('early', 'a')}, {_fold_sql('late', 'b')},
+again AS (SELECT *, 0 AS ord FROM a UNION ALL SELECT *, 1 AS ord FROM b), {_fold_sql('again', 'c')} SELECT dataset, model, total_examples, total_tokens, array_to_string(ids, ';') AS run_ids FROM c""",
+)
+def merge_merged(spark, sf_dir):
+    """Two merged tables merged once more."""
+    items = _set_items(spark, sf_dir)
+    halves = [merging.merge_runs(items.where(c)).withColumn("ord", F.lit(k)) for k, c in enumerate(("ord < 10", "ord >= 10"))]
+    done = merging.merge_runs(halves[0].unionByName(halves[1]))
+    return done.select("dataset", "model", "total_examples", "total_tokens", F.array_join("run_ids", ";").alias("run_ids"))
