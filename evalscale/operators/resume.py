@@ -1,8 +1,9 @@
 """Resuming an interrupted run, as set algebra.
 
 Completed is what the checkpoint or the outputs show, less what is incomplete: a
-unit whose rows are stripped is always done again.  Unit keys of nested sweeps
-carry the pool size, since a sweep over fewer methods has another pool.
+unit whose rows are stripped is always done again.  Of a nested sweep a unit is
+whole if all methods that are expected now have a selection, so a sweep with more
+methods, and so another pool, samples it again.
 """
 
 from __future__ import annotations

@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalscale.plans.config import ConfigError, Method
-from evalscale.plans.inflight import RequestTimeout, batches_in_order
+from evalscale.plans.inflight import RequestTimeout, batches_in_order, in_flight
 
 
 @dataclass(frozen=True)
@@ -141,3 +142,57 @@ def generate(
     made = samples.withColumn("__g", call(F.col("prompt.system"), F.col("prompt.user"), F.col("sample_seed")))
     cost = F.col("token_count") / 1000.0 * cost_per_1k
     return made.select("*", "__g.*").drop("__g").withColumn("estimated_cost", cost)
+
+
+def unit_sampler(make_backend: Callable[[], Backend], n: int, method: Method, base_seed: int | None, cost_per_1k: float, continue_on_error: bool, concurrent: int, timeout_s: float | None):
+    """A function from batches of prompt rows to a batch for each unit, its n samples, as units end.
+
+    The window of requests is that of `generate`.  After a failure that the run does not
+    go on after, no more requests are made; those in flight end, whole units come out,
+    and then it is raised.
+    """
+    temperature, max_tokens, top_p = method.temperature, method.max_tokens, method.top_p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backend, rows, samples, failed = make_backend(), {}, {}, []
+
+        def requests() -> Iterator[tuple[dict, int | None]]:
+            unit = 0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    rows[unit], samples[unit] = batch.slice(i, 1), []
+                    prompt, example = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("prompt", "example_id"))
+                    for k in range(n):
+                        if failed:
+                            return
+                        yield prompt, sample_seed(base_seed, str(example), k)
+                    unit += 1
+
+        def ask(request: tuple[dict, int | None]) -> tuple:
+            prompt, seed = request
+            began = time.monotonic()
+            g = backend.generate(prompt["system"], prompt["user"], temperature, max_tokens, seed, top_p)
+            tokens = g.token_count if g.token_count is not None else max(1, len(g.response.split()))
+            return seed, g.response, tokens, g.latency_s or time.monotonic() - began, g.finish_reason, None
+
+        for place, got, error in in_flight(requests(), ask, concurrent, timeout_s):
+            unit, k = divmod(place, n)
+            if error is not None and not continue_on_error:
+                failed.append((place, error))
+                continue
+            if error is not None:
+                example = rows[unit].column(rows[unit].schema.get_field_index("example_id"))[0].as_py()
+                got = sample_seed(base_seed, str(example), k), "", 0, timeout_s if isinstance(error, RequestTimeout) else 0.0, None, str(error)
+            samples[unit].append((k, *got))
+            if len(samples[unit]) == n:
+                index, seed, response, tokens, latency, reason, fault = zip(*sorted(samples.pop(unit), key=lambda x: x[0]), strict=True)
+                row = rows.pop(unit).take(pa.array([0] * n)).drop_columns(["prompt"])
+                made = {
+                    "sample_index": pa.array(index, pa.int32()), "sample_seed": pa.array(seed, pa.int64()), "response": pa.array(response, pa.string()), "token_count": pa.array(tokens, pa.int64()), "latency_s": pa.array(latency, pa.float64()),
+                    "finish_reason": pa.array(reason, pa.string()), "error": pa.array(fault, pa.string()), "estimated_cost": pa.array([t / 1000.0 * cost_per_1k for t in tokens], pa.float64()),
+                }
+                yield pa.RecordBatch.from_arrays([*row.columns, *made.values()], names=[*row.schema.names, *made])
+        if failed:
+            raise min(failed, key=lambda x: x[0])[1]
+
+    return run

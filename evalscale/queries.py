@@ -445,19 +445,6 @@ def nested_slices(spark, sf_dir):
     return rows.select(*EXAMPLE, "sample_index", "ord", "nested_group_id", "nested_pool_n", "selection")
 
 
-@query(
-    "expand_methods",
-    """SELECT * FROM (VALUES ('ttc_n1', 'first', 1, CAST(0.0 AS DOUBLE), 'ttc', 16, 'en'), ('ttc_n4', 'majority_vote', 4, 0.7, 'ttc', 16, 'en'), ('ttc_n16', 'majority_vote', 16, 0.7, 'ttc', 16, 'en'),
-  ('yo', 'first', 1, 0.2, NULL, NULL, 'yo')) t(method, selection, n, temperature, nested_group_id, nested_max_n, reasoning_language)""",
-)
-def expand_methods(spark, sf_dir):
-    rows = [
-        {"name": "ttc", "prompt_style": "english_cot", "selection": "majority_vote", "n_values": [1, 4, 16], "temperature": 0.7, "nested_n": True},
-        {"name": "yo", "prompt_style": "yoruba_cot", "temperature": 0.2},
-    ]
-    return sweep.method_table(spark, config.expand_methods(rows)).select("method", "selection", "n", "temperature", "nested_group_id", "nested_max_n", "reasoning_language")
-
-
 def _units(spark, sf_dir):
     examples = V.pool(spark, sf_dir).select("dataset", F.col("example_id").cast("string").alias("example_id")).distinct()
     models = spark.createDataFrame([("m0",), ("m1",), ("m2",)], "model string")
@@ -688,12 +675,17 @@ def generate_mock(spark, sf_dir):
     return generated(spark, sf_dir, sweep.EchoBackend)
 
 
+MOCK = config.method({"name": "bon", "prompt_style": "translate_pivot", "selection": "majority_vote", "n": 4, "temperature": 0.7})
+
+
+def mock_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = P.render("translate_pivot", _EXEMPLARS, F.lit("math"), F.lit("own"), F.col("text"), F.lit(None).cast("array<string>"), F.lit("number"))
+    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("example_id"), prompt.alias("prompt"))
+
+
 def generated(spark: SparkSession, sf_dir: str, backend, **options) -> DataFrame:
     """Prompts, four seeded samples each from a backend, and their extracted answers."""
-    prompt = P.render("translate_pivot", _EXEMPLARS, F.lit("math"), F.lit("own"), F.col("text"), F.lit(None).cast("array<string>"), F.lit("number"))
-    prompts = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("example_id"), prompt.alias("prompt"))
-    method = config.method({"name": "bon", "prompt_style": "translate_pivot", "selection": "majority_vote", "n": 4, "temperature": 0.7})
-    rows = sweep.generate(prompts, backend, 4, method, 7, 0.5, **options)
+    rows = sweep.generate(mock_prompts(spark, sf_dir), backend, 4, MOCK, 7, 0.5, **options)
     return rows.select("example_id", "sample_index", "sample_seed", "token_count", "estimated_cost", X.extract_answer(F.col("response"), F.lit("number")).alias("extracted_answer"))
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from evalscale import views as V
 from evalscale.functions import text as X
 from evalscale.operators import merging, reselect, scaling, select
-from evalscale.plans import sweep
-from evalscale.queries import _EX, _POOL, ORACLES, generated, query
+from evalscale.plans import config, sweep
+from evalscale.queries import _EX, _POOL, MOCK, ORACLES, generated, mock_prompts, query
 from evalscale.schemas import EXAMPLE
-from evalscale.sources import folders
+from evalscale.sources import folders, unitlog
 from evalscale.streaming import incremental, stateful
 
 _MIXED = f"""{_POOL},
@@ -194,3 +194,33 @@ def merge_merged(spark, sf_dir):
     halves = [merging.merge_runs(items.where(c)).withColumn("ord", F.lit(k)) for k, c in enumerate(("ord < 10", "ord >= 10"))]
     done = merging.merge_runs(halves[0].unionByName(halves[1]))
     return done.select("dataset", "model", "total_examples", "total_tokens", F.array_join("run_ids", ";").alias("run_ids"))
+
+
+@query("logged_units", ORACLES["generate_mock"])
+def logged_units(spark, sf_dir):
+    """Units logged as they end, half of them before a break; the rest is what the log's keys leave."""
+    path = folders.scratch(spark, "unit-log")
+    prompts = mock_prompts(spark, sf_dir).withColumn(unitlog.KEY, F.col("example_id"))
+    through = sweep.unit_sampler(SlowBackend, 4, MOCK, 7, 0.5, False, 8, 30.0)
+    unitlog.append(prompts.where(F.xxhash64("example_id") % 2 == 0), path, units=5, through=through)
+    left = prompts.join(unitlog.logged_keys(spark, path), unitlog.KEY, "left_anti") if folders.listing(spark, path) else prompts
+    unitlog.append(left, path, units=5, through=through)
+    rows = unitlog.logged_rows(spark, path)
+    return rows.select("example_id", "sample_index", "sample_seed", "token_count", "estimated_cost", X.extract_answer(F.col("response"), F.lit("number")).alias("extracted_answer"))
+
+
+@query(
+    "expand_methods",
+    """WITH m AS (SELECT n_name AS name, n_regionkey AS r, n_nationkey AS k, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [1, 4, 4 + 4 * n_regionkey] ELSE [1 + n_regionkey] END) AS n FROM nation)
+SELECT CASE WHEN k % 2 = 0 THEN concat(name, '_n', n) ELSE name END AS method, CASE WHEN n = 1 AND k % 2 = 0 THEN 'first' ELSE 'majority_vote' END AS selection, CAST(n AS INT) AS n,
+  CASE WHEN n = 1 AND k % 2 = 0 THEN 0.0 ELSE CAST((k % 5) / 10.0 AS DOUBLE) END AS temperature, CASE WHEN k % 4 = 0 THEN name END AS nested_group_id,
+  CAST(CASE WHEN k % 4 = 0 THEN greatest(4, 4 + 4 * r) END AS INT) AS nested_max_n, CASE WHEN k % 3 = 0 THEN 'yo' ELSE 'en' END AS reasoning_language FROM m""",
+)
+def expand_methods(spark, sf_dir):
+    """a method, or a sweep, of each nation."""
+    rows = [
+        {"name": r.n_name, "prompt_style": "yoruba_cot" if r.n_nationkey % 3 == 0 else "english_cot", "selection": "majority_vote", "temperature": r.n_nationkey % 5 / 10, "nested_n": r.n_nationkey % 4 == 0}
+        | ({"n_values": [1, 4, 4 + 4 * r.n_regionkey]} if r.n_nationkey % 2 == 0 else {"n": 1 + r.n_regionkey})
+        for r in V.table(spark, sf_dir, "nation").collect()  # configuration: a row per method
+    ]
+    return sweep.method_table(spark, config.expand_methods(rows)).select("method", "selection", "n", "temperature", "nested_group_id", "nested_max_n", "reasoning_language")

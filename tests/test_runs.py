@@ -7,7 +7,7 @@ from evalscale import cli
 from evalscale.plans import config as C
 from evalscale.plans import run as runs
 from evalscale.plans import sweep as S
-from evalscale.sources import reports
+from evalscale.sources import folders, reports, unitlog
 
 
 def write(path, *rows):
@@ -43,6 +43,79 @@ def test_run_resume_and_overwrite(spark, config, tmp_path):
     assert json.loads((base / "manifest.json").read_text())["run_id"] == "r1"
 
 
+def broken_after(calls):
+    def make():
+        class Broken(S.EchoBackend):  # defined here, so that it travels by value
+            made = 0
+
+            def generate(self, *args):
+                Broken.made += 1
+                if Broken.made > calls:
+                    raise RuntimeError("killed")
+                return super().generate(*args)
+
+        return Broken()
+
+    return make
+
+
+def test_what_a_lost_job_finished_is_kept(spark, config, tmp_path, monkeypatch):
+    write(tmp_path / "math" / "test.jsonl", *[{"question": f"{i}+{i}?", "gold_answer": str(2 * i), "answer_type": "number"} for i in range(30)])
+    base = str(tmp_path / "runs" / "r1")
+    with pytest.raises(Exception, match="killed"):
+        runs.run(spark, config, lambda model: broken_after(5), methods=["yo"], segment_units=1)
+    with pytest.raises(FileNotFoundError):
+        runs.read_run(spark, base)
+    (log,) = [e.path for e in folders.listing(spark, f"{base}/log")]
+    kept = unitlog.logged_keys(spark, log).count()
+    asked, append = [], unitlog.append
+    monkeypatch.setattr(unitlog, "append", lambda rows, *args, **options: asked.append(rows.count()) or append(rows, *args, **options))
+    done = runs.run(spark, config, lambda model: S.EchoBackend, methods=["yo"])
+    assert (done["units_completed"], done["generations"], done["candidate_rows"], done["selection_rows"]) == (30, 30, 30, 30)
+    assert kept > 0 and asked == [30 - kept]
+    assert runs.read_run(spark, base)[0].count() == 30 and not folders.listing(spark, f"{base}/log")
+
+
+def test_a_torn_attempt_is_not_read_and_not_sampled_again(spark, config, tmp_path, monkeypatch):
+    base = str(tmp_path / "runs" / "r1")
+    runs.run(spark, config, lambda model: S.EchoBackend, limit=1)
+    before = [t.count() for t in runs.read_run(spark, base)]
+
+    def torn(*args, **options):
+        raise RuntimeError("lost while selecting")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(runs, "reselect", torn)
+        runs.run(spark, config, lambda model: S.EchoBackend, methods=["yo"])
+    assert [t.count() for t in runs.read_run(spark, base)] == before
+    assert len(list((tmp_path / "runs" / "r1" / "candidates").iterdir())) == len(runs.attempts(spark, base)) + 1
+    done = runs.run(spark, config, lambda model: broken_after(0), methods=["yo"])  # all is in the log
+    assert (done["units_completed"], done["units_skipped"], done["generations"]) == (2, 1, 2)
+    candidates, selections = runs.read_run(spark, base)
+    assert candidates.where("method = 'yo'").count() == selections.where("method = 'yo'").count() == 3
+
+
+def test_a_sweep_with_more_methods_replaces_its_units(spark, config, tmp_path):
+    base = str(tmp_path / "runs" / "r1")
+    few = ["bon_n1", "bon_n4"]
+    assert runs.run(spark, config, lambda model: S.EchoBackend, methods=few)["generations"] == 3 * 5
+    done = runs.run(spark, config, lambda model: S.EchoBackend, methods=[*few, "bon_n8"])
+    assert (done["units_completed"], done["generations"]) == (3, 3 * 9)
+    candidates, selections = runs.read_run(spark, base)
+    assert (candidates.count(), selections.count()) == (3 * 13, 3 * 3) and candidates.select("nested_pool_n").where("n = 4").distinct().first()[0] == 8
+    assert runs.run(spark, config, lambda model: S.EchoBackend, methods=few)["units_completed"] == 0  # fewer are among those made
+
+
+def test_runs_are_found_by_uri(spark, config, tmp_path):
+    from dataclasses import replace
+
+    there = replace(config, output_dir=f"file://{tmp_path}/elsewhere")
+    assert runs.run(spark, there, lambda model: S.EchoBackend, methods=["yo"])["units_completed"] == 3
+    assert runs.run(spark, there, lambda model: S.EchoBackend, methods=["yo"])["units_skipped"] == 3
+    assert json.loads(folders.read_text(spark, f"file://{tmp_path}/elsewhere/r1/manifest.json"))["units_skipped"] == 3
+    assert [e.name for e in folders.matching(spark, f"file://{tmp_path}/elsewhere/*/manifest.json")] == ["manifest.json"]
+
+
 def log(folder, run, model, n, answers):
     meta = {"dataset": "d", "gold_answer": "1", "answer_type": "number", "backend_metadata": {"finish_reason": "length"}}
     rows = [
