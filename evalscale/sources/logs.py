@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from evalscale.functions.ingest import ANSWER_TYPES, infer_task, synthetic_id
 from evalscale.functions.text import strip_space
+from evalscale.operators.numbering import running
 from evalscale.schemas import CANDIDATE_JSON, EXAMPLE_JSON, SELECTION_JSON
 
 # Fixed names: folders that are no runs.
@@ -107,8 +108,7 @@ def find_runs(base: str | Path, need_manifest: bool = True, need_selections: boo
 def read_examples(spark: SparkSession, path: str, dataset: str | None = None, task: str | None = None, source: str | None = None, limit: int | None = None) -> DataFrame:
     """Inference examples of one file, the first `limit` rows of it."""
     rows = read_jsonl(spark, path, EXAMPLE_JSON)
-    order = F.row_number().over(Window.partitionBy("path").orderBy("ord"))
-    rows = rows.withColumn("row_number", order)
+    rows = running(rows, ["path"], "ord", {"row_number": F.lit(1)})
     if limit is not None:
         rows = rows.where(F.col("row_number") <= limit)
     p = Path(path)

@@ -1,4 +1,4 @@
-"""What must not depend on how data is cut: running totals, pooled conditions, line numbers, batches, swaps."""
+"""What must not depend on how data is cut: running totals, pooled conditions, line numbers, segments, swaps."""
 
 import random
 
@@ -69,13 +69,13 @@ def test_a_failed_write_leaves_the_old_output(spark, tmp_path):
     assert [r.a for r in spark.read.json(path).collect()] == [2]
 
 
-def test_runs_in_batches(spark, tmp_path):
+def test_runs_in_segments(spark, tmp_path):
     (tmp_path / "test.jsonl").write_text("".join(f'{{"question": "{i}+{i}?", "gold_answer": "{2 * i}", "answer_type": "number"}}\n' for i in range(7)))
     row = {
         "run_id": "r", "output_dir": str(tmp_path / "runs"), "seed": 3, "datasets": [{"name": "d", "path": str(tmp_path / "test.jsonl")}], "models": [{"name": "m"}],
         "methods": [{"name": "bon", "prompt_style": "english_cot", "selection": "majority_vote", "n_values": [1, 4], "temperature": 0.7, "nested_n": True}],
     }
-    found = runs.run(spark, C.run_config(row), lambda model: S.EchoBackend, batch=3)
+    found = runs.run(spark, C.run_config(row), lambda model: S.EchoBackend, segment_units=3)
     assert {k: found[k] for k in ("units_completed", "units_skipped", "generations", "candidate_rows", "selection_rows")} == {
         "units_completed": 7, "units_skipped": 0, "generations": 7 * 5, "candidate_rows": 7 * 5, "selection_rows": 7 * 2,
     }
@@ -83,4 +83,19 @@ def test_runs_in_batches(spark, tmp_path):
     assert (candidates.count(), selections.count()) == (35, 14) and found["latency_s"] > 0
     units = spark.read.parquet(f"{tmp_path}/runs/r/units")
     assert units.count() == 7 and {r.generations for r in units.collect()} == {5}
-    assert runs.run(spark, C.run_config(row), lambda model: S.EchoBackend, batch=3)["units_skipped"] == 7
+    assert runs.run(spark, C.run_config(row), lambda model: S.EchoBackend, segment_units=3)["units_skipped"] == 7
+
+
+def test_ranges_follow_the_rows_not_the_values(spark):
+    """Values far apart, and all but one row in one spot: ranges stay few and even."""
+    sparse = spark.range(0, 5000).selectExpr("id % 3 as g", "id * 1000000007 as at", "1 as v")
+    bounds = numbering.range_bounds(sparse, "at", 100)
+    assert 45 <= len(bounds) <= 50
+    sizes = [r["count"] for r in sparse.groupBy(numbering.range_of(F.col("at"), bounds)).count().collect()]
+    assert max(sizes) <= 130 and sum(sizes) == 5000
+    got = {(r.g, r.at): r.n for r in numbering.running(sparse, ["g"], "at", {"n": F.lit(1)}, 100).collect()}
+    assert got == {(i % 3, i * 1000000007): i // 3 + 1 for i in range(5000)}
+    assert 900 < len(numbering.range_bounds(spark.range(0, 4000), "id", 1)) < numbering.RANGES  # no more than so many
+    few = spark.createDataFrame([(x,) for x in (5, 5, 5, 9)], "x long")
+    assert [r[0] for r in few.select(numbering.range_of(F.col("x"), [1, 5, 7])).collect()] == [1, 1, 1, 3]
+    assert numbering.range_bounds(few.limit(0), "x", 1) == []
