@@ -30,7 +30,7 @@ def range_of(order: Column, bounds: Sequence) -> Column:
     literal = lambda values: F.array(*[F.lit(v) for v in values])
     whole = below(literal([p[-1] for p in parts]))
     inside = F.coalesce(below(F.try_element_at(F.array(*[literal(p) for p in parts]), whole + 1)), F.lit(0))
-    return F.when(order.isNotNull(), whole * SIDE + F.greatest(inside, F.lit(0)))
+    return F.when(order.isNotNull(), F.least(whole * SIDE, F.lit(len(bounds))) + F.greatest(inside, F.lit(0)))
 
 
 def running(rows: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, Column], width: int = WIDTH) -> DataFrame:
