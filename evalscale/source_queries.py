@@ -132,3 +132,22 @@ def cost_efficiency(spark, sf_dir):
     """A12, with the ratio to cost."""
     rows = metrics.with_efficiency(_metrics(spark, sf_dir))
     return rows.select("dataset", "model", "n", F.round("accuracy_per_cost", 9).alias("accuracy_per_cost"), F.round("accuracy_per_1k_tokens", 9).alias("accuracy_per_1k_tokens"), F.round("latency_s_per_correct", 4).alias("latency_s_per_correct"))
+
+
+@query(
+    "examples_scan",
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS nth FROM part)
+SELECT CASE WHEN p_partkey % 4 = 0 THEN concat('own-', p_partkey) ELSE concat('store_rows_', lpad(CAST(nth AS VARCHAR), 6, '0')) END AS id, p_name AS question, CAST(p_size AS VARCHAR) AS gold_answer,
+  CASE WHEN p_partkey % 3 = 0 THEN 'number' ELSE 'text' END AS answer_type, CASE WHEN p_partkey % 5 = 0 THEN concat(p_brand, '#', p_type) ELSE '' END AS choices, nth AS row_number FROM r""",
+)
+def examples_scan(spark, sf_dir):
+    """Inference examples of one file, with ids by row number where a row has none, and blanks off."""
+    path = f"{folders.scratch(spark, 'examples')}/rows.jsonl"
+    k = F.col("p_partkey")
+    part = V.table(spark, sf_dir, "part").orderBy("p_partkey").select(
+        F.when(k % 4 == 0, F.concat(F.lit("own-"), k)).alias("id"), F.concat(F.lit(" "), "p_name", F.lit("\t")).alias("question"), F.col("p_size").alias("gold_answer"), F.when(k % 3 == 0, "number").alias("answer_type"),
+        F.when(k % 5 == 0, F.array("p_brand", "p_type")).alias("choices"),
+    )
+    part.coalesce(1).write.json(path)
+    found = logs.read_examples(spark, path, "shop", source="store")
+    return found.select("id", "question", "gold_answer", "answer_type", F.array_join(F.coalesce("choices", F.array().cast("array<string>")), "#").alias("choices"), F.col("row_number").cast("long").alias("row_number"))
