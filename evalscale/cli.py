@@ -102,10 +102,10 @@ def ingest(spark, a):
             raise SystemExit(f"no file for split {split} in {a.files}")
         items = raw.normalize(raw.read_raw(spark, str(found)), s, split)
         out = items if out is None else out.unionByName(items)
-    out = out.cache()
+    out, seen = raw.watched(out, splits)
     kept = raw.retained(out)
     logs.write_splits(kept.select(F.col("metadata.split").alias("split"), "answer_type", "choices", "gold_answer", "question"), str(Path(a.out) / s.group / s.key))
-    counts = reports.rows_of(raw.split_counts(out).orderBy("split"))
+    counts = raw.watched_counts(seen, splits)
     logs.write_json({"dataset": s.key, "origin": s.origin, "splits": counts, "all": sum(r["retained"] for r in counts)}, Path(a.out) / s.group / f"{s.key}.manifest.json")  # beside the folder, which is read whole
     print(reports.text_table(counts, ("split", "raw", "retained", "skipped")))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,18 +20,22 @@ from evalscale.schemas import CANDIDATE_JSON, EXAMPLE_JSON, SELECTION_JSON
 NO_RUNS = frozenset({"sample_prompts", "__pycache__", ".git", "_smoke", "smoke", "synthetic", "synthetic_e2"})
 
 
+#: Lines that one task can number.
+TASK_LINES = 1 << 33
+
+
 def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Non-blank lines with their file and line number (0 first), of files of any size.
+    """Non-blank lines with their file and `ord`, whose order is theirs in the file, of files of any size in one scan.
 
-    A task reads the lines of a part of a file in order, so a line's number is its
-    place in its part and the lines of the parts before, of which there are few.
+    A task reads a part of a file, from the first line that begins in it, line by line.
+    So the byte where the part begins, and then the line's place among those of its
+    task, order the lines: `ord` is both in one number.  In the first part of a file
+    that a task reads alone it is the line's number, 0 first.
     """
-    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    lines = spark.read.text(list(paths), lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), row.alias("row"), F.col("value").alias("text"))
-    parts = lines.groupBy("path", "part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("path", "part", (before - F.col("first")).alias("shift"))
-    return lines.join(parts, ["path", "part"]).where(strip_space(F.col("text")) != "").select("path", (F.col("row") + F.col("shift")).alias("ord"), "text")
+    place = F.monotonically_increasing_id().bitwiseAND(TASK_LINES - 1)
+    order = (F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(TASK_LINES) + place).cast("decimal(38,0)")
+    lines = spark.read.text(list(paths), lineSep="\n").select(F.col("_metadata.file_path").alias("path"), order.alias("ord"), F.col("value").alias("text"))
+    return lines.where(strip_space(F.col("text")) != "")
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, strict: bool = True) -> DataFrame:
@@ -40,7 +44,8 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.Struct
     held = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     rows = lines.select("path", "ord", F.from_json("text", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     if strict:
-        where = F.concat(F.lit("malformed JSON in "), F.col("path"), F.lit(", line "), (F.col("ord") + 1).cast("string"))
+        byte, line = F.floor(F.col("ord") / TASK_LINES).cast("string"), (F.col("ord") % TASK_LINES + 1).cast("decimal(20,0)").cast("string")
+        where = F.concat(F.lit("malformed JSON in "), F.col("path"), F.lit(", line "), line, F.when(byte != "0", F.concat(F.lit(" of the task that reads from byte "), byte)).otherwise(""))
         rows = rows.withColumn("r", F.when(F.col("r._bad").isNull(), F.col("r")).otherwise(F.raise_error(where)))
     else:
         rows = rows.where("r._bad is null")

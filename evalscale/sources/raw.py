@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evalscale.functions import ingest as N
@@ -140,6 +140,18 @@ def split_counts(items: DataFrame) -> DataFrame:
     )
 
 
+def watched(items: DataFrame, splits: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """The items, and an observation of what `split_counts` counts, filled by the pass that writes them."""
+    seen, split = Observation(), F.col("metadata.split")
+    blank = F.col("gold_answer") == ""
+    kinds = {"raw": F.lit(True), "retained": F.col("in_language") & ~blank, "skipped": F.col("in_language") & blank}
+    return items.observe(seen, *[F.count_if((split == s) & c).alias(f"{k} {s}") for s in splits for k, c in kinds.items()]), seen
+
+
+def watched_counts(seen: Observation, splits: Sequence[str]) -> list[dict]:
+    return [{"split": s, **{k: seen.get[f"{k} {s}"] for k in ("raw", "retained", "skipped")}} for s in sorted(splits)]
+
+
 def compact(items: DataFrame) -> DataFrame:
     """The four fields that are written."""
     return items.select("answer_type", "choices", "gold_answer", "question")

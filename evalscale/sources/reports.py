@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from importlib.util import find_spec
 from pathlib import Path
 from typing import Any
 
@@ -62,15 +63,17 @@ def comparison(metrics: DataFrame, c: compare.Comparison, folder: str | Path, pl
     logs.write_csv(table, Path(folder) / "paper_table.csv")
     report = {
         "paper_table": rows_of(table), "datasets": rows_of(compare.per_dataset(rows, c).orderBy("dataset")), "headline": rows_of(compare.headline(rows, c))[0],
-        "ladder": rows_of(compare.ladder(rows, c).select("dataset", "model", "method", "n", "accuracy").orderBy("dataset", "model")), "num_datasets": compare.per_dataset(rows, c).count(),
+        "ladder": rows_of(compare.ladder(rows, c).select("dataset", "model", "method", "n", "accuracy").orderBy("dataset", "model")),
     }
+    report["num_datasets"] = len(report["datasets"])
     logs.write_json(report, Path(folder) / "comparison.json")
-    if plots:
+    if plots and find_spec("matplotlib"):
+        points = efficiency_points(rows, c)
         for d in [None, *[x["dataset"] for x in report["datasets"]]] if len(report["datasets"]) > 1 else [None]:
             end = "" if d is None else f"_{d}"
             plot(report["paper_table"], ("dataset", "small_model"), "small_n", "small_accuracy", Path(folder) / f"accuracy{end}.png", d, level="large_accuracy")
             for x in ("total_tokens", "total_latency_s"):
-                plot(efficiency_points(rows, c), ("dataset", "model"), x, "accuracy", Path(folder) / f"accuracy_by_{x}{end}.png", d, scatter=True)
+                plot(points, ("dataset", "model"), x, "accuracy", Path(folder) / f"accuracy_by_{x}{end}.png", d, scatter=True)
     return report
 
 

@@ -9,7 +9,7 @@ from evalscale.operators import metrics, numbering, reselect, scaling
 from evalscale.plans import config as C
 from evalscale.plans import run as runs
 from evalscale.plans import sweep as S
-from evalscale.schemas import EXAMPLE
+from evalscale.schemas import EXAMPLE, EXAMPLE_JSON
 from evalscale.sources import logs
 
 
@@ -43,7 +43,7 @@ def test_pooled_conditions_are_those_of_slices_and_selections(spark):
     assert "example_id" in EXAMPLE and scaling.pooled_conditions(pool.limit(0), sizes).count() == 0
 
 
-def test_line_numbers_over_parts_of_files(spark, tmp_path):
+def test_lines_of_parts_of_files_keep_their_order_in_one_scan(spark, tmp_path):
     rng = random.Random(2)
     files = {f"f{k}.jsonl": ["" if rng.random() < 0.1 else "é" * rng.randint(1, 90) for _ in range(n)] for k, n in enumerate([1, 700, 1500])}
     for name, lines in files.items():
@@ -52,12 +52,30 @@ def test_line_numbers_over_parts_of_files(spark, tmp_path):
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
         found = logs.numbered_lines(spark, [str(tmp_path / n) for n in files])
-        got = sorted((r.path.rsplit("/", 1)[1], r.ord, r.text) for r in found.collect())
+        rows = found.collect()
+        assert len({(r.path, r.ord) for r in rows}) == len(rows)
+        got = [(p, t) for p, _, t in sorted((r.path.rsplit("/", 1)[1], r.ord, r.text) for r in rows)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
         assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert got == sorted((name, i, t) for name, lines in files.items() for i, t in enumerate(lines) if t)
+    assert got == [(name, t) for name, lines in files.items() for t in lines if t]
+
+
+def test_compressed_lines_and_faulty_ones(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.jsonl.gz").write_bytes(gzip.compress(b'{"x": 1}\n\n{"x": 2}\n'))
+    assert [(r.text, int(r.ord)) for r in logs.numbered_lines(spark, [str(tmp_path / "a.jsonl.gz")]).orderBy("ord").collect()] == [('{"x": 1}', 0), ('{"x": 2}', 2)]
+    (tmp_path / "b.jsonl").write_text('{"id": "1"}\n' * 400 + '{"id": \n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        with pytest.raises(Exception, match=r"b.jsonl, line \d+ of the task that reads from byte 3000"):
+            logs.read_jsonl(spark, str(tmp_path / "b.jsonl"), EXAMPLE_JSON).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_a_failed_write_leaves_the_old_output(spark, tmp_path):
