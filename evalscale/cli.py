@@ -28,7 +28,7 @@ def _conditions(spark: SparkSession, folder: Path) -> DataFrame:
 def _merged(spark: SparkSession, folders: Sequence[Path]) -> DataFrame:
     """Conditions per run folder, merged in the folders' order."""
     out = None
-    for i, folder in enumerate(dict.fromkeys(p.resolve() for p in folders)):
+    for i, folder in enumerate(dict.fromkeys(logs.run_at(p) for p in folders)):
         rows = M.conditions(logs.read_candidates(spark, [folder]), logs.read_selections(spark, [folder])).withColumns({"run_id": F.lit(folder.name), "ord": F.lit(i)})
         out = rows.drop("run_ids") if out is None else out.unionByName(rows.drop("run_ids"))
     if out is None:
@@ -41,13 +41,13 @@ def _show(table: DataFrame, columns: Sequence[str]) -> None:
 
 
 def evaluate(spark, a):
-    for folder in logs.find_runs(a.runs) if a.run is None else [Path(a.runs) / a.run]:
+    for folder in logs.find_runs(a.runs) if a.run is None else [logs.run_at(f"{a.runs}/{a.run}")]:
         found = reports.evaluation(_conditions(spark, folder).orderBy("dataset", "model", "method", "n"), Path(a.out or folder) / "evaluation.json")
         print(reports.text_table(found["conditions"], COLUMNS))
 
 
 def aggregate(spark, a):
-    table = _merged(spark, logs.find_runs(a.runs) if a.run is None else [Path(a.runs) / a.run])
+    table = _merged(spark, logs.find_runs(a.runs) if a.run is None else [logs.run_at(f"{a.runs}/{a.run}")])
     if a.datasets:
         table = table.where(F.col("dataset").isin(*C.name_set(a.datasets)))
     table = table.orderBy("dataset", "model", "method", "n").cache()
@@ -75,7 +75,7 @@ def truncated(spark, a):
 
 def reselect(spark, a):
     names, every = [x.strip() for x in a.strategies.split(",") if x.strip()], []
-    folders = (logs.find_runs(a.runs) if a.run is None else [Path(a.runs) / a.run])[: a.limit]
+    folders = (logs.find_runs(a.runs) if a.run is None else [logs.run_at(f"{a.runs}/{a.run}")])[: a.limit]
     for folder in folders:
         rows = logs.read_candidates(spark, [folder]).cache()
         found = reports.reselection(R.reselect(rows, names), R.reselection_report(rows, names), Path(a.out, *[folder.name] * (len(folders) > 1)) if a.out else folder / "reselected")

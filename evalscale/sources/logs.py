@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
 from typing import Any
@@ -15,6 +16,7 @@ from evalscale.functions.ingest import ANSWER_TYPES, infer_task, synthetic_id
 from evalscale.functions.text import strip_space
 from evalscale.operators.numbering import running
 from evalscale.schemas import CANDIDATE_JSON, EXAMPLE_JSON, SELECTION_JSON
+from evalscale.sources import folders
 
 # Fixed names: folders that are no runs.
 NO_RUNS = frozenset({"sample_prompts", "__pycache__", ".git", "_smoke", "smoke", "synthetic", "synthetic_e2"})
@@ -85,29 +87,49 @@ def selections(rows: DataFrame) -> DataFrame:
 
 def read_candidates(spark: SparkSession, runs: Iterable[Path | str], strict: bool = True) -> DataFrame:
     """Candidates of several runs in one read, each path once."""
-    return candidates(read_jsonl(spark, _files(runs, "candidates.jsonl"), CANDIDATE_JSON, strict))
+    return candidates(read_jsonl(spark, _files(spark, runs, "candidates.jsonl"), CANDIDATE_JSON, strict))
 
 
 def read_selections(spark: SparkSession, runs: Iterable[Path | str], strict: bool = True) -> DataFrame:
-    return selections(read_jsonl(spark, _files(runs, "selections.jsonl"), SELECTION_JSON, strict))
+    return selections(read_jsonl(spark, _files(spark, runs, "selections.jsonl"), SELECTION_JSON, strict))
 
 
-def _files(runs: Iterable[Path | str], name: str) -> list[str]:
-    return [str(p / name) for p in dict.fromkeys(Path(r).resolve() for r in runs) if (p / name).exists()]
+def is_uri(path: object) -> bool:
+    return re.match(r"[a-z][a-z0-9+.-]+:", str(path)) is not None
 
 
-def find_runs(base: str | Path, need_manifest: bool = True, need_selections: bool = False, exclude: Iterable[str] = (), hidden: bool = False) -> list[Path]:
-    """Run folders, by name; those of tests, caches and empty logs are left out."""
-    base, excluded = Path(base), NO_RUNS | set(exclude)
-    wanted = ["candidates.jsonl"] + ["manifest.json"] * need_manifest + ["selections.jsonl"] * need_selections
+def run_at(path: Path | str | folders.Entry) -> Path | folders.Entry:
+    """A run folder: a path of this machine, or of any file system that Spark knows if it is a URI."""
+    if isinstance(path, folders.Entry):
+        return path
+    if is_uri(path):
+        text = str(path).rstrip("/")
+        return folders.Entry(text, text.rsplit("/", 1)[1], True, 0)
+    return Path(path).resolve()
+
+
+def _files(spark: SparkSession, runs: Iterable[Path | str | folders.Entry], name: str) -> list[str]:
+    found = dict.fromkeys(run_at(r) for r in runs)
+    there = lambda r: folders.exists(spark, f"{r.path}/{name}") if isinstance(r, folders.Entry) else (r / name).exists()
+    return [f"{r.path}/{name}" if isinstance(r, folders.Entry) else str(r / name) for r in found if there(r)]
 
-    def is_run(p: Path) -> bool:
-        name = p.name
-        if name in excluded or name.startswith(".") or (name.startswith("_") and not hidden) or "smoke" in name.lower() or name.lower().startswith("synthetic"):
-            return False
-        return all((p / w).is_file() for w in wanted) and (p / wanted[0]).stat().st_size > 0
 
-    return sorted(p for p in base.iterdir() if p.is_dir() and is_run(p)) if base.is_dir() else []
+def find_runs(base: str | Path, need_manifest: bool = True, need_selections: bool = False, exclude: Iterable[str] = (), hidden: bool = False) -> list[Path | folders.Entry]:
+    """Run folders, by name; those of tests, caches and empty logs are left out.  Of a URI they are listed by its file system."""
+    excluded = NO_RUNS | set(exclude)
+    wanted = ["candidates.jsonl"] + ["manifest.json"] * need_manifest + ["selections.jsonl"] * need_selections
+
+    def named(name: str) -> bool:
+        return not (name in excluded or name.startswith(".") or (name.startswith("_") and not hidden) or "smoke" in name.lower() or name.lower().startswith("synthetic"))
+
+    if is_uri(base):
+        spark = SparkSession.active()
+        found = [e for e in folders.listing(spark, str(base)) if e.is_dir and named(e.name)]
+        sizes = [{f.name: f.size for f in folders.listing(spark, e.path) if not f.is_dir} for e in found]
+        return [e for e, own in zip(found, sizes, strict=True) if set(wanted) <= own.keys() and own[wanted[0]] > 0]
+    base = Path(base)
+    whole = lambda p: all((p / w).is_file() for w in wanted) and (p / wanted[0]).stat().st_size > 0
+    return sorted(p for p in base.iterdir() if p.is_dir() and named(p.name) and whole(p)) if base.is_dir() else []
 
 
 def read_examples(spark: SparkSession, path: str, dataset: str | None = None, task: str | None = None, source: str | None = None, limit: int | None = None) -> DataFrame:

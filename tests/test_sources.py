@@ -35,7 +35,7 @@ def test_bad_lines(spark, tmp_path):
         logs.read_selections(spark, [tmp_path / "run"]).collect()
 
 
-def test_run_discovery(tmp_path):
+def test_run_discovery(spark, tmp_path):
     for name in ("good", "_smoke", "my_smoke_1", "synthetic_e2", "_hidden", "no_manifest", "empty"):
         write(tmp_path / name / "candidates.jsonl", *([] if name == "empty" else [{}]))
         if name != "no_manifest":
@@ -43,6 +43,11 @@ def test_run_discovery(tmp_path):
     assert [p.name for p in logs.find_runs(tmp_path)] == ["good"]
     assert [p.name for p in logs.find_runs(tmp_path, need_manifest=False, hidden=True)] == ["_hidden", "good", "no_manifest"]
     assert logs.find_runs(tmp_path / "nowhere") == [] and logs.find_runs(tmp_path, need_selections=True) == [] and logs.find_runs(tmp_path, exclude=["good"]) == []
+    there = f"file://{tmp_path}"
+    assert [e.name for e in logs.find_runs(there)] == ["good"] and [e.name for e in logs.find_runs(there, need_manifest=False, hidden=True)] == ["_hidden", "good", "no_manifest"]
+    assert logs.find_runs(f"{there}/nowhere") == [] and logs.find_runs(there, need_selections=True) == []
+    by_uri, by_path = (sorted(map(str, logs.read_candidates(spark, logs.find_runs(x)).collect())) for x in (there, tmp_path))
+    assert by_uri == by_path == sorted(map(str, logs.read_candidates(spark, [f"{there}/good/", f"{there}/good", f"{there}/none"]).collect()))
 
 
 def test_examples(spark, tmp_path):
