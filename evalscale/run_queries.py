@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evalscale import views as V
 from evalscale.functions import text as X
-from evalscale.operators import merging, reselect, scaling, select
+from evalscale.operators import dedupe, merging, reselect, scaling, select
 from evalscale.plans import config, sweep
 from evalscale.queries import _EX, _POOL, MOCK, ORACLES, generated, mock_prompts, query
 from evalscale.schemas import EXAMPLE
@@ -83,15 +83,23 @@ def generate_concurrent(spark, sf_dir):
     return generated(spark, sf_dir, SlowBackend, concurrent=16, timeout_s=30.0)
 
 
-def _dealt(rows, folder: str, batch) -> None:
-    """Rows as the files of a stream, one for each batch number, in its order."""
+#: Rows of a file of a stream, about.
+FILE_ROWS = 500_000
+
+
+def _dealt(rows, folder: str, batch, file_rows: int = FILE_ROWS) -> int:
+    """Rows as the files of a stream, as many for each batch number, in its order; how many files a batch has."""
     numbered = rows.withColumn("__batch", batch)
-    for n in sorted(r[0] for r in numbered.select("__batch").distinct().collect()):  # a handful
-        numbered.where(F.col("__batch") == n).drop("__batch").coalesce(1).write.mode("append").parquet(folder)
+    counts = {r[0]: r[1] for r in numbered.groupBy("__batch").count().collect()}  # a handful
+    files = max(1, -(-sum(counts.values()) // (max(1, len(counts)) * file_rows)))
+    for n in sorted(counts):
+        own = numbered.where(F.col("__batch") == n).drop("__batch")
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(folder)
+    return files
 
 
-def _stream(spark, folder: str):
-    return incremental.stream_rows(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+def _stream(spark, folder: str, files: int):
+    return incremental.stream_rows(spark, folder, spark.read.parquet(folder).schema, files_per_batch=files)
 
 
 _SHIP = ["l_shipdate", "l_partkey", "l_suppkey"]
@@ -103,8 +111,8 @@ def stream_keep_last(spark, sf_dir):
     stateful.with_state_store(spark)
     base = folders.scratch(spark, "stream-keep-last")
     rows = V.append_log(spark, sf_dir)
-    _dealt(rows, f"{base}/in", F.pmod(F.xxhash64(*rows.columns), F.lit(4)))
-    stateful.run_through(stateful.keep_newest(_stream(spark, f"{base}/in"), ["l_orderkey", "l_linenumber"], _SHIP), None, f"{base}/state", "update")
+    files = _dealt(rows, f"{base}/in", F.pmod(F.xxhash64(*rows.columns), F.lit(4)))
+    stateful.run_through(stateful.keep_newest(_stream(spark, f"{base}/in", files), ["l_orderkey", "l_linenumber"], _SHIP), None, f"{base}/state", "update")
     return stateful.kept_values(spark, f"{base}/state").select("key.*", "value.max.*").select(*rows.columns)
 
 
@@ -113,24 +121,24 @@ _ANSWERED = "SELECT event_type AS method, user_id, event_id AS ord, ts, user_id
 
 @query("stream_newest", f"WITH s AS ({_ANSWERED}) SELECT user_id, method, epoch_us(ts) AS at, ord, is_correct FROM (SELECT *, row_number() OVER (PARTITION BY user_id, method ORDER BY ts DESC, ord DESC) AS nth FROM s) WHERE nth = 1")
 def stream_newest(spark, sf_dir):
-    """T5 with a time to live that none outlives here: changes of each batch, of which the last one of a key is the newest."""
-    base = _answered_stream(spark, sf_dir, "stream-newest")
-    found = stateful.keep_newest_for(_stream(spark, f"{base}/in").where("ord >= 0"), ["user_id", "method"], "ord", 366 * 86_400_000, "40 days")
+    """T5 with a time to live that none outlives here: changes of each batch, of which the newest one of a key counts."""
+    base, files = _answered_stream(spark, sf_dir, "stream-newest")
+    found = stateful.keep_newest_for(_stream(spark, f"{base}/in", files).where("ord >= 0"), ["user_id", "method"], "ord", 366 * 86_400_000, "40 days")
     stateful.run_through(found, f"{base}/out", f"{base}/state", "update")
-    return incremental.latest(spark, f"{base}/out", ["user_id", "method"]).select("user_id", "method", "at", "ord", "is_correct")
+    return dedupe.keep_last(spark.read.parquet(f"{base}/out"), ["user_id", "method"], ("at", "ord")).select("user_id", "method", "at", "ord", "is_correct")
 
 
 @query("stream_running_accuracy", f"WITH s AS ({_ANSWERED}) SELECT method, ord, CAST(count(*) FILTER (is_correct) OVER w AS BIGINT) AS correct, count(*) OVER w AS scored FROM s WINDOW w AS (PARTITION BY method ORDER BY ts, ord)")
 def stream_running_accuracy(spark, sf_dir):
     """A18 on a stream whose rows come up to a sixth of the whole time late: one row per selection, in event order."""
-    base = _answered_stream(spark, sf_dir, "stream-running")
+    base, files = _answered_stream(spark, sf_dir, "stream-running")
     late = int(spark.read.parquet(f"{base}/in").where("ord >= 0").agg((F.max("ts").cast("long") - F.min("ts").cast("long")) / 3).first()[0] or 0) + 2
-    stateful.run_through(stateful.running_in_order(_stream(spark, f"{base}/in"), ["method"], f"{late} seconds"), f"{base}/out", f"{base}/state", "append")
+    stateful.run_through(stateful.running_in_order(_stream(spark, f"{base}/in", files), ["method"], f"{late} seconds"), f"{base}/out", f"{base}/state", "append")
     return spark.read.parquet(f"{base}/out").where("ord >= 0").select("method", "ord", "correct", "scored")
 
 
-def _answered_stream(spark, sf_dir, name: str) -> str:
-    """Selections in batches by time of which the rows overlap, then two closing rows of no method, whose time passes all others."""
+def _answered_stream(spark, sf_dir, name: str) -> tuple[str, int]:
+    """Selections in batches by time of which the rows overlap, then two closing batches of no method, whose time passes all others; and the files of a batch."""
     stateful.with_state_store(spark)
     base = folders.scratch(spark, name)
     e = V.table(spark, sf_dir, "events")
@@ -138,13 +146,13 @@ def _answered_stream(spark, sf_dir, name: str) -> str:
     first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     if first is None:
         rows.write.parquet(f"{base}/in")
-        return base
+        return base, 1
     part = (last - first) // 6 + 1
-    _dealt(rows, f"{base}/in", F.floor((F.unix_micros("ts") - first) / part) + F.pmod(F.xxhash64("ord"), F.lit(2)))
+    files = _dealt(rows, f"{base}/in", F.floor((F.unix_micros("ts") - first) / part) + F.pmod(F.xxhash64("ord"), F.lit(2)))
     for k in (1, 2):
-        closing = spark.range(1).select(F.lit("").alias("method"), F.lit(-1).cast("long").alias("user_id"), F.lit(-k).cast("long").alias("ord"), F.timestamp_micros(F.lit(last + 4 * k * part)).alias("ts"), F.lit(False).alias("is_correct"))
-        _dealt(closing, f"{base}/in", F.lit(k))
-    return base
+        closing = spark.range(0, files, 1, files).select(F.lit("").alias("method"), F.lit(-1).cast("long").alias("user_id"), F.lit(-k).cast("long").alias("ord"), F.timestamp_micros(F.lit(last + 4 * k * part)).alias("ts"), F.lit(False).alias("is_correct"))
+        closing.write.mode("append").parquet(f"{base}/in")  # a row in each file
+    return base, files
 
 
 #: Items of orders by status and priority; the runs of item j are r(j % 7) and, for every third, r(j * 3 % 7) too; every eleventh names none.
