@@ -33,21 +33,22 @@ def range_of(order: Column, bounds: Sequence) -> Column:
     return F.when(order.isNotNull(), F.least(whole * SIDE, F.lit(len(bounds))) + F.greatest(inside, F.lit(0)))
 
 
-def running(rows: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, Column], width: int = WIDTH) -> DataFrame:
+def running(rows: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, Column], width: int = WIDTH, within: Sequence[str] = ()) -> DataFrame:
     """The rows with each total of their group so far, their own row included, by an order column.
 
     Groups are cut into ranges of the order column by its quantiles over all rows, so
     a range holds about `width` rows of all groups together however its values lie, and a
     group has as few ranges (rows beyond `RANGES` times the width make ranges longer).
     Totals of ranges are summed up first; then each row adds what its own range has
-    before it.  Rows that tie count together, as in a window with a range frame.
+    before it.  Rows that tie count together, as in a window with a range frame; columns
+    `within`, of which the order column is the first, part ties.
     """
     piece = range_of(F.col(order), range_bounds(rows, order, width)).cast("long")
     valued = rows.withColumns({"__piece": piece, **{f"__{n}": c for n, c in totals.items()}})
     pieces = valued.groupBy(*keys, "__piece").agg(*[F.sum(f"__{n}").alias(f"__{n}_piece") for n in totals])
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__p"), *[F.coalesce(F.sum(f"__{n}_piece").over(before), F.lit(0)).alias(f"__{n}_before") for n in totals])
-    inside = Window.partitionBy(*keys, "__piece").orderBy(order)
+    inside = Window.partitionBy(*keys, "__piece").orderBy(*(within or (order,)))
     summed = valued.withColumns({n: F.sum(f"__{n}").over(inside) for n in totals})
     same = F.col("__piece").eqNullSafe(F.col("__p"))
     for i, k in enumerate(keys):

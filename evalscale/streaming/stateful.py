@@ -1,22 +1,21 @@
 """Streams with state: the newest row of each key, and running accuracy in event order.
 
-State is kept in RocksDB and a batch's work follows the batch: no earlier batch is
-read again.  What is kept can be read from the checkpoint at any time.
+State is kept in RocksDB, by Spark's own aggregates, and a batch's work follows the
+batch: no earlier batch is read again.  What is kept can be read from the checkpoint at any time.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-# a processor also starts in a process of Spark's driver that has only the environment's path, so it takes its code along
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from evalscale.operators import numbering
+from evalscale.sources import folders
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,120 +33,91 @@ def keep_newest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("newest")).select(*keys, "newest.*")
 
 
-class Newest(StatefulProcessor):
-    """A value per key with a time to live in event time: a key is forgotten once the watermark is that far beyond its newest row."""
-
-    def __init__(self, columns: Sequence[str], schema: str, ttl_ms: int):
-        self.columns, self.schema, self.ttl_ms = list(columns), schema, ttl_ms  # the columns begin with the event time in microseconds and the order
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", self.schema)
+def keep_newest_for(rows: DataFrame, keys: Sequence[str], order: str, ttl_ms: int, late: str) -> DataFrame:
+    """T5 with a time to live: the newest row of each key by event time `ts`, then `order`; in update mode.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        plain = lambda row: tuple(x.item() if hasattr(x, "item") else x for x in row)
-        best = max((plain(r) for part in rows for r in part[self.columns].itertuples(index=False)), key=lambda r: r[:2])
-        old = self.newest.get()
-        if old is None or tuple(old)[:2] < best[:2]:
-            self.newest.update(best)
-            self.handle.registerTimer(best[0] // 1000 + self.ttl_ms)
-            yield pd.DataFrame([(*key, *best)])
+    State is a value per key and slot of expiry, an eighth of the time to live wide; Spark
+    drops a slot once the watermark, `late` behind the newest time, is the time to live beyond
+    its last row.  The slots of keys that a batch changed come out, each with its newest row:
+    a key's newest one is the newest over its slots by `at`, the event time in microseconds,
+    and `order`; `kept_values` reads it from the state.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, "ts", order)]
+    expiry = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + ttl_ms * 1000)
+    timed = rows.withColumns({"at": F.unix_micros(F.col("ts").cast("timestamp")), "__expiry": expiry})
+    timed = timed.withWatermark("__expiry", f"{ttl_ms} milliseconds {late}")
+    slot = F.window("__expiry", f"{max(1, ttl_ms // 8)} milliseconds")
+    return timed.groupBy(*keys, slot.alias("slot")).agg(F.max(F.struct("at", order, *rest)).alias("newest")).select(*keys, "newest.*")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.newest.get()
-        if held is not None and held[0] // 1000 + self.ttl_ms <= timerValues.getCurrentWatermarkInMs():
-            self.newest.clear()
-        return iter(())
 
-    def close(self) -> None:
-        return
+@dataclass(frozen=True)
+class InOrder:
+    """A stream of rows that come once their order is complete, and the keys by which `run_through` counts them on."""
 
+    rows: DataFrame
+    keys: tuple[str, ...]
 
-def keep_newest_for(rows: DataFrame, keys: Sequence[str], order: str, ttl_ms: int, late: str) -> DataFrame:
-    """T5 with a time to live: the newest row of each key by event time `ts`, then `order`, a whole number.
 
-    The other columns are whole numbers, texts or booleans.  Rows carry `at`, their event
-    time in microseconds.  In update mode the keys that a batch changed come out.
-    """
-    rest = [c for c in rows.columns if c not in (*keys, "ts", order)]
-    kinds = dict(rows.dtypes) | {"at": "bigint"}
-    schema = lambda names: ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    timed = timed.select("ts", *keys, F.unix_micros("ts").alias("at"), order, *rest)
-    columns = ["at", order, *rest]
-    return timed.groupBy(*keys).transformWithStateInPandas(Newest(columns, schema(columns), ttl_ms), schema([*keys, *columns]), "update", "eventTime")
-
-
-class Running(StatefulProcessor):
-    """Holds rows until the watermark has passed them, so that their order is complete, and counts on in that order."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.totals = handle.getValueState("totals", "scored long, correct long")
-        self.waiting = handle.getListState("waiting", "at long, ord long, good boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = [(int(a), int(o), bool(g)) for part in rows for a, o, g in zip(part["at"], part["ord"], part["good"], strict=True)]
-        self.waiting.appendList(came)
-        self._wake(min(came)[0], -1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(x) for x in self.waiting.get())
-        due = [x for x in held if x[0] < passed]
-        rest = held[len(due) :]
-        if rest:
-            self._wake(rest[0][0], timerValues.getCurrentWatermarkInMs())
-        if not due:
-            return
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        scored, correct = self.totals.get() or (0, 0)
-        out = []
-        for _, place, good in due:
-            scored, correct = scored + 1, correct + good
-            out.append((*key, place, correct, scored))
-        self.totals.update((scored, correct))
-        yield pd.DataFrame(out)
-
-    def _wake(self, at_us: int, passed_ms: int) -> None:
-        """A timer for when the watermark has passed a row, unless there is an earlier one that is still to come."""
-        at = at_us // 1000 + 1
-        if not any(passed_ms < t <= at for t in self.handle.listTimers()):
-            self.handle.registerTimer(at)
-
-    def close(self) -> None:
-        return
-
-
-def running_in_order(selections: DataFrame, keys: Sequence[str], late: str) -> DataFrame:
+def running_in_order(selections: DataFrame, keys: Sequence[str], late: str) -> InOrder:
     """Each selection (keys, `ts`, `ord`, `is_correct`) with those scored and correct in its group so far, itself included.
 
     The order is that of event time, then `ord`.  A row is emitted once the watermark,
     `late` behind the newest time, has passed it; what comes later than that is dropped.
+    Rows wait in state by key, time and `ord`, so no task holds a group.
     """
-    kinds = dict(selections.dtypes)
-    rows = selections.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    rows = rows.select("ts", *keys, F.unix_micros("ts").alias("at"), F.col("ord").cast("long").alias("ord"), F.coalesce("is_correct", F.lit(False)).alias("good"))
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "ord long, correct long, scored long"])
-    return rows.groupBy(*keys).transformWithStateInPandas(Running(), schema, "append", "eventTime")
+    timed = selections.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = timed.groupBy(*keys, "ts", F.col("ord").cast("long").alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("good"))
+    return InOrder(rows, tuple(keys))
 
 
-def run_through(rows: DataFrame, target: str | None, checkpoint: str, mode: str) -> StreamingQuery:
+def counted_on(batch: DataFrame, keys: Sequence[str], totals: str, number: int) -> DataFrame:
+    """Running counts of a batch's rows, all of which follow those of earlier batches in their order.
+
+    What each group has had by the end of the batch is written to a folder of the batch's number.
+    """
+    spark = batch.sparkSession
+    fields = T.StructType([*[batch.schema[k] for k in keys], T.StructField("__scored", T.LongType()), T.StructField("__correct", T.LongType())])
+    past = sorted(n for n in (int(e.name.split("=")[1]) for e in folders.listing(spark, totals)) if n < number)
+    before = spark.read.schema(fields).parquet(f"{totals}/batch={past[-1]}") if past else spark.createDataFrame([], fields)
+    came = batch.select(*keys, F.col("n").alias("__scored"), F.col("good").alias("__correct")).unionByName(before)
+    summed = came.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("__scored", "__correct")])
+    summed.coalesce(1).write.mode("overwrite").parquet(f"{totals}/batch={number}")  # a row per group
+    for n in past[:-1]:
+        folders.remove(spark, f"{totals}/batch={n}")
+    copies = F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))
+    rows = batch.withColumn("__copy", copies).withColumn("__good", (F.col("__copy") > F.col("n") - F.col("good")).cast("long"))
+    totalled = {"scored": F.lit(1), "correct": F.col("__good")}
+    done = numbering.running(rows.withColumn("__at", F.unix_micros("ts")), keys, "__at", totalled, within=("__at", "ord", "__copy"))
+    same = F.lit(True)
+    for k in keys:
+        same &= done[k].eqNullSafe(before[k])
+    plus = lambda name: (F.col(name) + F.coalesce(f"__{name}", F.lit(0))).alias(name)
+    return done.join(before, same, "left").select(*[done[k] for k in keys], "ord", plus("correct"), plus("scored"))
+
+
+def run_through(rows: DataFrame | InOrder, target: str | None, checkpoint: str, mode: str) -> StreamingQuery:
     """Runs a stream over all that is there; a batch's rows replace those of the same batch if it runs again."""
+    stream = rows.rows if isinstance(rows, InOrder) else rows
 
     def write(batch: DataFrame, number: int) -> None:
+        if isinstance(rows, InOrder):
+            due = f"{checkpoint}/due"  # written, as it is read more than once
+            batch.write.mode("overwrite").parquet(due)
+            batch = counted_on(batch.sparkSession.read.schema(batch.schema).parquet(due), rows.keys, f"{checkpoint}/totals", number)
         if target is None:
             batch.write.format("noop").mode("overwrite").save()
         else:
             batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    query = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
 def kept_values(spark: SparkSession, checkpoint: str, name: str | None = None) -> DataFrame:
-    """`key` and `value` of a stream's state, read from its checkpoint; of a state variable, if it is named."""
-    reader = spark.read.format("statestore")
-    return (reader.option("stateVarName", name) if name else reader).load(checkpoint)
+    """`key` and `value` of a stream's state, read from its checkpoint; if a column of the state is named, its newest value of each key over all slots."""
+    kept = spark.read.format("statestore").load(checkpoint)
+    if name is None:
+        return kept
+    keys = [k for k in kept.schema["key"].dataType.names if k != "slot"]
+    return kept.groupBy(F.struct(*[F.col(f"key.{k}").alias(k) for k in keys]).alias("key")).agg(F.max("value.max").alias("value"))
