@@ -82,12 +82,13 @@ class Boosted:
         return total
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators, as points to interpolate between; the ends keep off 0 and 1 by half a case."""
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators, as points to interpolate between; the ends keep off 0 and 1 by half a case.  A weight is a number of cases."""
+    weight = np.ones(len(score)) if weight is None else weight
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []  # sum of labels, weight, sum of scores
-    for s, label in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([label, 1.0, s])
+    for s, label, w in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append([label * w, w, s * w])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]

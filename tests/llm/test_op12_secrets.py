@@ -162,3 +162,25 @@ def test_findings_of_a_corpus(spark):
     none = spark.createDataFrame([], DOCS)
     model = op.train_on(none, made=400)
     assert op.digest(op.find_secrets(none, model)).count() == 0
+
+
+def test_every_document_counts_in_training(spark):
+    rows = [f'token = "aB3dE5fG7hJ9k{i:04d}" and documentation_of_part_{i:04d} here' for i in range(700)]
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(rows)], DOCS)
+    own = op.labelled_findings(docs)
+    assert own.count() == 1400
+    fitted = op.with_made(own, 800)
+    kept = {r.label: r["count"] for r in fitted.join(own, ["front", "value", "back", "label"], "left_semi").groupBy("label").count().collect()}
+    assert kept == {0: 700, 1: 700} and fitted.count() > 2100
+    held = op.held_counts(fitted.where("held").select("front", "value", "back", "label"), op.Network.fresh(np.random.default_rng(1)))
+    assert held[:, 3].sum() == fitted.where("held").count()
+
+
+def test_networks_averaged_over_tasks_find_secrets(spark, model):
+    made = op.made_findings(model[1], 6000, seed=3)
+    rows = spark.createDataFrame(made, op.FINDING).repartition(3)
+    net = op.Network.fresh(np.random.default_rng(5))
+    for k in range(6):
+        net = op.averaged_round(rows, net, (1.0, 1.0), 0.004 * (1 - k / 6), k)
+    margin, _, label, n = op.held_counts(spark.createDataFrame(op.made_findings(model[1], 1500, seed=78), op.FINDING), net).T
+    assert n[(margin > 0) == (label == 1)].sum() >= 0.95 * n.sum()
