@@ -34,10 +34,10 @@ from evalscale.llm.common import cut, join_small
 from evalscale.llm.text import buffers, cache_of, release, slices
 
 CAPACITY = 2048
-#: A worker forgets all words beyond this many (about 150 MB) and starts anew.
-CACHE_WORDS = 700_000
+#: A worker forgets all words beyond this many (about 65 MB) and starts anew.
+CACHE_WORDS = 300_000
 #: Nor does it remember more characters of words.
-CACHE_CHARS = 64 << 20
+CACHE_CHARS = 24 << 20
 #: Words encoded in one call; what the tokenizer returns for a word takes much more memory than its ids.
 ENCODE_WORDS = 2_000
 CLOSING = ".,!?;:*$%&#|()\""
@@ -45,7 +45,7 @@ CLOSING = ".,!?;:*$%&#|()\""
 PLAIN = 0x130
 _ALNUM = np.array([chr(c).isalnum() for c in range(PLAIN)] + [False])
 #: Larger slices than elsewhere, so that more words repeat within one.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 3 << 20
 
 
 def folds_words(path: str) -> bool:
