@@ -18,7 +18,7 @@ FEW_BYTES = 4 << 20
 #: Where tables go in tests, when all of Spark runs in one process and no folder is set.
 LOCAL_SHARED = "/tmp/evalscale-checkpoints"
 #: Bytes of an Arrow batch, about: documents are long, and batches count twice, in the JVM and in the worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Columns that know a row by its id and text, 128 bits in all.
 ROW_KEY = ["key", "key2"]
 
