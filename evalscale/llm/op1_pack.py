@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from functools import lru_cache
 from itertools import chain, repeat
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalscale.llm.common import cut, join_small
-from evalscale.llm.text import buffers, cache_of, release, slices
+from evalscale.llm.text import LOWER, buffers, cache_of, release, slices
 
 CAPACITY = 2048
 #: A worker forgets all words beyond this many (about 65 MB) and starts anew.
@@ -40,7 +41,10 @@ CACHE_WORDS = 300_000
 CACHE_CHARS = 24 << 20
 #: Words encoded in one call; what the tokenizer returns for a word takes much more memory than its ids.
 ENCODE_WORDS = 2_000
+#: Words of letters that are joined to one text for it; a text of its own for each word takes twice the time.
+JOINED_WORDS = 200
 CLOSING = ".,!?;:*$%&#|()\""
+_CLOSING = np.isin(np.arange(256), list(CLOSING.encode()))
 #: Below this, characters are lower-cased one for one.
 PLAIN = 0x130
 _ALNUM = np.array([chr(c).isalnum() for c in range(PLAIN)] + [False])
@@ -74,7 +78,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.folds = cache_words, folds_words(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if not t.normalized]
+        #: Ids that end a run of letters; none if a text of letters and spaces could hold an added token, so that words are not joined.
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        if self.folds and not any(all(c.isalpha() or c.isspace() for c in t.content) for t in added):
+            suffix = self.tokenizer.model.end_of_word_suffix
+            self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -83,79 +94,124 @@ class Encoder:
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used, self.known, self.held = 0, 1, 0
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.known + len(words) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.flat[self.used : self.used + total] = ids
         self.starts[self.known : self.known + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.lengths[self.known : self.known + len(words)] = sizes
         self.cache.update(zip(words, range(self.known, self.known + len(words)), strict=True))
         self.used, self.known, self.held = self.used + total, self.known + len(words), self.held + sum(map(len, words))
 
-    def _parted(self, chunks: pa.StringArray) -> tuple[list[str], np.ndarray, list[str]]:
-        """The lower-cased rest of each chunk, which chunks have closing punctuation, and theirs; characters beyond `PLAIN` are left as they are."""
-        trimmed = pc.utf8_rtrim(chunks, characters=CLOSING)
-        raw, offsets = buffers(trimmed)
-        size, whole = np.diff(offsets), np.diff(buffers(chunks)[1])
-        tail = np.concatenate([np.zeros(2, np.uint8), raw])  # of each rest the last byte and the one before
-        last, before = tail[offsets[1:] + 1].astype(np.int64), tail[offsets[1:]].astype(np.int64)
-        point = np.where(last < 0x80, last, np.where((before >= 0xC2) & (before <= 0xC4), (before & 0x1F) << 6 | last & 0x3F, PLAIN))
-        closed = (size > 0) & (size < whole) & _ALNUM[np.minimum(point, PLAIN)]
-        rest = pc.if_else(pa.array(closed), trimmed, chunks)
-        raw, offsets = buffers(rest)
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, words: list[str]) -> None:
+        """A word of letters is one run and has one closing id, so joined words are parted at these; where their number is another, each is encoded by itself."""
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[a : a + JOINED_WORDS] for a in range(0, len(letters), JOINED_WORDS)]
+        single = [w for w in words if not w.isalpha()]
+        if groups:
+            ids, sizes = self._tokens([" ".join(g) for g in groups])
+            for group, own in zip(groups, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                closing = np.flatnonzero(self.closes[own])
+                if len(closing) == len(group) and closing[-1] == len(own) - 1:
+                    self._add(group, own, np.diff(closing, prepend=-1))
+                else:
+                    single += group
+        if single:
+            self._add(single, *self._tokens(single))
+
+    def _pairs(self, chunks: pa.StringArray) -> pa.LargeStringArray:
+        """Two words for each chunk: its lower-cased rest, and the closing punctuation or nothing; a rest with characters beyond `PLAIN` is left as it is."""
+        raw, offsets = buffers(chunks)
+        begin, end = offsets[:-1], offsets[1:]
+        low = LOWER[raw]
+        for lead, first, last, step, other in ((0xC3, 0x80, 0x9E, 1, 0x97), (0xC4, 0x80, 0xAE, 2, 0)):  # U+00C0 to U+00DE but the sign at U+00D7, and U+0100 to U+012E
+            at = np.flatnonzero(raw[:-1] == lead) + 1
+            at = at[np.isin(raw[at], [c for c in range(first, last + 1, step) if c != other])]
+            low[at] += 0x20 if step == 1 else 1
+        rest = end.copy()
+        at = np.flatnonzero(end > begin)
+        at = at[_CLOSING[raw[end[at] - 1]]]
+        shut = _CLOSING[raw]
+        runs = np.flatnonzero(shut & ~np.concatenate([[False], shut[:-1]]))
+        to = runs[np.searchsorted(runs, end[at] - 1, side="right") - 1]
+        at, to = at[to > begin[at]], to[to > begin[at]]
+        point, before = raw[to - 1].astype(np.int64), raw[to - 2].astype(np.int64)
+        point = np.where(point < 0x80, point, np.where((before >= 0xC2) & (before <= 0xC4), (before & 0x1F) << 6 | point & 0x3F, PLAIN))
+        closed = _ALNUM[np.minimum(point, PLAIN)]
+        rest[at[closed]] = to[closed]
+        bounds = np.zeros(2 * len(chunks) + 1, np.int64)
+        bounds[1::2], bounds[2::2] = rest, end
+
+        def holders(at: np.ndarray) -> np.ndarray:
+            return np.unique(np.searchsorted(bounds, at, side="right") - 1)
+
         far = raw >= 0xC5
         far[:-1] |= (raw[:-1] == 0xC4) & (raw[1:] >= 0xB0)
-        total = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(far, out=total[1:])
-        low = pc.if_else(pa.array(total[offsets[1:]] == total[offsets[:-1]]), pc.utf8_lower(rest), rest)
-        rests, at = low.to_pylist(), np.flatnonzero(closed)
-        ends = [c[-n:] for c, n in zip(chunks.take(pa.array(at)).to_pylist(), (whole - size)[at].tolist(), strict=True)]
+        if far.any():
+            own = np.zeros(2 * len(chunks), bool)
+            own[holders(np.flatnonzero(far))] = True
+            low = np.where(np.repeat(own, np.diff(bounds)), raw, low)
+        text = low.tobytes()
         for t in self.added:
-            for i in np.flatnonzero(pc.match_substring(low, t).to_numpy(zero_copy_only=False)).tolist():
-                own = rest[i].as_py()
-                if any(x in rests[i] and rests[i].count(x) != own.count(x) for x in self.added):
-                    rests[i] = own
-        return rests, at, ends
+            for i in holders(np.array([m.start() for m in re.finditer(re.escape(t.lower()), text)], np.int64)).tolist():
+                a, b = bounds[i], bounds[i + 1]
+                if any(text.count(x, a, b) != raw[a:b].tobytes().count(x) for x in self.added):
+                    low[a:b] = raw[a:b]
+        return pa.LargeStringArray.from_buffers(2 * len(chunks), pa.py_buffer(bounds), pa.py_buffer(low))
+
+    def _parted(self, chunks: pa.StringArray) -> tuple[list[str], np.ndarray, list[str]]:
+        """`_pairs` as lists: the rest of each chunk, which chunks have closing punctuation, and theirs."""
+        words = self._pairs(chunks).to_pylist()
+        at = np.flatnonzero([w != "" for w in words[1::2]])
+        return words[::2], at, [words[2 * i + 1] for i in at.tolist()]
 
     def _entries(self, chunks: pa.StringArray) -> np.ndarray:
         """Two entries (rest, closing punctuation) for each chunk."""
-        rests, at, ends = self._parted(chunks)
-        found = [np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words)) for words in (rests, ends)]
-        missing = [np.flatnonzero(x < 0) for x in found]
-        new = list(dict.fromkeys(words[i] for words, own in zip((rests, ends), missing, strict=True) for i in own.tolist()))
+        pairs = self._pairs(chunks).dictionary_encode()
+        words = pairs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        entry = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+        new = [words[i] for i in np.flatnonzero(entry < 0).tolist()]
         if self.known + len(new) > self.limit or self.held + sum(map(len, new)) > CACHE_CHARS:
+            at = np.flatnonzero(entry > 0)
+            kept = [words[i] for i in at.tolist()], self._gather(entry[at]), self.lengths[entry[at]]
             self._reset()
-            missing = [np.arange(len(x)) for x in found]
-            new = [w for w in dict.fromkeys(chain(rests, ends)) if w]
+            self._add(*kept)
+            at = np.flatnonzero(entry)  # entry 0 is the empty word
+        else:
+            at = np.flatnonzero(entry < 0)
         for a in range(0, len(new), ENCODE_WORDS):
             self._learn(new[a : a + ENCODE_WORDS])
         get = self.cache.__getitem__
-        for words, own, x in zip((rests, ends), missing, found, strict=True):
-            x[own] = np.fromiter((get(words[i]) for i in own.tolist()), np.int64, len(own))
-        out = np.zeros((len(rests), 2), np.int64)  # entry 0 is the empty word
-        out[:, 0], out[at, 1] = found
-        return out
+        entry[at] = np.fromiter((get(words[i]) for i in at.tolist()), np.int64, len(at))
+        return entry[pairs.indices.to_numpy(zero_copy_only=False)].reshape(-1, 2)
+
+    def _gather(self, entry: np.ndarray) -> np.ndarray:
+        """Ids of remembered words, one after another."""
+        sizes = self.lengths[entry]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[entry] - (ends - sizes), sizes) + np.arange(total)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts, and where each text's begin."""
         if not self.folds:
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+            flat, sizes = self._tokens(column.fill_null("").to_pylist())
+            return flat, np.concatenate([[0], np.cumsum(sizes)])
         parts = pc.ascii_split_whitespace(column.fill_null(""))
         values = parts.flatten().dictionary_encode()
         entry = self._entries(values.dictionary)[values.indices.to_numpy(zero_copy_only=False)].ravel()
-        sizes = self.lengths[entry]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.starts[entry] - (ends - sizes), sizes) + np.arange(total)]
         counts = np.asarray(parts.value_lengths()).astype(np.int64)
-        bounds = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(counts)])]
-        return flat, bounds
+        bounds = np.concatenate([[0], np.cumsum(self.lengths[entry])])[2 * np.concatenate([[0], np.cumsum(counts)])]
+        return self._gather(entry), bounds
 
 
 @lru_cache(maxsize=1)

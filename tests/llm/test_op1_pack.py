@@ -107,6 +107,55 @@ def test_words_are_parted_as_their_characters_say():
         assert rest == (own if low.count("<|endoftext|>") != own.count("<|endoftext|>") else low)
 
 
+class Watched:
+    """An encoder's tokenizer, with a list of the texts that it is given."""
+
+    def __init__(self, tokenizer):
+        self.own, self.encode, self.given = tokenizer, tokenizer.encode, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def watched(e):
+    e.tokenizer = Watched(e.tokenizer)
+    return e.tokenizer.given
+
+
+def right(e, texts):
+    flat, bounds = e.encode(pa.array(texts, pa.string()))
+    return all(flat[a:b].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True))
+
+
+def letters(n):
+    return "".join(chr(ord("a") + int(d)) for d in str(n))
+
+
+def test_words_go_to_the_tokenizer_joined():
+    """A text of its own for each word costs more than its tokens do."""
+    e = Encoder(PATH)
+    given = watched(e)
+    assert right(e, [" ".join(letters(j) + "éÉ"[j % 2] + ".,"[j % 2] for j in range(i, i + 500)) for i in range(0, 3000, 500)])
+    assert e.known > 3000 and len(given) <= 3000 // 100 + 2
+
+
+@pytest.mark.parametrize("odd", ["İstanbul", "a\u0300", "x9", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "漢字", "ﬁ"])
+def test_joined_words_are_parted_rightly_beside_odd_ones(odd):
+    e = Encoder(PATH)
+    assert right(e, [None, "", " ".join([*map(letters, range(90)), odd, *map(letters, range(90, 150)), odd.upper() + "!?"])])
+    assert right(e, [None, ""]) and right(Encoder(PATH), [None])
+
+
+def test_full_memory_keeps_the_words_at_hand():
+    e = Encoder(PATH, 150)
+    given = watched(e)
+    texts = [" ".join(letters(j) for j in [*range(80), *range(1000 * i, 1000 * i + 40)]) for i in range(1, 9)]
+    assert all(right(e, [t]) for t in texts) and e.known <= 250
+    words = " ".join(given).split()
+    assert len(words) == len(set(words)) == 80 + 8 * 40
+
+
 def test_packing(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "xyzzy"]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None, "", "word " * 200]
